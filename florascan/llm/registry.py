@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from florascan.llm import mixing, url_filter
+from florascan.llm import line_crf, mixing, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_quality_lines": line_crf.op4_quality_lines,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
