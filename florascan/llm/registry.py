@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from florascan.llm import line_crf, mixing, packing, simhash, toxicity, url_filter
+from florascan.llm import line_crf, mixing, packing, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_quality_lines": line_crf.op4_quality_lines,
     "op6_mixture_packing": packing.op6_mixture_packing,
     "op7_toxicity_neighbours": toxicity.op7_toxicity_neighbours,
+    "op8_warc_normaliser": warc.op8_warc_normaliser,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op8_warc_normaliser": warc.OP8_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
