@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from florascan.llm import fingerprints, line_crf, mixing, packing, simhash, toxicity, url_filter, warc
+from florascan.llm import dom_model, fingerprints, line_crf, mixing, packing, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_canonical_digest": fingerprints.op2_canonical_digest,
     "op4_quality_lines": line_crf.op4_quality_lines,
+    "op5_dom_model": dom_model.op5_dom_model,
     "op6_mixture_packing": packing.op6_mixture_packing,
     "op7_toxicity_neighbours": toxicity.op7_toxicity_neighbours,
     "op8_warc_normaliser": warc.op8_warc_normaliser,
