@@ -52,33 +52,39 @@ NOT_ARTICLE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer form header login menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
 )
 
+#: Words by which authors name the article.
+IS_ARTICLE = frozenset("article content entry post story".split())
+
 FEATURES = ("bias", "article", "around", "named_off", "heading", "paragraph", "list", "log_chars", "links", "sentence")
 #: Mean of the weights' prior; then agreement of parent and child on boilerplate and on content.
-PRIOR = (-0.5, 3.0, -5.0, -5.0, 0.3, 0.5, -0.5, 0.3, -2.0, 0.5, 4.0, 2.0)
+PRIOR = (-0.5, 6.0, -6.0, -6.0, 0.3, 0.5, -0.5, 0.3, -2.0, 0.5, 3.0, 1.5)
 #: How firmly the prior holds each weight: agreement most, as few pages have an article's paragraphs within boilerplate.
-HOLD = (5.0,) + (1.0,) * 9 + (10.0, 5.0)
+HOLD = (5.0,) + (1.0,) * 9 + (5.0, 5.0)
 EXTRACTED = "text string, n_chars long, n_blocks int, kept_blocks int"
 
 
 class Page:
     """Block elements as parallel lists (parents before children), and blocks of text with the element each belongs to."""
 
-    __slots__ = ("parent", "tag", "off", "chars", "links", "sentence", "blocks")
+    __slots__ = ("parent", "tag", "off", "good", "chars", "links", "sentence", "blocks")
 
     def __init__(self) -> None:
-        self.parent, self.tag, self.off, self.chars, self.links, self.sentence, self.blocks = [], [], [], [], [], [], []
+        self.parent, self.tag, self.off, self.good, self.chars, self.links, self.sentence, self.blocks = [], [], [], [], [], [], [], []
 
 
 @lru_cache(maxsize=4096)
-def _named_off(attributes: str) -> bool:
+def _named(attributes: str) -> tuple[bool, bool]:
+    """Whether the names say that it is not the article; whether they say that it is."""
     names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower()
-    return bool(HIDDEN.search(attributes)) or not NOT_ARTICLE.isdisjoint(WORDS.findall(names))
+    words = WORDS.findall(names)
+    off = bool(HIDDEN.search(attributes)) or not NOT_ARTICLE.isdisjoint(words)
+    return off, not off and not IS_ARTICLE.isdisjoint(words)
 
 
 def read_page(source: str | None) -> Page:
     page = Page()
-    parent, tags, off, blocks = page.parent, page.tag, page.off, page.blocks
-    parent.append(-1), tags.append(""), off.append(False)
+    parent, tags, off, good, blocks = page.parent, page.tag, page.off, page.good, page.blocks
+    parent.append(-1), tags.append(""), off.append(False), good.append(False)
     stack, inline, piece, linked = [0], [], [], 0
 
     def flush() -> None:
@@ -126,7 +132,8 @@ def read_page(source: str | None) -> Page:
             inline.clear()
         if name in VOID:
             continue
-        parent.append(stack[-1]), tags.append(name), off.append(_named_off(m[4]) if m[4] else False)
+        says = _named(m[4]) if m[4] else (False, False)
+        parent.append(stack[-1]), tags.append(name), off.append(says[0]), good.append(says[1])
         stack.append(len(tags) - 1)
     if at < len(source):
         piece.append(source[at:])
@@ -141,40 +148,39 @@ def read_page(source: str | None) -> Page:
 
 
 @lru_cache(maxsize=4096)
-def _kind(tag: str, off: bool) -> tuple[float, ...]:
+def _kind(tag: str, off: bool, good: bool) -> tuple[float, ...]:
     heading, listed = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), tag in ("li", "ul", "ol", "dl", "dt", "dd")
-    return (1.0, float(tag in ARTICLE), float(tag in AROUND), float(off), float(heading), float(tag in ("p", "pre", "blockquote")), float(listed))
+    return (1.0, float(good or tag in ARTICLE and not off), float(tag in AROUND), float(off), float(heading), float(tag in ("p", "pre", "blockquote")), float(listed))
 
 
 def node_features(page: Page) -> list[tuple[float, ...]]:
     out = []
-    for tag, off, chars, links, sentence in zip(page.tag, page.off, page.chars, page.links, page.sentence):
+    for tag, off, good, chars, links, sentence in zip(page.tag, page.off, page.good, page.chars, page.links, page.sentence):
         own = (math.log1p(chars) / 5, links / chars, float(sentence)) if chars else (0.0, 0.0, 0.0)
-        out.append(_kind(tag, off) + own)
+        out.append(_kind(tag, off, good) + own)
     return out
 
 
 def sum_product(parent: list[int], unary: list[float], stay_off: float, stay_on: float) -> tuple[list[float], list[float]]:
     """Content marginal of each node, and its message to its parent (log-odds); parents come before their children.
 
-    A message is the log-odds that it adds to its receiver. Two states make the product over children a sum of log-odds.
+    A message is the log-odds that it adds to its receiver, so the product over children is a sum. The pair potential is
+    the child's chance given its parent: it agrees with a boilerplate parent by the logistic of stay_off, with a content
+    parent by that of stay_on; a child that says nothing about itself says nothing about its parent.
     """
     n = len(parent)
+    off, on = 1 / (1 + math.exp(-stay_off)), 1 / (1 + math.exp(-stay_on))
+    exp, log = math.exp, math.log
     up, gathered = [0.0] * n, list(unary)
-
-    def through(odds: float) -> float:
-        on, off = odds + stay_on, 0.0  # receiver content: sender content or not
-        a = max(on, off) + math.log1p(math.exp(-abs(on - off)))
-        on, off = odds, stay_off  # receiver boilerplate
-        return a - (max(on, off) + math.log1p(math.exp(-abs(on - off))))
-
     for k in range(n - 1, 0, -1):
-        up[k] = through(gathered[k])
+        odds = exp(min(max(gathered[k], -60.0), 60.0))
+        up[k] = log((odds * on + 1 - on) / (odds * (1 - off) + off))
         gathered[parent[k]] += up[k]
     belief = list(gathered)
     for k in range(1, n):
-        belief[k] += through(belief[parent[k]] - up[k])
-    return [1 / (1 + math.exp(-min(max(b, -60.0), 60.0))) for b in belief], up
+        odds = exp(min(max(belief[parent[k]] - up[k], -60.0), 60.0))
+        belief[k] += log((odds * on + 1 - off) / (odds * (1 - on) + off))
+    return [1 / (1 + exp(-min(max(b, -60.0), 60.0))) for b in belief], up
 
 
 def extract(source: str | None, weights: list[float]) -> tuple[str, int, int, int]:
@@ -220,15 +226,16 @@ def fit_tree(sources: list[str], steps: int = 40, rate: float = 0.1, hold: tuple
             p, par = np.array(marginal), np.array(parent[1:], dtype=int)
             belief = np.log(np.clip(p, 1e-12, 1)) - np.log(np.clip(1 - p, 1e-12, 1))
             # Pair marginals: the parent without this child's message, the child without its parent's.
+            s_off, s_on = 1 / (1 + np.exp(-off)), 1 / (1 + np.exp(-on))
             above = belief[par] - np.array(up[1:])
-            down = np.logaddexp(above + on, 0) - np.logaddexp(above, off)
-            below = belief[1:] - down
-            joint = np.stack([np.full_like(above, off), below, above, above + below + on])
+            odds = np.exp(np.clip(above, -60, 60))
+            below = belief[1:] - np.log((odds * s_on + 1 - s_off) / (odds * (1 - s_on) + s_off))
+            joint = np.stack([np.full_like(above, np.log(s_off)), below + np.log(1 - s_off), above + np.log(1 - s_on), above + below + np.log(s_on)])
             joint = np.exp(joint - joint.max(0))
             joint = joint / joint.sum(0)
             grad[:-2] += (y - p) @ x / len(data)
-            grad[-2] += (((1 - y[1:]) * (1 - y[par])) - joint[0]).sum() / len(data)
-            grad[-1] += ((y[1:] * y[par]) - joint[3]).sum() / len(data)
+            grad[-2] += ((1 - y[par]) * ((1 - y[1:]) - s_off) - (joint[0] * (1 - s_off) - joint[1] * s_off)).sum() / len(data)
+            grad[-1] += (y[par] * (y[1:] - s_on) - (joint[3] * (1 - s_on) - joint[2] * s_on)).sum() / len(data)
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return np.round(theta, 6).tolist()
