@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from florascan.llm import dom_model, fingerprints, line_crf, mixing, packing, simhash, toxicity, url_filter, warc
+from florascan.llm import cotraining, dom_model, fingerprints, line_crf, mixing, packing, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_canonical_digest": fingerprints.op2_canonical_digest,
+    "op3_cotraining_quality": cotraining.op3_cotraining_quality,
     "op4_quality_lines": line_crf.op4_quality_lines,
     "op5_dom_model": dom_model.op5_dom_model,
     "op6_mixture_packing": packing.op6_mixture_packing,
