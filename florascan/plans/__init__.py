@@ -1,6 +1,6 @@
 """Registered queries: what each operator does on the campaign's tables."""
 
-from florascan.plans import catalogue
+from florascan.plans import catalogue, pixels
 from florascan.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "catalogue"]
+__all__ = ["QUERIES", "SQL", "catalogue", "pixels"]

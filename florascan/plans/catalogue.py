@@ -14,7 +14,10 @@ from florascan.plans.fixtures import sql
 from florascan.plans.registry import query
 from florascan.sources import tables as t
 
-DAY = F.date_format("date_time", "yyyy-MM-dd HH:mm:ss").alias("date_time")
+def stamp():
+    return F.date_format("date_time", "yyyy-MM-dd HH:mm:ss").alias("date_time")
+
+
 TIME = "strftime(date_time, '%Y-%m-%d %H:%M:%S') as date_time"
 
 
@@ -55,13 +58,13 @@ def s11(spark, d):
 @query("s13_annotation_sheet", sql("snap", f"select plant, {TIME}, luid, '' as disease_index from (select *, row_number() over (partition by plant, experiment order by date_time, event_id) k from snap) where k = 1"))
 def s13(spark, d):
     first = c.annotation_sheet(fx.snap(spark, d).withColumn("series", F.concat_ws("|", "plant", "experiment")), "series", ["date_time", "event_id"], ["plant", "date_time", "luid"])
-    return first.select("plant", DAY, "luid", "disease_index")
+    return first.select("plant", stamp(), "luid", "disease_index")
 
 
 @query("s18_external_catalogue", sql("snap", f"select lower(upper(experiment)) as experiment, lower(upper(plant)) as plant, {TIME}, lower(wavelength) as wavelength, 'top' as angle, substr(filepath, 6) as filepath from snap"))
 def s18(spark, d):
     snap = fx.snap(spark, d).select(F.upper("experiment").alias("Experiment"), F.upper("plant").alias("PLANT"), "date_time", F.col("wavelength").alias("View_Option"), F.col("filepath").alias("FilePath"))
-    return t.normalise_external(snap, "/img/").select("experiment", "plant", DAY, "wavelength", "angle", "filepath")
+    return t.normalise_external(snap, "/img/").select("experiment", "plant", stamp(), "wavelength", "angle", "filepath")
 
 
 @query("f1_select", sql("snap", "select distinct plant, camera from snap where experiment = 'exp1' and event_id between 100 and 5000 and camera in ('view', 'click')"))
@@ -295,15 +298,15 @@ def x1(spark, d):
   case event_id % 7 when 5 then 'ex' || experiment when 6 then 'folder' else experiment end as experiment,
   case event_id % 7 when 2 then plant || '-' || job_id when 6 then plant else plant end as plant from snap"""))
 def x3(spark, d):
-    stamp = F.date_format("date_time", "yyyyMMddHHmmss")
+    at = F.date_format("date_time", "yyyyMMddHHmmss")
     e, p, cam, w, j = F.col("experiment"), F.col("plant"), F.col("camera"), F.col("wavelength"), F.col("job_id").cast("string")
     name = (
-        F.when(F.col("event_id") % 7 == 0, F.concat_ws(";", e, p, F.concat_ws("-", cam, w), stamp, F.lit("1")))
-        .when(F.col("event_id") % 7 == 1, F.concat_ws("#", e, stamp, p, cam, F.lit("side0"), w, F.lit("x"), j))
+        F.when(F.col("event_id") % 7 == 0, F.concat_ws(";", e, p, F.concat_ws("-", cam, w), at, F.lit("1")))
+        .when(F.col("event_id") % 7 == 1, F.concat_ws("#", e, at, p, cam, F.lit("side0"), w, F.lit("x"), j))
         .when(F.col("event_id") % 7 == 2, F.concat(F.lit("gridsplit_"), e, F.lit("_"), p, F.lit("-"), j))
-        .when(F.col("event_id") % 7 == 3, F.concat_ws("_", F.lit("imean"), stamp, e, p, F.lit("0")))
+        .when(F.col("event_id") % 7 == 3, F.concat_ws("_", F.lit("imean"), at, e, p, F.lit("0")))
         .when(F.col("event_id") % 7 == 4, F.concat_ws("#", F.lit("rr"), e, p, F.lit("x"), F.date_format("date_time", "yyyyMMdd_HHmmss")))
-        .when(F.col("event_id") % 7 == 5, F.concat(F.lit("ex"), e, p, F.lit("-CAM1-"), stamp))
+        .when(F.col("event_id") % 7 == 5, F.concat(F.lit("ex"), e, p, F.lit("-CAM1-"), at))
         .otherwise(p)
     )
     parsed = fx.snap(spark, d).select("luid", names.parse_path(F.concat(F.lit("/img/folder/"), name, F.lit(".png"))).alias("p"))
