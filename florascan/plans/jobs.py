@@ -1 +1,172 @@
-flagship = None
+"""Whole jobs: feature extraction over a selection, assertions, resuming, grid search."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from florascan.functions.names import option_values
+from florascan.operators import catalogue, histogram, objects, pixels
+from florascan.operators.pixels import IMAGE
+from florascan.plans import fixtures as fx
+from florascan.plans.fixtures import sql
+from florascan.plans.registry import query
+
+
+def analyse(mask_px: DataFrame, features: Sequence[str] = ("shape", "colour", "chlorophyll")) -> DataFrame:
+    """One wide row for each image: the chosen groups of features of its masked pixels."""
+    made: dict[str, Callable[[], DataFrame]] = {
+        "shape": lambda: objects.shape_features(mask_px),
+        "colour": lambda: mask_px.groupBy(IMAGE).agg(*[f(c).alias(f"rgb_{c}_{n}") for c in "bgr" for n, f in (("mean", F.avg), ("std_dev", F.stddev_pop))]),
+        "chlorophyll": lambda: histogram.chlorophyll_stats(mask_px),
+        "width": lambda: objects.width_stats(mask_px).drop("slice"),
+    }
+    out = made[features[0]]()
+    for name in features[1:]:
+        out = out.join(made[name](), IMAGE)
+    return out
+
+
+def extract_features(images: DataFrame, px: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]], features: Sequence[str] = ("shape", "colour", "chlorophyll")) -> DataFrame:
+    """images with features, status (ok or failed) and error: an image without pixels left fails, the job goes on."""
+    for step in steps:
+        px = px.transform(step)
+    out = images.join(analyse(px, features), IMAGE, "left")
+    failed = F.col("area").isNull() if "shape" in features else F.lit(False)
+    return out.withColumns({"status": F.when(failed, "failed").otherwise("ok"), "error": F.when(failed, "no pixels in mask")})
+
+
+def passing(px: DataFrame, checks: DataFrame) -> DataFrame:
+    """Pixels of the images that passed their assertion: what follows is not done for the others."""
+    return px.join(checks.filter("passed").select(IMAGE), IMAGE, "left_semi")
+
+
+def expand_grid(options: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Every combination of the option strings' values, one row each."""
+    out = options
+    for n in names:
+        out = out.withColumn(n, F.explode(option_values(F.col(n))))
+    return out
+
+
+def grid_search(px: DataFrame, params: DataFrame, condition: Column, keys: Sequence[str]) -> DataFrame:
+    """(image_id, keys, pixels) of a threshold whose bounds are parameter columns, for every image and combination.
+
+    Distinct values are counted first, so a combination meets at most 256 rows an image, not its pixels.
+    """
+    from florascan.operators.histogram import value_counts
+
+    counts = value_counts(px, ["g"]).select(IMAGE, F.col("value").alias("g"), "n")
+    hit = counts.join(params, condition, "inner")
+    found = hit.groupBy(IMAGE, *keys).agg(F.sum("n").alias("pixels"))
+    every = px.select(IMAGE).distinct().withColumn("__p", F.lit(1)).join(params.select(*keys).withColumn("__p", F.lit(1)), "__p").drop("__p")
+    return every.join(found, [IMAGE, *keys], "left").fillna(0, ["pixels"])
+
+
+def merge_masks(masks: Sequence[DataFrame], mode: str = "and") -> DataFrame:
+    """Child masks of a group merged: and, or."""
+    out = masks[0].select(IMAGE, "y", "x")
+    for m in masks[1:]:
+        m = m.select(IMAGE, "y", "x")
+        out = out.join(m, [IMAGE, "y", "x"], "left_semi") if mode == "and" else out.unionByName(m)
+    return out if mode == "and" else out.distinct()
+
+
+def image_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last snapshot of each image: images are the events of job image_id % 7."""
+    snap = fx.snap(spark, sf_dir)
+    last = snap.groupBy("job_id").agg(F.max_by(F.struct("experiment", "plant", "date_time", "camera", "angle", "luid"), "event_id").alias("s")).select("job_id", "s.*")
+    ids = fx.px(spark, sf_dir).select(IMAGE).distinct().withColumn("job_id", (F.col(IMAGE) % 7).cast("bigint"))
+    return ids.join(last, "job_id").drop("job_id")
+
+
+LAST = """last as (select job_id, arg_max(experiment, event_id) as experiment, arg_max(plant, event_id) as plant, arg_max(luid, event_id) as luid, max(event_id) from snap group by 1),
+ids as (select distinct image_id from px), im as (select image_id, experiment, plant, luid from ids join last on job_id = image_id % 7)"""
+SHAPE = """sh as (select image_id, count(*) as area, round(avg(x), 6) as centroid_x, round(avg(y), 6) as centroid_y, round(avg(g), 6) as rgb_g_mean, round(stddev_pop(g), 6) as rgb_g_std_dev from px where g between 100 and 160 and r > 120 group by 1)"""
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = fx.px(spark, sf_dir)
+    steps = [lambda d: pixels.range_mask(d, "g", 100, 160), lambda d: d.filter("r > 120")]
+    out = extract_features(image_catalogue(spark, sf_dir), px, steps)
+    columns = ["experiment", "plant", "luid", "image_id", "area", "centroid_x", "centroid_y", "rgb_g_mean", "rgb_g_std_dev", "status"]
+    rounded = {c: F.round(c, 6) for c in ("centroid_x", "centroid_y", "rgb_g_mean", "rgb_g_std_dev")}
+    return catalogue.merge_results([out.withColumns(rounded).select(*columns)])
+
+
+@query("b1_extract_features", sql("px snap", LAST + ", " + SHAPE + " select experiment, plant, luid, image_id, area, centroid_x, centroid_y, rgb_g_mean, rgb_g_std_dev, case when area is null then 'failed' else 'ok' end as status from im left join sh using (image_id)"))
+def b1(spark, d):
+    return flagship(spark, d)
+
+
+@query("b3_failed_images", sql("px", "m as (select image_id, count(*) as area from px where g between 250 and 255 group by 1) select image_id, area, case when area is null then 'failed' else 'ok' end as status, case when area is null then 'no pixels in mask' end as error from (select distinct image_id from px) left join m using (image_id)"))
+def b3(spark, d):
+    px = fx.px(spark, d)
+    out = extract_features(px.select(IMAGE).distinct(), px, [lambda p: pixels.range_mask(p, "g", 250, 255)], ("shape",))
+    return out.select(IMAGE, "area", "status", "error")
+
+
+@query("b4_resume", sql("px", "select image_id, count(*) as area from px where g between 100 and 160 and image_id not in (select image_id from px where image_id % 2 = 0) group by 1"))
+def b4(spark, d):
+    px = fx.px(spark, d)
+    done = px.filter("image_id % 2 = 0").select(IMAGE)
+    return objects.shape_features(pixels.range_mask(catalogue.not_done(px, done, IMAGE), "g", 100, 160)).select(IMAGE, "area")
+
+
+@query("b5_assertion", sql("px", "select image_id, count(*) as n from px where image_id in (select image_id from px where x between 3 and 10 and y between 5 and 16 and g > 225) group by 1"))
+def b5(spark, d):
+    px = fx.px(spark, d)
+    checks = px.groupBy(IMAGE).agg((F.count_if(F.col("x").between(3, 10) & F.col("y").between(5, 16) & (F.col("g") > 225)) > 0).alias("passed"))
+    return passing(px, checks).groupBy(IMAGE).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b6_grid_search", sql("px", """lo as (select unnest(['0', '100', '25', '50', '7', '75']) as lo), hi as (select unnest(['150', '200']) as hi), im as (select distinct image_id from px)
+select image_id, lo, hi, (select count(*) from px p where p.image_id = im.image_id and p.g between lo::int and hi::int) as pixels from im, lo, hi"""))
+def b6(spark, d):
+    options = spark.createDataFrame([("0|100;25,7", "150,200")], "lo string, hi string")
+    params = expand_grid(options, ["lo", "hi"])
+    return grid_search(fx.px(spark, d), F.broadcast(params), F.col("g").between(F.col("lo").cast("int"), F.col("hi").cast("int")), ["lo", "hi"])
+
+
+@query("b7_forced_pairs", sql("px", "select image_id, count(*) as area, 'series-1' as luid, 'batch' as source from px where g between 100 and 160 group by 1"))
+def b7(spark, d):
+    s = objects.shape_features(pixels.range_mask(fx.px(spark, d), "g", 100, 160)).select(IMAGE, "area")
+    return s.withColumns({k: F.lit(v) for k, v in {"luid": "series-1", "source": "batch"}.items()})
+
+
+def _masks(px: DataFrame) -> list[DataFrame]:
+    return [pixels.range_mask(px, "g", 100, 160), pixels.range_mask(px, "r", 90, 150), pixels.range_mask(px, "b", 60, 200)]
+
+
+@query("u8_merge_and", sql("px", "select image_id, y, x from px where g between 100 and 160 and r between 90 and 150 and b between 60 and 200"))
+def u8(spark, d):
+    return merge_masks(_masks(fx.px(spark, d)))
+
+
+@query("u8_merge_or", sql("px", "select image_id, y, x from px where g between 100 and 160 or r between 90 and 150 or b between 60 and 200"))
+def u8b(spark, d):
+    return merge_masks(_masks(fx.px(spark, d)), "or")
+
+
+@query("b2_analysis", sql("px", "select image_id, count(*) as area, round(avg(b), 6) as rgb_b_mean, round(avg(exp(-0.0280 * 1.049 * r + 0.0190 * 1.049 * g - 0.0030 * 1.041 * b + 5.780)), 4) as chlorophyll_mean from px where g between 100 and 160 group by 1"))
+def b2(spark, d):
+    out = analyse(pixels.range_mask(fx.px(spark, d), "g", 100, 160))
+    return out.select(IMAGE, "area", F.round("rgb_b_mean", 6).alias("rgb_b_mean"), F.round("chlorophyll_mean", 4).alias("chlorophyll_mean"))
+
+
+@query("p5_mask_builder", sql("px", "select image_id, y, x from px where g between 100 and 160 and r between 90 and 150"))
+def p5(spark, d):
+    return build_mask(fx.px(spark, d), [{"method": "range", "channel": "g", "low": 100, "high": 160}, {"method": "range", "channel": "r", "low": 90, "high": 150}])
+
+
+def build_mask(px: DataFrame, parameters: Sequence[Mapping], merge: str = "and") -> DataFrame:
+    """A mask from a list of thresholds: method range (channel, low, high) or otsu (channel)."""
+    masks = []
+    for p in parameters:
+        if p["method"] == "otsu":
+            masks.append(histogram.above_threshold(px, histogram.otsu_thresholds(px, [p["channel"]]), p["channel"]))
+        else:
+            masks.append(pixels.range_mask(px, p["channel"], p["low"], p["high"]))
+    return merge_masks(masks, merge)
