@@ -46,6 +46,12 @@ def width_stats(mask: DataFrame, n: int = 1) -> DataFrame:
     return out.withColumn("solidity", F.when(F.col("hull") > 0, F.col("area") / F.col("hull")).otherwise(0.0))
 
 
+def wide_width_stats(mask: DataFrame, n: int = 1) -> DataFrame:
+    """One row for each image: width_stats as columns quantile_width_{slice}_{n}_{name}."""
+    names = ("area", "hull", "solidity", "min_width", "max_width", "avg_width", "std_width")
+    return width_stats(mask, n).groupBy(IMAGE).agg(*[F.max(F.when(F.col("slice") == k, F.col(c))).alias(f"quantile_width_{k}_{n}_{c}") for k in range(1, n + 1) for c in names])
+
+
 def runs(mask: DataFrame) -> DataFrame:
     """(image_id, y, left, right, n): horizontal runs."""
     island = F.col("x") - F.row_number().over(W.partitionBy(IMAGE, "y").orderBy("x"))

@@ -21,7 +21,7 @@ def analyse(mask_px: DataFrame, features: Sequence[str] = ("shape", "colour", "c
         "shape": lambda: objects.shape_features(mask_px),
         "colour": lambda: mask_px.groupBy(IMAGE).agg(*[f(c).alias(f"rgb_{c}_{n}") for c in "bgr" for n, f in (("mean", F.avg), ("std_dev", F.stddev_pop))]),
         "chlorophyll": lambda: histogram.chlorophyll_stats(mask_px),
-        "width": lambda: objects.width_stats(mask_px).drop("slice"),
+        "width": lambda: objects.wide_width_stats(mask_px, 1),
     }
     out = made[features[0]]()
     for name in features[1:]:
