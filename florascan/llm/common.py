@@ -1,20 +1,14 @@
-"""Helpers that the text operators share: tables, shared storage and words."""
+"""Helpers that the text operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space as the word rule of the queries knows it.
-ASCII_SPACE = " \t\n\x0b\x0c\r"
-
+from florascan.sources.storage import new_path, stored
+from florascan.sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["hidden", "new_path", "small_batches", "stored", "table", "text_or_empty"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -22,31 +16,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    own = spark.conf.get("spark.florascan.shared.dir", None)
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="florascan-")
-        spark.conf.set("spark.florascan.shared.dir", own)
-    return own
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: its lineage ends there, and lost executors lose none of it."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hidden(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that the operator is about to add (names compare without case)."""
     taken = {n.lower() for n in names}

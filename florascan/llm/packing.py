@@ -108,8 +108,8 @@ def deficits(tokens: DataFrame, targets: Mapping[str, float] | None = None) -> D
         for name, w in targets.items():
             weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
         weights = counts.groupBy("source").agg(F.max(weight).alias("weight"))
-    total = weights.agg(F.sum("weight").alias("total"))
-    shares = weights.crossJoin(F.broadcast(total)).select("source", F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(0.0).alias("share"))  # total is one row
+    total = weights.agg(F.sum("weight")).first()[0] or 0.0
+    shares = weights.select("source", (F.col("weight") / F.lit(total) if total > 0 else F.lit(0.0)).alias("share"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each part
     parts = counts.groupBy("part").agg(F.sum("n").alias("part_n")).withColumn("all_before", F.coalesce(F.sum("part_n").over(before), F.lit(0)))
     own = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)

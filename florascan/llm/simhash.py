@@ -14,7 +14,8 @@ each name all 64-bit values within one bit. Two fingerprints within two bits of
 is lost, work stays in proportion to the members, and no bucket is collected. This branch is exact for tau = 2 and is
 what large groups of near copies, and very large corpora, go through.
 
-Groups come from alternating large-star and small-star steps over the links, each round written to the shared folder.
+``similar_groups`` and ``near_dedup`` serve corpora: they group texts of a similarity of 0.8 or more on five-word shingles,
+by wide fingerprints (see there).
 
 Defined results: a null or empty text, or one without words, has fingerprint zero, which links like any other. A text
 with fewer words than a shingle has one shingle of all its words. Equal ids are one document; a null id counts only where
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florascan.llm.common import hidden, small_batches, stored, table
+from florascan.operators.graph import connected_components
 
 CHUNK = 1 << 16
 
@@ -118,30 +120,12 @@ def links(prints: DataFrame, tau: int = 2, max_bucket: int = 64) -> DataFrame:
     return pairs.unionByName(hubs).distinct()
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node each node of the edges (a, b) reaches."""
-    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "groups")
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        rooted = large.join(least, "a")
-        small = rooted.select("a", F.col("m").alias("b")).unionByName(rooted.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = stored(small, "groups")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
-
-
 def near_groups(docs: DataFrame, width: int = 5, tau: int = 2, max_bucket: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of docs, with the smallest id of its group."""
     docs = hidden(docs, *({"fingerprint", "component_id"} - {doc_id, text}))
     printed = stored(docs.select(F.col(doc_id), fingerprints(docs, width, text).alias("fp")), "simhash-prints")
     classes = stored(printed.groupBy("fp").agg(F.min(doc_id).alias("least")), "simhash-classes")
-    roots = connected(links(classes.select("fp"), tau, max_bucket))
+    roots = connected_components(links(classes.select("fp"), tau, max_bucket))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(groups, "root").select("fp", "component_id")
@@ -149,11 +133,106 @@ def near_groups(docs: DataFrame, width: int = 5, tau: int = 2, max_bucket: int =
     return printed.join(named, "fp").select(doc_id, digits.alias("fingerprint"), "component_id")
 
 
+# --- similarity of 0.8: wide fingerprints ----------------------------------------------------------------------------
+
+WIDE_WORDS = 8
+RINGS, RING_SEGMENTS, SEGMENT_BITS = 8, 16, 28
+#: What makes eight hashes of one.
+MIXERS = np.array([2 * k + 1 for k in range(1, WIDE_WORDS + 1)], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    z = (hashes ^ MIXERS[k]) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(32))
+
+
+def wide_simhash(texts: list[str | None], width: int = 5) -> np.ndarray:
+    """Signed 64-bit words, WIDE_WORDS for each text: SimHash over that many independent hashes of each shingle.
+
+    Bits are counted by bytes: how often each of 256 values stands at a place, times its bits.
+    """
+    out = np.zeros((len(texts), WIDE_WORDS), dtype=np.int64)
+    group, size, start = [], 0, 0
+    for at, text in enumerate(texts):
+        group.append(shingle_hashes(text, width))
+        size += len(group[-1])
+        if size < (1 << 20) and len(group) < 512 and at < len(texts) - 1:
+            continue
+        hashes = np.concatenate(group)
+        counts = np.array([len(h) for h in group], dtype=np.int64)
+        base = np.repeat(np.arange(len(group)) * 256, counts)
+        for k in range(WIDE_WORDS):
+            places = _mixed(hashes, k).view(np.uint8).reshape(-1, 8)
+            ones = np.concatenate([np.bincount(base + places[:, j], minlength=256 * len(group)).reshape(-1, 256) @ BYTE_BITS for j in range(8)], axis=1)
+            out[start : at + 1, k] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
+        group, size, start = [], 0, at + 1
+    return out
+
+
+def ring_segments(prints: np.ndarray) -> np.ndarray:
+    """Keys of RINGS * RING_SEGMENTS segments: each ring is a fixed permutation of the bits, cut into consecutive segments."""
+    bits = np.unpackbits(prints.astype(np.int64).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    weights, keys = np.int64(1) << np.arange(SEGMENT_BITS, dtype=np.int64), []
+    for ring in range(RINGS):
+        order = np.random.RandomState(ring).permutation(64 * WIDE_WORDS)[: RING_SEGMENTS * SEGMENT_BITS]
+        segments = bits[:, order].reshape(len(prints), RING_SEGMENTS, SEGMENT_BITS).astype(np.int64) @ weights
+        keys.append(segments + ((ring * RING_SEGMENTS + np.arange(RING_SEGMENTS, dtype=np.int64)) << SEGMENT_BITS))
+    return np.concatenate(keys, axis=1)
+
+
+def wide_chain_holds(gaps: list[Column], tau: int) -> Column:
+    """Some word starts a chain on the ring of words in which every run of l differs in at most l * tau / WIDE_WORDS bits."""
+    holds = F.lit(False)
+    for i in range(WIDE_WORDS):
+        run, chain = F.lit(0), F.lit(True)
+        for length in range(1, WIDE_WORDS + 1):
+            run = run + gaps[(i + length - 1) % WIDE_WORDS]
+            chain = chain & (run <= length * tau // WIDE_WORDS)
+        holds = holds | chain
+    return holds
+
+
+def similar_groups(docs: DataFrame, width: int = 5, tau: int = 84, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id): groups of texts whose shingles have a similarity of about 0.8 or more.
+
+    At that similarity SimHash bits differ in 15 % of places, ten of 64: too many for an index of 64-bit fingerprints, and
+    too few places to tell 0.8 from 0.7. Fingerprints have 512 bits here and tau is 84 of these. The same ring of segments
+    gives the candidates: an equal segment starts the chain, the running budgets over the ring of words prune, the full
+    distance decides. With so large a tau no segment must be equal, so a link is found with a chance: of two texts of
+    similarity 0.9 some of the 128 segments of 28 bits agree in 99 of 100 cases, at 0.8 in 7 of 10, and a group is found
+    by any of its links. Segments do not depend on the corpus, so this is so at every size.
+
+    A segment's bucket links each member with its least one, not all with all.
+    """
+    small_batches(docs.sparkSession)
+
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(wide_simhash(texts.tolist(), width)))
+
+    def segments(values: pd.Series) -> pd.Series:
+        return pd.Series(list(ring_segments(np.stack(values.to_numpy())))) if len(values) else pd.Series([], dtype=object)
+
+    printed = stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.pandas_udf(prints, "array<bigint>")(F.col(text)).alias("fp")), "simhash-prints")
+    classes = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"), "simhash-classes")
+    keyed = classes.select("node", F.explode(F.pandas_udf(segments, "array<bigint>")("fp")).alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("key", "hub")
+    pairs = keyed.join(hubs, "key").filter("node <> hub").select("node", "hub").distinct()
+    both = pairs.join(classes, "node").join(classes.select(F.col("node").alias("hub"), F.col("fp").alias("hub_fp")), "hub")
+    gaps = [F.bit_count(F.col("fp")[k].bitwiseXOR(F.col("hub_fp")[k])) for k in range(WIDE_WORDS)]
+    near = both.withColumns({f"g{k}": g for k, g in enumerate(gaps)})
+    columns = [F.col(f"g{k}") for k in range(WIDE_WORDS)]
+    links = near.filter(wide_chain_holds(columns, tau)).filter(sum(columns, F.lit(0)) <= tau).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    roots = connected_components(links)
+    return printed.join(classes, "fp").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
+
+
 def near_dedup(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents whose group has a smaller id."""
-    found = near_groups(docs, width, doc_id=doc_id, text=text)
-    gone = found.filter(~F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone")), "left_anti")
+    """docs without the documents that a group of similar ones has a smaller id for."""
+    found = similar_groups(docs, width, doc_id=doc_id, text=text)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
