@@ -39,6 +39,15 @@ def relative_rectangle(roi_id: int, name: str, image_width: int, image_height: i
     return rectangle(roi_id, name, image_width * left / 100, image_height * top / 100, image_width * width / 100, image_height * height / 100)
 
 
+def case_condition(text: str) -> Column:
+    """When a region applies: "key=v1,v2|key=v" over the snapshot's columns; an empty text always applies."""
+    out = F.lit(True)
+    for part in filter(None, (p.strip() for p in text.split("|"))):
+        key, _, values = part.partition("=")
+        out = out & F.col(key.strip()).cast("string").isin([v.strip() for v in values.split(",")])
+    return out
+
+
 def inside(x: Column | None = None, y: Column | None = None) -> Column:
     """Whether a point (columns x, y) lies in the region of the same row; right and lower edges are outside."""
     x, y = F.col("x") if x is None else x, F.col("y") if y is None else y

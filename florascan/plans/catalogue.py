@@ -319,6 +319,22 @@ def x8(spark, d):
     return fx.snap(spark, d).select("event_id", names.luid(*a).alias("luid"), names.snapshot_path(a[1], a[2], a[0], a[3], a[4], "/blob/").alias("path"))
 
 
+@query("x10_utc_times", sql("snap", "select luid, upper(camera) as label, strftime(date_time - interval 2 hour, '%Y-%m-%d %H:%M:%S') as utc from snap"))
+def x10(spark, d):
+    local = F.concat(F.date_format("date_time", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    return fx.snap(spark, d).select("luid", F.upper(F.lower("camera")).alias("label"), F.date_format(F.to_timestamp(local), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+
+
+@query("f2_equal_and_between", sql("snap", "select luid from snap where camera = 'view' and job_id between 2 and 4"))
+def f2(spark, d):
+    return c.select_snapshots(fx.snap(spark, d), {"camera": "view", "job_id": ("between", 2, 4)}, ["luid", "unknown"])
+
+
+@query("o1_order", sql("snap", "select plant, camera, luid from snap order by plant desc, luid"))
+def o1(spark, d):
+    return c.select_snapshots(fx.snap(spark, d), {}, ["plant", "camera", "luid"], order_by=[F.desc("plant"), "luid"])
+
+
 @query("x11_safe_name", "select p_partkey, regexp_replace(regexp_replace(p_name || ':' || p_type || '\"a\"', '[\"'']', '', 'g'), '[*/\\\\\\[\\]:;|=,<>]', '_', 'g') as safe, replace(replace(to_base64(unhex(sha1(p_name))), '+', '-'), '/', '_') as short from part")
 def x11(spark, d):
     name = F.concat("p_name", F.lit(":"), "p_type", F.lit('"a"'))

@@ -399,6 +399,12 @@ def u6(spark, d):
     return r.compose(fx.px(spark, d), rois(spark, RECT, CIRCLE, TURNED), "intersection").select(*PLACE)
 
 
+@query("r1_rectangle_case", sql("px", "select image_id, y, x from px where image_id::varchar in ('1', '4') and x >= 2.1 and x < 2.1 + 10.5 and y >= 4 and y < 4 + 20"))
+def r1(spark, d):
+    region = r.relative_rectangle(1, "part", 21, 40, 10, 10, 50, 50)
+    return fx.px(spark, d).filter(r.case_condition("image_id=1, 4|") & r.region_column(region)).select(*PLACE)
+
+
 @query("r2_region_membership", sql("px", f"select image_id, y, x, {IN[1]} as rect, {IN[2]} as circle, {IN[3]} as ring, {IN[4]} as turned from px"))
 def r2(spark, d):
     return fx.px(spark, d).select(*PLACE, *[r.region_column(x).alias(x[1]) for x in (RECT, CIRCLE, RING, TURNED)])
