@@ -13,12 +13,16 @@ def series_id(df: DataFrame, keys: Sequence[str], ts: str, luid: str, delta_minu
     """Each row with the id of its series: the luid of the series' first row.
 
     A row belongs to the series as long as it is less than delta_minutes after the series' *first* row, so that a chain
-    of close rows does not grow for ever. Ties go by luid. The rows of a key (the snapshots of one plant) are folded as
-    one ordered array of (time, luid): a plant has thousands of snapshots, not millions.
+    of close rows does not grow for ever. Ties go by luid. A gap of delta_minutes or more ends a series whatever its first
+    row, so the rows of a key are cut at such gaps by a window, and only what lies between two gaps is folded as one
+    ordered array of (time, luid).
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     limit = F.lit(int(delta_minutes * 60_000_000)).cast("bigint")
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(micros.alias("t"), F.col(luid).alias("l")))).alias("__rows"))
+    ordered = W.partitionBy(*keys).orderBy("__t", luid)
+    timed = df.select(*keys, F.col(luid), F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"))
+    gap = F.col("__t") - F.lag("__t").over(ordered) >= limit
+    cut = timed.withColumn("__gap", gap.cast("int")).withColumn("__part", F.sum(F.coalesce("__gap", F.lit(0))).over(ordered.rowsBetween(W.unboundedPreceding, 0)))
+    rows = cut.groupBy(*keys, "__part").agg(F.sort_array(F.collect_list(F.struct(F.col("__t").alias("t"), F.col(luid).alias("l")))).alias("__rows"))
     start = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("string").alias("l"))
 
     def fold(state, row):

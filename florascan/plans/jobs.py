@@ -15,6 +15,9 @@ from florascan.plans.fixtures import sql
 from florascan.plans.registry import query
 
 
+MAX_COMBINATIONS = 100_000
+
+
 def analyse(mask_px: DataFrame, features: Sequence[str] = ("shape", "colour", "chlorophyll")) -> DataFrame:
     """One wide row for each image: the chosen groups of features of its masked pixels."""
     made: dict[str, Callable[[], DataFrame]] = {
@@ -54,14 +57,15 @@ def expand_grid(options: DataFrame, names: Sequence[str]) -> DataFrame:
 def grid_search(px: DataFrame, params: DataFrame, condition: Column, keys: Sequence[str]) -> DataFrame:
     """(image_id, keys, pixels) of a threshold whose bounds are parameter columns, for every image and combination.
 
-    Distinct values are counted first, so a combination meets at most 256 rows an image, not its pixels.
+    Distinct values are counted first, so a combination meets at most 256 rows an image, not its pixels. The combinations
+    are what a user listed; more than ``MAX_COMBINATIONS`` are refused rather than broadcast.
     """
-    from florascan.operators.histogram import value_counts
-
-    counts = value_counts(px, ["g"]).select(IMAGE, F.col("value").alias("g"), "n")
-    hit = counts.join(params, condition, "inner")
+    if params.limit(MAX_COMBINATIONS + 1).count() > MAX_COMBINATIONS:
+        raise ValueError(f"more than {MAX_COMBINATIONS} combinations")
+    counts = histogram.value_counts(px, ["g"]).select(IMAGE, F.col("value").alias("g"), "n")
+    hit = counts.join(F.broadcast(params), condition, "inner")
     found = hit.groupBy(IMAGE, *keys).agg(F.sum("n").alias("pixels"))
-    every = px.select(IMAGE).distinct().withColumn("__p", F.lit(1)).join(params.select(*keys).withColumn("__p", F.lit(1)), "__p").drop("__p")
+    every = px.select(IMAGE).distinct().crossJoin(F.broadcast(params.select(*keys)))  # the grid: images times combinations
     return every.join(found, [IMAGE, *keys], "left").fillna(0, ["pixels"])
 
 
@@ -127,7 +131,7 @@ select image_id, lo, hi, (select count(*) from px p where p.image_id = im.image_
 def b6(spark, d):
     options = spark.createDataFrame([("0|100;25,7", "150,200")], "lo string, hi string")
     params = expand_grid(options, ["lo", "hi"])
-    return grid_search(fx.px(spark, d), F.broadcast(params), F.col("g").between(F.col("lo").cast("int"), F.col("hi").cast("int")), ["lo", "hi"])
+    return grid_search(fx.px(spark, d), params, F.col("g").between(F.col("lo").cast("int"), F.col("hi").cast("int")), ["lo", "hi"])
 
 
 @query("b7_forced_pairs", sql("px", "select image_id, count(*) as area, 'series-1' as luid, 'batch' as source from px where g between 100 and 160 group by 1"))
