@@ -88,7 +88,7 @@ def write_archives(decided: DataFrame, folder: str, records: int = 5000) -> Data
             for page_id, url, html, digest, kind, refers_to in zip(batch["page_id"], batch["url"], batch["html"], batch["payload_digest"], batch["record_type"], batch["refers_to"]):
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out, squeeze = system.open_output_stream(f"{at}/{name}", compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
+                    out, squeeze = system.open_output_stream(f"{at}/{name}", compression=None), zlib.compressobj(6, zlib.DEFLATED, 31)
                 record = record_bytes(page_id, url, (html or "").encode(), digest, kind, refers_to)
                 out.write(squeeze.compress(record))
                 n, size = n + 1, size + len(record)
