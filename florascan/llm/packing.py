@@ -100,7 +100,7 @@ def tokenised(docs: DataFrame, encode: TextEncoder, end_id: int = 0, part_bytes:
 
 def deficits(tokens: DataFrame, targets: Mapping[str, float] | None = None) -> DataFrame:
     """(part, source, share, carried): target shares, and the tokens that earlier parts owe the source (below 0: that it had too many)."""
-    counts = tokens.groupBy("part", "source").agg(F.sum("n").alias("n"))
+    counts = stored(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "packing-counts")
     if targets is None:
         weights = counts.groupBy("source").agg(F.sum("n").cast("double").alias("weight"))
     else:
