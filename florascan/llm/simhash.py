@@ -202,30 +202,55 @@ def similar_groups(docs: DataFrame, width: int = 5, tau: int = 84, doc_id: str =
     gives the candidates: an equal segment starts the chain, the running budgets over the ring of words prune, the full
     distance decides. With so large a tau no segment must be equal, so a link is found with a chance: of two texts of
     similarity 0.9 some of the 128 segments of 28 bits agree in 99 of 100 cases, at 0.8 in 7 of 10, and a group is found
-    by any of its links. Segments do not depend on the corpus, so this is so at every size.
-
-    A segment's bucket links each member with its least one, not all with all.
+    by any of its links. Segments do not depend on the corpus and ``wide_roots`` loses no pair of a bucket, so this is so
+    at every size.
     """
     small_batches(docs.sparkSession)
 
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series(list(wide_simhash(texts.tolist(), width)))
 
+    printed = stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.pandas_udf(prints, "array<bigint>")(F.col(text)).alias("fp")), "simhash-prints")
+    classes = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"), "simhash-classes")
+    roots = wide_roots(classes, tau)
+    return printed.join(classes, "fp").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
+
+
+def _wide_near(pairs: DataFrame, tau: int) -> DataFrame:
+    """(a, b) of the pairs (a, a_fp, b, b_fp) within tau bits."""
+    gaps = pairs.withColumns({f"g{k}": F.bit_count(F.col("a_fp")[k].bitwiseXOR(F.col("b_fp")[k])) for k in range(WIDE_WORDS)})
+    columns = [F.col(f"g{k}") for k in range(WIDE_WORDS)]
+    return gaps.filter(wide_chain_holds(columns, tau)).filter(sum(columns, F.lit(0)) <= tau).select("a", "b")
+
+
+def wide_roots(classes: DataFrame, tau: int = 84, slice_rows: int = 256) -> DataFrame:
+    """(node, root) of the linked nodes of classes (node, fp): those that share a segment and are within tau bits.
+
+    First each bucket compares its members with its least one, which connects large groups without their pairs. Members
+    that are connected by then need no further link, all others of a bucket are compared, each with each: the least one
+    may be a stranger to them. Buckets are compared in slices of about slice_rows members, so no task holds a large one.
+    """
+    small_batches(classes.sparkSession)
+
     def segments(values: pd.Series) -> pd.Series:
         return pd.Series(list(ring_segments(np.stack(values.to_numpy())))) if len(values) else pd.Series([], dtype=object)
 
-    printed = stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.pandas_udf(prints, "array<bigint>")(F.col(text)).alias("fp")), "simhash-prints")
-    classes = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"), "simhash-classes")
     keyed = classes.select("node", F.explode(F.pandas_udf(segments, "array<bigint>")("fp")).alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("key", "hub")
-    pairs = keyed.join(hubs, "key").filter("node <> hub").select("node", "hub").distinct()
-    both = pairs.join(classes, "node").join(classes.select(F.col("node").alias("hub"), F.col("fp").alias("hub_fp")), "hub")
-    gaps = [F.bit_count(F.col("fp")[k].bitwiseXOR(F.col("hub_fp")[k])) for k in range(WIDE_WORDS)]
-    near = both.withColumns({f"g{k}": g for k, g in enumerate(gaps)})
-    columns = [F.col(f"g{k}") for k in range(WIDE_WORDS)]
-    links = near.filter(wide_chain_holds(columns, tau)).filter(sum(columns, F.lit(0)) <= tau).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    roots = connected_components(links)
-    return printed.join(classes, "fp").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
+    members = stored(keyed.join(hubs, "key"), "simhash-members")
+    pairs = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    a, b = classes.select(F.col("node").alias("a"), F.col("fp").alias("a_fp")), classes.select(F.col("node").alias("b"), F.col("fp").alias("b_fp"))
+    roots = connected_components(_wide_near(pairs.join(a, "a").join(b, "b"), tau))
+
+    rooted = members.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    rest = stored(rooted.join(mixed.select("key", "size"), "key").join(classes, "node"), "simhash-mixed")
+    slices = F.ceil(F.col("size") / slice_rows).cast("int")
+    left = rest.select("key", F.pmod(F.xxhash64("node"), slices).cast("int").alias("slice"), F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("root").alias("a_root"))
+    right = rest.select("key", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("root").alias("b_root"))
+    apart = sum((F.bit_count(F.col("a_fp")[k].bitwiseXOR(F.col("b_fp")[k])) for k in range(WIDE_WORDS)), F.lit(0))
+    more = left.join(right, ["key", "slice"]).filter((F.col("a_root") > F.col("b_root")) & (apart <= tau)).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def near_dedup(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -124,6 +124,74 @@ def test_similar_texts_are_grouped(spark):
     assert simhash.near_groups(odd_docs(spark)).count() == 6
 
 
+def wide_groups_by_brute_force(prints, tau):
+    """Roots of the nodes 0, 1 ...: linked if they share a segment and are within tau bits."""
+    keys = simhash.ring_segments(prints)
+    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1).astype(int)
+    root = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if root[i] != root[j] and (bits[i] != bits[j]).sum() <= tau and (keys[i] == keys[j]).any():
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def wide_roots_of(spark, prints, **more):
+    classes = spark.createDataFrame([(k, f.tolist()) for k, f in enumerate(prints)], "node long, fp array<bigint>")
+    roots = {r.node: r.root for r in simhash.wide_roots(classes, **more).collect()}
+    return [roots.get(k, k) for k in range(len(prints))]
+
+
+def packed_bits(bits):
+    return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+
+
+def test_a_stranger_as_least_member_hides_no_link(spark):
+    rng = np.random.default_rng(5)
+    one = rng.integers(0, 2, 512)
+    two = one.copy()
+    two[rng.choice(512, 70, replace=False)] ^= 1
+    shared = np.flatnonzero((np.diff(simhash.ring_segments(packed_bits(np.stack([one, two]))), axis=0) == 0)[0])
+    assert 0 < len(shared) < 5
+    stranger = rng.integers(0, 2, 512)
+    for k in shared:
+        ring, at = divmod(int(k), simhash.RING_SEGMENTS)
+        order = np.random.RandomState(ring).permutation(512)[at * simhash.SEGMENT_BITS : (at + 1) * simhash.SEGMENT_BITS]
+        stranger[order] = one[order]
+    assert wide_roots_of(spark, packed_bits(np.stack([stranger, one, two]))) == [0, 1, 1]
+
+
+@pytest.mark.parametrize("slice_rows", [3, 256])
+def test_wide_roots_by_brute_force(spark, slice_rows):
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(4):  # families: members 40 to 60 bits off their template, most pairs of them at 75 to 105
+        template = rng.integers(0, 2, 512)
+        for _ in range(40):
+            rows.append(template.copy())
+            rows[-1][rng.choice(512, int(rng.integers(40, 60)), replace=False)] ^= 1
+    prints = packed_bits(np.stack(rows)[rng.permutation(len(rows))])
+    expected = wide_groups_by_brute_force(prints, 84)
+    assert 10 < len(set(expected)) < 150 and wide_roots_of(spark, prints, slice_rows=slice_rows) == expected
+
+
+def test_stage_by_brute_force_at_similarity(spark):
+    rng = np.random.default_rng(8)
+    rows, sets = [], []
+    for _ in range(12):
+        base = [f"w{int(k)}" for k in rng.integers(0, 10**6, size=400)]
+        for k in range(8):
+            words = list(base)
+            for p in rng.integers(0, 400, size=4):
+                words[p] = f"v{k}x{p}"
+            rows.append((len(rows), " ".join(words)))
+            sets.append(set(simhash.shingle_hashes(rows[-1][1], 5).tolist()))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) > 100 and np.mean([got[i] == got[j] for i, j in alike]) > 0.95 and all(got[k] // 8 == k // 8 for k in got)
+
+
 def check_packing(rows, ids):
     """Every id in exactly one piece, sequences gapless and at most 1024 long; returns the padding."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
