@@ -19,6 +19,7 @@ sum of those in use. An empty table has no pieces.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
@@ -47,18 +48,27 @@ def _encoder(ranks_path: str, pattern: str):
 def _slow_encoder(path: str):
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    return slow
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _added_tokens(path: str) -> tuple[str, ...]:
+    with open(path, encoding="utf-8") as file:
+        return tuple(t["content"] for t in json.load(file)["added_tokens"])
 
 
 class TextEncoder:
-    """Ids of the byte-level vocabulary at path; its ranks serve the fast library, itself the texts that one cannot do."""
+    """Ids of the byte-level vocabulary at path; its ranks serve the fast library, itself the texts that one cannot do.
+
+    Those are texts with one of its added tokens, which the ranks do not have, and texts that overflow the fast library.
+    """
 
     def __init__(self, path: str, ranks_path: str, pattern: str) -> None:
         self.path, self.ranks_path, self.pattern = path, ranks_path, pattern
 
     def __call__(self, text: str) -> list[int]:
+        if any(token in text for token in _added_tokens(self.path)):
+            return _slow_encoder(self.path).encode(text, add_special_tokens=False).ids
         try:
             return _encoder(self.ranks_path, self.pattern).encode_ordinary(text)
         except BaseException as fault:

@@ -228,6 +228,18 @@ def test_packing_query_by_brute_force(spark, sf):
     assert check_packing(rows, ids) == 0
 
 
+def test_packing_takes_out_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext", " " * 2_000_000 + "<|endoftext|> end", "plain"]
+    ids = {k: [*slow.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    assert ids[1] == [50256, 0] and 50256 in ids[4]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.public_encoder()).collect()
+    assert check_packing(rows, ids) == 0
+
+
 def test_packing_holds_the_mixture(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"), F.lit("some words of text " * 10).alias("text"))
     rows = packing.pack(docs, packing.public_encoder(), part_bytes=100_000).toPandas()
