@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from florascan.sources.storage import stored
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, salts: int = 8) -> DataFrame:
     """(node, root) of every node of the edges (a, b): the smallest node it reaches.
 
     Large stars link the greater neighbours of a node with its least one, small stars the others; each round is written
     to shared storage, so that neither the plan nor what a lost executor costs grows. The loop ends when a round
-    changes nothing.
+    changes nothing. A hub's least neighbour is dealt to ``salts`` tasks, which share the hub's neighbours.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "components")
     state = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        large = both.filter("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")).join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         rooted = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = rooted.select("a", F.col("m").alias("b")).unionByName(rooted.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
         edges = stored(small, "components")

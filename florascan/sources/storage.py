@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where none is configured."""
+    """spark.checkpoint.dir; a temporary folder where none is configured and driver and executors are one process."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.florascan.shared.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="florascan-")
         spark.conf.set("spark.florascan.shared.dir", configured)
     return configured.rstrip("/")
