@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from florascan.sources.storage import new_path, stored
 from florascan.sources.tables import table
 
-__all__ = ["hidden", "new_path", "small_batches", "stored", "table", "text_or_empty"]
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that very long texts do not gather in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+__all__ = ["hidden", "new_path", "spread_join", "stored", "table", "text_or_empty"]
 
 
 def hidden(df: DataFrame, *names: str) -> DataFrame:
@@ -24,3 +19,13 @@ def hidden(df: DataFrame, *names: str) -> DataFrame:
 
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined to facts, which has one row for each key; rows of a key are dealt to ``salts`` tasks by the column ``by``.
+
+    facts is repeated ``salts`` times, so it should be narrow. A null ``by`` counts as a value.
+    """
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(F.lit("salt"), F.col(by)), F.lit(salts)).cast("int"))
+    copies = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")

@@ -5,25 +5,24 @@ A fingerprint holds, bit by bit, the majority of the 64-bit hashes of a text's w
 
 Candidates come from distinct fingerprints only, so copies meet once. A fingerprint is cut into ``tau + 1`` segments on
 a ring. For two fingerprints within tau bits, some segment i starts a chain in which every run of l consecutive segments
-differs in at most ``l * tau / (tau + 1)`` bits; with l = 1 segment i is equal. Equal segments are therefore the join key,
-the budgets of the longer runs prune the pairs, and the full Hamming distance is checked last.
-
-Segment values that more than ``max_bucket`` distinct fingerprints share are not paired within the bucket: their members
-each name all 64-bit values within one bit. Two fingerprints within two bits of each other name a common value, at most
-65 fingerprints name the same, and each is linked with the smallest of these (within two bits of it, as well). So no link
-is lost, work stays in proportion to the members, and no bucket is collected. This branch is exact for tau = 2 and is
-what large groups of near copies, and very large corpora, go through.
+differs in at most ``l * tau / (tau + 1)`` bits. The first two budgets of the chain are the join key: segment i is equal
+(budget 0) and segment i + 1 differs in at most one bit, so one side is listed under its two segments and the other under
+each value within one bit of its second. Every key holds two thirds of the bits, whatever the size of the corpus; the
+budgets of the longer runs prune the pairs, and the full Hamming distance is checked last. No link is lost.
 
 ``similar_groups`` and ``near_dedup`` serve corpora: they group texts of a similarity of 0.8 or more on five-word shingles,
 by wide fingerprints (see there).
 
 Defined results: a null or empty text, or one without words, has fingerprint zero, which links like any other. A text
 with fewer words than a shingle has one shingle of all its words. Equal ids are one document; a null id counts only where
-a group has no other. Input columns named fingerprint or component_id are replaced.
+a group has no other: ``near_groups`` gives such a group a null component, ``near_dedup`` keeps all of its rows. Of rows
+with the same id ``near_dedup`` keeps all or none. An empty table gives an empty one. Input columns named fingerprint or
+component_id are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florascan.llm.common import hidden, small_batches, stored, table
+from florascan.llm.common import hidden, spread_join, stored, table
 from florascan.operators.graph import connected_components
 
 CHUNK = 1 << 16
@@ -65,8 +64,6 @@ def simhash(text: str | None, width: int = 5) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 5, text: str = "text") -> Column:
-    small_batches(docs.sparkSession)
-
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash(t, width) for t in texts], dtype="int64")
@@ -74,70 +71,71 @@ def fingerprints(docs: DataFrame, width: int = 5, text: str = "text") -> Column:
     return fingerprint(F.col(text))
 
 
+def _signed(word: int) -> int:
+    return word - (1 << 64) if word >> 63 else word
+
+
 def _segments(tau: int) -> list[tuple[int, int]]:
-    """(lowest bit, mask of all its bits) of the tau + 1 segments."""
+    """(lowest bit, bit after the highest) of the tau + 1 segments."""
     edges = [round(64 * k / (tau + 1)) for k in range(tau + 2)]
-    masks = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:])]
-    return [(a, m - (1 << 64) if m >> 63 else m) for a, m in zip(edges, masks)]
+    return list(zip(edges, edges[1:]))
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return a.bitwiseXOR(b)
+def _mask(tau: int, i: int) -> int:
+    low, high = _segments(tau)[i % (tau + 1)]
+    return (1 << high) - (1 << low)
 
 
 def chain_holds(x: Column, i: int, tau: int) -> Column:
     """Every run of l segments from segment i on is within its proportional budget; x holds the differing bits."""
-    segments, mask, holds = _segments(tau), 0, F.lit(True)
+    mask, holds = 0, F.lit(True)
     for length in range(1, tau + 2):
-        mask |= segments[(i + length - 1) % (tau + 1)][1]
-        holds = holds & (F.bit_count(x.bitwiseAND(F.lit(mask))) <= (length * tau) // (tau + 1))
+        mask |= _mask(tau, i + length - 1)
+        holds = holds & (F.bit_count(x.bitwiseAND(F.lit(_signed(mask)))) <= (length * tau) // (tau + 1))
     return holds
 
 
-def links(prints: DataFrame, tau: int = 2, max_bucket: int = 64) -> DataFrame:
-    """(a, b) with a > b: links between distinct fingerprints of the column fp that connect all pairs within tau bits."""
-    if tau != 2:
-        raise ValueError("large buckets have an exact way for tau = 2 only")
+def links(prints: DataFrame, tau: int = 2) -> DataFrame:
+    """(a, b) with a > b: all pairs of distinct fingerprints of the column fp that are within tau bits."""
     fp = F.col("fp")
-    keys = [F.shiftrightunsigned(fp.bitwiseAND(F.lit(mask)), low) * F.lit(tau + 1) + F.lit(i) for i, (low, mask) in enumerate(_segments(tau))]
-    rows = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = stored(rows.join(buckets, "key"), "simhash-buckets")
-
-    few = members.filter(F.col("size") <= max_bucket)
-    left, right = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
-    differing = _apart(F.col("a"), F.col("b"))
+    own, near = [], []
+    for i in range(tau + 1):
+        key = fp.bitwiseAND(F.lit(_signed(_mask(tau, i) | _mask(tau, i + 1))))
+        low, high = _segments(tau)[(i + 1) % (tau + 1)]
+        flips = [0] + [_signed(1 << bit) for bit in range(low, high) if tau]
+        own.append(F.struct(F.lit(i).alias("i"), key.alias("key")))
+        near += [F.struct(F.lit(i).alias("i"), key.bitwiseXOR(F.lit(flip)).alias("key")) for flip in flips]
+    left = prints.select(fp.alias("a"), F.explode(F.array(*own)).alias("at")).select("a", "at.i", "at.key")
+    right = prints.select(fp.alias("b"), F.explode(F.array(*near)).alias("at")).select("b", "at.i", "at.key")
+    differing = F.col("a").bitwiseXOR(F.col("b"))
     chain = F.lit(False)
     for i in range(tau + 1):
-        chain = chain | ((F.pmod("key", F.lit(tau + 1)) == i) & chain_holds(differing, i, tau))
-    pairs = left.join(right, "key").filter((F.col("a") > F.col("b")) & chain & (F.bit_count(differing) <= tau)).select("a", "b")
-
-    many = members.filter(F.col("size") > max_bucket).select("fp").distinct()
-    near = F.array(fp, *[fp.bitwiseXOR(F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k)) for k in range(64)])
-    named = many.select("fp", F.explode(near).alias("value"))
-    meet = named.groupBy("value").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)  # at most 65 each
-    hubs = meet.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).filter("a <> b").select("a", "b")
-    return pairs.unionByName(hubs).distinct()
+        chain = chain | ((F.col("i") == i) & chain_holds(differing, i, tau))
+    return left.join(right, ["i", "key"]).filter((F.col("a") > F.col("b")) & chain & (F.bit_count(differing) <= tau)).select("a", "b").distinct()
 
 
-def near_groups(docs: DataFrame, width: int = 5, tau: int = 2, max_bucket: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, tau: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of docs, with the smallest id of its group."""
     docs = hidden(docs, *({"fingerprint", "component_id"} - {doc_id, text}))
     printed = stored(docs.select(F.col(doc_id), fingerprints(docs, width, text).alias("fp")), "simhash-prints")
     classes = stored(printed.groupBy("fp").agg(F.min(doc_id).alias("least")), "simhash-classes")
-    roots = connected_components(links(classes.select("fp"), tau, max_bucket))
+    roots = connected_components(links(classes.select("fp"), tau))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(groups, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return printed.join(named, "fp").select(doc_id, digits.alias("fingerprint"), "component_id")
+    return spread_join(printed, named, "fp", doc_id).select(doc_id, digits.alias("fingerprint"), "component_id")
 
 
 # --- similarity of 0.8: wide fingerprints ----------------------------------------------------------------------------
 
-WIDE_WORDS = 8
-RINGS, RING_SEGMENTS, SEGMENT_BITS = 8, 16, 28
-#: What makes eight hashes of one.
+#: Words of a fingerprint, and those of them from whose bits the rings of segments are cut.
+WIDE_WORDS, RING_WORDS = 32, 8
+#: Segments of the chain: runs of as many words.
+CHAIN = 8
+#: Share of SimHash bits in which two texts of a similarity of 0.8 differ: the angle of cosine 2 * 0.8 / 1.8.
+APART = math.acos(1.6 / 1.8) / math.pi
+#: What makes many hashes of one.
 MIXERS = np.array([2 * k + 1 for k in range(1, WIDE_WORDS + 1)], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
@@ -171,41 +169,50 @@ def wide_simhash(texts: list[str | None], width: int = 5) -> np.ndarray:
     return out
 
 
-def ring_segments(prints: np.ndarray) -> np.ndarray:
-    """Keys of RINGS * RING_SEGMENTS segments: each ring is a fixed permutation of the bits, cut into consecutive segments."""
-    bits = np.unpackbits(prints.astype(np.int64).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
-    weights, keys = np.int64(1) << np.arange(SEGMENT_BITS, dtype=np.int64), []
-    for ring in range(RINGS):
-        order = np.random.RandomState(ring).permutation(64 * WIDE_WORDS)[: RING_SEGMENTS * SEGMENT_BITS]
-        segments = bits[:, order].reshape(len(prints), RING_SEGMENTS, SEGMENT_BITS).astype(np.int64) @ weights
-        keys.append(segments + ((ring * RING_SEGMENTS + np.arange(RING_SEGMENTS, dtype=np.int64)) << SEGMENT_BITS))
-    return np.concatenate(keys, axis=1)
+def ring_shape(nodes: int, found: float = 0.97, spare_bits: int = 4) -> tuple[int, int]:
+    """(bits of a segment, segments) for so many fingerprints.
+
+    A segment has a few bits more than the fingerprints have numbers, so that a bucket holds as many strangers at every
+    size of a corpus. There are as many segments as it takes for two texts of a similarity of 0.8 to agree in one of them
+    with the chance ``found``, which therefore is the same at every size, too.
+    """
+    bits = min(56, max(8, math.ceil(math.log2(max(nodes, 2)) + spare_bits)))
+    return bits, math.ceil(math.log(1 - found) / math.log(1 - (1 - APART) ** bits))
+
 
+def ring_segments(prints: np.ndarray, bits: int, segments: int) -> np.ndarray:
+    """Keys of the segments: rings are fixed permutations of the first words' bits, cut into consecutive segments."""
+    ringed = np.ascontiguousarray(prints[:, :RING_WORDS], dtype=np.int64)
+    set_bits = np.unpackbits(ringed.view(np.uint8), axis=1, bitorder="little")
+    weights, keys, on_ring = np.int64(1) << np.arange(bits, dtype=np.int64), [], 64 * RING_WORDS // bits
+    for ring in range(-(-segments // on_ring)):
+        order = np.random.RandomState(ring).permutation(64 * RING_WORDS)[: on_ring * bits]
+        keys.append(set_bits[:, order].reshape(len(prints), on_ring, bits).astype(np.int64) @ weights)
+    return np.concatenate(keys, axis=1)[:, :segments]
 
-def wide_chain_holds(gaps: list[Column], tau: int) -> Column:
-    """Some word starts a chain on the ring of words in which every run of l differs in at most l * tau / WIDE_WORDS bits."""
+
+def wide_chain_holds(gaps: Column, tau: int) -> Column:
+    """Some segment starts a chain on the ring in which every run of l differs in at most l * tau / CHAIN bits."""
     holds = F.lit(False)
-    for i in range(WIDE_WORDS):
+    for i in range(CHAIN):
         run, chain = F.lit(0), F.lit(True)
-        for length in range(1, WIDE_WORDS + 1):
-            run = run + gaps[(i + length - 1) % WIDE_WORDS]
-            chain = chain & (run <= length * tau // WIDE_WORDS)
+        for length in range(1, CHAIN + 1):
+            run = run + gaps[(i + length - 1) % CHAIN]
+            chain = chain & (run <= length * tau // CHAIN)
         holds = holds | chain
     return holds
 
 
-def similar_groups(docs: DataFrame, width: int = 5, tau: int = 84, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, tau: int = 332, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id): groups of texts whose shingles have a similarity of about 0.8 or more.
 
     At that similarity SimHash bits differ in 15 % of places, ten of 64: too many for an index of 64-bit fingerprints, and
-    too few places to tell 0.8 from 0.7. Fingerprints have 512 bits here and tau is 84 of these. The same ring of segments
-    gives the candidates: an equal segment starts the chain, the running budgets over the ring of words prune, the full
-    distance decides. With so large a tau no segment must be equal, so a link is found with a chance: of two texts of
-    similarity 0.9 some of the 128 segments of 28 bits agree in 99 of 100 cases, at 0.8 in 7 of 10, and a group is found
-    by any of its links. Segments do not depend on the corpus and ``wide_roots`` loses no pair of a bucket, so this is so
-    at every size.
+    too few places to tell 0.8 from 0.7. Fingerprints have 2,048 bits here and tau is 332 of these, which nine in ten pairs
+    of a similarity of 0.8 keep, one in ten at 0.75 and none at 0.7. Rings of segments give the candidates: an equal
+    segment starts the chain, the running budgets over the ring of words prune, the full distance decides. With so large
+    a tau no segment must be equal, so a candidate is found with a chance, which ``ring_shape`` holds at 97 in 100 for 0.8
+    and which grows with the similarity. ``wide_roots`` loses no pair of a bucket.
     """
-    small_batches(docs.sparkSession)
 
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series(list(wide_simhash(texts.tolist(), width)))
@@ -213,43 +220,51 @@ def similar_groups(docs: DataFrame, width: int = 5, tau: int = 84, doc_id: str =
     printed = stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.pandas_udf(prints, "array<bigint>")(F.col(text)).alias("fp")), "simhash-prints")
     classes = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"), "simhash-classes")
     roots = wide_roots(classes, tau)
-    return printed.join(classes, "fp").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
+    named = classes.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    return spread_join(printed, named, "fp", "doc_id").select("doc_id", "component_id")
 
 
-def _wide_near(pairs: DataFrame, tau: int) -> DataFrame:
-    """(a, b) of the pairs (a, a_fp, b, b_fp) within tau bits."""
-    gaps = pairs.withColumns({f"g{k}": F.bit_count(F.col("a_fp")[k].bitwiseXOR(F.col("b_fp")[k])) for k in range(WIDE_WORDS)})
-    columns = [F.col(f"g{k}") for k in range(WIDE_WORDS)]
-    return gaps.filter(wide_chain_holds(columns, tau)).filter(sum(columns, F.lit(0)) <= tau).select("a", "b")
+def _apart(words: int) -> Column:
+    return sum((F.bit_count(F.col("a_fp")[k].bitwiseXOR(F.col("b_fp")[k])) for k in range(words)), F.lit(0))
 
 
-def wide_roots(classes: DataFrame, tau: int = 84, slice_rows: int = 256) -> DataFrame:
+def _wide_near(pairs: DataFrame, classes: DataFrame, tau: int) -> DataFrame:
+    """(a, b) of the pairs (a, b) of nodes whose fingerprints keep the chain's budgets and tau."""
+    a, b = classes.select(F.col("node").alias("a"), F.col("fp").alias("a_fp")), classes.select(F.col("node").alias("b"), F.col("fp").alias("b_fp"))
+    each = WIDE_WORDS // CHAIN
+    gaps = F.array(*[sum((F.bit_count(F.col("a_fp")[k].bitwiseXOR(F.col("b_fp")[k])) for k in range(i * each, (i + 1) * each)), F.lit(0)) for i in range(CHAIN)])
+    # A list of one, so that the gaps are computed once for all conditions on them.
+    within = F.exists(F.array(gaps), lambda g: (F.aggregate(g, F.lit(0), lambda x, y: x + y) <= tau) & wide_chain_holds(g, tau))
+    return spread_join(pairs, b, "b", "a").join(a, "a").filter(within).select("a", "b")
+
+
+def wide_roots(classes: DataFrame, tau: int = 332, slice_rows: int = 256) -> DataFrame:
     """(node, root) of the linked nodes of classes (node, fp): those that share a segment and are within tau bits.
 
     First each bucket compares its members with its least one, which connects large groups without their pairs. Members
     that are connected by then need no further link, all others of a bucket are compared, each with each: the least one
     may be a stranger to them. Buckets are compared in slices of about slice_rows members, so no task holds a large one.
     """
-    small_batches(classes.sparkSession)
+    bits, count = ring_shape(classes.count())
 
     def segments(values: pd.Series) -> pd.Series:
-        return pd.Series(list(ring_segments(np.stack(values.to_numpy())))) if len(values) else pd.Series([], dtype=object)
+        return pd.Series(list(ring_segments(np.stack(values.to_numpy()), bits, count))) if len(values) else pd.Series([], dtype=object)
 
-    keyed = classes.select("node", F.explode(F.pandas_udf(segments, "array<bigint>")("fp")).alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("key", "hub")
-    members = stored(keyed.join(hubs, "key"), "simhash-members")
+    keyed = classes.select("node", F.posexplode(F.pandas_udf(segments, "array<bigint>")("fp")).alias("ring", "segment")).select("node", "segment", F.col("ring").cast("short").alias("ring"))
+    hubs = keyed.groupBy("ring", "segment").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("ring", "segment", "hub")
+    members = stored(keyed.join(hubs, ["ring", "segment"]), "simhash-members")
     pairs = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    a, b = classes.select(F.col("node").alias("a"), F.col("fp").alias("a_fp")), classes.select(F.col("node").alias("b"), F.col("fp").alias("b_fp"))
-    roots = connected_components(_wide_near(pairs.join(a, "a").join(b, "b"), tau))
+    roots = connected_components(_wide_near(pairs, classes, tau))
 
-    rooted = members.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-    rest = stored(rooted.join(mixed.select("key", "size"), "key").join(classes, "node"), "simhash-mixed")
+    rooted = members.select("node", "ring", "segment").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("ring", "segment").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    rest = stored(rooted.join(mixed.select("ring", "segment", "size"), ["ring", "segment"]).join(classes.select("node", F.slice("fp", 1, RING_WORDS).alias("fp")), "node"), "simhash-mixed")
     slices = F.ceil(F.col("size") / slice_rows).cast("int")
-    left = rest.select("key", F.pmod(F.xxhash64("node"), slices).cast("int").alias("slice"), F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("root").alias("a_root"))
-    right = rest.select("key", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("root").alias("b_root"))
-    apart = sum((F.bit_count(F.col("a_fp")[k].bitwiseXOR(F.col("b_fp")[k])) for k in range(WIDE_WORDS)), F.lit(0))
-    more = left.join(right, ["key", "slice"]).filter((F.col("a_root") > F.col("b_root")) & (apart <= tau)).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    left = rest.select("ring", "segment", F.pmod(F.xxhash64("node"), slices).cast("int").alias("slice"), F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("root").alias("a_root"))
+    right = rest.select("ring", "segment", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("root").alias("b_root"))
+    loose = math.ceil(64 * RING_WORDS * APART + 3.5 * math.sqrt(64 * RING_WORDS * APART * (1 - APART)))  # the full distance follows
+    close = left.join(right, ["ring", "segment", "slice"]).filter((F.col("a_root") > F.col("b_root")) & (_apart(RING_WORDS) <= loose)).select("a", "b").distinct()
+    more = _wide_near(close, classes, tau)
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
