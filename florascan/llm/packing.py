@@ -1,11 +1,12 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills windows of tokens to target proportions.
 
-Texts are tokenised once; their ids are written, compressed, to the shared folder with a packing part, which is a hash of
-id and text. Token counts by part and source give every part the deficits that the parts before it left behind (target
-share times their tokens, less what their sources had), clipped to one window. Within a part the queues of its sources are
-visited in a ring: a visit adds the source's share of a window to its deficit, and takes that many tokens once they are
-``min_piece`` or the queue's last. Windows fill in that order, so each gets the target proportions up to ``min_piece``
-tokens a source, and what is missing is carried to the next window. An empty queue leaves the ring, and the others share
+Texts are tokenised once; their ids are written, compressed, to the shared folder with a packing part. Rows are dealt to
+parts by a hash of their position in the input, so that equal rows, too, spread over all parts, and that order is the
+order within a part. Token counts by part and source give every part the deficits that the parts before it left behind
+(target share times their tokens, less what their sources had). Within a part the queues of its sources are visited in a
+ring: a visit adds the source's share of a window to its deficit, and takes that many tokens once they are ``min_piece``
+or the queue's last. Windows fill in that order, so each gets the target proportions up to ``min_piece`` tokens a source,
+and what is missing is carried to the next window and the next part. An empty queue leaves the ring, and the others share
 its place. Documents are cut wherever a take ends; every id lies in exactly one piece.
 
 All windows of a part are full but the last, which is split into sequences whose lengths are powers of two, so that
@@ -13,13 +14,15 @@ nothing is padded. A part holds about ``part_bytes`` of text; parts are packed i
 
 Defined results: a null or empty text is the single closing id. A null source is a queue of its own. Equal rows are packed
 as often as they occur. Without targets, a source's target is its share of all tokens; given targets are divided by the
-sum of those in use. An empty table has no pieces.
+sum of those in use. An empty table has no pieces. Columns of the input that are not named are not passed on.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import math
+import re
 import zlib
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from florascan.llm.common import small_batches, stored, table
+from florascan.llm.common import stored, table
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -57,24 +60,23 @@ def _added_tokens(path: str) -> tuple[str, ...]:
         return tuple(t["content"] for t in json.load(file)["added_tokens"])
 
 
+#: White space that the fast library's pattern matcher does not get through.
+LONG_BLANK = re.compile(r"\s{5000}")
+
+
 class TextEncoder:
     """Ids of the byte-level vocabulary at path; its ranks serve the fast library, itself the texts that one cannot do.
 
-    Those are texts with one of its added tokens, which the ranks do not have, and texts that overflow the fast library.
+    Those are texts with one of its added tokens, which the ranks do not have, and texts with very long white space.
     """
 
     def __init__(self, path: str, ranks_path: str, pattern: str) -> None:
         self.path, self.ranks_path, self.pattern = path, ranks_path, pattern
 
     def __call__(self, text: str) -> list[int]:
-        if any(token in text for token in _added_tokens(self.path)):
-            return _slow_encoder(self.path).encode(text, add_special_tokens=False).ids
-        try:
-            return _encoder(self.ranks_path, self.pattern).encode_ordinary(text)
-        except BaseException as fault:
-            if type(fault).__name__ != "PanicException":  # its pattern matcher overflows on very long white space
-                raise
+        if any(token in text for token in _added_tokens(self.path)) or (len(text) >= 5000 and LONG_BLANK.search(text)):
             return _slow_encoder(self.path).encode(text, add_special_tokens=False).ids
+        return _encoder(self.ranks_path, self.pattern).encode_ordinary(text)
 
 
 def public_encoder(name: str = "byte_bpe_50k") -> TextEncoder:
@@ -83,31 +85,48 @@ def public_encoder(name: str = "byte_bpe_50k") -> TextEncoder:
     return TextEncoder(public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN)
 
 
-def tokenised(docs: DataFrame, encode: TextEncoder, end_id: int = 0, part_bytes: int = 8_000_000, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(part, source, doc_id, n, ids): ids as unsigned 16-bit numbers with the closing id, written to the shared folder."""
+def tokenised(docs: DataFrame, encode: TextEncoder, end_id: int = 0, part_bytes: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(part, place, source, doc_id, n, ids): ids as unsigned 16-bit numbers with the closing id, written to the shared folder."""
     spark = docs.sparkSession
-    small_batches(spark)
     size = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1)).first()[0] or 0
     n_parts = max(1, -(-size // part_bytes))
     group = F.col(source) if source in docs.columns else F.lit(None)
-    part = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_parts)).cast("int")
-    rows = docs.select(part.alias("part"), group.cast("string").alias("source"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.xxhash64(F.monotonically_increasing_id()).alias("place"), group.cast("string").alias("source"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.select(F.pmod("place", F.lit(n_parts)).cast("int").alias("part"), "place", "source", "doc_id", "text")
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = [np.array([*encode(t), end_id] if t else [end_id], dtype="<u2") for t in batch["text"]]
-            out = batch[["part", "source", "doc_id"]].copy()
+            out = batch[["part", "place", "source", "doc_id"]].copy()
             out["n"], out["ids"] = [len(x) for x in ids], [x.tobytes() for x in ids]
             yield out
 
     codec = spark.conf.get("spark.sql.parquet.compression.codec")
     spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     try:
-        return stored(rows.mapInPandas(encoded, "part int, source string, doc_id long, n long, ids binary"), "packing-ids")
+        return stored(rows.mapInPandas(encoded, "part int, place long, source string, doc_id long, n long, ids binary"), "packing-ids")
     finally:
         spark.conf.set("spark.sql.parquet.compression.codec", codec)
 
 
+def _before(counts: DataFrame, keys: list[str], value: str, name: str, block_parts: int = 1000) -> DataFrame:
+    """counts with the sum of value over the earlier parts of the same keys: sums of blocks of parts, then within a block.
+
+    Only the sums of blocks, one row for block_parts parts and each key, are ordered as a whole.
+    """
+    counts = counts.withColumn("__block", F.floor(F.col("part") / block_parts))
+    blocks = counts.groupBy(*keys, "__block").agg(F.sum(value).alias("__sum"))
+    earlier = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__start", F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).drop("__sum")
+    same = F.lit(True)
+    for k in [*keys, "__block"]:
+        blocks = blocks.withColumnRenamed(k, f"__of_{k}")
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    within = W.partitionBy(*keys, "__block").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    joined = counts.join(blocks, same).withColumn(name, F.col("__start") + F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return joined.drop("__block", "__start", *[f"__of_{k}" for k in [*keys, "__block"]])
+
+
 def deficits(tokens: DataFrame, targets: Mapping[str, float] | None = None) -> DataFrame:
     """(part, source, share, carried): target shares, and the tokens that earlier parts owe the source (below 0: that it had too many)."""
     counts = stored(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "packing-counts")
@@ -119,17 +138,15 @@ def deficits(tokens: DataFrame, targets: Mapping[str, float] | None = None) -> D
             weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
         weights = counts.groupBy("source").agg(F.max(weight).alias("weight"))
     total = weights.agg(F.sum("weight")).first()[0] or 0.0
-    shares = weights.select("source", (F.col("weight") / F.lit(total) if total > 0 else F.lit(0.0)).alias("share"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each part
-    parts = counts.groupBy("part").agg(F.sum("n").alias("part_n")).withColumn("all_before", F.coalesce(F.sum("part_n").over(before), F.lit(0)))
-    own = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    counted = counts.withColumn("own_before", F.coalesce(F.sum("n").over(own), F.lit(0)))
-    joined = counted.join(parts, "part").join(shares.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
+    shares = weights.select(F.col("source").alias("__source"), (F.col("weight") / F.lit(total) if total > 0 else F.lit(0.0)).alias("share"))
+    parts = _before(counts.groupBy("part").agg(F.sum("n").alias("part_n")), [], "part_n", "all_before").select("part", "all_before")
+    counted = _before(counts, ["source"], "n", "own_before")
+    joined = counted.join(parts, "part").join(shares, F.col("source").eqNullSafe(F.col("__source")))
     return joined.select("part", "source", "share", (F.col("share") * F.col("all_before") - F.col("own_before")).alias("carried"))
 
 
 def pack_part(docs: pd.DataFrame, owed: pd.DataFrame, window: int, min_piece: int) -> Iterator[tuple]:
-    """(row, start, length, sequence, offset) for one part; docs sorted by source, with columns source and n."""
+    """(row, start, length, sequence, offset) for one part; docs in the order of the queues, with columns source and n."""
     names = docs["source"].tolist()
     sizes = docs["n"].tolist()
     queues: dict = {}
@@ -140,12 +157,15 @@ def pack_part(docs: pd.DataFrame, owed: pd.DataFrame, window: int, min_piece: in
     ring = list(queues)
     here = sum(share.get(s, 0.0) for s in ring)
     quantum = {s: max(1.0, window * (share.get(s, 0.0) / here if here > 0 else 1 / len(ring))) for s in ring}
-    deficit = {s: min(max(carried.get(s, 0.0), -window), window) for s in ring}
+    deficit = {s: carried.get(s, 0.0) for s in ring}
     left = {s: sum(sizes[r] for r in queues[s]) for s in ring}
     front = dict.fromkeys(ring, (0, 0))  # place in the queue, ids taken from that document
     pieces, at = [], 0
     while ring:
         rest = []
+        idle = min(max(0, math.floor((min(min_piece, left[s]) - deficit[s]) / quantum[s]) - 1) for s in ring)
+        for s in ring if idle else ():  # rounds in which no source may take yet, at once
+            deficit[s] += idle * quantum[s]
         for s in ring:
             deficit[s] += quantum[s]
             take = min(int(deficit[s]), left[s])
@@ -187,13 +207,13 @@ def _split_last(pieces: list[tuple], total: int, window: int) -> Iterator[tuple]
                 yield row, start + lo - offset, hi - lo, full + k, lo - a
 
 
-def pack(docs: DataFrame, encode: TextEncoder, targets: Mapping[str, float] | None = None, window: int = 1024, min_piece: int = 32, end_id: int = 0, part_bytes: int = 8_000_000, **names: str) -> DataFrame:
+def pack(docs: DataFrame, encode: TextEncoder, targets: Mapping[str, float] | None = None, window: int = 1024, min_piece: int = 32, end_id: int = 0, part_bytes: int = 2_000_000, **names: str) -> DataFrame:
     """One row for each piece of a document: where its ids lie, in the document and in a sequence, and their CRC-32."""
     tokens = tokenised(docs, encode, end_id, part_bytes, **names)
     owed = stored(deficits(tokens, targets), "packing-deficits")
 
     def packed(docs: pd.DataFrame, owed: pd.DataFrame) -> pd.DataFrame:
-        docs = docs.sort_values(["source", "doc_id", "n"], kind="stable", na_position="last").reset_index(drop=True)
+        docs = docs.sort_values(["place", "doc_id"], kind="stable", na_position="last").reset_index(drop=True)
         docs["source"] = docs["source"].astype(object).where(docs["source"].notna(), None)
         owed["source"] = owed["source"].astype(object).where(owed["source"].notna(), None)
         base = int(docs["part"].iloc[0]) << 32 if len(docs) else 0
