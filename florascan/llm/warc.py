@@ -7,14 +7,16 @@ records back one member at a time by the index.
 
 Of records with equal payloads of at least ``min_bytes`` the one with the largest id is a response; the others are revisit
 records, which carry the payload's digest and length and the response's id instead of the payload. Copies are grouped by
-SHA-1 and length; of a group only its largest id is joined back, under several salts, so that a large group spreads.
+SHA-1 and length; of a group only its response is joined back, under several salts, so that a large group spreads.
 
 Files go to the folder that driver and executors share, through pyarrow's file systems. A task writes under a name of its
 own attempt and the manifest names the files that count; manifests are written tables, so a lost executor does not make a
 task write again behind a reader's back.
 
 Defined results: a null html is an empty payload; null urls and ids are written as empty headers and read back as null.
-Line breaks in a url become spaces in its header. Equal rows are written as often as they occur.
+A record without an id revisits the largest id of its payload; without any id in a group all of it are responses, as a
+revisit has to name one. Rows that repeat the largest id revisit it but for one. Line breaks in a url become spaces in its
+header. Equal rows are written as often as they occur; an empty table gives no archives. Other columns are not passed on.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florascan.llm.common import new_path, small_batches, stored, table
+from florascan.llm.common import new_path, stored, table
 
 CHUNK = 1 << 20
 END = b"\r\n\r\n"
@@ -45,15 +47,16 @@ def _opened(uri: str) -> tuple[fs.FileSystem, str]:
 def decide_types(pages: DataFrame, min_bytes: int = 1000, salts: int = 16, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to)."""
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).withColumns({"payload_bytes": F.length(payload).cast("long"), "payload_digest": F.sha1(payload)})
-    keys = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("main"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    spread = keys.select(F.col("payload_digest").alias("__digest"), "main", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__copy"))
-    same = (F.col("payload_digest") == F.col("__digest")) & (F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(salts)) == F.col("__copy")) & (F.col("payload_bytes") >= min_bytes)
-    # Only ids travel: html is joined to nothing but the pages' own revisit decisions.
-    revisits = rows.drop("html", "url").join(spread, same).filter("page_id <> main").select(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__of"), F.col("main").alias("refers_to")).distinct()
-    joined = rows.join(revisits, (F.col("page_id") == F.col("__page")) & (F.col("payload_digest") == F.col("__of")), "left")
-    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
-    return joined.withColumn("record_type", kind).select("page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), F.monotonically_increasing_id().alias("tag"), F.length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
+    rows = stored(rows, "warc-rows")  # fixes the tags, which tell equal rows apart
+    groups = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "tag")).alias("main"), F.count(F.lit(1)).alias("copies"))
+    mains = stored(groups.filter("copies > 1 and main.page_id is not null").select(F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes"), "main"), "warc-mains")
+    spread = mains.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = (F.col("payload_digest") == F.col("__digest")) & (F.col("payload_bytes") == F.col("__bytes")) & (F.pmod("tag", F.lit(salts)) == F.col("__copy"))
+    # Spark broadcasts the responses of groups where their measured size allows; else rows travel, html included.
+    refers_to = F.when(F.col("tag") != F.col("main.tag"), F.col("main.page_id"))
+    kind = F.when(refers_to.isNull(), "response").otherwise("revisit")
+    return rows.join(spread, same, "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", kind.alias("record_type"), refers_to.alias("refers_to"))
 
 
 def record_bytes(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
@@ -70,9 +73,8 @@ def parsed_headers(head: bytes) -> dict[str, str]:
     return dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
 
 
-def write_archives(decided: DataFrame, folder: str, records: int = 5000) -> DataFrame:
-    """Manifest of whole-file gzip archives of at most ``records`` records, written by the tasks that hold the rows."""
-    small_batches(decided.sparkSession)
+def write_archives(decided: DataFrame, folder: str, records: int = 5000, archive_bytes: int = 256 << 20) -> DataFrame:
+    """Manifest of whole-file gzip archives, written by the tasks that hold the rows: an archive ends after ``records`` records or with the one that brings it to ``archive_bytes``."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, at = _opened(folder)
@@ -92,7 +94,7 @@ def write_archives(decided: DataFrame, folder: str, records: int = 5000) -> Data
                 record = record_bytes(page_id, url, (html or "").encode(), digest, kind, refers_to)
                 out.write(squeeze.compress(record))
                 n, size = n + 1, size + len(record)
-                if n == records:
+                if n == records or size >= archive_bytes:
                     close()
                     out = None
         if out is not None:
@@ -143,6 +145,11 @@ def records_of(stream) -> Iterator[tuple[bytes, bytes]]:
             start = 0
 
 
+def _dealt(manifest: DataFrame) -> DataFrame:
+    """A manifest with an archive a task; its few bytes would else be one partition."""
+    return manifest.repartition(max(1, manifest.count()))
+
+
 def normalise(manifest: DataFrame, folder: str, keep_source: bool = False) -> DataFrame:
     """Manifest of archives with a member for each record and an index beside them (path + ".index": JSON lines)."""
 
@@ -162,8 +169,7 @@ def normalise(manifest: DataFrame, folder: str, keep_source: bool = False) -> Da
                         offset, n = offset + len(member), n + 1
                 yield pd.DataFrame([(f"{folder}/{name}", n, offset)], columns=["path", "records", "bytes"])
 
-    each = manifest.repartition("path")
-    done = stored(each.mapInPandas(rewrite, MANIFEST), "warc-normal")
+    done = stored(_dealt(manifest).mapInPandas(rewrite, MANIFEST), "warc-normal")
     if not keep_source:
         manifest.foreachPartition(_remove)
     return done
@@ -205,7 +211,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                     out = pd.DataFrame(rows[k : k + 10_000], columns=[c.split()[0] for c in RECORD.split(", ")])
                     yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return manifest.repartition("path").mapInPandas(read, RECORD)
+    return _dealt(manifest).mapInPandas(read, RECORD)
 
 
 def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,9 +223,9 @@ def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
-m as (select *, max(page_id) over (partition by payload_digest) as main from p)
+m as (select *, max(page_id) over (partition by payload_digest) as main, row_number() over (partition by payload_digest order by page_id desc nulls last) as place from p)
 select page_id, payload_bytes, payload_digest,
-  case when payload_bytes >= 1000 and page_id <> main then 'revisit' else 'response' end as record_type,
-  case when payload_bytes >= 1000 and page_id <> main then main end as refers_to, true as intact
+  case when payload_bytes >= 1000 and place > 1 and main is not null then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and place > 1 then main end as refers_to, true as intact
 from m
 """
