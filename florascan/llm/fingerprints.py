@@ -10,7 +10,9 @@ Which documents share a digest is counted on digests alone. Only they are canoni
 by a blocked Bloom filter of bounded size over their ids; a document it lets through in error adds a text to compare and
 changes nothing.
 
-Likeness of two exact fingerprints is 1 if they are equal and 0 if not.
+Likeness of two exact fingerprints is 1 if they are equal and 0 if not. ``with_next`` compares the bytes of a text's
+canonical form with those of its edited and of the next text where it has them; where bytes differ under one digest, that
+digest gets the second one appended, too.
 
 Defined results: a null text counts as empty; the empty canonical form has a fingerprint like any other. Equal rows have
 equal fingerprints. In the order of ``with_next`` null ids come last and equal ids are ordered by their texts' hashes.
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from florascan.llm.common import small_batches, stored, table, text_or_empty
+from florascan.llm.common import spread_join, stored, table, text_or_empty
 from florascan.llm.url_filter import _block, _words, blocked_bloom
 
 PROOF_SEED = 7919
@@ -61,8 +63,8 @@ def _id_key(doc_id: str) -> Column:
 
 def colliding_digests(docs: DataFrame, printed: DataFrame, doc_id: str = "doc_id", text: str = "text", n_blocks: int = 1 << 17) -> DataFrame:
     """(digest,): digests under which the bytes of several canonical texts lie. printed: (doc_id, digest, ...) of docs."""
-    shared = printed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("__shared"))
-    ids = printed.join(shared, F.col("digest") == F.col("__shared"), "left_semi").select(_id_key(doc_id).alias("__key"))
+    shared = printed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    ids = spread_join(printed.select("digest", _id_key(doc_id).alias("__key")), shared, "digest", "__key")
     bloom = blocked_bloom(ids, "__key", n_blocks)
     here, hit = _id_key(doc_id), F.lit(True)
     rows = docs.select(F.col(text).alias("__text"), here.alias("__key")).withColumn("__at", _block(F.col("__key"), n_blocks))
@@ -81,14 +83,13 @@ def _verified(rows: DataFrame, collisions: DataFrame, digest: str, proof: str, o
 
 def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, copies, first_id): verified fingerprints, how many documents share each, and the least id of these."""
-    small_batches(docs.sparkSession)
     printed = stored(docs.select(doc_id, F.pandas_udf(_prints, PRINT)(F.col(text)).alias("p")).select(doc_id, "p.digest", "p.proof"), "fingerprints")
     checked = _verified(printed, colliding_digests(docs, printed, doc_id, text), "digest", "proof", "fingerprint").select(doc_id, "fingerprint")
     groups = checked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.min(doc_id).alias("first_id"))
-    return checked.join(groups, "fingerprint").select(doc_id, "fingerprint", "copies", "first_id")
+    return spread_join(checked, groups, "fingerprint", doc_id).select(doc_id, "fingerprint", "copies", "first_id")
 
 
-PAIRED = "part int, kind string, doc_id long, n_chars long, edited_sha256 string, digest string, proof string, edited_digest string, edited_proof string, next_digest string, next_proof string, text string"
+PAIRED = "part int, kind string, doc_id long, n_chars long, edited_sha256 string, digest string, proof string, edited_digest string, edited_proof string, next_digest string, next_proof string, same_edited boolean, same_next boolean, text string"
 _NAMES = [c.split()[0] for c in PAIRED.split(", ")]
 
 
@@ -97,10 +98,14 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def _pair(part: int, doc_id, text: str, own: tuple[str, str], following: str, its: tuple[str, str]) -> tuple:
+def _pair(part: int, doc_id, text: str, canonical: str, following: str, next_canonical: str) -> tuple:
     changed = edited(text, following)
-    raw = changed.encode("utf-8", "surrogatepass")
-    return (part, "row", doc_id, len(text), hashlib.sha256(raw).hexdigest(), *own, *digests(canonical_text(changed)), *its, None)
+    raw, folded = changed.encode("utf-8", "surrogatepass"), canonical_text(changed)
+    return (part, "row", doc_id, len(text), hashlib.sha256(raw).hexdigest(), *digests(canonical), *digests(folded), *digests(next_canonical), canonical == folded, canonical == next_canonical, None)
+
+
+def _end(part: int, kind: str, doc_id, text: str) -> tuple:
+    return (part, kind, doc_id, len(text), *[None] * (len(_NAMES) - 5), text)
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,7 +114,6 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     Range partitions are sorted and read as streams. The first and the last text of each leave it, too, and are paired
     over the partitions' borders by partition number.
     """
-    small_batches(docs.sparkSession)
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
 
@@ -119,16 +123,12 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             rows = []
             ids = [None if i is None or i != i else int(i) for i in batch["doc_id"]]
             for i, t in zip(ids, batch["text"]):
-                own = digests(canonical_text(t))
-                if last is None:
-                    rows.append((part, "first", i, len(t), None, *own, None, None, None, None, t))
-                else:
-                    rows.append(_pair(part, *last, t, own))
+                own = canonical_text(t)
+                rows.append(_end(part, "first", i, t) if last is None else _pair(part, *last, t, own))
                 last = (i, t, own)
             yield pd.DataFrame(rows, columns=_NAMES).astype({"doc_id": "Int64"})
         if last is not None:
-            i, t, own = last
-            yield pd.DataFrame([(part, "last", i, len(t), None, *own, None, None, None, None, t)], columns=_NAMES).astype({"doc_id": "Int64"})
+            yield pd.DataFrame([_end(part, "last", *last[:2])], columns=_NAMES).astype({"doc_id": "Int64"})
 
     found = stored(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInPandas(stream, PAIRED), "fingerprint-pairs")
 
@@ -141,7 +141,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = [None if i is None or i != i else int(i) for i in batch["doc_id"]]
-            rows = [_pair(p, i, t, digests(canonical_text(t)), n, digests(canonical_text(n))) for p, i, t, n in zip(batch["part"], ids, batch["text"], batch["next_text"])]
+            rows = [_pair(p, i, t, canonical_text(t), n, canonical_text(n)) for p, i, t, n in zip(batch["part"], ids, batch["text"], batch["next_text"])]
             yield pd.DataFrame(rows, columns=_NAMES).astype({"doc_id": "Int64"})
 
     return found.filter("kind = 'row'").unionByName(border.mapInPandas(pair, PAIRED)).drop("part", "kind", "text")
@@ -151,11 +151,11 @@ def op2_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     paired = with_next(docs)
     own = paired.select("doc_id", "digest", "proof")
-    either = own.unionByName(paired.select("doc_id", F.col("edited_digest").alias("digest"), F.col("edited_proof").alias("proof")))
-    proofs = either.groupBy("digest").agg(F.min("proof").alias("a"), F.max("proof").alias("b")).filter("a <> b").select("digest")
-    collisions = stored(colliding_digests(docs, own).unionByName(proofs).distinct(), "fingerprint-collisions")
+    both = [paired.select(F.col(f"{k}digest").alias("digest"), F.col(f"{k}proof").alias("proof")) for k in ("", "edited_")]
+    proofs = both[0].unionByName(both[1]).groupBy("digest").agg(F.min("proof").alias("a"), F.max("proof").alias("b")).filter("a <> b").select("digest")
+    differ = paired.filter("digest = edited_digest and not same_edited or digest = next_digest and not same_next").select("digest")
+    collisions = stored(colliding_digests(docs, own).unionByName(proofs).unionByName(differ).distinct(), "fingerprint-collisions")
     rows = paired
-    for digest, proof, out in (("digest", "proof", "fingerprint"), ("edited_digest", "edited_proof", "edited_fingerprint"), ("next_digest", "next_proof", "next_fingerprint")):
+    for digest, proof, out in (("digest", "proof", "fingerprint"), ("edited_digest", "edited_proof", "edited_fingerprint")):
         rows = _verified(rows, collisions, digest, proof, out)
-    like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.col("same_edited").cast("double").alias("near_edited"), F.col("same_next").cast("double").alias("near_next"))
