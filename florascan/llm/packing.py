@@ -1,9 +1,10 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills windows of tokens to target proportions.
 
-Texts are tokenised once; their ids are written, compressed, to the shared folder with a packing part. Rows are dealt to
-parts by a hash of their position in the input, so that equal rows, too, spread over all parts, and that order is the
-order within a part. Token counts by part and source give every part the deficits that the parts before it left behind
-(target share times their tokens, less what their sources had). Within a part the queues of its sources are visited in a
+Texts are tokenised once; their ids are written, compressed, to the shared folder with a packing part. A task deals the
+rows of each source to the parts in turn, so that parts have like mixtures and equal rows, too, spread over all of them;
+within a part rows are in the order of a hash of their position in the input. Token counts by part and source give every part the deficits that the parts before it left behind
+(target share times their tokens, less what their sources had); all of it is paid, a tenth of a source's share in each
+window, so that no window strays far from the targets. Within a part the queues of its sources are visited in a
 ring: a visit adds the source's share of a window to its deficit, and takes that many tokens once they are ``min_piece``
 or the queue's last. Windows fill in that order, so each gets the target proportions up to ``min_piece`` tokens a source,
 and what is missing is carried to the next window and the next part. An empty queue leaves the ring, and the others share
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import json
-import math
 import re
 import zlib
 from collections.abc import Iterator, Mapping
@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -92,13 +93,17 @@ def tokenised(docs: DataFrame, encode: TextEncoder, end_id: int = 0, part_bytes:
     n_parts = max(1, -(-size // part_bytes))
     group = F.col(source) if source in docs.columns else F.lit(None)
     rows = docs.select(F.xxhash64(F.monotonically_increasing_id()).alias("place"), group.cast("string").alias("source"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.select(F.pmod("place", F.lit(n_parts)).cast("int").alias("part"), "place", "source", "doc_id", "text")
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, following = TaskContext.get().partitionId(), {}
         for batch in batches:
             ids = [np.array([*encode(t), end_id] if t else [end_id], dtype="<u2") for t in batch["text"]]
-            out = batch[["part", "place", "source", "doc_id"]].copy()
-            out["n"], out["ids"] = [len(x) for x in ids], [x.tobytes() for x in ids]
+            out, parts = batch[["place", "source", "doc_id"]].copy(), []
+            for s in batch["source"]:
+                at = following.get(s)
+                parts.append(zlib.crc32(f"{task}|{s}".encode()) % n_parts if at is None else at)
+                following[s] = (parts[-1] + 1) % n_parts
+            out["part"], out["n"], out["ids"] = parts, [len(x) for x in ids], [x.tobytes() for x in ids]
             yield out
 
     codec = spark.conf.get("spark.sql.parquet.compression.codec")
@@ -145,7 +150,7 @@ def deficits(tokens: DataFrame, targets: Mapping[str, float] | None = None) -> D
     return joined.select("part", "source", "share", (F.col("share") * F.col("all_before") - F.col("own_before")).alias("carried"))
 
 
-def pack_part(docs: pd.DataFrame, owed: pd.DataFrame, window: int, min_piece: int) -> Iterator[tuple]:
+def pack_part(docs: pd.DataFrame, owed: pd.DataFrame, window: int, min_piece: int, repaid: float = 0.1) -> Iterator[tuple]:
     """(row, start, length, sequence, offset) for one part; docs in the order of the queues, with columns source and n."""
     names = docs["source"].tolist()
     sizes = docs["n"].tolist()
@@ -153,21 +158,19 @@ def pack_part(docs: pd.DataFrame, owed: pd.DataFrame, window: int, min_piece: in
     for row, name in enumerate(names):
         queues.setdefault(name, []).append(row)
     share = dict(zip(owed["source"], owed["share"]))
-    carried = dict(zip(owed["source"], owed["carried"]))
-    ring = list(queues)
-    here = sum(share.get(s, 0.0) for s in ring)
-    quantum = {s: max(1.0, window * (share.get(s, 0.0) / here if here > 0 else 1 / len(ring))) for s in ring}
-    deficit = {s: carried.get(s, 0.0) for s in ring}
-    left = {s: sum(sizes[r] for r in queues[s]) for s in ring}
-    front = dict.fromkeys(ring, (0, 0))  # place in the queue, ids taken from that document
-    pieces, at = [], 0
+    owes = {s: dict(zip(owed["source"], owed["carried"])).get(s, 0.0) for s in queues}
+    left = {s: sum(sizes[r] for r in queues[s]) for s in queues}
+    front, deficit = dict.fromkeys(queues, (0, 0)), dict.fromkeys(queues, 0.0)  # front: place in the queue, ids taken from that document
+    ring, pieces, at, quantum = list(queues), [], 0, {}
     while ring:
+        if len(quantum) != len(ring):  # queues in the ring share a whole window
+            here = sum(share.get(s, 0.0) for s in ring)
+            quantum = {s: max(1.0, window * (share.get(s, 0.0) / here if here > 0 else 1 / len(ring))) for s in ring}
         rest = []
-        idle = min(max(0, math.floor((min(min_piece, left[s]) - deficit[s]) / quantum[s]) - 1) for s in ring)
-        for s in ring if idle else ():  # rounds in which no source may take yet, at once
-            deficit[s] += idle * quantum[s]
         for s in ring:
-            deficit[s] += quantum[s]
+            paid = min(max(owes[s], -repaid * quantum[s]), repaid * quantum[s])
+            owes[s] -= paid
+            deficit[s] += quantum[s] + paid
             take = min(int(deficit[s]), left[s])
             if take < min(min_piece, left[s]):
                 rest.append(s)
