@@ -7,15 +7,20 @@ leaves up and from the roots down, which gives every element's exact marginal; b
 is at least one half are kept, in page order.
 
 Weights are fitted by gradient ascent on the likelihood of labelled pages: pages that mark their article with <article>
-or <main>, of which the ``max_labelled`` with the smallest id hashes are taken. A Gaussian prior holds the weights near
-``PRIOR``, so that kinds of boilerplate that no labelled page has still count. All pages are then extracted, whole.
+or <main>, of which the ``max_labelled`` with the smallest id hashes are taken (pages of more than ``max_elements`` elements
+are not fitted on). Each is fitted on twice, as it is and with all marks hidden, so that lengths, links, punctuation and
+kinds of elements have to tell its article, too. Only features and labels of elements reach the driver. A Gaussian prior
+holds the weights near ``PRIOR``, so that kinds of boilerplate that no labelled page has still count. All pages are then
+extracted, whole, in time proportional to their length.
 
 Scripts, styles, comments, titles and other text that a page does not show never become blocks. Character references are
 decoded once; white space inside a block becomes one space; blocks without text are left out.
 
-Defined results: a null or empty html, or one without content, gives an empty text. Broken markup is read as far as it
-goes: an end tag without a start is ignored, an element left open ends with its parent, a new paragraph ends an open one.
-Equal pages have equal texts. Input columns named text, n_chars, n_blocks or kept_blocks are replaced.
+Defined results: a null or empty html, or one without content, gives an empty text. Broken markup is read as browsers do: an
+end tag without a start is ignored, an element left open ends with its parent, a new paragraph ends an open one, a tag,
+comment or script that never ends takes the rest of the page, a "<" before anything else is text. Equal pages have equal
+texts. Of pages that repeat a labelled id the one with the smallest hash is fitted on. Input columns named text, n_chars,
+n_blocks or kept_blocks are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,22 +37,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florascan.llm.common import hidden, small_batches, table
+from florascan.llm.common import hidden, table
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"[>\"']")
+VALUE_NEXT = re.compile(r"=\s*\Z")
 NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.IGNORECASE)
 
-#: Elements that flow within a block; those without an end tag; those a page uses around its article;
+#: Elements whose text is raw up to their end tag; those whose content a page does not show; elements that flow within a block; those without an end tag; those a page uses around its article;
 #: those a new one of which ends; words by which authors name what is not the article.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AROUND = frozenset("nav header footer aside form menu dialog button select fieldset".split())
 ARTICLE = frozenset("article main".split())
+RAW = frozenset("script style noscript textarea title iframe xmp noembed noframes".split())
+UNSEEN = frozenset("svg object template canvas video audio".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 NOT_ARTICLE = frozenset(
@@ -66,10 +74,10 @@ EXTRACTED = "text string, n_chars long, n_blocks int, kept_blocks int"
 class Page:
     """Block elements as parallel lists (parents before children), and blocks of text with the element each belongs to."""
 
-    __slots__ = ("parent", "tag", "off", "good", "chars", "links", "sentence", "blocks")
+    __slots__ = ("parent", "tag", "off", "good", "unseen", "chars", "links", "sentence", "blocks")
 
     def __init__(self) -> None:
-        self.parent, self.tag, self.off, self.good, self.chars, self.links, self.sentence, self.blocks = [], [], [], [], [], [], [], []
+        self.parent, self.tag, self.off, self.good, self.unseen, self.chars, self.links, self.sentence, self.blocks = [], [], [], [], [], [], [], [], []
 
 
 @lru_cache(maxsize=4096)
@@ -81,11 +89,68 @@ def _named(attributes: str) -> tuple[bool, bool]:
     return off, not off and not IS_ARTICLE.isdisjoint(words)
 
 
+@lru_cache(maxsize=64)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE)
+
+
+def _tag_end(source: str, at: int) -> int:
+    """Where the tag ends whose attributes start at ``at``: the index of its ">", -1 if it never ends. Quotes count after "="."""
+    while m := QUOTE_OR_END.search(source, at):
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        if source[: m.start()][-8:].rstrip().endswith("="):
+            at = source.find(m[0], at) + 1
+            if not at:
+                return -1
+    return -1
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """(text before a tag, name with a "/" for an end tag, attributes); ("...", "", "") for text that no tag follows.
+
+    Every step goes on from where the last one ended, and a construct that never ends takes the rest.
+    """
+    at = begun = 0
+    size = len(source)
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith(("<!", "<?"), at):
+            end = source.find("-->", at + 4) + 2 if source.startswith("<!--", at) else source.find(">", at)
+            if source.startswith(("<!-->", "<!--->"), at):
+                end = source.find(">", at)
+            yield source[begun:at], "!", ""
+            at = begun = size if end < at else end + 1
+            continue
+        m = TAG_NAME.match(source, at + 1)
+        if not m:
+            at += 1
+            continue
+        end = _tag_end(source, m.end())
+        name, before = m[1].lower(), source[begun:at]
+        if end < 0:
+            yield before, "!", ""
+            return
+        if source[at + 1] == "/":
+            yield before, "/" + name, ""
+        elif name in RAW:
+            closed = _raw_end(name).search(source, end + 1)
+            end = source.find(">", closed.end()) if closed else -1
+            yield before, "!", ""
+            if end < 0:
+                return
+        else:
+            yield before, name, source[m.end() : end]
+        at = begun = end + 1
+    if begun < size:
+        yield source[begun:], "", ""
+
+
 def read_page(source: str | None) -> Page:
     page = Page()
-    parent, tags, off, good, blocks = page.parent, page.tag, page.off, page.good, page.blocks
-    parent.append(-1), tags.append(""), off.append(False), good.append(False)
-    stack, inline, piece, linked = [0], [], [], 0
+    parent, tags, off, good, unseen, blocks = page.parent, page.tag, page.off, page.good, page.unseen, page.blocks
+    parent.append(-1), tags.append(""), off.append(False), good.append(False), unseen.append(False)
+    stack, opened, piece, linked, in_link = [0], Counter(), [], 0, False
 
     def flush() -> None:
         nonlocal linked
@@ -97,46 +162,43 @@ def read_page(source: str | None) -> Page:
             piece.clear()
         linked = 0
 
-    at = 0
-    source = source or ""
-    for m in TOKEN.finditer(source):
-        if m.start() > at:
-            piece.append(source[at : m.start()])
-            if "a" in inline:
-                linked += m.start() - at
-        at = m.end()
-        name = m[3]
-        if name is None:
-            continue
-        name = name.lower()
+    for before, name, attributes in tokens(source or ""):
+        if before and not unseen[stack[-1]]:
+            piece.append(before)
+            if in_link:
+                linked += len(before)
+        ends = name[:1] == "/"
+        name = name[1:] if ends else name
         if name in INLINE:
             if name == "br":
                 piece.append(" ")
-            elif m[2]:
-                if name in inline:
-                    del inline[len(inline) - 1 - inline[::-1].index(name)]
-            elif name not in VOID:
-                inline.append(name)
+            elif name == "a":
+                in_link = not ends
             continue
-        flush()
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == name:
-                    del stack[k:]
-                    inline.clear()
+        if name in ("", "!"):
+            continue
+        if name not in UNSEEN and not unseen[stack[-1]]:  # what is not seen does not divide the text around it
+            flush()
+        if ends:
+            while opened[name]:
+                if not unseen[stack[-1]]:
+                    flush()
+                    in_link = False
+                last = tags[stack.pop()]
+                opened[last] -= 1
+                if last == name:
                     break
             continue
-        ends = ENDS.get(name, {"p"} if name in CLOSES_P else ())
-        if ends and tags[stack[-1]] in ends:
-            stack.pop()
-            inline.clear()
-        if name in VOID:
+        closes = ENDS.get(name, {"p"} if name in CLOSES_P else ())
+        if closes and tags[stack[-1]] in closes and not unseen[stack[-1]]:
+            opened[tags[stack.pop()]] -= 1
+            in_link = False
+        if name in VOID or (attributes.endswith("/") and (unseen[stack[-1]] or name == "svg")):
             continue
-        says = _named(m[4]) if m[4] else (False, False)
-        parent.append(stack[-1]), tags.append(name), off.append(says[0]), good.append(says[1])
+        says = (False, False) if not attributes else _named(attributes) if len(attributes) < 300 else _named.__wrapped__(attributes)
+        parent.append(stack[-1]), tags.append(name), off.append(says[0]), good.append(says[1]), unseen.append(unseen[stack[-1]] or name in UNSEEN)
         stack.append(len(tags) - 1)
-    if at < len(source):
-        piece.append(source[at:])
+        opened[name] += 1
     flush()
     n = len(tags)
     page.chars, page.links, page.sentence = [0] * n, [0] * n, [0] * n
@@ -208,15 +270,25 @@ def node_labels(page: Page) -> list[int]:
     return labels
 
 
-def fit_tree(sources: list[str], steps: int = 40, rate: float = 0.1, hold: tuple[float, ...] = HOLD) -> list[float]:
+#: Features that the marks of an article or of boilerplate give, and that the second reading of a labelled page hides.
+MARKS = [FEATURES.index(f) for f in ("article", "around", "named_off")]
+
+
+def labelled_page(source: str | None) -> tuple[list[int], np.ndarray, list[int]] | None:
+    """(parents, features, labels) of a page's elements, if it marks its article."""
+    page = read_page(source)
+    labels = node_labels(page)
+    return (page.parent, np.array(node_features(page)), labels) if any(labels) else None
+
+
+def fit_tree(pages: list[tuple[list[int], np.ndarray, list[int]]], steps: int = 40, rate: float = 0.1, hold: tuple[float, ...] = HOLD) -> list[float]:
     """Maximum a posteriori weights; expected features come from the marginals of nodes and of parent-child pairs."""
     prior = np.array(PRIOR)
     data = []
-    for source in sources:
-        page = read_page(source)
-        labels = node_labels(page)
-        if any(labels):
-            data.append((page.parent, np.array(node_features(page)), np.array(labels, dtype=float)))
+    for parent, x, labels in pages:
+        unmarked = x.copy()
+        unmarked[:, MARKS] = 0.0
+        data += [(parent, seen, np.array(labels, dtype=float)) for seen in (x, unmarked)]
     theta, first, second = prior.copy(), np.zeros_like(prior), np.zeros_like(prior)
     for step in range(1, steps + 1 if data else 1):
         grad = -np.array(hold) * (theta - prior)
@@ -241,17 +313,24 @@ def fit_tree(sources: list[str], steps: int = 40, rate: float = 0.1, hold: tuple
     return np.round(theta, 6).tolist()
 
 
-def train_tree(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_labelled: int = 200) -> list[float]:
-    """Fit on at most max_labelled of the pages that mark their article."""
-    marked = pages.select(F.col(page_id).alias("id"), F.col(html).alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    ids = marked.select("id").orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    found = marked.join(F.broadcast(ids), "id").dropDuplicates(["id"]).orderBy("id").collect()
-    return fit_tree([r.html for r in found])
+def train_tree(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_labelled: int = 200, max_elements: int = 5000) -> list[float]:
+    """Fit on at most max_labelled of the pages that mark their article; their features are computed where the pages are."""
+    marked = pages.select(F.col(page_id).cast("long").alias("id"), F.col(html).alias("html")).filter(F.col("id").isNotNull() & F.col("html").rlike("(?i)<(article|main)[\\s>]"))
+    ids = marked.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(i, t, p) for i, t, p in zip(batch["id"], batch["tie"], map(labelled_page, batch["html"])) if p and len(p[0]) <= max_elements]
+            yield pd.DataFrame({"id": [i for i, _, _ in found], "tie": [t for _, t, _ in found], "parent": [p[0] for _, _, p in found], "flat": [p[1].ravel() for _, _, p in found], "labels": [p[2] for _, _, p in found]})
+
+    chosen = marked.join(F.broadcast(ids), "id").withColumn("tie", F.xxhash64("html"))
+    rows = chosen.mapInPandas(features, "id long, tie long, parent array<int>, flat array<double>, labels array<int>")
+    one = rows.groupBy("id").agg(F.min_by(F.struct("parent", "flat", "labels"), "tie").alias("p")).orderBy("id").select("p.*").collect()
+    return fit_tree([(list(r.parent), np.array(r.flat).reshape(-1, len(FEATURES)), list(r.labels)) for r in one])
 
 
 def extract_content(pages: DataFrame, weights: list[float], html: str = "html") -> DataFrame:
     """pages with the main text, its length, and how many blocks each page has and keeps."""
-    small_batches(pages.sparkSession)
 
     def run(sources: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([extract(s, weights) for s in sources], columns=["text", "n_chars", "n_blocks", "kept_blocks"])
