@@ -83,8 +83,8 @@ def test_simhash_query_by_brute_force(spark, sf):
     assert got == {i: (f"{f:016x}", least[i]) for i, f in prints.items()}
 
 
-@pytest.mark.parametrize("max_bucket", [0, 3, 64])
-def test_links_connect_all_near_prints(spark, max_bucket):
+@pytest.mark.parametrize("tau", [1, 2, 3])
+def test_links_are_all_near_prints(spark, tau):
     rng = np.random.default_rng(1)
     prints = []
     for _ in range(12):  # clouds of near prints, chains among them
@@ -96,14 +96,8 @@ def test_links_connect_all_near_prints(spark, max_bucket):
     prints = list(dict.fromkeys(prints + [0, 2**64 - 1, 2**64 - 2]))
     signed = [f - 2**64 if f >> 63 else f for f in prints]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    found = simhash.links(df, max_bucket=max_bucket)
-    assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 2 for r in found.collect())
-    roots = {r.node: r.root for r in simhash.connected_components(found).collect()}
-    expected = groups_by_brute_force(dict(zip(signed, prints)))
-    got = {f: roots.get(f, f) for f in signed}
-    assert len(set(got.values())) == len(set(expected.values()))
-    for f in signed:
-        assert got[f] == min(x for x in signed if expected[x] == expected[f])
+    found = {(r.a, r.b) for r in simhash.links(df, tau).collect()}
+    assert found == {(max(a, b), min(a, b)) for k, a in enumerate(signed) for b in signed[:k] if (prints[k] ^ (b & (2**64 - 1))).bit_count() <= tau}
 
 
 def test_similar_texts_are_grouped(spark):
@@ -126,7 +120,7 @@ def test_similar_texts_are_grouped(spark):
 
 def wide_groups_by_brute_force(prints, tau):
     """Roots of the nodes 0, 1 ...: linked if they share a segment and are within tau bits."""
-    keys = simhash.ring_segments(prints)
+    keys = simhash.ring_segments(prints, *simhash.ring_shape(len(prints)))
     bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1).astype(int)
     root = list(range(len(prints)))
     for i in range(len(prints)):
@@ -147,17 +141,24 @@ def packed_bits(bits):
     return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
 
 
+BITS = 64 * simhash.WIDE_WORDS
+
+
 def test_a_stranger_as_least_member_hides_no_link(spark):
     rng = np.random.default_rng(5)
-    one = rng.integers(0, 2, 512)
+    one = rng.integers(0, 2, BITS)
     two = one.copy()
-    two[rng.choice(512, 70, replace=False)] ^= 1
-    shared = np.flatnonzero((np.diff(simhash.ring_segments(packed_bits(np.stack([one, two]))), axis=0) == 0)[0])
-    assert 0 < len(shared) < 5
-    stranger = rng.integers(0, 2, 512)
-    for k in shared:
-        ring, at = divmod(int(k), simhash.RING_SEGMENTS)
-        order = np.random.RandomState(ring).permutation(512)[at * simhash.SEGMENT_BITS : (at + 1) * simhash.SEGMENT_BITS]
+    two[rng.choice(BITS, 280, replace=False)] ^= 1
+    stranger = rng.integers(0, 2, BITS)
+    stranger[: 64 * simhash.RING_WORDS : 3] = one[: 64 * simhash.RING_WORDS : 3]
+    shape = simhash.ring_shape(3)
+    keys = simhash.ring_segments(packed_bits(np.stack([stranger, one, two])), *shape)
+    shared = np.flatnonzero(keys[1] == keys[2])
+    assert len(shared)
+    bits, on_ring = shape[0], 64 * simhash.RING_WORDS // shape[0]
+    for k in shared.tolist():  # the stranger is in every bucket that the two share
+        ring, at = divmod(k, on_ring)
+        order = np.random.RandomState(ring).permutation(64 * simhash.RING_WORDS)[at * bits : (at + 1) * bits]
         stranger[order] = one[order]
     assert wide_roots_of(spark, packed_bits(np.stack([stranger, one, two]))) == [0, 1, 1]
 
@@ -166,14 +167,22 @@ def test_a_stranger_as_least_member_hides_no_link(spark):
 def test_wide_roots_by_brute_force(spark, slice_rows):
     rng = np.random.default_rng(6)
     rows = []
-    for _ in range(4):  # families: members 40 to 60 bits off their template, most pairs of them at 75 to 105
-        template = rng.integers(0, 2, 512)
+    for _ in range(4):  # families: members off their template, most pairs of them around the threshold
+        template = rng.integers(0, 2, BITS)
         for _ in range(40):
             rows.append(template.copy())
-            rows[-1][rng.choice(512, int(rng.integers(40, 60)), replace=False)] ^= 1
+            rows[-1][rng.choice(BITS, int(rng.integers(140, 240)), replace=False)] ^= 1
     prints = packed_bits(np.stack(rows)[rng.permutation(len(rows))])
-    expected = wide_groups_by_brute_force(prints, 84)
-    assert 10 < len(set(expected)) < 150 and wide_roots_of(spark, prints, slice_rows=slice_rows) == expected
+    expected = wide_groups_by_brute_force(prints, 332)
+    got = wide_roots_of(spark, prints, slice_rows=slice_rows)
+    # the chain's budgets may drop a pair at the very threshold, never add one
+    assert 4 <= len(set(expected)) < 150 and len(set(got)) - len(set(expected)) <= 3 and all(expected[got[k]] == expected[k] for k in range(len(got)))
+
+
+def test_ring_shape_keeps_its_chance():
+    for nodes in (1, 1000, 10**6, 10**10):
+        bits, count = simhash.ring_shape(nodes)
+        assert 1 - (1 - (1 - simhash.APART) ** bits) ** count >= 0.97 and 2**bits >= 16 * nodes
 
 
 def test_stage_by_brute_force_at_similarity(spark):
@@ -277,8 +286,8 @@ def test_archives_keep_every_record(spark, tmp_path):
     written = warc.write_archives(warc.decide_types(pages), f"file://{tmp_path}/whole", records=3)
     back = warc.read_records(warc.normalise(written, f"file://{tmp_path}/members")).collect()
     assert len(back) == len(rows) and all(r.intact for r in back)
-    kinds = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in back)
-    assert kinds == [(0, "response", None), (1, "revisit", 2), (2, "response", None), (2, "response", None), (3, "response", None), (4, "response", None), (5, "response", None), (7, "response", None)]
+    kinds = sorted(((r.page_id or 0, r.record_type, r.refers_to) for r in back), key=str)
+    assert kinds == [(0, "revisit", 2), (1, "revisit", 2), (2, "response", None), (2, "revisit", 2), (3, "response", None), (4, "response", None), (5, "response", None), (7, "response", None)]
     assert {r.payload_bytes for r in back if r.page_id == 7} == {1200} and not list((tmp_path / "whole").glob("*.gz"))
     assert warc.read_records(warc.normalise(warc.write_archives(warc.decide_types(pages.limit(0)), f"file://{tmp_path}/w2"), f"file://{tmp_path}/m2")).count() == 0
 
@@ -327,6 +336,33 @@ def test_extraction_leaves_out_what_is_around(spark):
     assert len(dom_model.fit_tree([])) == len(dom_model.PRIOR)
 
 
+ICONS = """<body><article><h1>A</h1><p>Long enough text of the first one.<svg viewBox="0 0 1 1"/><p>Second one, after a closed icon, is here.</p><p>Third <svg><path d="x"/><text>icon</text></svg>text follows, too.</p>
+<div><object data=x><p>fallback</div><p>Last one with <b title="a > b">a mark</b> stays &amp; 1 < 2.</p></article></body>"""
+
+
+def test_extraction_of_icons_and_broken_markup():
+    weights = list(dom_model.PRIOR)
+    assert dom_model.extract(ICONS, weights)[0] == "A\nLong enough text of the first one.\nSecond one, after a closed icon, is here.\nThird text follows, too.\nLast one with a mark stays & 1 < 2."
+    import time
+
+    for page in ("<script " * 130_000, "<a " * 330_000, "<div>" * 100_000 + "</x>" * 100_000, '<a x="' * 170_000 + ">", "<svg>" * 100_000, "<!--" * 250_000, "<p class='" * 100_000, "<" * 500_000, "<a ='\">" * 100_000):
+        began = time.time()
+        dom_model.extract(page, weights)
+        assert time.time() - began < 20, page[:20]
+
+
+def test_extraction_without_marks(spark):
+    """The article is found by its texts where no element is named for it."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    weights = dom_model.train_tree(pages)
+    found = total = 0
+    for r in pages.collect():
+        wanted = set(dom_model.extract(r.html, weights)[0].split("\n"))
+        got = set(dom_model.extract(r.html.replace("<article>", "<div>").replace("</article>", "</div>"), weights)[0].split("\n"))
+        found, total = found + len(got & wanted), total + len(wanted)
+    assert found > 0.9 * total
+
+
 def test_pipeline_stages(spark, sf):
     docs = table(spark, sf, "documents")
     counts = []

@@ -55,7 +55,7 @@ def test_bloom_has_no_false_negatives(spark):
 
 def test_mixing_edges(spark):
     out = mixing.mix_sources(odd_docs(spark), {"src0": 0.5}, 0.5)
-    assert dict(out.dtypes)["copy"] == "int" and out.columns.count("copy") == 1
+    assert dict(out.dtypes)["copy"] == "bigint" and out.columns.count("copy") == 1
     assert mixing.mix_sources(odd_docs(spark).limit(0), {"src0": 0.5}, 0.5).count() == 0
     three = out.filter("doc_id = 3").groupBy("copy").count().collect()
     assert all(r["count"] == 2 for r in three)
@@ -151,21 +151,44 @@ def test_cotraining_edges(spark):
     assert cotraining.co_train(odd_docs(spark).limit(0), none).count() == 0
 
 
+def full_scan(vectors, idf, query, k):
+    def unit(v):
+        w = {t: (1 + np.log(n)) * idf[t] for t, n in v} | {-1: 3.0}
+        norm = sum(x * x for x in w.values()) ** 0.5
+        return {t: x / norm for t, x in w.items()}
+
+    u = unit(query)
+    full = sorted((-round(sum(w * unit(v).get(t, 0) for t, w in u.items()), 9), j) for j, v in enumerate(vectors))
+    return [(j, -c) for c, j in full[:k] if c < 0]
+
+
 def test_index_finds_what_a_full_scan_finds():
     random.seed(4)
     idf = np.array([random.uniform(1, 5) for _ in range(30)])
-    vectors = [tuple(sorted(random.sample(range(30), random.randint(1, 6)))) for _ in range(500)]
+    some = lambda most: tuple((t, random.randint(1, 4)) for t in sorted(random.sample(range(30), random.randint(1, most))))
+    vectors = [some(6) for _ in range(500)]
     index = toxicity.BlockMaxIndex(vectors, idf)
+    for _ in range(100):
+        q = some(5)
+        assert index.nearest(q, 15) == full_scan(vectors, idf, q, 15)
 
-    def unit(v):
-        norm = sum(idf[t] ** 2 for t in v) ** 0.5
-        return {t: idf[t] / norm for t in v}
 
-    for _ in range(100):
-        q = tuple(sorted(random.sample(range(30), random.randint(1, 5))))
-        u = unit(q)
-        full = sorted(((-round(sum(w * unit(v).get(t, 0) for t, w in u.items()), 9), k) for k, v in enumerate(vectors)))
-        assert [(k, c) for k, c in index.nearest(q, 15)] == [(k, -c) for c, k in full[:15] if c < 0]
+def test_toxicity_query_by_full_scan(spark):
+    """Terms and frequencies counted anew, and the neighbours of every text by comparing it with all examples."""
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf, "labels")))
+    found = {r.doc_id: r for r in registry.QUERIES["op7_toxicity_neighbours"](spark, sf).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    plain = {i: " " + re.sub(r"[\W\d_]+", " ", t.lower()) + " " for i, t in texts.items()}
+    terms = model["terms"]
+    counts = {i: tuple((k, n) for k, t in enumerate(terms) if (n := len(re.findall(f"(?={re.escape(t)})", p)))) for i, p in plain.items()}
+    seen = Counter(k for f in counts.values() for k, _ in f)
+    assert len(terms) > 5 and np.allclose(model["idf"], [np.log((1 + len(texts)) / (1 + seen[k])) + 1 for k in range(len(terms))])
+    assert all(counts[i] == f for i, _, f in model["examples"]) and all(i in texts for i, _, _ in model["examples"])
+    vectors, ids = [f for _, _, f in model["examples"]], [i for i, _, _ in model["examples"]]
+    for i, f in counts.items():
+        assert [(e.doc_id, e.cosine) for e in found[i].evidence] == ([(ids[j], c) for j, c in full_scan(vectors, model["idf"], f, 15)] if f else [])
 
 
 def test_toxicity_edges_and_copies(spark):
