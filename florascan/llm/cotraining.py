@@ -1,7 +1,9 @@
 """Quality classifier by co-training: a text view and a metadata view teach each other.
 
-The text view sees only the text: length, and word-weighted means of its lines' features. The metadata view sees only
-language, source and recorded length. Each is a logistic regression. Labelled documents start both; in every later round
+The text view sees only the text: its words, as shares of ``WORD_BUCKETS`` hashed buckets, its length, and word-weighted
+means of its lines' features. The metadata view sees only language, source and recorded length; the languages and sources
+with most documents have weights of their own (``LANGS`` and ``SOURCES`` of them at most), all others share one. Each is a
+logistic regression. Labelled documents start both; in every later round
 a view is fitted on the labelled documents and on the pseudo-labels that the *other* view is confident of, over all
 unlabelled documents. Pseudo-labels are never written: a pass derives them from the last round's weights.
 
@@ -22,16 +24,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florascan.llm.common import small_batches, stored, table
+from florascan.llm.common import stored, table
 from florascan.llm.line_crf import FEATURES, text_features
 
-N_TEXT = len(FEATURES) + 5
+WORD_BUCKETS = 64
+N_TEXT = len(FEATURES) + 5 + WORD_BUCKETS
+#: Entries of a category: one for null, one for all that are not among the most frequent, and these.
 LANGS, SOURCES, LENGTHS = 16, 64, 12
 N_META = 1 + LANGS + SOURCES + LENGTHS
 VIEWS = "doc_id long, text_view array<float>, meta_view array<int>"
@@ -42,16 +47,22 @@ def text_view(text: str | None) -> list[float]:
     if not n:
         return [1.0] + [0.0] * (N_TEXT - 1)
     means = (np.array(rows) * np.array(sizes)[:, None]).sum(0) / n
-    return [*means.tolist(), math.log1p(n) / 5, chars / n / 10, min(1.0, symbols / n), repeats / len(rows), windows / n]
+    hashed = np.bincount([crc32(w) % WORD_BUCKETS for w in (text or "").encode("utf-8", "surrogatepass").lower().split()], minlength=WORD_BUCKETS) / n
+    return [*means.tolist(), math.log1p(n) / 5, chars / n / 10, min(1.0, symbols / n), repeats / len(rows), windows / n, *hashed.tolist()]
 
 
 def views(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
     """(doc_id, text_view, meta_view): dense text features, and the metadata's entries that are one."""
-    small_batches(docs.sparkSession)
 
     def category(name: str, size: int):
-        there = F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")
-        return F.when(there.isNull(), F.lit(size - 1)).otherwise(F.pmod(F.xxhash64(there), F.lit(size - 1)).cast("int"))
+        if name not in docs.columns:
+            return F.lit(0)
+        most = docs.groupBy(F.col(name).cast("string").alias("v")).count().filter("v is not null").orderBy(F.desc("count"), "v").limit(size - 2).collect()
+        at = F.lit(1)
+        if most:
+            numbers = F.create_map(*[F.lit(x) for k, r in enumerate(most) for x in (r.v, k + 2)])
+            at = F.coalesce(numbers[F.col(name).cast("string")], at)
+        return F.when(F.col(name).isNull(), F.lit(0)).otherwise(at)
 
     length = F.col(n_chars).cast("double") if n_chars in docs.columns else F.lit(None).cast("double")
     bucket = F.when(length.isNull(), F.lit(LENGTHS - 1)).otherwise(F.least(F.lit(LENGTHS - 2), F.floor(F.log2(1 + F.greatest(length, F.lit(0.0))) / 1.5).cast("int")))

@@ -5,13 +5,17 @@ field scores a state (content or boilerplate) by its features and by the state o
 gives the most likely sequence for the whole text. A document is kept if it passes the base rules (enough words, few
 words in repeated windows) and the words of its content lines are at least ``min_content`` of its words.
 
-The field is fitted by maximum likelihood on the lines of at most ``max_labelled`` labelled documents (those whose ids
-have the smallest hashes; of each, ``TRAIN_LINES`` lines at most), whose lines take the document's label. Only their line
-features reach the driver. All documents are then decoded whole.
+The field is fitted by maximum likelihood on all lines of at most ``max_labelled`` labelled documents (those whose ids have
+the smallest hashes; documents of more than ``max_lines`` lines are not fitted on). A line of a rejected document is
+boilerplate, one of a good document content, unless it is shared: a line that stands between different neighbours in
+``shared_contexts`` places or more (a licence, a notice, a passage that many documents carry) is boilerplate in good
+documents, too. Copies of a document have the same neighbours, so they do not make their lines shared. Only line features
+and hashes reach the driver. All documents are then decoded whole.
 
 Defined results: a null or empty text has no words, fails the base rules and has content share zero. Repeated rows are
-judged one by one. Without any labelled document the field has the fixed weights of ``DEFAULT_MODEL``. Input columns
-named like an output column are replaced.
+judged one by one; of rows that repeat a labelled id the one with the smallest hash of its text is fitted on. Without any
+labelled document the field has the fixed weights of ``DEFAULT_MODEL``. Input columns named like an output column are
+replaced.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florascan.llm.common import hidden, small_batches, table
+from florascan.llm.common import hidden, table
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Marks of a notice, without their first letters, whose case differs.
@@ -33,7 +38,8 @@ NOTICES = ("icense", "opyright", "ights reserved", "ookie", "ubscribe", "erms of
 DIGITS = re.compile(r"[0-9]")
 FEATURES = ("bias", "log_words", "short", "symbols", "upper", "stutter", "shouts", "bars", "ends", "repeated", "notice", "digits")
 WINDOW = 8
-TRAIN_LINES = 200
+#: Lines of a sequence that is fitted on; longer documents are fitted on piece by piece.
+PIECE = 64
 
 #: Weights of content against boilerplate for each feature; score of staying in boilerplate, of staying in content; start.
 DEFAULT_MODEL = {"emit": [1.0, 0.5, -0.3, -4.0, -4.0, -5.0, -4.0, -3.0, 0.5, -1.5, -1.0, -1.0], "stay": [0.5, 0.5], "start": 0.5}
@@ -130,19 +136,35 @@ def _verdicts(texts: pd.Series, model: dict, min_words: int, max_repeat: int, mi
     return pd.DataFrame(out, columns=list(COLUMNS))
 
 
-def fit_field(lines: list[np.ndarray], labels: list[int], steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> dict:
-    """Maximum likelihood by gradient ascent; forward and backward sums run over all sequences at once."""
-    if not lines or len(set(labels)) < 2:
+def line_labels(hashes: list[np.ndarray], labels: list[int], shared_contexts: int = 4) -> list[np.ndarray]:
+    """Labels of each document's lines: the document's own, but 0 for lines that several different neighbours surround."""
+    around: dict[int, set] = {}
+    for own in hashes:
+        own = own.tolist()
+        for k, h in enumerate(own):
+            seen = around.setdefault(h, set())
+            if len(seen) < shared_contexts:
+                seen.add((own[k - 1] if k else None, own[k + 1] if k + 1 < len(own) else None))
+    shared = {h for h, seen in around.items() if len(seen) >= shared_contexts}
+    return [np.array([float(label == 1 and h not in shared) for h in own.tolist()]) for own, label in zip(hashes, labels)]
+
+
+def fit_field(lines: list[np.ndarray], states: list[np.ndarray], steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> dict:
+    """Maximum likelihood by gradient ascent on documents with labelled lines; sums run over all pieces at once.
+
+    Every document counts alike.
+    """
+    good = sum(y.mean() for y in states) if states else 0.0
+    if not 0 < good < len(states):
         return DEFAULT_MODEL
-    longest = max(map(len, lines))
-    x = np.zeros((len(lines), longest, len(FEATURES)))
-    there = np.zeros((len(lines), longest))
-    for k, rows in enumerate(lines):
+    cut = [(rows[k : k + PIECE], y[k : k + PIECE], 1 / len(rows)) for rows, y in zip(lines, states) for k in range(0, len(rows), PIECE)]
+    longest = max(len(rows) for rows, _, _ in cut)
+    x = np.zeros((len(cut), longest, len(FEATURES)))
+    there, y, weight = np.zeros((len(cut), longest)), np.zeros((len(cut), longest)), np.zeros((len(cut), longest))
+    for k, (rows, own, share) in enumerate(cut):
         x[k, : len(rows)] = rows
-        there[k, : len(rows)] = 1
-    y = np.array(labels, dtype=float)[:, None] * np.ones((1, longest))
-    weight = np.where(np.array(labels) == 1, 0.5 / max(1, sum(labels)), 0.5 / max(1, len(labels) - sum(labels))) * len(labels)  # both labels count alike
-    weight = (weight / there.sum(1))[:, None] * there
+        there[k, : len(rows)], y[k, : len(rows)] = 1, own
+        weight[k, : len(rows)] = share
     theta = np.zeros(len(FEATURES) + 3)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     pair = there[:, 1:]
@@ -164,35 +186,40 @@ def fit_field(lines: list[np.ndarray], labels: list[int], steps: int = 150, rate
         both = [np.exp(fwd[:, :-1, a] + stay[a] + s[:, 1:, a] + bwd[:, 1:, a] - z[:, None]) * pair for a in (0, 1)]
         grad = np.zeros_like(theta)
         grad[:-3] = np.einsum("nt,ntf->f", (y - on) * weight, x)
-        grad[-3] = (((1 - y[:, 1:]) - both[0]) * pair * weight[:, 1:]).sum()
-        grad[-2] = ((y[:, 1:] - both[1]) * pair * weight[:, 1:]).sum()
+        grad[-3] = (((1 - y[:, :-1]) * (1 - y[:, 1:]) - both[0]) * pair * weight[:, 1:]).sum()
+        grad[-2] = ((y[:, :-1] * y[:, 1:] - both[1]) * pair * weight[:, 1:]).sum()
         grad[-1] = ((y[:, 0] - on[:, 0]) * weight[:, 0]).sum()
-        grad = grad / len(lines) - penalty * theta
+        grad = grad / len(states) - penalty * theta
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     theta = np.round(theta, 6)
     return {"emit": theta[:-3].tolist(), "stay": theta[-3:-1].tolist(), "start": float(theta[-1])}
 
 
-def train_field(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", max_labelled: int = 2000) -> dict:
+def train_field(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", max_labelled: int = 2000, max_lines: int = 10_000, shared_contexts: int = 4) -> dict:
     """Fit on the lines of at most max_labelled labelled documents; line features are computed where the texts are."""
-    chosen = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).filter("__id is not null and __label is not null")
+    chosen = labels.select(F.col(doc_id).cast("long").alias("__id"), F.col(label).cast("int").alias("__label")).filter("__id is not null and __label in (0, 1)")
     chosen = chosen.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
+    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie")).join(F.broadcast(chosen), "__id")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lines = [text_features(t)[1][:TRAIN_LINES] for t in batch["__text"]]
-            yield pd.DataFrame({"id": batch["__id"], "label": batch["__label"], "n": list(map(len, lines)), "flat": [[v for row in rows for v in row] for rows in lines]})
+            found = []
+            for i, y, tie, t in zip(batch["__id"], batch["__label"], batch["tie"], batch["__text"]):
+                own = [line for line in (t or "").split("\n") if line.encode("utf-8", "surrogatepass").split()]
+                if 0 < len(own) <= max_lines:
+                    flat = [v for row in text_features(t)[1] for v in row]
+                    found.append((i, y, tie, flat, [xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) >> 1 for line in own]))
+            yield pd.DataFrame(found, columns=["id", "label", "tie", "flat", "hashes"])
 
-    found = rows.mapInPandas(features, "id long, label int, n int, flat array<float>").dropDuplicates(["id"]).filter("n > 0").toPandas().sort_values("id")
-    lines = [np.array(flat, dtype=float).reshape(-1, len(FEATURES)) for flat in found["flat"]]
-    return fit_field(lines, found["label"].tolist())
+    each = rows.mapInPandas(features, "id long, label int, tie long, flat array<float>, hashes array<long>").groupBy("id").agg(F.min_by(F.struct("label", "flat", "hashes"), "tie").alias("x"))
+    found = each.orderBy("id").select("x.*").collect()
+    lines = [np.array(r.flat, dtype=float).reshape(-1, len(FEATURES)) for r in found]
+    return fit_field(lines, line_labels([np.array(r.hashes, dtype=np.int64) for r in found], [r.label for r in found], shared_contexts))
 
 
 def judge_lines(docs: DataFrame, model: dict, text: str = "text", min_words: int = 20, max_repeat: int = 30, min_content: float = 0.5) -> DataFrame:
     """docs with the base figures, the marks of their lines (c or b), the content share and the verdict."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf(VERDICT)
     def verdicts(texts: pd.Series) -> pd.DataFrame:

@@ -126,6 +126,38 @@ def test_quality_edges(spark):
     assert line_crf.train_field(odd_docs(spark), none) == line_crf.DEFAULT_MODEL
 
 
+def test_boilerplate_lines_are_found(spark):
+    """Lines that many documents share, and the lines of rejected documents, against lines of prose."""
+    rng = random.Random(3)
+    prose = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(8, 20))).capitalize() + "."
+    notice, menu = "Copyright 2020 by the owner. All rights reserved.", "home | news | sport | about | contact | more"
+    rows, labels = [], []
+    for k in range(300):
+        good = k % 3 > 0
+        body = [prose() for _ in range(rng.randint(3, 6))] if good else [" | ".join(prose().lower().split()[:9]) for _ in range(5)]
+        rows.append((k, "\n".join([menu, *body, notice] if k % 2 else body)))
+        labels.append((k, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = line_crf.train_field(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    tests = [(1, "\n".join([menu, prose(), prose(), prose(), notice])), (2, "\n".join([menu, notice] * 6)), (3, "\n".join(prose() for _ in range(5)))]
+    judged = {r.doc_id: r for r in line_crf.judge_lines(spark.createDataFrame(tests, "doc_id long, text string"), model, max_repeat=100).collect()}
+    assert judged[1].line_marks == "bcccb" and judged[1].kept and set(judged[2].line_marks) == {"b"} and not judged[2].kept and judged[3].line_marks == "ccccc" and judged[3].kept
+
+
+def test_lines_of_copies_are_not_shared():
+    a, b = np.array([1, 2, 3]), np.array([7, 2, 9])
+    assert [y.tolist() for y in line_crf.line_labels([a, a, a, a, b], [1, 1, 1, 1, 0])] == [[1, 1, 1]] * 4 + [[0, 0, 0]]
+    rest = [np.array([k, 2, k + 1]) for k in range(10, 50, 10)]
+    assert line_crf.line_labels([a, *rest], [1] * 5)[0].tolist() == [1, 0, 1]
+
+
+def test_quality_rejects_what_labels_reject(spark):
+    sf = "/root/testdata/sf0.01"
+    bad = table(spark, sf, "labels").filter("quality = 0").select("doc_id")
+    judged = registry.QUERIES["op4_quality_lines"](spark, sf).join(bad, "doc_id")
+    assert judged.filter("not kept").count() >= 0.9 * judged.count()
+
+
 def test_quality_agrees_with_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
@@ -144,6 +176,34 @@ def test_cotraining_on_labels_it_has_not_seen(spark):
     assert right > 0.95
 
 
+def test_cotraining_sums_by_brute_force(spark):
+    """Gradients and Hessians of both views of one round, row by row."""
+    sf = "/root/testdata/sf0.001"
+    known = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = cotraining.views(table(spark, sf, "documents")).join(known, "doc_id", "left").withColumn("held", F.col("doc_id") % 5 == 0)
+    rng = np.random.default_rng(2)
+    weights = {"t": rng.normal(size=cotraining.N_TEXT) / 9, "m": rng.normal(size=cotraining.N_META) / 9}
+    taught = {"t": rng.normal(size=cotraining.N_TEXT), "m": rng.normal(size=cotraining.N_META)}
+    got = cotraining._sums(rows, weights, taught, 0.3, 0.7)
+    want = {}
+    for r in rows.collect():
+        x = {"t": np.array(r.text_view), "m": np.zeros(cotraining.N_META)}
+        x["m"][list(r.meta_view)] = 1
+        for view, other in ("tm", "mt"):
+            p, lesson = (1 / (1 + np.exp(-x[v] @ w[v])) for v, w in ((view, weights), (other, taught)))
+            y, kind = (r.label, "l") if r.label is not None else (1 if lesson >= 0.7 else 0 if lesson <= 0.3 else None, "p")
+            if y is not None and not (kind == "l" and r.held):
+                flat = np.concatenate([[1], x[view] * (y - p), np.outer(x[view], x[view]).ravel() * p * (1 - p)])
+                want[f"{view}{kind}{y}"] = want.get(f"{view}{kind}{y}", 0) + flat
+    assert set(got) == set(want) and len(want) >= 6 and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_categories_have_their_own_entries(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), F.least(F.col("id") % 100, F.lit(80))).alias("source"), F.lit(3).alias("n_chars"))
+    seen = cotraining.views(docs).join(docs.select("doc_id", "source"), "doc_id").select("source", F.col("meta_view")[2].alias("at")).distinct().groupBy("at").count().collect()
+    assert sorted(r["count"] for r in seen) == [1] * (cotraining.SOURCES - 2) + [81 - (cotraining.SOURCES - 2)]
+
+
 def test_cotraining_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     out = cotraining.co_train(odd_docs(spark), none)
