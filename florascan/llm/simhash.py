@@ -228,43 +228,64 @@ def _apart(words: int) -> Column:
     return sum((F.bit_count(F.col("a_fp")[k].bitwiseXOR(F.col("b_fp")[k])) for k in range(words)), F.lit(0))
 
 
-def _wide_near(pairs: DataFrame, classes: DataFrame, tau: int) -> DataFrame:
-    """(a, b) of the pairs (a, b) of nodes whose fingerprints keep the chain's budgets and tau."""
-    a, b = classes.select(F.col("node").alias("a"), F.col("fp").alias("a_fp")), classes.select(F.col("node").alias("b"), F.col("fp").alias("b_fp"))
+def _wide_within(tau: int) -> Column:
+    """Whether a_fp and b_fp keep the chain's budgets and tau."""
     each = WIDE_WORDS // CHAIN
     gaps = F.array(*[sum((F.bit_count(F.col("a_fp")[k].bitwiseXOR(F.col("b_fp")[k])) for k in range(i * each, (i + 1) * each)), F.lit(0)) for i in range(CHAIN)])
     # A list of one, so that the gaps are computed once for all conditions on them.
-    within = F.exists(F.array(gaps), lambda g: (F.aggregate(g, F.lit(0), lambda x, y: x + y) <= tau) & wide_chain_holds(g, tau))
-    return spread_join(pairs, b, "b", "a").join(a, "a").filter(within).select("a", "b")
+    return F.exists(F.array(gaps), lambda g: (F.aggregate(g, F.lit(0), lambda x, y: x + y) <= tau) & wide_chain_holds(g, tau))
+
+
+def _wide_near(pairs: DataFrame, classes: DataFrame, tau: int, salts: int = 4) -> DataFrame:
+    """(a, b) of the pairs (a, b) of nodes that are near; a node stands in many pairs as b only."""
+    pairs = stored(pairs, "simhash-pairs")
+    a, b = classes.select(F.col("node").alias("a"), F.col("fp").alias("a_fp")), classes.select(F.col("node").alias("b"), F.col("fp").alias("b_fp"))
+    named = b.join(pairs.select("b").distinct(), "b", "left_semi")
+    return spread_join(pairs, named, "b", "a", salts=salts).join(a, "a").filter(_wide_within(tau)).select("a", "b")
+
 
+def _apart_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, ring, segment, root, size) of the members of buckets that hold several roots; a node without a root is its own."""
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("ring", "segment").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    return rooted.join(mixed.select("ring", "segment", "size"), ["ring", "segment"])
+
+
+def _hub_pairs(rooted: DataFrame) -> DataFrame:
+    """(a, b): each node with the hub of another root that it meets in most buckets; a bucket's hub is the least node of its least root."""
+    hubs = rooted.groupBy("ring", "segment").agg(F.min(F.struct("root", "node")).alias("hub"))
+    met = rooted.join(hubs, ["ring", "segment"]).filter("root <> hub.root").groupBy("node", "hub.node").agg(F.count(F.lit(1)).alias("n")).toDF("a", "hub", "n")
+    return met.groupBy("a").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("b"))
 
-def wide_roots(classes: DataFrame, tau: int = 332, slice_rows: int = 256) -> DataFrame:
+
+def wide_roots(classes: DataFrame, tau: int = 332, slice_rows: int = 256, hub_rounds: int = 2) -> DataFrame:
     """(node, root) of the linked nodes of classes (node, fp): those that share a segment and are within tau bits.
 
-    First each bucket compares its members with its least one, which connects large groups without their pairs. Members
-    that are connected by then need no further link, all others of a bucket are compared, each with each: the least one
-    may be a stranger to them. Buckets are compared in slices of about slice_rows members, so no task holds a large one.
+    In ``hub_rounds`` rounds each node is compared with one other, the hub that it meets in most buckets, which connects
+    large groups without their pairs. Members of a bucket that are connected by then need no further link; all others are
+    compared, each with each: a hub may be a stranger to them. Buckets are compared in slices of about slice_rows members,
+    so no task holds a large one.
     """
     bits, count = ring_shape(classes.count())
 
     def segments(values: pd.Series) -> pd.Series:
         return pd.Series(list(ring_segments(np.stack(values.to_numpy()), bits, count))) if len(values) else pd.Series([], dtype=object)
 
-    keyed = classes.select("node", F.posexplode(F.pandas_udf(segments, "array<bigint>")("fp")).alias("ring", "segment")).select("node", "segment", F.col("ring").cast("short").alias("ring"))
-    hubs = keyed.groupBy("ring", "segment").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("ring", "segment", "hub")
-    members = stored(keyed.join(hubs, ["ring", "segment"]), "simhash-members")
-    pairs = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    roots = connected_components(_wide_near(pairs, classes, tau))
+    keyed = classes.select("node", F.posexplode(F.pandas_udf(segments, "array<bigint>")("fp")).alias("ring", "segment")).select("node", F.col("ring").cast("short").alias("ring"), "segment")
+    several = keyed.groupBy("ring", "segment").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
+    members = stored(keyed.join(several.select("ring", "segment"), ["ring", "segment"]), "simhash-members")
+    roots = classes.select("node", F.col("node").alias("root")).limit(0)
+    for _ in range(hub_rounds):
+        found = _wide_near(_hub_pairs(_apart_roots(members, roots)), classes, tau)
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 
-    rooted = members.select("node", "ring", "segment").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("ring", "segment").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-    rest = stored(rooted.join(mixed.select("ring", "segment", "size"), ["ring", "segment"]).join(classes.select("node", F.slice("fp", 1, RING_WORDS).alias("fp")), "node"), "simhash-mixed")
+    rest = stored(_apart_roots(members, roots).join(classes, "node"), "simhash-mixed")
     slices = F.ceil(F.col("size") / slice_rows).cast("int")
-    left = rest.select("ring", "segment", F.pmod(F.xxhash64("node"), slices).cast("int").alias("slice"), F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("root").alias("a_root"))
-    right = rest.select("ring", "segment", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("root").alias("b_root"))
-    loose = math.ceil(64 * RING_WORDS * APART + 3.5 * math.sqrt(64 * RING_WORDS * APART * (1 - APART)))  # the full distance follows
-    close = left.join(right, ["ring", "segment", "slice"]).filter((F.col("a_root") > F.col("b_root")) & (_apart(RING_WORDS) <= loose)).select("a", "b").distinct()
-    more = _wide_near(close, classes, tau)
+    left = rest.select("ring", "segment", F.pmod(F.xxhash64("node"), slices).cast("int").alias("slice"), F.col("fp").alias("a_fp"), F.col("root").alias("a"))
+    right = rest.select("ring", "segment", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("fp").alias("b_fp"), F.col("root").alias("b"))
+    # The first words tell most strangers: half a thousand bits, three and a half deviations above what 0.8 gives.
+    alike = _apart(RING_WORDS) <= math.ceil(64 * RING_WORDS * APART + 3.5 * math.sqrt(64 * RING_WORDS * APART * (1 - APART)))
+    more = left.join(right, ["ring", "segment", "slice"]).filter((F.col("a") > F.col("b")) & alike & _wide_within(tau)).select("a", "b")
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
