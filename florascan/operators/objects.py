@@ -1,8 +1,8 @@
 """Objects of a mask: runs, scanlines, connected objects, and what is measured or kept of them.
 
-Objects are connected over runs of pixels, which are few, not over pixels. An image's runs are joined by union-find in one
-task; an image is what a camera took at once, so they are bounded. ``label_objects`` with method="star" connects them
-by shuffles instead, for mosaics that no task could hold.
+Objects are connected over runs of pixels, which are few, not over pixels. Runs are joined by union-find within bands of
+``BAND_ROWS`` rows, a task each; objects that cross from band to band are connected by shuffles over the runs at the bands'
+borders. ``label_objects`` with method="star" connects all runs by shuffles.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import Window as W
 
 from florascan.operators.graph import connected_components
 from florascan.operators.pixels import IMAGE
+from florascan.sources.storage import stored
 
 PLACE = [IMAGE, "y", "x"]
+BAND_ROWS = 4096
 
 
 def scanlines(mask: DataFrame) -> DataFrame:
@@ -66,12 +68,20 @@ def isolated_runs(mask: DataFrame, min_length: int = 1) -> DataFrame:
     return own.filter(F.col("n") >= min_length).join(touching, [IMAGE, "y", "left"], "left_anti")
 
 
-def clean_horizontal_noise(mask: DataFrame, min_length: int = 1, rounds: int = 2) -> DataFrame:
-    """mask without isolated runs; taking some away can isolate others, so it is repeated."""
-    out = mask.select(*PLACE)
-    for _ in range(rounds):
+def clean_horizontal_noise(mask: DataFrame, min_length: int = 1, rounds: int | None = None) -> DataFrame:
+    """mask without isolated runs; taking some away can isolate others, so it is repeated: rounds times, or until none is left.
+
+    Each round is written, so that its plan does not hold those before it.
+    """
+    out, done = mask.select(*PLACE), 0
+    while rounds is None or done < rounds:
         noise = isolated_runs(out, min_length).select(IMAGE, "y", F.explode(F.sequence("left", "right")).alias("x"))
-        out = out.join(noise, PLACE, "left_anti")
+        if rounds == 1:
+            return out.join(noise, PLACE, "left_anti")
+        noise = stored(noise, "noise")
+        if noise.isEmpty():
+            break
+        out, done = stored(out.join(noise, PLACE, "left_anti"), "cleaned"), done + 1
     return out
 
 
@@ -105,18 +115,37 @@ def _union_runs(reach: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 j += 1
         roots = [find(k) for k in range(len(parent))]
         number = {r: i + 1 for i, r in enumerate(dict.fromkeys(roots))}
-        return part.assign(label=[number[r] for r in roots])
+        return part.assign(label=[number[r] for r in roots], root_y=[ys[r] for r in roots], root_x=[lefts[r] for r in roots])
 
     return label
 
 
-def label_runs(mask: DataFrame, connectivity: int = 8, method: str = "union") -> DataFrame:
+def _banded(own: DataFrame, reach: int, fields: str, band_rows: int) -> DataFrame:
+    """Runs labelled within bands, and the labels of bands joined where runs meet over a border."""
+    band = F.floor(F.col("y") / band_rows)
+    local = stored(own.withColumn("band", band).groupBy(IMAGE, "band").applyInPandas(_union_runs(reach), f"{fields}, band long, label int, root_y int, root_x int").drop("band", "label"), "object-bands")
+    below = local.filter((F.col("y") % band_rows == 0) & (F.col("y") > 0)).select(IMAGE, "y", F.col("left").alias("l"), F.col("right").alias("r"), F.col("root_y").alias("ry"), F.col("root_x").alias("rx"))
+    above = local.filter(F.col("y") % band_rows == band_rows - 1).withColumn("y", F.col("y") + 1)
+    met = above.join(below, [IMAGE, "y"]).filter((F.col("l") <= F.col("right") + reach) & (F.col("r") >= F.col("left") - reach))
+    roots = connected_components(met.select(_node("root_y", "root_x").alias("a"), _node("ry", "rx").alias("b")).distinct())
+    named = local.withColumn("__node", _node("root_y", "root_x")).join(roots, F.col("__node") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "__node"))
+    numbers = named.select(IMAGE, "__root").distinct().withColumn("label", F.dense_rank().over(W.partitionBy(IMAGE).orderBy("__root")).cast("int"))
+    return named.join(numbers, [IMAGE, "__root"]).select(IMAGE, "y", "left", "right", "label")
+
+
+def _node(y: str, x: str) -> Column:
+    return F.concat_ws("|", F.col(IMAGE).cast("string"), F.lpad(F.col(y).cast("string"), 9, "0"), F.lpad(F.col(x).cast("string"), 9, "0"))
+
+
+def label_runs(mask: DataFrame, connectivity: int = 8, method: str = "union", band_rows: int = BAND_ROWS) -> DataFrame:
     """(image_id, y, left, right, label): labels count from 1 in reading order within each image."""
     own = runs(mask).drop("n")
     reach = 1 if connectivity == 8 else 0
     if method == "union":
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-        return own.groupBy(IMAGE).applyInPandas(_union_runs(reach), f"{fields}, label int")
+        if not own.filter(F.col("y") >= band_rows).isEmpty():
+            return _banded(own, reach, fields, band_rows)
+        return own.groupBy(IMAGE).applyInPandas(_union_runs(reach), f"{fields}, label int, root_y int, root_x int").drop("root_y", "root_x")
     down = own.select(IMAGE, (F.col("y") + 1).alias("y"), F.col("left").alias("l"), F.col("right").alias("r"))
     met = own.join(down, [IMAGE, "y"]).filter((F.col("l") <= F.col("right") + reach) & (F.col("r") >= F.col("left") - reach))
     node = lambda y, x: F.concat_ws("|", F.col(IMAGE).cast("string"), F.lpad(y.cast("string"), 9, "0"), F.lpad(x.cast("string"), 9, "0"))
@@ -125,9 +154,9 @@ def label_runs(mask: DataFrame, connectivity: int = 8, method: str = "union") ->
     return named.withColumn("label", F.dense_rank().over(W.partitionBy(IMAGE).orderBy("__root")).cast("int")).select(IMAGE, "y", "left", "right", "label")
 
 
-def label_objects(mask: DataFrame, connectivity: int = 8, method: str = "union") -> DataFrame:
+def label_objects(mask: DataFrame, connectivity: int = 8, method: str = "union", band_rows: int = BAND_ROWS) -> DataFrame:
     """(image_id, y, x, label)."""
-    return label_runs(mask, connectivity, method).select(IMAGE, "y", F.explode(F.sequence("left", "right")).alias("x"), "label")
+    return label_runs(mask, connectivity, method, band_rows).select(IMAGE, "y", F.explode(F.sequence("left", "right")).alias("x"), "label")
 
 
 def object_list(labels: DataFrame) -> DataFrame:
@@ -263,15 +292,16 @@ def bound_features(mask: DataFrame, line: int) -> DataFrame:
 def hull_features(mask: DataFrame) -> DataFrame:
     """(image_id, hull_area, solidity, rect_width, rect_height, rect_angle, circle_x, circle_y, circle_radius).
 
-    A row's two outermost pixels are all that a hull can need; a task receives twice an image's height at most.
+    A row's two outermost pixels are all that a hull can need; bands of rows keep those on the hull of the band, so that
+    the last step has few.
     """
     outer = mask.groupBy(IMAGE, "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("n"))
-    return outer.groupBy(IMAGE).applyInPandas(_hull, f"{IMAGE} int, hull_area double, solidity double, rect_width double, rect_height double, rect_angle double, circle_x double, circle_y double, circle_radius double")
+    kinds = dict(outer.dtypes)
+    bands = outer.groupBy(IMAGE, F.floor(F.col("y") / BAND_ROWS).alias("band")).applyInPandas(_band_hull, f"{IMAGE} {kinds[IMAGE]}, y long, x0 long, x1 long, n long")
+    return bands.groupBy(IMAGE).applyInPandas(_hull, f"{IMAGE} int, hull_area double, solidity double, rect_width double, rect_height double, rect_angle double, circle_x double, circle_y double, circle_radius double")
 
 
-def _hull(part: pd.DataFrame) -> pd.DataFrame:
-    import numpy as np
-
+def _hull_points(part: pd.DataFrame) -> list[tuple[float, float]]:
     points = sorted({(float(x), float(y)) for y, a, b in zip(part["y"], part["x0"], part["x1"]) for x in (a, b)})
 
     def half(ps: Sequence) -> list:
@@ -282,7 +312,20 @@ def _hull(part: pd.DataFrame) -> pd.DataFrame:
             out.append(p)
         return out[:-1] if len(out) > 1 else out
 
-    hull = np.array(half(points) + half(points[::-1]) if len(points) > 1 else points)
+    return half(points) + half(points[::-1]) if len(points) > 1 else points
+
+
+def _band_hull(part: pd.DataFrame) -> pd.DataFrame:
+    """The hull points of a band as rows of one pixel; the first row counts all of the band's pixels."""
+    points = _hull_points(part)
+    counts = [int(part["n"].sum())] + [0] * (len(points) - 1)
+    return pd.DataFrame({IMAGE: part[IMAGE].iloc[0], "y": [int(y) for _, y in points], "x0": [int(x) for x, _ in points], "x1": [int(x) for x, _ in points], "n": counts})
+
+
+def _hull(part: pd.DataFrame) -> pd.DataFrame:
+    import numpy as np
+
+    hull = np.array(_hull_points(part))
     nxt = np.roll(hull, -1, axis=0)
     area = abs((hull[:, 0] * nxt[:, 1] - nxt[:, 0] * hull[:, 1]).sum()) / 2
     edges = nxt - hull

@@ -106,14 +106,25 @@ def compose(px: DataFrame, rois: DataFrame, op: str = "union") -> DataFrame:
     return px.join(members.select(*PLACE), PLACE, "left_semi")
 
 
-def rectangle_relations(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_id, b_id, overlaps, contains) of all rectangle pairs whose bounds overlap: a theta join on the bounds."""
-    left = a.select(F.col("roi_id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in ("left", "top", "width", "height")])
-    right = b.select(F.col("roi_id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in ("left", "top", "width", "height")])
+def rectangle_relations(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, a_id, b_id, contains) of all rectangle pairs whose bounds overlap, within equal keys (an image's regions are few)."""
+    left = a.select(*keys, F.col("roi_id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in ("left", "top", "width", "height")])
+    right = b.select(*keys, F.col("roi_id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in ("left", "top", "width", "height")])
     e = F.expr
     overlaps = (e("a_left < b_left + b_width")) & (e("b_left < a_left + a_width")) & (e("a_top < b_top + b_height")) & (e("b_top < a_top + a_height"))
     contains = e("a_left <= b_left and a_top <= b_top and a_left + a_width >= b_left + b_width and a_top + a_height >= b_top + b_height")
-    return left.join(right, (F.col("a_id") != F.col("b_id")) & overlaps).select("a_id", "b_id", contains.alias("contains"))
+    differ = (F.col("a_id") != F.col("b_id")) & overlaps
+    pairs = left.join(right, list(keys)).filter(differ) if keys else left.join(right, differ)
+    return pairs.select(*keys, "a_id", "b_id", contains.alias("contains"))
+
+
+def region_relations(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, a_id, b_id, touches) of rectangles and circles, within equal keys: the distance from a circle's centre decides."""
+    left = a.select(*keys, F.col("roi_id").alias("a_id"), "left", "top", "width", "height")
+    right = b.select(*keys, F.col("roi_id").alias("b_id"), "cx", "cy", "radius")
+    dx = F.col("cx") - F.greatest(F.col("left"), F.least(F.col("cx"), F.col("left") + F.col("width")))
+    dy = F.col("cy") - F.greatest(F.col("top"), F.least(F.col("cy"), F.col("top") + F.col("height")))
+    return left.join(right, list(keys)).select(*keys, "a_id", "b_id", (dx * dx + dy * dy <= F.col("radius") * F.col("radius")).alias("touches"))
 
 
 def region_hits(objects_px: DataFrame, rois: DataFrame, key: str = "label") -> DataFrame:
@@ -134,9 +145,9 @@ def check_source(px: DataFrame) -> DataFrame:
     return s.select(IMAGE, "width", "height", (F.col("n") == F.col("width") * F.col("height")).alias("complete"))
 
 
-def roi_features(rois: DataFrame) -> DataFrame:
+def roi_features(rois: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     left, top, width, height = (F.col(c) for c in ("left", "top", "width", "height"))
-    return rois.select("roi_id", "name", left.alias("left"), (left + width).alias("right"), top.alias("top"), (top + height).alias("bottom"), F.col("cx"), F.col("cy"), width.alias("width"), height.alias("height"))
+    return rois.select(*keys, "roi_id", "name", left.alias("left"), (left + width).alias("right"), top.alias("top"), (top + height).alias("bottom"), F.col("cx"), F.col("cy"), width.alias("width"), height.alias("height"))
 
 
 def anchors() -> dict[str, Column]:

@@ -2,37 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def series_id(df: DataFrame, keys: Sequence[str], ts: str, luid: str, delta_minutes: float, name: str = "series_id") -> DataFrame:
     """Each row with the id of its series: the luid of the series' first row.
 
     A row belongs to the series as long as it is less than delta_minutes after the series' *first* row, so that a chain
-    of close rows does not grow for ever. Ties go by luid. A gap of delta_minutes or more ends a series whatever its first
-    row, so the rows of a key are cut at such gaps by a window, and only what lies between two gaps is folded as one
-    ordered array of (time, luid).
+    of close rows does not grow for ever. Ties go by luid. Rows are sorted by key and time and read as a stream that
+    remembers one anchor, so neither a key with a third of all rows nor one that never pauses is gathered anywhere. A
+    row without a time is a series of its own; repeated and null luids stay as they are.
     """
-    limit = F.lit(int(delta_minutes * 60_000_000)).cast("bigint")
-    ordered = W.partitionBy(*keys).orderBy("__t", luid)
-    timed = df.select(*keys, F.col(luid), F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"))
-    gap = F.col("__t") - F.lag("__t").over(ordered) >= limit
-    cut = timed.withColumn("__gap", gap.cast("int")).withColumn("__part", F.sum(F.coalesce("__gap", F.lit(0))).over(ordered.rowsBetween(W.unboundedPreceding, 0)))
-    rows = cut.groupBy(*keys, "__part").agg(F.sort_array(F.collect_list(F.struct(F.col("__t").alias("t"), F.col(luid).alias("l")))).alias("__rows"))
-    start = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("string").alias("l"))
-
-    def fold(state, row):
-        same = row.t - state.t < limit
-        anchor_t, anchor = F.when(same, state.t).otherwise(row.t), F.when(same, state.l).otherwise(row.l.cast("string"))
-        return F.struct(F.concat(state.ids, F.array(anchor)).alias("ids"), anchor_t.alias("t"), anchor.alias("l"))
-
-    folded = rows.withColumn("__ids", F.aggregate("__rows", start, fold, lambda s: s.ids))
-    pairs = folded.select(F.explode(F.arrays_zip("__rows", "__ids")).alias("p")).select(F.col("p.__rows.l").alias(luid), F.col("p.__ids").alias(name))
-    return df.join(pairs, luid)
+    base = df.drop(name)
+    limit = int(delta_minutes * 60_000_000)
+    timed = base.withColumns({"__t": F.unix_micros(F.col(ts).cast("timestamp")), "__key": F.to_json(F.struct(*keys)), "__luid": F.col(luid).cast("string")})
+    columns = base.columns
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = anchor = label = None
+        for batch in batches:
+            out = []
+            for k, t, own in zip(*(batch.column(c).to_pylist() for c in ("__key", "__t", "__luid"))):
+                if t is None:
+                    out.append(own)
+                    continue
+                if k != key or t - anchor >= limit:
+                    key, anchor, label = k, t, own
+                out.append(label)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.string())], names=[*columns, name])
+
+    return timed.repartition(*keys).sortWithinPartitions("__key", "__t", luid).mapInArrow(assign, StructType([*base.schema.fields, StructField(name, StringType())]))
 
 
 def series_sizes(df: DataFrame, series: str) -> DataFrame:

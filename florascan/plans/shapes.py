@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import functions as F
@@ -380,13 +381,30 @@ def j11(spark, d):
     return r.copy_regions(px.withColumn("g", 255 - F.col("g")), px, rois(spark, CIRCLE))
 
 
-BOXES = "bx(id, l, t, w, h) as (values (1, 3, 5, 8, 12), (2, 4, 9, 12, 12), (3, 2, 7, 16, 16), (5, 4, 6, 2, 2))"
+LEVELS = (150, 170, 190, 205, 220)
+BOXES = "bx as (" + " union all ".join(f"select image_id, {k} as id, min(x)::double as l, min(y)::double as t, (max(x) - min(x) + 1)::double as w, (max(y) - min(y) + 1)::double as h from px where {c} > {v} and y % 7 < {k} group by 1" for k, (c, v) in enumerate([(c, v) for c in "bgr" for v in LEVELS], 1)) + ")"
 
 
-@query("j12_rectangle_relations", "with " + BOXES + " select a.id as a_id, b.id as b_id, a.l <= b.l and a.t <= b.t and a.l + a.w >= b.l + b.w and a.t + a.h >= b.t + b.h as contains from bx a, bx b where a.id <> b.id and a.l < b.l + b.w and b.l < a.l + a.w and a.t < b.t + b.h and b.t < a.t + a.h and exists (select 1 from embeddings)")
+def boxes(spark, d):
+    """Regions of each image: the bounds of its brighter pixels, for each channel and some levels."""
+    px = fx.px(spark, d)
+    parts = []
+    for k, (c, v) in enumerate([(c, v) for c in "bgr" for v in LEVELS], 1):
+        b = px.filter((F.col(c) > v) & (F.col("y") % 7 < k)).groupBy("image_id").agg(F.min("x").cast("double").alias("left"), F.min("y").cast("double").alias("top"), (F.max("x") - F.min("x") + 1).cast("double").alias("width"), (F.max("y") - F.min("y") + 1).cast("double").alias("height"))
+        parts.append(b.withColumns({"roi_id": F.lit(k), "name": F.lit(f"{c}{v}"), "shape": F.lit("rect"), "cx": F.col("left") + F.col("width") / 2, "cy": F.col("top") + F.col("height") / 2, "radius": F.least("width", "height") / 2, "in_radius": F.lit(0.0)}))
+    return functools.reduce(lambda x, y: x.unionByName(y), parts)
+
+
+@query("j12_rectangle_relations", sql("px", BOXES + " select a.image_id, a.id as a_id, b.id as b_id, a.l <= b.l and a.t <= b.t and a.l + a.w >= b.l + b.w and a.t + a.h >= b.t + b.h as contains from bx a join bx b on a.image_id = b.image_id where a.id <> b.id and a.l < b.l + b.w and b.l < a.l + a.w and a.t < b.t + b.h and b.t < a.t + a.h"))
 def j12(spark, d):
-    some = rois(spark, RECT, CIRCLE, RING, r.rectangle(5, "small", 4, 6, 2, 2))
-    return r.rectangle_relations(some, some).join(fx.px(spark, d).limit(1).select(F.lit(True).alias("__any")), F.lit(True), "left_semi")
+    some = boxes(spark, d)
+    return r.rectangle_relations(some, some, ["image_id"])
+
+
+@query("j12_circle_relations", sql("px", BOXES + ", ci as (select *, l + w / 2 as cx, t + h / 2 as cy, least(w, h) / 2 as rad from bx) select a.image_id, a.id as a_id, b.id as b_id, (cx - greatest(a.l, least(cx, a.l + a.w))) * (cx - greatest(a.l, least(cx, a.l + a.w))) + (cy - greatest(a.t, least(cy, a.t + a.h))) * (cy - greatest(a.t, least(cy, a.t + a.h))) <= rad * rad as touches from bx a join ci b on a.image_id = b.image_id"))
+def j12b(spark, d):
+    some = boxes(spark, d)
+    return r.region_relations(some, some, ["image_id"])
 
 
 @query("j13_region_hits", sql("px", SMALL + labelled("lab", "small") + NUM + f" select lab.image_id, label, roi_id, count(*) as n from lab join nm using (image_id, root) join (values (1), (2)) as q(roi_id) on (roi_id = 1 and {IN[1]}) or (roi_id = 2 and {IN[2]}) group by 1, 2, 3"))
@@ -433,18 +451,19 @@ def r7(spark, d):
     return r.check_source(fx.px(spark, d))
 
 
-@query("a29_region_features", sql("px", "select image_id, q.* from (select distinct image_id from px), (values (1, 'rect', 3.0::double, 11.0::double, 5.0::double, 17.0::double, 7.0::double, 11.0::double, 8.0::double, 12.0::double), (2, 'circle', 4, 16, 9, 21, 10, 15, 12, 12)) as q(roi_id, name, \"left\", \"right\", top, bottom, cx, cy, width, height)"))
+NAMED = "nm as (select bx.*, " + "case id " + " ".join(f"when {k} then '{c}{v}'" for k, (c, v) in enumerate([(c, v) for c in "bgr" for v in LEVELS], 1)) + " end as name from bx)"
+
+
+@query("a29_region_features", sql("px", BOXES + ", " + NAMED + ' select image_id, id as roi_id, name, l as "left", l + w as "right", t as top, t + h as bottom, l + w / 2 as cx, t + h / 2 as cy, w as width, h as height from nm'))
 def a29(spark, d):
-    images = fx.px(spark, d).select("image_id").distinct()
-    return images.join(r.roi_features(rois(spark, RECT, CIRCLE)), F.lit(True))
+    return r.roi_features(boxes(spark, d), ["image_id"])
 
 
-@query("x16_region_anchors", sql("px", "select image_id, cx, cy, bottom_right_x, bottom_right_y, round(area, 6) as area, aspect_ratio, round(ax, 6) as ax, round(ay, 6) as ay from (select distinct image_id from px), (values (7.0::double, 11.0::double, 11.0::double, 17.0::double, 96.0::double, 8.0::double / 12, 7 + 5 * cos(radians(40.0)), 11 + 5 * sin(radians(40.0))), (10, 15, 16, 21, pi() * 36, 1, 10 + 5 * cos(radians(40.0)), 15 + 5 * sin(radians(40.0)))) as q(cx, cy, bottom_right_x, bottom_right_y, area, aspect_ratio, ax, ay)"))
+@query("x16_region_anchors", sql("px", BOXES + " select image_id, id as roi_id, l + w as bottom_right_x, t + h as bottom_right_y, l + w / 2 as top_center_x, t + h / 2 as middle_left_y, w * h as area, round(w / h, 6) as aspect_ratio, least(w, h) / 2 as as_circle_radius, round(l + w / 2 + 5 * cos(radians(40.0)), 6) as ax, round(t + h / 2 + 5 * sin(radians(40.0)), 6) as ay from bx"))
 def x16(spark, d):
     a = r.anchors()
     ax, ay = r.point_at_angle(F.col("cx"), F.col("cy"), F.lit(5.0), F.lit(40.0))
-    made = rois(spark, RECT, CIRCLE).select("cx", "cy", a["bottom_right"]["x"].alias("bottom_right_x"), a["bottom_right"]["y"].alias("bottom_right_y"), F.round(a["area"], 6).alias("area"), a["aspect_ratio"].alias("aspect_ratio"), F.round(ax, 6).alias("ax"), F.round(ay, 6).alias("ay"))
-    return fx.px(spark, d).select("image_id").distinct().join(made, F.lit(True))
+    return boxes(spark, d).select("image_id", "roi_id", a["bottom_right"]["x"].alias("bottom_right_x"), a["bottom_right"]["y"].alias("bottom_right_y"), a["top_center"]["x"].alias("top_center_x"), a["middle_left"]["y"].alias("middle_left_y"), a["area"].alias("area"), F.round(a["aspect_ratio"], 6).alias("aspect_ratio"), a["as_circle_radius"].alias("as_circle_radius"), F.round(ax, 6).alias("ax"), F.round(ay, 6).alias("ay"))
 
 
 SIDES = "select image_id, min(x) as l1, min(y) as t1, max(x) as r1, max(y) as b1 from px where g > 200 group by 1"

@@ -180,3 +180,30 @@ def test_empty_tables(spark):
     assert objects.label_objects(nothing).count() == 0 and objects.hull_features(nothing).count() == 0
     assert histogram.otsu_thresholds(empty).count() == 0 and neighbourhood.dilate(nothing, px).count() == 0
     assert objects.keep_linked(nothing, 3).count() == 0
+
+
+def test_bands_label_as_whole_images_do(spark):
+    import random
+
+    rng = random.Random(1)
+    mask = spark.createDataFrame([(i, y, x) for i in range(2) for y in range(40) for x in range(15) if rng.random() < 0.5], "image_id int, y int, x int")
+    whole = sorted(map(tuple, objects.label_objects(mask).select("image_id", "y", "x", "label").collect()))
+    for rows in (3, 7, 40):
+        assert sorted(map(tuple, objects.label_objects(mask, band_rows=rows).select("image_id", "y", "x", "label").collect())) == whole
+    four = sorted(map(tuple, objects.label_objects(mask, 4).select("image_id", "y", "x", "label").collect()))
+    assert sorted(map(tuple, objects.label_objects(mask, 4, band_rows=5).select("image_id", "y", "x", "label").collect())) == four
+
+
+def test_series_of_repeated_null_and_untimed_rows(spark):
+    from florascan.operators import series
+
+    rows = [("p", "2020-01-01 00:00:00", "a"), ("p", "2020-01-01 00:05:00", "b"), ("p", "2020-01-01 00:05:00", "b"), ("p", "2020-01-01 00:10:00", None), ("p", None, "n"), (None, "2020-01-01 00:01:00", "z")]
+    df = spark.createDataFrame(rows, "plant string, at string, luid string").withColumn("at", F.to_timestamp("at"))
+    got = sorted(((r.plant, r.luid, r.series_id) for r in series.series_id(df, ["plant"], "at", "luid", 10).collect()), key=str)
+    assert got == sorted([("p", "a", "a"), ("p", "b", "a"), ("p", "b", "a"), ("p", None, None), ("p", "n", "n"), (None, "z", "z")], key=str)
+    assert series.series_id(df.limit(0), ["plant"], "at", "luid", 10).count() == 0
+
+
+def test_noise_is_cleaned_until_none_is_left(spark):
+    mask = spark.createDataFrame([(0, y, x) for y, x in ((0, 0), (0, 1), (1, 1), (5, 3), (7, 3), (7, 4))], "image_id int, y int, x int")
+    assert {(r.y, r.x) for r in objects.clean_horizontal_noise(mask).collect()} == {(0, 0), (0, 1), (1, 1)}
