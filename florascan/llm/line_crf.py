@@ -223,7 +223,8 @@ def judge_lines(docs: DataFrame, model: dict, text: str = "text", min_words: int
 
     @F.pandas_udf(VERDICT)
     def verdicts(texts: pd.Series) -> pd.DataFrame:
-        return _verdicts(texts, model, min_words, max_repeat, min_content)
+        parts = [_verdicts(texts.iloc[k : k + 500], model, min_words, max_repeat, min_content) for k in range(0, len(texts), 500)]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=list(COLUMNS))
 
     judged = docs.withColumn("__verdict", verdicts(F.col(text)))
     return hidden(judged, *COLUMNS).select("*", "__verdict.*").drop("__verdict")

@@ -269,7 +269,8 @@ def wide_roots(classes: DataFrame, tau: int = 332, slice_rows: int = 256, hub_ro
     bits, count = ring_shape(classes.count())
 
     def segments(values: pd.Series) -> pd.Series:
-        return pd.Series(list(ring_segments(np.stack(values.to_numpy()), bits, count))) if len(values) else pd.Series([], dtype=object)
+        parts = [ring_segments(np.stack(values.iloc[k : k + 1000].to_numpy()), bits, count) for k in range(0, len(values), 1000)]
+        return pd.Series([row for part in parts for row in part], dtype=object)
 
     keyed = classes.select("node", F.posexplode(F.pandas_udf(segments, "array<bigint>")("fp")).alias("ring", "segment")).select("node", F.col("ring").cast("short").alias("ring"), "segment")
     several = keyed.groupBy("ring", "segment").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")

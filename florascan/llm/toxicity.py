@@ -264,7 +264,7 @@ class Scorer:
             slope, offset = model["curve"]
             score = 1 / (1 + math.exp(-(slope * _logit(vote) + offset))) if model["base"] else 0.0
             evidence = [{"doc_id": model["examples"][j][0], "cosine": c, "label": self.labels[j]} for j, c in near]
-            if len(self.seen) >= 50_000:
+            if len(self.seen) >= 2_000:  # bounds what a task remembers
                 self.seen.clear()
             self.seen[features] = (score, int(score >= 0.5), evidence)
         return self.seen[features]
