@@ -68,6 +68,15 @@ def test_mixing_reaches_its_targets(spark):
     assert abs(n["src0"] / sum(n.values()) - 0.1) < 0.01 and abs(sum(n.values()) / 20000 - 1) < 0.03
 
 
+def test_mixing_splits_large_rates(spark):
+    docs = spark.range(1001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "rare").otherwise("other").alias("source"), F.lit("t" * 9).alias("text"))
+    out = mixing.mix_sources(docs, {"rare": 0.9}, 0.1, budget=50_000.0).cache()
+    rare = out.filter("doc_id = 0")
+    n = rare.count()
+    assert abs(n - 4500) < 6 * 4500**0.5 and rare.select("copy").distinct().count() == n and out.filter("doc_id > 0").select("doc_id", "copy").distinct().count() == out.count() - n
+    assert rare.agg(F.max("copy")).first()[0] // mixing.DRAW_COPIES == -(-4500 // mixing.MAX_RATE) - 1
+
+
 def base_figures(text):
     text = text or ""
     words = WORD.findall(text)
