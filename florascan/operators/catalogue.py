@@ -134,14 +134,19 @@ def edit_selection(selection: DataFrame, other: DataFrame, key: str = "luid", mo
     return selection.join(other.select(key).distinct(), key, {"keep": "left_semi", "remove": "left_anti"}[mode])
 
 
+def _draw(key: str, seed: int) -> Column:
+    """A place in a seeded order that every engine with MD5 draws alike."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def random_rows(df: DataFrame, n: int, key: str, seed: int = 0, order_by: Sequence[str] = ()) -> DataFrame:
     """n rows drawn by a seeded hash of the key, which every run draws alike; sorted again."""
-    drawn = df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    drawn = df.orderBy(_draw(key, seed), key).limit(n)
     return drawn.orderBy(*order_by) if order_by else drawn
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    return df.orderBy(_draw(key, seed), key)
 
 
 def natural_order(col: Column) -> list[Column]:

@@ -163,6 +163,16 @@ def equalize(px: DataFrame, channels: Sequence[str] = BGR) -> DataFrame:
     return px
 
 
+def equalize_luma(px: DataFrame) -> DataFrame:
+    """px with its luma (Y of YUV) equalised and its colour differences kept; Y, U and V are held in eight bits."""
+    byte = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.round(v, 6) + 0.5))).cast("int")
+    luma, b, r = F.col("__luma"), F.col("b"), F.col("r")
+    yuv = px.withColumn("__luma", byte(0.299 * r + 0.587 * F.col("g") + 0.114 * b)).withColumns({"__u": byte(0.492 * (b - luma) + 128), "__v": byte(0.877 * (r - luma) + 128)})
+    u, v = F.col("__u") - 128, F.col("__v") - 128
+    flat = lut_apply(yuv, equalize_lut(yuv, ["__luma"]), "__luma")
+    return flat.withColumns({"b": byte(luma + 2.032 * u), "g": byte(luma - 0.395 * u - 0.581 * v), "r": byte(luma + 1.140 * v)}).select(*px.columns)
+
+
 def clahe(px: DataFrame, channel: str, tile: int = 8, clip: float = 2.0) -> DataFrame:
     """Tiled, clipped equalisation: px with equalized, blended between the four nearest tile centres.
 
@@ -185,7 +195,7 @@ def clahe(px: DataFrame, channel: str, tile: int = 8, clip: float = 2.0) -> Data
     lookup = lut.withColumnRenamed("value", channel)
     found = ask.join(lookup, [IMAGE, "ty", "tx", channel])
     keys = list(px.columns)
-    return found.groupBy(*keys).agg(F.floor(F.sum(F.col("mapped") * F.col("w")) / F.sum("w") + 0.5).cast("int").alias("equalized"))
+    return found.groupBy(*keys).agg(F.floor(F.round(F.sum(F.col("mapped") * F.col("w")) / F.sum("w"), 6) + 0.5).cast("int").alias("equalized"))
 
 
 def kmeans_colours(px: DataFrame, k: int = 4, rounds: int = 5, channels: Sequence[str] = BGR) -> DataFrame:

@@ -131,6 +131,38 @@ def local_binary_pattern(px: DataFrame, channel: str) -> DataFrame:
     return met.groupBy(*PLACE).agg(bits.alias("pattern"), F.count(F.lit(1)).alias("__n")).filter("__n = 8").drop("__n")
 
 
+def circle_points(points: int = 8, radius: float = 3) -> list[tuple[int, int, int, float]]:
+    """(k, dy, dx, weight): the up to four pixels that each point of the circle mixes, counted from the right, turning up."""
+    out = []
+    for k in range(points):
+        angle = 2 * math.pi * k / points
+        fy, fx = round(-radius * math.sin(angle), 5), round(radius * math.cos(angle), 5)
+        y0, x0 = math.floor(fy), math.floor(fx)
+        parts = [(y0 + j, x0 + i, round(abs(1 - j - fy + y0) * abs(1 - i - fx + x0), 9)) for j in (0, 1) for i in (0, 1)]
+        out += [(k, dy, dx, w) for dy, dx, w in parts if w > 0]
+    return out
+
+
+def circular_pattern(px: DataFrame, channel: str, points: int = 8, radius: float = 3) -> DataFrame:
+    """(image_id, y, x, pattern): bit k is set where point k of the circle is at least as bright, between pixels by their mix.
+
+    Only places whose whole circle lies in the image have one.
+    """
+    steps = [(-1, 0, 0, 1.0), *circle_points(points, radius)]
+    ask = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for k, dy, dx, w in steps]))
+    sent = px.select(IMAGE, "y", "x", F.col(channel).alias("v"), ask.alias("o")).select(IMAGE, (F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x"), "o.k", (F.col("v") * F.col("o.w")).alias("v"))
+    met = sent.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(F.when(F.col("k") == k, F.col("v"))).alias(f"__{k + 1}") for k in range(-1, points)])
+    bits = sum((F.when(F.round(f"__{k + 1}", 5) >= F.col("__0"), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(points)), F.lit(0))
+    return met.filter(F.col("__n") == len(steps)).select(*PLACE, bits.cast("long").alias("pattern"))
+
+
+def cut_levels(df: DataFrame, column: str, lower: float = 0, upper: float = 0) -> DataFrame:
+    """column with levels below lower percent of the image's maximum at zero, and those above 100 - upper percent of it there."""
+    top = df.groupBy(IMAGE).agg(F.max(column).alias("__top"))
+    v, least, most = F.col(column), F.round(F.col("__top") * lower / 100, 6), F.round(F.col("__top") * (100 - upper) / 100, 6)
+    return df.join(top, IMAGE).withColumn(column, F.when(v < least, 0.0).when(v > most, most).otherwise(v.cast("double"))).drop("__top")
+
+
 def glcm(px: DataFrame, channel: str, distances: Sequence[int] = (1, 10), angles: Sequence[float] = (0.0, math.pi / 4), levels: int = 256) -> DataFrame:
     """Grey co-occurrence features (image_id, distance, angle, contrast, dissimilarity, homogeneity, energy, correlation, asm).
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from florascan.operators.graph import connected_components
+from florascan.operators.neighbourhood import dilate
 from florascan.operators.pixels import IMAGE
 from florascan.sources.storage import stored
 
@@ -85,6 +86,22 @@ def clean_horizontal_noise(mask: DataFrame, min_length: int = 1, rounds: int | N
     return out
 
 
+def repair_full_rows(mask: DataFrame, px: DataFrame, margin: int = 4, solidity: float = 0.99) -> DataFrame:
+    """mask with each row that noise fills from side to side replaced by what its nearest other rows above and below hold.
+
+    A row is full if it spans the image's width but for margin and has hardly a gap. Only rows, not pixels, are ordered.
+    """
+    width = px.groupBy(IMAGE).agg((F.max("x") - F.min("x") + 1).alias("width"))
+    full = (F.col("span") >= F.col("width") - margin) & (F.col("solidity") >= solidity)
+    rows = px.select(IMAGE, "y").distinct().join(scanlines(mask), [IMAGE, "y"], "left").join(width, IMAGE).select(IMAGE, "y", F.coalesce(full, F.lit(False)).alias("full"))
+    other = F.when(~F.col("full"), F.col("y"))
+    before = lambda order: F.last(other, True).over(W.partitionBy(IMAGE).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    filled = rows.withColumns({"up": before(F.col("y")), "down": before(F.desc("y"))}).filter("full")
+    ask = filled.select(IMAGE, F.col("y").alias("__to"), F.explode(F.array("up", "down")).alias("y"))
+    borrowed = mask.select(*PLACE).join(ask, [IMAGE, "y"]).select(IMAGE, F.col("__to").alias("y"), "x").distinct()
+    return mask.select(*PLACE).join(filled, [IMAGE, "y"], "left_anti").unionByName(borrowed)
+
+
 def _key(y: Column, left: Column) -> Column:
     return F.concat_ws(":", y.cast("string"), left.cast("string"))
 
@@ -193,8 +210,18 @@ def holes(mask: DataFrame, px: DataFrame) -> DataFrame:
     return labels.join(outer, [IMAGE, "label"], "left_anti").select(*PLACE, "label")
 
 
-def fill_holes(mask: DataFrame, px: DataFrame) -> DataFrame:
-    return mask.select(*PLACE).unionByName(holes(mask, px).select(*PLACE))
+def fill_holes(mask: DataFrame, px: DataFrame, inside: Column | None = None) -> DataFrame:
+    """mask with its holes; with a region, the holes of the part of the mask that lies in it."""
+    own = mask.select(*PLACE)
+    if inside is None:
+        return own.unionByName(holes(mask, px).select(*PLACE))
+    return own.unionByName(holes(own.filter(inside), px).select(*PLACE)).distinct()
+
+
+def count_holes(mask: DataFrame, px: DataFrame, inside: Column | None = None) -> DataFrame:
+    """(image_id, holes, hole_pixels) of every image."""
+    found = holes(mask.filter(inside) if inside is not None else mask, px).groupBy(IMAGE).agg(F.count_distinct("label").alias("holes"), F.count(F.lit(1)).alias("hole_pixels"))
+    return px.select(IMAGE).distinct().join(found, IMAGE, "left").fillna(0, ["holes", "hole_pixels"])
 
 
 def object_distances(labels: DataFrame, tolerance: int) -> DataFrame:
@@ -228,13 +255,26 @@ def reachable(objects: DataFrame, links: DataFrame, roots: DataFrame) -> DataFra
     return named.join(wanted, "__root", "left_semi").select(IMAGE, "label")
 
 
-def keep_linked(mask: DataFrame, tolerance: int = 100, min_area: int = 0, anchor: tuple[float, float] | None = None) -> DataFrame:
-    """The largest object, and all that chains of gaps below tolerance lead to over objects of at least min_area pixels."""
+def keep_linked(mask: DataFrame, tolerance: int = 100, min_area: int = 0, anchor: tuple[float, float] | None = None, override: int | None = None, safe: Column | None = None, drop_below: int = 0) -> DataFrame:
+    """The largest object, and all that chains of gaps below tolerance lead to over objects of at least min_area pixels.
+
+    Objects below drop_below pixels go first. Those above override pixels stay at any distance, if they have a pixel in the
+    safe region where there is one, and chains start from them, too.
+    """
     labels = label_objects(mask)
     objects = object_list(labels)
-    big = objects.filter(F.col("area") >= min_area).select(IMAGE, "label")
+    if drop_below:
+        objects = objects.filter(F.col("area") >= drop_below)
+        labels = labels.join(objects.select(IMAGE, "label"), [IMAGE, "label"], "left_semi")
+    roots = largest_object(labels, anchor).select(IMAGE, "label")
+    if override is not None:
+        trusted = objects.filter(F.col("area") > override).select(IMAGE, "label")
+        if safe is not None:
+            trusted = trusted.join(labels.filter(safe), [IMAGE, "label"], "left_semi")
+        roots = roots.unionByName(trusted).distinct()
+    big = objects.filter(F.col("area") >= min_area).select(IMAGE, "label").unionByName(roots).distinct()
     pairs = object_distances(labels.join(big, [IMAGE, "label"], "left_semi"), tolerance)
-    kept = reachable(objects, pairs, largest_object(labels, anchor))
+    kept = reachable(objects, pairs, roots)
     return labels.join(kept, [IMAGE, "label"], "left_semi").select(*PLACE)
 
 
@@ -259,6 +299,49 @@ def keep_near_regions(mask: DataFrame, inside: Column, tolerance: int = 100, min
     return labels.join(kept, [IMAGE, "label"], "left_semi").select(*PLACE)
 
 
+def region_classes(labels: DataFrame, region: DataFrame, min_root: int = 0, small_distance: int = 100, unknown_distance: int = 100, root_distance: int = 100) -> DataFrame:
+    """(image_id, label, kind, plant, kept): how objects relate to a region, given as pixels.
+
+    Objects with a pixel in it are roots above min_root pixels, else small; the others are unknown. Small ones are kept that
+    chains of gaps below small_distance lead to from a root, then unknown ones by unknown_distance from all kept so far.
+    plant: the least label of the roots that gaps below root_distance join; null for the others.
+    """
+    labels = stored(labels, "classed")
+    touched = labels.join(region.select(*PLACE), PLACE, "left_semi").select(IMAGE, "label").distinct().withColumn("__in", F.lit(True))
+    kind = F.when(F.col("__in") & (F.col("area") > min_root), "root").when(F.col("__in"), "small").otherwise("unknown")
+    objects = stored(object_list(labels).join(touched, [IMAGE, "label"], "left").select(IMAGE, "label", kind.alias("kind")), "classes")
+    gaps = stored(object_distances(labels, max(small_distance, unknown_distance, root_distance)), "gaps")
+
+    def linked(part: DataFrame, below: int) -> DataFrame:
+        near = gaps.filter(F.col("distance") < below)
+        for end in "ab":
+            near = near.join(part.select(IMAGE, F.col("label").alias(end)), [IMAGE, end], "left_semi")
+        return near
+
+    def kinds(*names: str) -> DataFrame:
+        return objects.filter(F.col("kind").isin(*names)).select(IMAGE, "label")
+
+    first = stored(reachable(kinds("root", "small"), linked(kinds("root", "small"), small_distance), kinds("root")), "kept")
+    second = first.unionByName(kinds("unknown"))
+    kept = reachable(second, linked(second, unknown_distance), first).withColumn("kept", F.lit(True))
+    node = lambda c: F.concat_ws("|", F.col(IMAGE).cast("string"), F.lpad(F.col(c).cast("string"), 10, "0"))
+    plants = connected_components(linked(kinds("root"), root_distance).select(node("a").alias("a"), node("b").alias("b"))).select(F.col("node").alias("__node"), F.split_part("root", F.lit("|"), F.lit(-1)).cast("int").alias("__plant"))
+    out = objects.withColumn("__node", node("label")).join(plants, "__node", "left").join(kept, [IMAGE, "label"], "left")
+    return out.select(IMAGE, "label", "kind", F.when(F.col("kind") == "root", F.coalesce("__plant", "label")).alias("plant"), F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def keep_region_classes(mask: DataFrame, px: DataFrame, inside: Column, dilation: int = 0, drop_below: int = 0, **tolerances: int) -> DataFrame:
+    """Pixels of the objects that ``region_classes`` keeps; the region grows by dilation, objects below drop_below go first."""
+    labels = label_objects(mask)
+    if drop_below:
+        labels = labels.join(object_list(labels).filter(F.col("area") >= drop_below), [IMAGE, "label"], "left_semi")
+    region = px.filter(inside).select(*PLACE)
+    if dilation:
+        region = dilate(region, px, max(dilation, 3))
+    kept = region_classes(labels, region, **tolerances).filter("kept")
+    return labels.join(kept, [IMAGE, "label"], "left_semi").select(*PLACE)
+
+
 def hysteresis(weak: DataFrame, strong: DataFrame) -> DataFrame:
     """Pixels of weak whose object holds a pixel of strong."""
     labels = label_objects(weak)
@@ -367,21 +450,31 @@ def _enclosing(points: list[tuple[float, float]]) -> tuple[tuple[float, float],
     return circle
 
 
-def quality_report(mask: DataFrame, width: int, height: int, noise_rows: DataFrame, bottom_gap: int = 60) -> DataFrame:
-    """(image_id, plant_bottom_error, leaning_error, noise_error, error_level) of light-barrier scans from their scanlines.
+def quality_report(mask: DataFrame, width: int, height: int, noise_rows: DataFrame, bottom_gap: int = 60, guide: DataFrame | None = None, tops: DataFrame | None = None) -> DataFrame:
+    """(image_id, plant_bottom_error, leaning_error, noise_error, guide_error, plant_top_error, error_level) of light-barrier scans.
 
-    noise_rows: (image_id, y) of rows that were cleaned. The level is the greatest error, one more if two or more occur.
+    noise_rows: (image_id, y) of rows that were cleaned; guide: pixels of the plant's guide; tops: (image_id, expected_top,
+    plant_top, final_top), estimates of the plant's top row. The level is the greatest error, and from 2 on one more for
+    each further error of 2 or more.
     """
     lines = scanlines(mask)
     first = F.min_by(F.struct("first", "last", "span"), F.col("y"))
     s = lines.groupBy(IMAGE).agg(F.min("y").alias("top"), F.max("y").alias("bottom"), first.alias("line"))
     hits = noise_rows.join(s.select(IMAGE, "top", "bottom"), IMAGE).groupBy(IMAGE).agg(F.count_if(F.col("y").between(F.col("top"), F.col("bottom"))).alias("hit"), F.count(F.lit(1)).alias("noise"))
     j = s.join(hits, IMAGE, "left").fillna(0, ["hit", "noise"])
+    guide_error, top_error = F.lit(0), F.lit(0)
+    if guide is not None:
+        j = j.join(scanlines(guide).groupBy(IMAGE).agg(F.avg("span").alias("guide_span"), (F.sum("span") / F.sum("count")).alias("guide_solidity")), IMAGE, "left")
+        guide_error = F.when(F.col("guide_span") > 6, 1).otherwise(0) + F.when(F.col("guide_solidity") > 1.1, 1).otherwise(0)
+    if tops is not None:
+        j = j.join(tops.select(IMAGE, "expected_top", "plant_top", "final_top"), IMAGE, "left")
+        off = [F.when((F.col("expected_top") != 0) & (F.abs(F.col(c) - F.col("expected_top")) > 30), 2).otherwise(0) for c in ("plant_top", "final_top")]
+        top_error = off[0] + off[1]
     bottom = F.when(F.col("bottom") < height - bottom_gap, 3).otherwise(0)
     leaning = F.when((F.col("line.first") <= 10) & (F.col("line.span") < width / 3), 2).when((F.col("line.last") >= width - 10) & (F.col("line.span") < height / 3), 2).otherwise(0)
     ratio = (F.col("bottom") - F.col("top")) / F.greatest(F.col("hit"), F.lit(1))
     noise = F.when(F.col("noise") == 0, 0).when(F.col("hit") == 0, 1).otherwise(F.when(ratio > 100, 1).when(ratio > 40, 2).otherwise(3) + F.when(F.col("noise") > F.col("hit"), 1).otherwise(0))
-    j = j.select(IMAGE, bottom.alias("plant_bottom_error"), leaning.alias("leaning_error"), noise.alias("noise_error"))
-    kinds = [F.col(c) for c in ("plant_bottom_error", "leaning_error", "noise_error")]
-    several = sum((F.when(k > 0, 1).otherwise(0) for k in kinds), F.lit(0)) >= 2
-    return j.withColumn("error_level", F.greatest(*kinds) + F.when(several, 1).otherwise(0))
+    j = j.select(IMAGE, bottom.alias("plant_bottom_error"), leaning.alias("leaning_error"), noise.alias("noise_error"), guide_error.alias("guide_error"), top_error.alias("plant_top_error"))
+    kinds = [F.col(c) for c in ("plant_bottom_error", "leaning_error", "noise_error", "guide_error", "plant_top_error")]
+    grave = sum((F.when(k >= 2, 1).otherwise(0) for k in kinds), F.lit(0))
+    return j.withColumn("error_level", F.greatest(*kinds) + F.greatest(grave - 1, F.lit(0)))

@@ -272,12 +272,12 @@ def o3(spark, d):
     return c.select_snapshots(fx.snap(spark, d), {}, order_by=[F.desc("date_time"), "event_id"], limit=25).select("luid")
 
 
-@query("o4_random_rows")
+@query("o4_random_rows", sql("snap", "select luid, plant from snap order by md5(luid || ':7'), luid limit 50"))
 def o4(spark, d):
     return c.random_rows(fx.snap(spark, d).select("luid", "plant"), 50, "luid", seed=7, order_by=["luid"])
 
 
-@query("o5_random_order")
+@query("o5_random_order", sql("snap", "select luid from snap order by md5(luid || ':7'), luid"))
 def o5(spark, d):
     return c.shuffled(fx.snap(spark, d).select("luid"), "luid", seed=7)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florascan.functions.names import option_values
-from florascan.operators import catalogue, histogram, objects, pixels
+from florascan.operators import catalogue, histogram, neighbourhood, objects, pixels
 from florascan.operators.pixels import IMAGE
 from florascan.plans import fixtures as fx
 from florascan.plans.fixtures import sql
@@ -160,17 +160,31 @@ def b2(spark, d):
     return out.select(IMAGE, "area", F.round("rgb_b_mean", 6).alias("rgb_b_mean"), F.round("chlorophyll_mean", 4).alias("chlorophyll_mean"))
 
 
+CROSS = "(values (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) as cr(dy, dx)"
+
+
+@query("p5_mask_builder_morphology", sql("mask", f"""rest as (select image_id, y, x from px except select image_id, y, x from mask), hit as (select distinct image_id, y + dy as y, x + dx as x from rest, {CROSS}),
+thin as (select image_id, y, x from mask except select image_id, y, x from hit), wide as (select distinct image_id, y + dy as y, x + dx as x from thin, {CROSS}) select px.image_id, px.y, px.x from px join wide using (image_id, y, x) where r between 60 and 190"""))
+def p5b(spark, d):
+    return build_mask(fx.px(spark, d), [{"method": "range", "channel": "g", "low": 100, "high": 160, "morphology": {"op": "open", "size": 3, "shape": "cross"}}, {"method": "range", "channel": "r", "low": 60, "high": 190}])
+
+
 @query("p5_mask_builder", sql("px", "select image_id, y, x from px where g between 100 and 160 and r between 90 and 150"))
 def p5(spark, d):
     return build_mask(fx.px(spark, d), [{"method": "range", "channel": "g", "low": 100, "high": 160}, {"method": "range", "channel": "r", "low": 90, "high": 150}])
 
 
 def build_mask(px: DataFrame, parameters: Sequence[Mapping], merge: str = "and") -> DataFrame:
-    """A mask from a list of thresholds: method range (channel, low, high) or otsu (channel)."""
+    """A mask from a list of thresholds: method range (channel, low, high) or otsu (channel).
+
+    A threshold may name a morphology step for its own mask: {"op": "open", "size": 3, "shape": "ellipse", "iterations": 1}.
+    """
     masks = []
     for p in parameters:
         if p["method"] == "otsu":
             masks.append(histogram.above_threshold(px, histogram.otsu_thresholds(px, [p["channel"]]), p["channel"]))
         else:
             masks.append(pixels.range_mask(px, p["channel"], p["low"], p["high"]))
+        if step := p.get("morphology"):
+            masks[-1] = neighbourhood.morphology(masks[-1], px, **step)
     return merge_masks(masks, merge)

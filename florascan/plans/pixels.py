@@ -337,6 +337,18 @@ def h4(spark, d):
     return h.equalize(fx.px(spark, d)).select("image_id", "y", "x", "b", "g", "r")
 
 
+BYTE = "cast(greatest(0, least(255, floor(round({}, 6) + 0.5))) as int)"
+LUMA = f"""l0 as (select *, {BYTE.format('0.299 * r + 0.587 * g + 0.114 * b')} as l from px), l1 as (select *, {BYTE.format('0.492 * (b - l) + 128')} - 128 as u, {BYTE.format('0.877 * (r - l) + 128')} - 128 as v from l0),
+l2 as (select image_id, l, count(*) as n from l1 group by 1, 2), l3 as (select *, sum(n) over (partition by image_id order by l) as below, sum(n) over (partition by image_id) as total from l2),
+l4 as (select *, min(below) over (partition by image_id) as least from l3), l5 as (select image_id, l, case when total > least then cast(floor((below - least) * 255::double / (total - least) + 0.5) as int) else l end as q from l4)
+select image_id, y, x, {BYTE.format('q + 2.032 * u')} as b, {BYTE.format('q - 0.395 * u - 0.581 * v')} as g, {BYTE.format('q + 1.140 * v')} as r from l1 join l5 using (image_id, l)"""
+
+
+@query("h4_equalize_luma", sql("px", LUMA))
+def h4b(spark, d):
+    return h.equalize_luma(fx.px(spark, d)).select("image_id", "y", "x", "b", "g", "r")
+
+
 @query("j16_lut_apply", sql("px", "select image_id, y, x, cast(floor(round(255 * pow(g / 255.0::double, 1.0::double / 0.5), 9)) as int) as g from px"))
 def j16(spark, d):
     px = fx.px(spark, d)
@@ -355,11 +367,31 @@ def h6(spark, d):
     return h.triangle_thresholds(fx.px(spark, d))
 
 
-@query("h5_clahe")
+TILES = """t0 as (select image_id, y // 8 as ty, x // 8 as tx, g as value, count(*) as n from px group by 1, 2, 3, 4), t1 as (select *, sum(n) over (partition by image_id, ty, tx)::double as total from t0),
+t2 as (select *, least(n::double, greatest(1::double, total * 2 / 256)) as kept from t1), t3 as (select image_id, ty, tx, total, (total - sum(kept)) / 256 as spread from t2 group by 1, 2, 3, 4), vs as (select unnest(range(256)) as value),
+t4 as (select t3.*, vs.value, coalesce(kept, 0) + spread as m from t3 cross join vs left join t2 on t2.image_id = t3.image_id and t2.ty = t3.ty and t2.tx = t3.tx and t2.value = vs.value),
+t5 as (select image_id, ty, tx, value, sum(m) over (partition by image_id, ty, tx order by value rows unbounded preceding) * 255 / total as mapped from t4),
+fr as (select image_id, y, x, g, (y + 0.5::double) / 8 - 0.5::double as fy, (x + 0.5::double) / 8 - 0.5::double as fx from px),
+ak as (select image_id, y, x, g, floor(fy) + dy as ty, floor(fx) + dx as tx, (1 - abs(fy - floor(fy) - dy)) * (1 - abs(fx - floor(fx) - dx)) as w from fr, (values (0, 0), (0, 1), (1, 0), (1, 1)) as cn(dy, dx))
+select ak.image_id, ak.y, ak.x, ak.g, cast(floor(round(sum(mapped * w) / sum(w), 6) + 0.5) as int) as equalized from ak join t5 on t5.image_id = ak.image_id and t5.ty = ak.ty and t5.tx = ak.tx and t5.value = ak.g group by 1, 2, 3, 4"""
+
+
+@query("h5_clahe", sql("px", TILES))
 def h5(spark, d):
     return h.clahe(fx.px(spark, d), "g").select("image_id", "y", "x", "g", "equalized")
 
 
-@query("a34_kmeans_colours")
+def _lloyd(k: int = 4, rounds: int = 5) -> str:
+    start = ", ".join(f"({j}, {255 * (2 * j + 1) / (2 * k)}::double)" for j in range(k))
+    near = "select {0}.image_id, {1}, j, row_number() over (partition by {0}.image_id, {1} order by (b - cb) * (b - cb) + (g - cg) * (g - cg) + (r - cr) * (r - cr), j) as rank_, cb, cg, cr{2} from {0} join {3} using (image_id)"
+    steps = ["co as (select image_id, b, g, r, count(*) as n from px group by 1, 2, 3, 4)", f"c0 as (select image_id, j, v as cb, v as cg, v as cr from (select distinct image_id from px), (values {start}) as st(j, v))"]
+    for i in range(rounds):
+        means = ", ".join(f"round(sum({c} * n) / sum(n), 6) as c{c}" for c in "bgr")
+        steps += [f"n{i} as ({near.format('co', 'b, g, r', ', n', f'c{i}')})", f"c{i + 1} as (select image_id, j, {means} from n{i} where rank_ = 1 group by 1, 2)"]
+    places = near.format("px", "y, x", "", f"c{rounds}")
+    return ", ".join(steps) + f" select image_id, y, x, j as cluster, " + ", ".join(f"cast(floor(c{c} + 0.5) as int) as {c}_centre" for c in "bgr") + f" from ({places}) where rank_ = 1"
+
+
+@query("a34_kmeans_colours", sql("px", _lloyd()))
 def a34(spark, d):
     return h.kmeans_colours(fx.px(spark, d)).select("image_id", "y", "x", "cluster", "b_centre", "g_centre", "r_centre")

@@ -8,6 +8,7 @@ import math
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from florascan.operators import edges as ed
 from florascan.operators import histogram as h
 from florascan.operators import neighbourhood as n
 from florascan.operators import objects as o
@@ -103,6 +104,17 @@ def n9(spark, d):
     return n.local_binary_pattern(fx.px(spark, d), "g")
 
 
+RING8 = f"pts(k, dy, dx, w) as (values {', '.join(f'({k}, {dy}, {dx}, {w}::double)' for k, dy, dx, w in n.circle_points())})"
+
+
+@query("n9_circular_pattern", sql("px", f"""{RING8}, mx as (select a.image_id, a.y, a.x, a.g, k, sum(b.g * w) as v, count(*) as m from px a cross join pts join px b on b.image_id = a.image_id and b.y = a.y + dy and b.x = a.x + dx group by 1, 2, 3, 4, 5),
+pt as (select image_id, y, x, sum(case when round(v, 5) >= g then 1 << k else 0 end)::bigint as pattern from mx group by 1, 2, 3 having sum(m) = {len(n.circle_points())}), tp as (select *, max(pattern) over (partition by image_id)::double as top from pt)
+select image_id, y, x, pattern, case when pattern < round(top * 10 / 100, 6) then 0::double when pattern > round(top * 80 / 100, 6) then round(top * 80 / 100, 6) else pattern::double end as cut from tp"""))
+def n9b(spark, d):
+    pattern = n.circular_pattern(fx.px(spark, d), "g")
+    return n.cut_levels(pattern.withColumn("cut", F.col("pattern")), "cut", 10, 20)
+
+
 @query("n10_hough_lines", sql("mask", "th as (select unnest(generate_series(0, 177, 3)) as theta), v as (select image_id, cast(floor(round(x * round(cos(radians(theta)), 12) + y * round(sin(radians(theta)), 12), 6) + 0.5) as int) as rho, theta::int as theta, count(*) as votes from mask, th group by 1, 2, 3) select * from v where votes >= 12"))
 def n10(spark, d):
     return n.hough_lines(fx.mask(spark, d), 12)
@@ -231,6 +243,19 @@ def m11(spark, d):
     return o.clean_horizontal_noise(fx.mask(spark, d), 1, 1)
 
 
+REPAIR = """mk as (select image_id, y, x from px where g between 85 and 220), wd as (select image_id, max(x) - min(x) + 1 as width from px group by 1),
+sl as (select px.image_id, px.y, count(mk.x) as c, coalesce(max(mk.x) - min(mk.x) + 1, 0) as sp from px left join mk on mk.image_id = px.image_id and mk.y = px.y and mk.x = px.x group by 1, 2),
+fl as (select sl.*, sp > 0 and c >= 0.99 * sp and sp >= width - 4 as filled from sl join wd using (image_id)),
+nb as (select f.image_id, f.y, (select max(u.y) from fl u where u.image_id = f.image_id and u.y < f.y and not u.filled) as up, (select min(u.y) from fl u where u.image_id = f.image_id and u.y > f.y and not u.filled) as down from fl f where filled)
+select mk.image_id, mk.y, mk.x from mk join fl on fl.image_id = mk.image_id and fl.y = mk.y where not filled union select nb.image_id, nb.y, mk.x from nb join mk on mk.image_id = nb.image_id and (mk.y = nb.up or mk.y = nb.down)"""
+
+
+@query("m11_repair_rows", sql("px", REPAIR))
+def m11b(spark, d):
+    px = fx.px(spark, d)
+    return o.repair_full_rows(px.filter(F.col("g").between(85, 220)), px)
+
+
 def labelled(name: str = "lab", of: str = "mask", reach: int = 1) -> str:
     return f"""{name}_p as (select image_id, y, x, y * 1000 + x as id from {of}),
 {name}_e as (select a.image_id, a.id as a, b.id as b from {name}_p a join {name}_p b on a.image_id = b.image_id and {'abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1' if reach else 'abs(a.y - b.y) + abs(a.x - b.x) <= 1'}),
@@ -273,6 +298,19 @@ def m5(spark, d):
     return o.fill_holes(fx.mask(spark, d), fx.px(spark, d))
 
 
+PART = "pa as (select image_id, y, x from mask where x >= 3 and x < 19 and y >= 5 and y < 40), rest as (select image_id, y, x from px except select image_id, y, x from pa), " + labelled("bg", "rest", 0) + ", en as (select image_id, min(y) y0, max(y) y1, min(x) x0, max(x) x1 from px group by 1), ou as (select distinct image_id, root from bg join en using (image_id) where y = y0 or y = y1 or x = x0 or x = x1), ho as (select bg.* from bg where not exists (select 1 from ou where ou.image_id = bg.image_id and ou.root = bg.root))"
+
+
+@query("m5_fill_holes_region", sql("mask", PART + " select image_id, y, x from mask union select image_id, y, x from ho"))
+def m5b(spark, d):
+    return o.fill_holes(fx.mask(spark, d), fx.px(spark, d), r.region_column(r.rectangle(1, "part", 3, 5, 16, 35, "main")))
+
+
+@query("m5_count_holes", sql("mask", PART + ", ct as (select image_id, count(distinct root) as holes, count(*) as hole_pixels from ho group by 1) select image_id, coalesce(holes, 0) as holes, coalesce(hole_pixels, 0) as hole_pixels from (select distinct image_id from px) left join ct using (image_id)"))
+def m5c(spark, d):
+    return o.count_holes(fx.mask(spark, d), fx.px(spark, d), r.region_column(r.rectangle(1, "part", 3, 5, 16, 35, "main")))
+
+
 OBJ = labelled() + ", ob as (select image_id, root, count(*) as area, min(x) as x0, min(y) as y0, max(x) - min(x) + 1 as w, max(y) - min(y) + 1 as h from lab group by 1, 2), big as (select * from (select *, row_number() over (partition by image_id order by area desc, root) k from ob) where k = 1)"
 
 
@@ -305,6 +343,33 @@ def m9(spark, d):
     return o.keep_linked(small_mask(spark, d), 3, 2)
 
 
+OVER = OBJ.replace("from mask)", "from small)").replace("lab as (", "la0 as (").replace(", ob as (", ", sz as (select image_id, root from la0 group by 1, 2 having count(*) >= 2), lab as (select la0.* from la0 join sz using (image_id, root)), ob as (")
+
+
+@query("m9_keep_linked_override", sql("px", SMALL + OVER + DIST + ", gd as (select image_id, root from ob where area >= 3), st as (select image_id, root from big union select distinct ob.image_id, ob.root from ob join lab using (image_id, root) where area > 4 and lab.x >= 3 and lab.x < 11 and lab.y >= 5 and lab.y < 17)" + REACH.format(start="st", ok="join (select * from gd union select * from st) gs on gs.image_id = ds.image_id and gs.root = ds.b")))
+def m9b(spark, d):
+    return o.keep_linked(small_mask(spark, d), 3, 3, override=4, safe=r.region_column(RECT), drop_below=2)
+
+
+CLASSES = OBJ.replace("from mask)", "from small)") + DIST.replace("< 9", "< 16") + f""", grow(dy, dx) as (values {', '.join(map(str, n.structuring_element(3)))}), zone as (select distinct image_id, y + dy as y, x + dx as x from px, grow where x >= 3 and x < 11 and y >= 5 and y < 17),
+tc as (select distinct image_id, root from lab join zone using (image_id, y, x)), kd as (select ob.image_id, ob.root, case when tc.root is null then 'unknown' when area > 2 then 'root' else 'small' end as kind from ob left join tc on tc.image_id = ob.image_id and tc.root = ob.root),
+k1 as (select image_id, root from kd where kind = 'root' union select ds.image_id, ds.b from k1 join ds on ds.image_id = k1.image_id and ds.a = k1.root and distance < 2 join kd on kd.image_id = ds.image_id and kd.root = ds.b and kind = 'small'),
+k2 as (select image_id, root from k1 union select ds.image_id, ds.b from k2 join ds on ds.image_id = k2.image_id and ds.a = k2.root and distance < 4 join kd on kd.image_id = ds.image_id and kd.root = ds.b and kind = 'unknown')"""
+
+
+@query("m10_region_classes", sql("px", SMALL + CLASSES + NUM + """, k3 as (select image_id, root, root as plant from kd where kind = 'root' union select ds.image_id, ds.b, k3.plant from k3 join ds on ds.image_id = k3.image_id and ds.a = k3.root and distance < 3 join kd on kd.image_id = ds.image_id and kd.root = ds.b and kind = 'root'),
+k4 as (select image_id, root, min(plant) as plant from k3 group by 1, 2) select kd.image_id, nm.label, kind, np.label as plant, k2.root is not null as kept from kd join nm using (image_id, root) left join k2 on k2.image_id = kd.image_id and k2.root = kd.root left join k4 on k4.image_id = kd.image_id and k4.root = kd.root left join nm np on np.image_id = k4.image_id and np.root = k4.plant"""))
+def m10b(spark, d):
+    px = fx.px(spark, d)
+    region = n.dilate(px.filter(r.region_column(RECT)), px, 3)
+    return o.region_classes(o.label_objects(small_mask(spark, d)), region, 2, small_distance=2, unknown_distance=4, root_distance=3)
+
+
+@query("m10_keep_region_classes", sql("px", SMALL + CLASSES + " select lab.image_id, lab.y, lab.x from lab join (select distinct image_id, root from k2) using (image_id, root)"))
+def m10c(spark, d):
+    return o.keep_region_classes(small_mask(spark, d), fx.px(spark, d), r.region_column(RECT), dilation=3, min_root=2, small_distance=2, unknown_distance=4, root_distance=3)
+
+
 @query("m10_keep_near_regions", sql("px", SMALL + OBJ.replace("from mask)", "from small)") + DIST + ", gd as (select image_id, root from ob where area >= 2 union select image_id, root from lab where x >= 3 and x < 11 and y >= 5 and y < 17), st as (select distinct image_id, root from lab where x >= 3 and x < 11 and y >= 5 and y < 17)" + REACH.format(start="st", ok="join gd on gd.image_id = ds.image_id and gd.root = ds.b")))
 def m10(spark, d):
     return o.keep_near_regions(small_mask(spark, d), r.region_column(RECT), 3, 2)
@@ -316,6 +381,27 @@ def h7(spark, d):
     return o.hysteresis(edges.filter("edge > 110"), edges.filter("edge > 160"))
 
 
+def _across(dy: int, dx: int) -> str:
+    return f"greatest(coalesce((select b.edge from gr b where b.image_id = gr.image_id and b.y = gr.y + {dy} and b.x = gr.x + {dx}), 0), coalesce((select b.edge from gr b where b.image_id = gr.image_id and b.y = gr.y - {dy} and b.x = gr.x - ({dx})), 0))"
+
+
+FLAT = math.tan(math.pi / 8)
+CANNY = gauss(5) + ", sm as (select image_id, y, x, round(smooth, 6) as g from g2), " + ", ".join(convolved(k, t).replace("px a", "sm a").replace("px b", "sm b") for k, t in (("sobel_h", "kh"), ("sobel_v", "kv"))) + f""",
+ge as (select kh.image_id, kh.y, kh.x, round(kh.edge, 6) as gy, round(kv.edge, 6) as gx from kh join kv on kh.image_id = kv.image_id and kh.y = kv.y and kh.x = kv.x), gr as (select *, sqrt(gy * gy + gx * gx) as edge from ge),
+nm as (select image_id, y, x, edge, case when abs(gy) <= abs(gx) * {FLAT}::double then {_across(0, 1)} when abs(gx) <= abs(gy) * {FLAT}::double then {_across(1, 0)} when gy * gx > 0 then {_across(1, 1)} else {_across(1, -1)} end as beside from gr),
+th as (select image_id, y, x, edge from nm where edge > 0 and edge >= beside)"""
+
+
+@query("e1_thin_edges", sql("px", CANNY + " select image_id, y, x, round(edge, 4) as edge from th"))
+def e1(spark, d):
+    return ed.thin_edges(ed.gradients(fx.px(spark, d), "g")).withColumn("edge", F.round("edge", 4))
+
+
+@query("e1_canny", sql("px", CANNY + ", weak as (select image_id, y, x from th where edge > 60), " + labelled("lab", "weak") + ", sd as (select distinct lab.image_id, root from lab join th using (image_id, y, x) where edge > 150) select image_id, y, x from lab join sd using (image_id, root)"))
+def e1b(spark, d):
+    return ed.canny(fx.px(spark, d), "g", 60, 150)
+
+
 @query("a20_shape", sql("mask", "select image_id, count(*) as area, round(avg(x), 6) as centroid_x, round(avg(y), 6) as centroid_y, min(mask.x) as \"left\", min(mask.y) as top, max(x) - min(x) + 1 as width, max(y) - min(y) + 1 as height, round(count(*)::double / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)), 6) as extent from mask group by 1"))
 def a20(spark, d):
     return o.shape_features(fx.mask(spark, d)).withColumns({c: F.round(c, 6) for c in ("centroid_x", "centroid_y", "extent")})
@@ -339,11 +425,17 @@ def a21(spark, d):
 @query("a33_quality_report", sql("mask", LINES + """, no as (select distinct image_id, y from px where y % 9 = 4 and x = 0), sc as (select image_id, min(y) top, max(y) bottom, arg_min(first, y) f, arg_min(last, y) l, arg_min(span, y) sp from ln group by 1),
 hit as (select no.image_id, count(*) filter (no.y between top and bottom) as hit, count(*) as noise from no join sc on sc.image_id = no.image_id group by 1),
 er as (select sc.image_id, case when bottom < 110 - 60 then 3 else 0 end as plant_bottom_error, case when f <= 10 and sp < 21 / 3.0 then 2 when l >= 21 - 10 and sp < 110 / 3.0 then 2 else 0 end as leaning_error,
-  case when coalesce(noise, 0) = 0 then 0 when hit = 0 then 1 else (case when (bottom - top)::double / greatest(hit, 1) > 100 then 1 when (bottom - top)::double / greatest(hit, 1) > 40 then 2 else 3 end) + case when noise > hit then 1 else 0 end end as noise_error from sc left join hit using (image_id))
-select *, greatest(plant_bottom_error, leaning_error, noise_error) + case when (plant_bottom_error > 0)::int + (leaning_error > 0)::int + (noise_error > 0)::int >= 2 then 1 else 0 end as error_level from er"""))
+  case when coalesce(noise, 0) = 0 then 0 when hit = 0 then 1 else (case when (bottom - top)::double / greatest(hit, 1) > 100 then 1 when (bottom - top)::double / greatest(hit, 1) > 40 then 2 else 3 end) + case when noise > hit then 1 else 0 end end as noise_error from sc left join hit using (image_id)),
+gd as (select image_id, case when avg(last_ - first_ + 1) > 6 then 1 else 0 end + case when sum(last_ - first_ + 1)::double / sum(c) > 1.1 then 1 else 0 end as guide_error from (select image_id, y, min(x) as first_, max(x) as last_, count(*) as c from mask where y < 10 and x between 8 and 16 group by 1, 2) group by 1),
+tp as (select image_id, min(y) as e, min(case when x = 10 then y end) as p, max(case when x = 10 then y end) as f from mask group by 1),
+al as (select er.*, coalesce(guide_error, 0) as guide_error, (case when e <> 0 and abs(p - e) > 30 then 2 else 0 end) + (case when e <> 0 and abs(f - e) > 30 then 2 else 0 end) as plant_top_error from er left join gd using (image_id) left join tp using (image_id))
+select *, greatest(plant_bottom_error, leaning_error, noise_error, guide_error, plant_top_error) + greatest((plant_bottom_error >= 2)::int + (leaning_error >= 2)::int + (noise_error >= 2)::int + (guide_error >= 2)::int + (plant_top_error >= 2)::int - 1, 0) as error_level from al"""))
 def a33(spark, d):
     noise = fx.px(spark, d).filter("y % 9 = 4 and x = 0").select("image_id", "y").distinct()
-    return o.quality_report(fx.mask(spark, d), 21, 110, noise)
+    mask = fx.mask(spark, d)
+    at_ten = F.when(F.col("x") == 10, F.col("y"))
+    tops = mask.groupBy("image_id").agg(F.min("y").alias("expected_top"), F.min(at_ten).alias("plant_top"), F.max(at_ten).alias("final_top"))
+    return o.quality_report(mask, 21, 110, noise, guide=mask.filter("y < 10 and x between 8 and 16"), tops=tops)
 
 
 # --- regions ---------------------------------------------------------------------------------------------------------
