@@ -358,11 +358,11 @@ k2 as (select image_id, root from k1 union select ds.image_id, ds.b from k2 join
 
 
 @query("m10_region_classes", sql("px", SMALL + CLASSES + NUM + """, k3 as (select image_id, root, root as plant from kd where kind = 'root' union select ds.image_id, ds.b, k3.plant from k3 join ds on ds.image_id = k3.image_id and ds.a = k3.root and distance < 3 join kd on kd.image_id = ds.image_id and kd.root = ds.b and kind = 'root'),
-k4 as (select image_id, root, min(plant) as plant from k3 group by 1, 2) select kd.image_id, nm.label, kind, np.label as plant, k2.root is not null as kept from kd join nm using (image_id, root) left join k2 on k2.image_id = kd.image_id and k2.root = kd.root left join k4 on k4.image_id = kd.image_id and k4.root = kd.root left join nm np on np.image_id = k4.image_id and np.root = k4.plant"""))
+k4 as (select image_id, root, min(plant) as plant from k3 group by 1, 2) select kd.image_id, nm.label, kind, coalesce(np.label, 0) as plant, k2.root is not null as kept from kd join nm using (image_id, root) left join k2 on k2.image_id = kd.image_id and k2.root = kd.root left join k4 on k4.image_id = kd.image_id and k4.root = kd.root left join nm np on np.image_id = k4.image_id and np.root = k4.plant"""))
 def m10b(spark, d):
     px = fx.px(spark, d)
     region = n.dilate(px.filter(r.region_column(RECT)), px, 3)
-    return o.region_classes(o.label_objects(small_mask(spark, d)), region, 2, small_distance=2, unknown_distance=4, root_distance=3)
+    return o.region_classes(o.label_objects(small_mask(spark, d)), region, 2, small_distance=2, unknown_distance=4, root_distance=3).fillna(0, ["plant"])
 
 
 @query("m10_keep_region_classes", sql("px", SMALL + CLASSES + " select lab.image_id, lab.y, lab.x from lab join (select distinct image_id, root from k2) using (image_id, root)"))
