@@ -60,8 +60,15 @@ def same_text(col: Column, value: str) -> Column:
 
 
 def any_mask(masks: Sequence[Mapping[str, Sequence[str]]]) -> Column:
-    """True where a row meets every key of at least one mask; texts compare in lower case; the key * is ignored."""
-    each = [reduce(lambda a, b: a & b, [F.lower(F.col(k)).isin([v.lower() for v in values]) for k, values in m.items() if k != "*"], F.lit(True)) for m in masks]
+    """True where a row meets every key of at least one mask; texts compare in lower case.
+
+    A key named * and one whose values hold * are jokers, met by every row. A null meets no key, so the answer is never null.
+    """
+
+    def meets(key: str, values: Sequence[str]) -> Column:
+        return F.coalesce(F.lower(F.col(key)).isin([v.lower() for v in values]), F.lit(False))
+
+    each = [reduce(lambda a, b: a & b, [meets(k, values) for k, values in m.items() if k != "*" and "*" not in values], F.lit(True)) for m in masks]
     return reduce(lambda a, b: a | b, each, F.lit(False))
 
 

@@ -13,6 +13,8 @@ from florascan.plans import fixtures as fx
 from florascan.plans.fixtures import sql
 from florascan.plans.registry import query
 from florascan.sources import tables as t
+from florascan.sources.storage import new_path
+
 
 def stamp():
     return F.date_format("date_time", "yyyy-MM-dd HH:mm:ss").alias("date_time")
@@ -29,7 +31,9 @@ def s5(spark, d):
 @query("s6_add_new", sql("snap", "select luid, event_id from snap where event_id % 2 = 0 or plant < 'p0100'"))
 def s6(spark, d):
     snap = fx.snap(spark, d).select("luid", "event_id", "plant")
-    return t.add_new(snap.filter("event_id % 2 = 0"), snap.filter("plant < 'p0100'")).select("luid", "event_id")
+    found = snap.filter("plant < 'p0100'")
+    found = found.withColumn("event_id", F.col("event_id") + 1_000_000).unionByName(found)  # every key is found twice
+    return t.add_new(snap.filter("event_id % 2 = 0"), found, order=[F.col("event_id")]).select("luid", "event_id")
 
 
 @query("s7_relational_catalogue", "select o_orderkey, c_name, n_name, r_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
@@ -44,10 +48,13 @@ def s8(spark, d):
     return t.list_experiments(fx.snap(spark, d), "experiment")
 
 
-@query("s10_partial_union", sql("snap", "select luid, camera, null as angle from snap where camera = 'click' union all select luid, null, angle from snap where camera = 'view'"))
+@query("s10_partial_union", sql("snap", """select luid, case when event_id % 3 = 2 then null else camera end as camera, case when event_id % 3 = 0 then null else angle end as angle,
+  case when event_id % 3 = 1 then job_id::varchar end as job_id from snap"""))
 def s10(spark, d):
-    snap = fx.snap(spark, d)
-    return snap.filter("camera = 'click'").select("luid", "camera").unionByName(snap.filter("camera = 'view'").select("luid", "angle"), allowMissingColumns=True)
+    snap, folder = fx.snap(spark, d), new_path(spark, "partials")
+    for k, columns in enumerate((["luid", "camera"], ["angle", "luid", "job_id", "camera"], ["angle", "luid"])):
+        t.write_sheet(snap.filter(F.col("event_id") % 3 == k).select(*columns), f"{folder}/{k}")
+    return t.read_partial_results(spark, [folder], "*.csv").select("luid", "camera", "angle", "job_id")
 
 
 @query("s11_sheet", "select p_partkey as part_key, replace(p_type, ',', ' ') as part_type, p_size as part_size from part")
@@ -90,6 +97,13 @@ def f8(spark, d):
     return c.mask_filter(fx.snap(spark, d).withColumn("job_id", F.col("job_id").cast("string")), **masks, cut_at=date(2024, 1, 20)).select("luid")
 
 
+@query("f9_exclude_nulls", sql("snap", "w as (select luid, event_id, case when event_id % 4 > 0 then wavelength end as wavelength from snap) select luid from w where not coalesce(wavelength = 'sw755', false) and not coalesce(wavelength = 'wl_530' and luid > 'exp2', false)"))
+def f9(spark, d):
+    snap = fx.snap(spark, d).withColumn("wavelength", F.when(F.col("event_id") % 4 > 0, F.col("wavelength")))
+    late = F.when(F.col("luid") > "exp2", "yes")
+    return c.mask_filter(snap.withColumn("late", late), exclude=[{"wavelength": ["SW755"]}, {"wavelength": ["wl_530"], "late": ["yes"]}]).select("luid")
+
+
 @query("f12_compare_times", sql("snap", """select luid, date_time::date = date '2024-01-10' as at_date, date_time::date < date '2024-01-10' as before_date,
   hour(date_time) * 3600 + minute(date_time) * 60 + second(date_time) > 43200 as after_noon, date_time > timestamp '2024-01-15 12:00:00' as after_ts from snap"""))
 def f12(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.utils import AnalysisException
 
+from florascan.sources.storage import stored
+
 IMAGE_TYPES = ("jpg", "jpeg", "tif", "tiff", "png", "bmp")
 
 
@@ -69,9 +72,14 @@ def read_catalogue(spark: SparkSession, path: str, schema: str, key: str = "luid
     return keep_first(rows, [key], [F.col("__at")]).drop("__at")
 
 
-def add_new(catalogue: DataFrame, found: DataFrame, key: str = "luid") -> DataFrame:
-    """The catalogue and the found rows whose keys it lacks."""
-    return catalogue.unionByName(found.join(catalogue.select(key), key, "left_anti"), allowMissingColumns=True)
+def add_new(catalogue: DataFrame, found: DataFrame, key: str = "luid", order: Sequence[Column] = ()) -> DataFrame:
+    """The catalogue and, of the found rows, the first of each key that it lacks (by order, else as they come).
+
+    Keys compare as the catalogue's primary key does; a null counts as a key like any other.
+    """
+    known = catalogue.select(F.col(key).alias("__known")).distinct()
+    new = found.join(known, F.col(key).eqNullSafe(F.col("__known")), "left_anti").withColumn("__at", F.monotonically_increasing_id())
+    return catalogue.unionByName(keep_first(new, [key], [*order, F.col("__at")]).drop("__at"), allowMissingColumns=True)
 
 
 def relational_catalogue(parts: DataFrame, links: DataFrame, groups: DataFrame, items: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
@@ -98,12 +106,30 @@ def cached_catalogue(spark: SparkSession, path: str, build, reset: bool = False)
 
 
 def read_partial_results(spark: SparkSession, folders: Sequence[str], pattern: str = "*_result.csv") -> DataFrame:
-    """All partial results; columns that one folder lacks are null there."""
-    parts = [spark.read.csv(f, header=True, recursiveFileLookup=True, pathGlobFilter=pattern) for f in folders]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    """All partial results below the folders as text columns, each file read by the header that it carries.
+
+    Columns are aligned by name (without case, the first spelling counts); what a file lacks is null there. Of a name that
+    a header repeats the first column counts. Columns come in the order of the files' paths. Files meet their headers by a
+    join on the path, so neither paths nor rows pass through the driver; the distinct headers do. Empty files count nowhere.
+    """
+    lines = spark.read.text(list(folders), recursiveFileLookup=True, pathGlobFilter=pattern)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = stored(lines.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value").filter(F.trim("value") != ""), "partial-results")
+    first = lines.groupBy("file").agg(F.min("place").alias("first"), F.min_by("value", "place").alias("header"))
+    headers = first.groupBy("header").agg(F.min("file").alias("file")).orderBy("file", "header").collect()
+    parsed = [[name.strip() for name in next(csv.reader([r.header]))] for r in headers]
+    names = {name.lower(): name for own in reversed(parsed) for name in reversed(own)}
+    order = list(dict.fromkeys(name.lower() for own in parsed for name in own))
+    width = max(map(len, parsed), default=1)
+
+    def fields(line: Column) -> Column:
+        row = F.from_csv(line, ", ".join(f"c{k} string" for k in range(width)))
+        return F.array(*[row[f"c{k}"] for k in range(width)])
+
+    named = first.select("file", "first", F.transform(fields(F.col("header")), lambda name: F.lower(F.trim(name))).alias("names"))
+    rows = lines.join(named, "file").filter(F.col("place") != F.col("first")).select("names", fields(F.col("value")).alias("values"))
+    at = {name: F.array_position("names", name).cast("int") for name in order}
+    return rows.select(*[F.when(at[name] > 0, F.get("values", at[name] - 1)).alias(names[name]) for name in order])
 
 
 def sheet_columns(df: DataFrame) -> DataFrame:

@@ -207,3 +207,32 @@ def test_series_of_repeated_null_and_untimed_rows(spark):
 def test_noise_is_cleaned_until_none_is_left(spark):
     mask = spark.createDataFrame([(0, y, x) for y, x in ((0, 0), (0, 1), (1, 1), (5, 3), (7, 3), (7, 4))], "image_id int, y int, x int")
     assert {(r.y, r.x) for r in objects.clean_horizontal_noise(mask).collect()} == {(0, 0), (0, 1), (1, 1)}
+
+
+def test_partial_results_are_read_by_their_own_headers(spark, tmp_path):
+    files = {
+        "a_result.csv": "luid,area,height\na,1,2\n", "b_result.csv": "luid,hull,Area\nb,9,5\n\nb2,8\n", "c/c_result.csv": 'height,luid,area,luid\n"7,5",c,,other\n',
+        "d_result.csv": "", "e_result.csv": "luid,only_header\n", "f.csv": "luid,area\nno,1\n", "g_result.csv": "luid,area,height\ng,3,4\n",
+    }
+    (tmp_path / "c").mkdir()
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    out = tables.read_partial_results(spark, [str(tmp_path)])
+    assert out.columns == ["luid", "area", "height", "hull", "only_header"]
+    expected = {("a", "1", "2", None, None), ("b", "5", None, "9", None), ("b2", None, None, "8", None), ("c", None, "7,5", None, None), ("g", "3", "4", None, None)}
+    assert {tuple(r) for r in out.collect()} == expected
+
+
+def test_new_rows_come_once(spark):
+    known = spark.createDataFrame([("a", 1), (None, 2)], "luid string, n int")
+    found = spark.createDataFrame([("b", 9), ("b", 3), ("a", 4), (None, 5)], "luid string, n int")
+    assert {tuple(r) for r in tables.add_new(known, found, order=[F.col("n")]).collect()} == {("a", 1), (None, 2), ("b", 3)}
+    assert tables.add_new(known, found.limit(0)).count() == 2 and tables.add_new(known.limit(0), found).count() == 3
+
+
+def test_masks_meet_nulls(spark):
+    df = spark.createDataFrame([("a", None), ("b", "SW755"), ("c", "x")], "luid string, wavelength string")
+    luids = lambda **masks: {r.luid for r in catalogue.mask_filter(df, **masks).collect()}
+    assert luids(exclude=[{"wavelength": ["sw755"]}]) == {"a", "c"}
+    assert luids(include=[{"wavelength": ["sw755", "x"]}], exclude=[{"wavelength": ["X"]}]) == {"b"}
+    assert luids(include=[{"wavelength": ["*"], "luid": ["A", "b"]}]) == {"a", "b"} and luids(post=[{"wavelength": ["x"]}], force=[{"luid": ["a"]}]) == {"a", "c"}
