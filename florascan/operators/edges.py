@@ -4,20 +4,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from florascan.operators.neighbourhood import PLACE, convolve3, gaussian
+from florascan.operators.blocks import KEEP, PLACE, shifted, stencil
+from florascan.operators.neighbourhood import convolutions, gaussian
 from florascan.operators.objects import hysteresis
-from florascan.operators.pixels import IMAGE
-
-AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
 
 def gradients(px: DataFrame, channel: str, size: int = 5) -> DataFrame:
     """(image_id, y, x, gy, gx, edge): Sobel differences of the smoothed channel and their length; inner pixels only."""
     smooth = gaussian(px, channel, size).select(*PLACE, F.round("smooth", 6).alias("smooth"))
-    both = convolve3(smooth, "smooth", "sobel_h", "gy").join(convolve3(smooth, "smooth", "sobel_v", "gx"), PLACE)
+    both = convolutions(smooth, "smooth", {"gy": "sobel_h", "gx": "sobel_v"})
     both = both.select(*PLACE, F.round("gy", 6).alias("gy"), F.round("gx", 6).alias("gx"))
     return both.withColumn("edge", F.sqrt(F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx")))
 
@@ -25,20 +24,18 @@ def gradients(px: DataFrame, channel: str, size: int = 5) -> DataFrame:
 def thin_edges(grads: DataFrame) -> DataFrame:
     """(image_id, y, x, edge) of places at least as strong as both neighbours across the edge, in one of four directions.
 
-    A missing neighbour counts as zero. Each place sends its strength to the eight around it: one shuffle by place.
+    A missing neighbour counts as zero.
     """
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in AROUND])
-    sent = grads.select(IMAGE, "y", "x", "gy", "gx", "edge", F.explode(steps).alias("o"))
-    from_ = lambda dy, dx, c="edge": F.max(F.when((F.col("o.dy") == -dy) & (F.col("o.dx") == -dx), F.col(c)))
-    met = sent.groupBy(IMAGE, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(
-        from_(0, 0, "gy").alias("gy"), from_(0, 0, "gx").alias("gx"), *[F.coalesce(from_(dy, dx), F.lit(0.0)).alias(f"e{k}") for k, (dy, dx) in enumerate(AROUND)]
-    )
-    gy, gx, flat = F.abs("gy"), F.abs("gx"), math.tan(math.pi / 8)
-    at = {o: F.col(f"e{k}") for k, o in enumerate(AROUND)}
-    top = lambda dy, dx: F.greatest(at[dy, dx], at[-dy, -dx])
-    across = F.when(gy <= gx * flat, top(0, 1)).when(gx <= gy * flat, top(1, 0)).when(F.col("gy") * F.col("gx") > 0, top(1, 1)).otherwise(top(1, -1))
-    own = at[0, 0]
-    return met.filter(F.col("gy").isNotNull() & (own > 0) & (own >= across)).select(*PLACE, own.alias("edge"))
+    flat = math.tan(math.pi / 8)
+
+    def thin(planes, exists):
+        edge, gy, gx = planes["edge"], np.abs(planes["gy"]), np.abs(planes["gx"])
+        top = lambda dy, dx: np.maximum(shifted(edge, dy, dx), shifted(edge, -dy, -dx))
+        across = np.where(planes["gy"] * planes["gx"] > 0, top(1, 1), top(1, -1))
+        across = np.where(gy <= gx * flat, top(0, 1), np.where(gx <= gy * flat, top(1, 0), across))
+        return {"thin": edge, KEEP: (edge > 0) & (edge >= across)}
+
+    return stencil(grads, 1, ["gy", "gx", "edge"], "thin double", thin).select(*PLACE, F.col("thin").alias("edge"))
 
 
 def canny(px: DataFrame, channel: str, low: float, high: float, size: int = 5) -> DataFrame:

@@ -1,7 +1,7 @@
 """Windows around pixels: box statistics, local thresholds, filters, edges, morphology, textures, votes.
 
-Rectangles are separable: one window along rows, one along columns. Other shapes send each pixel to the places it counts
-for (a short literal list of offsets) and group by place. Borders use the pixels that exist.
+All of them but the votes are stencils on blocks of pixels (see ``blocks``): rows are shuffled once, and their number does not
+depend on the window. Borders use the pixels that exist. Channels hold no nulls.
 """
 
 from __future__ import annotations
@@ -9,25 +9,25 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from florascan.operators.blocks import KEEP, PLACE, box_sum, counts, mask_stencil, shifted, spread, stencil, windowed_max, windowed_median
 from florascan.operators.pixels import IMAGE
 
-PLACE = [IMAGE, "y", "x"]
-
 
 def _odd(n: int) -> int:
     return n + 1 - n % 2
 
 
 def box_sums(px: DataFrame, values: dict[str, Column], r: int) -> DataFrame:
-    """px with each value summed over the (2r + 1)-square around the pixel: along x, then along y."""
-    along_x = W.partitionBy(IMAGE, "y").orderBy("x").rangeBetween(-r, r)
-    along_y = W.partitionBy(IMAGE, "x").orderBy("y").rangeBetween(-r, r)
-    rows = px.withColumns(values).withColumns({n: F.sum(n).over(along_x) for n in values})
-    return rows.withColumns({n: F.sum(n).over(along_y) for n in values})
+    """px with each value summed over the (2r + 1)-square around the pixel."""
+    df = px.withColumns(values)
+    kinds = {n: "long" if isinstance(df.schema[n].dataType, T.IntegralType) else "double" for n in values}
+    return stencil(df, r, list(values), ", ".join(f"{n} {kind}" for n, kind in kinds.items()), lambda planes, exists: {n: box_sum(planes[n].astype(np.int64 if kinds[n] == "long" else np.float64), r) for n in kinds})
 
 
 def box_stats(px: DataFrame, channel: str, r: int) -> DataFrame:
@@ -58,38 +58,46 @@ def sauvola(px: DataFrame, channel: str, window: int = 25, k: float = 0.2, span:
     return df.filter(F.col(channel) > F.round(F.col("box_mean") * (1 + k * (F.col("box_std") / span - 1)), 6)).select(*px.columns)
 
 
-def _send(px: DataFrame, offsets: Sequence[tuple[int, int, float]], value: Column) -> DataFrame:
-    """(image_id, y, x, v, w): each pixel's value at every place an offset leads to."""
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(float(w)).alias("w")) for dy, dx, w in offsets])
-    out = px.select(IMAGE, "y", "x", value.alias("v"), F.explode(steps).alias("o"))
-    return out.select(IMAGE, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "v", F.col("o.w").alias("w"))
-
-
 def gaussian(px: DataFrame, channel: str, size: int, name: str = "smooth") -> DataFrame:
     """px with a Gaussian mean, sigma (size - 1) / 6, rows and then columns, over the pixels that exist."""
     size, r = _odd(size), _odd(size) // 2
     sigma = max((size - 1) / 6, 1e-6)
     weights = {k: math.exp(-k * k / (2 * sigma * sigma)) for k in range(-r, r + 1)}
-    rows = _send(px, [(0, k, w) for k, w in weights.items()], F.col(channel)).groupBy(*PLACE).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("u"))
-    both = _send(rows.join(px.select(*PLACE), PLACE), [(k, 0, w) for k, w in weights.items()], F.col("u")).groupBy(*PLACE).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias(name))
-    return px.join(both, PLACE)
+
+    def smooth(planes, exists):
+        out, there = np.where(exists, planes[channel], 0).astype(np.float64), exists.astype(np.float64)
+        for dy, dx in ((0, 1), (1, 0)):
+            total, share = np.zeros_like(out), np.zeros_like(out)
+            for k, w in weights.items():
+                total += w * shifted(out, k * dy, k * dx)
+                share += w * shifted(there, k * dy, k * dx)
+            out = np.where(exists, total / np.where(share > 0, share, 1), 0)
+        return {name: out}
+
+    return stencil(px, r, [channel], f"{name} double", smooth)
 
 
 def median_filter(px: DataFrame, channel: str, size: int = 3, name: str = "smooth") -> DataFrame:
     r = _odd(size) // 2
-    sent = _send(px, [(dy, dx, 1.0) for dy in range(-r, r + 1) for dx in range(-r, r + 1)], F.col(channel))
-    return px.join(sent.groupBy(*PLACE).agg(F.floor(F.median("v")).cast("int").alias(name)), PLACE)
+    return stencil(px, r, [channel], f"{name} int", lambda planes, exists: {name: np.floor(windowed_median(planes[channel].astype(np.float64), exists, r)).astype(np.int64)})
 
 
 def local_max(px: DataFrame, channel: str, r: int, name: str = "smooth") -> DataFrame:
-    along_x, along_y = (W.partitionBy(IMAGE, a).orderBy(b).rangeBetween(-r, r) for a, b in (("y", "x"), ("x", "y")))
-    return px.withColumn(name, F.max(channel).over(along_x)).withColumn(name, F.max(name).over(along_y))
+    kind = "double" if isinstance(px.schema[channel].dataType, T.FractionalType) else "long"
+    whole = (lambda v: v) if kind == "double" else (lambda v: np.where(np.isfinite(v), v, 0).astype(np.int64))
+    return stencil(px, r, [channel], f"{name} {kind}", lambda planes, exists: {name: whole(windowed_max(planes[channel].astype(np.float64), exists, r))})
 
 
 def de_vignette(px: DataFrame, channel: str, dilate: int = 3, median: int = 3) -> DataFrame:
     """px with flat: 255 - |value - background|, the background being the dilated and median-filtered image."""
-    back = median_filter(local_max(px, channel, dilate // 2, "__top"), "__top", median, "__back")
-    return back.withColumn("flat", 255 - F.abs(F.col(channel) - F.col("__back"))).drop("__top", "__back")
+    r, m = dilate // 2, _odd(median) // 2
+
+    def background(planes, exists):
+        top = windowed_max(planes[channel].astype(np.float64), exists, r)
+        return {"__back": np.floor(windowed_median(np.where(exists, top, 0), exists, m)).astype(np.int64)}
+
+    back = stencil(px, r + m, [channel], "__back int", background)
+    return back.withColumn("flat", 255 - F.abs(F.col(channel) - F.col("__back"))).drop("__back")
 
 
 #: Kernels as (dy, dx, weight); a result needs all of its kernel's pixels.
@@ -104,14 +112,33 @@ KERNELS = {
 }
 
 
+#: Kernels of two directions, taken together as the root of their mean square.
+PAIRS = {"sobel": ("sobel_h", "sobel_v"), "prewitt": ("prewitt_h", "prewitt_v"), "roberts": ("roberts_p", "roberts_n")}
+
+
+def convolutions(px: DataFrame, channel: str, kernels: dict[str, str]) -> DataFrame:
+    """(image_id, y, x, and a column for each name) where all of the kernels lie in the image; kernels: name to kernel."""
+    steps = {name: KERNELS[kernel] for name, kernel in kernels.items()}
+
+    def convolve(planes, exists):
+        plane, keep = planes[channel].astype(np.float64), np.ones_like(exists)
+        made = {}
+        for name, parts in steps.items():
+            made[name] = sum(w * shifted(plane, dy, dx) for dy, dx, w in parts)
+            for dy, dx, _ in parts:
+                keep = keep & shifted(exists, dy, dx)
+        return made | {KEEP: keep}
+
+    out = stencil(px.select(*PLACE, F.col(channel)), 1, [channel], ", ".join(f"{name} double" for name in steps), convolve)
+    return out.select(*PLACE, *steps)
+
+
 def convolve3(px: DataFrame, channel: str, kernel: str, name: str = "edge") -> DataFrame:
     """(image_id, y, x, name) where the whole kernel lies in the image; sobel, prewitt and roberts combine two kernels."""
     if kernel in KERNELS:
-        steps = KERNELS[kernel]
-        sent = _send(px, [(-dy, -dx, w) for dy, dx, w in steps], F.col(channel)).groupBy(*PLACE).agg(F.sum(F.col("v") * F.col("w")).alias(name), F.count(F.lit(1)).alias("__n"))
-        return sent.filter(F.col("__n") == len(steps)).select(*PLACE, name)
-    a, b = {"sobel": ("sobel_h", "sobel_v"), "prewitt": ("prewitt_h", "prewitt_v"), "roberts": ("roberts_p", "roberts_n")}[kernel]
-    both = convolve3(px, channel, a, "__a").join(convolve3(px, channel, b, "__b"), PLACE)
+        return convolutions(px, channel, {name: kernel})
+    a, b = PAIRS[kernel]
+    both = convolutions(px, channel, {"__a": a, "__b": b})
     return both.select(*PLACE, F.sqrt((F.col("__a") * F.col("__a") + F.col("__b") * F.col("__b")) / 2).alias(name))
 
 
@@ -125,10 +152,15 @@ RING = ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1))
 
 def local_binary_pattern(px: DataFrame, channel: str) -> DataFrame:
     """(image_id, y, x, pattern): bit k is set where neighbour k is at least as bright; inner pixels only."""
-    sent = _send(px, [(-dy, -dx, k) for k, (dy, dx) in enumerate(RING)], F.col(channel))
-    met = sent.join(px.select(*PLACE, F.col(channel).alias("__c")), PLACE)
-    bits = F.sum(F.when(F.col("v") >= F.col("__c"), F.pow(F.lit(2.0), F.col("w"))).otherwise(0.0)).cast("int")
-    return met.groupBy(*PLACE).agg(bits.alias("pattern"), F.count(F.lit(1)).alias("__n")).filter("__n = 8").drop("__n")
+
+    def pattern(planes, exists):
+        v, bits, keep = planes[channel], np.zeros(exists.shape, dtype=np.int64), np.ones_like(exists)
+        for k, (dy, dx) in enumerate(RING):
+            bits += (shifted(v, dy, dx) >= v).astype(np.int64) << k
+            keep = keep & shifted(exists, dy, dx)
+        return {"pattern": bits, KEEP: keep}
+
+    return stencil(px.select(*PLACE, F.col(channel)), 1, [channel], "pattern int", pattern).select(*PLACE, "pattern")
 
 
 def circle_points(points: int = 8, radius: float = 3) -> list[tuple[int, int, int, float]]:
@@ -148,12 +180,19 @@ def circular_pattern(px: DataFrame, channel: str, points: int = 8, radius: float
 
     Only places whose whole circle lies in the image have one.
     """
-    steps = [(-1, 0, 0, 1.0), *circle_points(points, radius)]
-    ask = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for k, dy, dx, w in steps]))
-    sent = px.select(IMAGE, "y", "x", F.col(channel).alias("v"), ask.alias("o")).select(IMAGE, (F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x"), "o.k", (F.col("v") * F.col("o.w")).alias("v"))
-    met = sent.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(F.when(F.col("k") == k, F.col("v"))).alias(f"__{k + 1}") for k in range(-1, points)])
-    bits = sum((F.when(F.round(f"__{k + 1}", 5) >= F.col("__0"), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(points)), F.lit(0))
-    return met.filter(F.col("__n") == len(steps)).select(*PLACE, bits.cast("long").alias("pattern"))
+    steps = circle_points(points, radius)
+
+    def pattern(planes, exists):
+        v = planes[channel].astype(np.float64)
+        bits, keep = np.zeros(exists.shape, dtype=np.int64), exists.copy()
+        for k in range(points):
+            own = [(dy, dx, w) for at, dy, dx, w in steps if at == k]
+            bits += (np.round(sum(w * shifted(v, dy, dx) for dy, dx, w in own), 5) >= v).astype(np.int64) << k
+            for dy, dx, _ in own:
+                keep = keep & shifted(exists, dy, dx)
+        return {"pattern": bits, KEEP: keep}
+
+    return stencil(px.select(*PLACE, F.col(channel)), math.ceil(radius) + 1, [channel], "pattern long", pattern).select(*PLACE, "pattern")
 
 
 def cut_levels(df: DataFrame, column: str, lower: float = 0, upper: float = 0) -> DataFrame:
@@ -168,11 +207,21 @@ def glcm(px: DataFrame, channel: str, distances: Sequence[int] = (1, 10), angles
 
     Each pixel meets the one distance away at the angle; pairs are not mirrored.
     """
-    v = F.floor(F.col(channel) * levels / 256).cast("int")
     steps = [(round(math.sin(a) * d), round(math.cos(a) * d), d, round(a, 6)) for d in distances for a in angles]
-    ask = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(d).alias("distance"), F.lit(a).alias("angle")) for dy, dx, d, a in steps])
-    left = px.select(IMAGE, "y", "x", v.alias("i"), F.explode(ask).alias("o")).select(IMAGE, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "i", "o.distance", "o.angle")
-    pairs = left.join(px.select(*PLACE, v.alias("j")), PLACE).groupBy(IMAGE, "distance", "angle", "i", "j").agg(F.count(F.lit(1)).alias("n"))
+
+    def pairs_of(planes, exists, own):
+        grey = planes["grey"].astype(np.int64)
+        found = []
+        for dy, dx, d, a in steps:
+            met = own & exists & shifted(exists, dy, dx)
+            n = np.bincount(grey[met] * levels + shifted(grey, dy, dx)[met], minlength=1)
+            code = n.nonzero()[0]
+            found.append((np.full(len(code), d), np.full(len(code), a), code // levels, code % levels, n[code]))
+        return dict(zip(("distance", "angle", "i", "j", "n"), map(np.concatenate, zip(*found))))
+
+    halo = max((max(abs(dy), abs(dx)) for dy, dx, _, _ in steps), default=0)
+    grey = px.select(*PLACE, F.floor(F.col(channel) * levels / 256).cast("int").alias("grey"))
+    pairs = counts(grey, halo, ["grey"], "distance int, angle double, i int, j int, n long", pairs_of).groupBy(IMAGE, "distance", "angle", "i", "j").agg(F.sum("n").alias("n"))
     group = [IMAGE, "distance", "angle"]
     p = pairs.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(*group)))
     i, j, q = F.col("i"), F.col("j"), F.col("p")
@@ -199,38 +248,54 @@ def structuring_element(size: int = 3, shape: str = "ellipse") -> list[tuple[int
     return [(dy, dx) for dy, dx in square if abs(dx) <= round(r * math.sqrt(1 - dy * dy / (r * r)) if r else 0)]
 
 
+def _grown(mask: np.ndarray, exists: np.ndarray, offsets: Sequence[tuple[int, int]], times: int) -> np.ndarray:
+    for _ in range(times):
+        mask = spread(mask, offsets) & exists
+    return mask
+
+
+def _shrunk(mask: np.ndarray, exists: np.ndarray, offsets: Sequence[tuple[int, int]], times: int) -> np.ndarray:
+    return mask & ~_grown(exists & ~mask, exists, offsets, times)
+
+
+#: What each operation does to planes, and the windows that it looks through.
+STEPS = {
+    "erode": (_shrunk, 1),
+    "dilate": (_grown, 1),
+    "open": (lambda m, *e: _grown(_shrunk(m, *e), *e), 2),
+    "close": (lambda m, *e: _shrunk(_grown(m, *e), *e), 2),
+    "gradient": (lambda m, *e: _grown(m, *e) & ~_shrunk(m, *e), 1),
+}
+
+
+def morphology(mask: DataFrame, px: DataFrame, op: str, size: int = 3, shape: str = "ellipse", iterations: int = 1) -> DataFrame:
+    """The mask after none, erode, dilate, open, close or gradient by an element of the shape, in one pass over the blocks."""
+    if op == "none":
+        return mask
+    offsets, (change, windows) = structuring_element(size, shape), STEPS[op]
+    return mask_stencil(mask, px, windows * iterations * (_odd(size) // 2), lambda m, exists: change(m, exists, offsets, iterations))
+
+
 def dilate(mask: DataFrame, px: DataFrame, size: int = 3, shape: str = "ellipse", iterations: int = 1) -> DataFrame:
     """Places of px that an element of the shape around some mask pixel reaches."""
-    offsets = [(dy, dx, 1.0) for dy, dx in structuring_element(size, shape)]
-    out = mask.select(*PLACE)
-    for _ in range(iterations):
-        out = _send(out, offsets, F.lit(1)).select(*PLACE).distinct().join(px.select(*PLACE), PLACE, "left_semi")
-    return out
+    return morphology(mask, px, "dilate", size, shape, iterations)
 
 
 def erode(mask: DataFrame, px: DataFrame, size: int = 3, shape: str = "ellipse", iterations: int = 1) -> DataFrame:
     """Mask pixels that no element around a pixel outside the mask reaches."""
-    rest = px.select(*PLACE).join(mask.select(*PLACE), PLACE, "left_anti")
-    return mask.select(*PLACE).join(dilate(rest, px, size, shape, iterations), PLACE, "left_anti")
+    return morphology(mask, px, "erode", size, shape, iterations)
 
 
 def open_(mask: DataFrame, px: DataFrame, **element) -> DataFrame:
-    return dilate(erode(mask, px, **element), px, **element)
+    return morphology(mask, px, "open", **element)
 
 
 def close_(mask: DataFrame, px: DataFrame, **element) -> DataFrame:
-    return erode(dilate(mask, px, **element), px, **element)
+    return morphology(mask, px, "close", **element)
 
 
 def gradient(mask: DataFrame, px: DataFrame, **element) -> DataFrame:
-    return dilate(mask, px, **element).join(erode(mask, px, **element), PLACE, "left_anti")
-
-
-MORPHOLOGY = {"none": lambda mask, px, **e: mask, "erode": erode, "dilate": dilate, "open": open_, "close": close_, "gradient": gradient}
-
-
-def morphology(mask: DataFrame, px: DataFrame, op: str, **element) -> DataFrame:
-    return MORPHOLOGY[op](mask, px, **element)
+    return morphology(mask, px, "gradient", **element)
 
 
 # --- votes -----------------------------------------------------------------------------------------------------------

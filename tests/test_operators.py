@@ -236,3 +236,47 @@ def test_masks_meet_nulls(spark):
     assert luids(exclude=[{"wavelength": ["sw755"]}]) == {"a", "c"}
     assert luids(include=[{"wavelength": ["sw755", "x"]}], exclude=[{"wavelength": ["X"]}]) == {"b"}
     assert luids(include=[{"wavelength": ["*"], "luid": ["A", "b"]}]) == {"a", "b"} and luids(post=[{"wavelength": ["x"]}], force=[{"luid": ["a"]}]) == {"a", "c"}
+
+
+def test_stencils_do_not_depend_on_the_blocks(spark, monkeypatch):
+    """Blocks of a few places and one block for the whole image, holes included, give the same rows."""
+    import random
+
+    from florascan.operators import blocks, edges
+
+    rng = random.Random(3)
+    px = spark.createDataFrame([(i, y, x, rng.randrange(256), "kept") for i in range(2) for y in range(23) for x in range(19) if rng.random() < 0.95], "image_id int, y int, x int, g int, note string")
+    mask = px.filter("g > 120")
+    n = neighbourhood
+    work = {
+        "box": lambda: n.box_stats(px, "g", 2), "gauss": lambda: n.gaussian(px, "g", 5).withColumn("smooth", F.round("smooth", 9)), "median": lambda: n.median_filter(px, "g", 9),
+        "small median": lambda: n.median_filter(px, "g", 3), "max": lambda: n.local_max(px, "g", 2), "flat": lambda: n.de_vignette(px, "g", 3, 5), "sobel": lambda: n.convolve3(px, "g", "sobel"),
+        "pattern": lambda: n.local_binary_pattern(px, "g"), "circle": lambda: n.circular_pattern(px, "g"), "glcm": lambda: n.glcm(px, "g", (1, 5)).select("distance", "angle", F.round("contrast", 6)),
+        "open": lambda: n.open_(mask, px, size=3, shape="cross", iterations=2), "close": lambda: n.close_(mask, px, size=5), "edge": lambda: n.gradient(mask, px, shape="rectangle"), "thin": lambda: edges.thin_edges(edges.gradients(px, "g")),
+    }
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    whole = {name: rows(f()) for name, f in work.items()}
+    assert all(whole.values()) and len(whole["box"]) == px.count() and "note" in work["max"]().columns
+    monkeypatch.setattr(blocks, "BLOCK", 4)
+    for name, f in work.items():
+        assert rows(f()) == whole[name], name
+
+
+def test_plane_arithmetic():
+    import numpy as np
+
+    from florascan.operators import blocks
+
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        h, w = rng.integers(1, 15, 2)
+        r, v, e = int(rng.integers(0, 7)), rng.integers(0, 9, (h, w)).astype(float), rng.random((h, w)) < 0.8
+        median, most, total = blocks.windowed_median(v, e, r), blocks.windowed_max(v, e, r), blocks.box_sum(np.where(e, v, 0), r)
+        offsets = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if rng.random() < 0.5]
+        reached = {(y + dy, x + dx) for y, x in zip(*e.nonzero()) for dy, dx in offsets}
+        assert {(y, x) for y, x in zip(*blocks.spread(e, offsets).nonzero())} == {(y, x) for y, x in reached if 0 <= y < h and 0 <= x < w}
+        for y in range(h):
+            for x in range(w):
+                near = (slice(max(0, y - r), y + r + 1), slice(max(0, x - r), x + r + 1))
+                own = v[near][e[near]]
+                assert total[y, x] == own.sum() and (not len(own) or (median[y, x] == np.median(own) and most[y, x] == own.max()))
