@@ -1,8 +1,12 @@
 """Regions of interest: membership, keeping and deleting pixels, rectangles, composites, checks.
 
 A region is a row (roi_id, name, tag, shape, left, top, width, height, cx, cy, radius, in_radius, angle); shape is rect,
-circle, annulus or rotated (a rectangle turned by angle degrees around its centre). Regions of a campaign are few: a table
-of at most ``MAX_REGIONS`` is broadcast, larger ones are joined as Spark sees fit.
+circle, annulus or rotated (a rectangle turned by angle degrees around its centre). A region table with a column image_id
+holds regions of single images, one without it regions of every image.
+
+Pixels and regions meet by an equi-join on the cells of a square grid (and the image). A region is covered by cells: those
+that lie wholly within it need no further test, those on its edge leave the exact test to each pixel, others are left out.
+Whether the cover is broadcast or shuffled is up to Spark, which sees its size. Rectangles meet in the same way.
 """
 
 from __future__ import annotations
@@ -17,7 +21,8 @@ from florascan.operators.pixels import IMAGE
 
 PLACE = [IMAGE, "y", "x"]
 SCHEMA = "roi_id int, name string, tag string, shape string, left double, top double, width double, height double, cx double, cy double, radius double, in_radius double, angle double"
-MAX_REGIONS = 10_000
+#: Side of a cell: a cover has about a row for each so many square places of its region, and for each so many of its edge.
+CELL = 32
 
 
 def rectangle(roi_id: int, name: str, left: float, top: float, width: float, height: float, tag: str = "", angle: float = 0.0) -> tuple:
@@ -29,9 +34,8 @@ def circle(roi_id: int, name: str, cx: float, cy: float, radius: float, tag: str
 
 
 def regions(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
-    """A region table from rows of the two functions above; marked for broadcast if it is within bounds."""
-    table = spark.createDataFrame(list(rows), SCHEMA)
-    return F.broadcast(table) if len(rows) <= MAX_REGIONS else table
+    """A region table from rows of the two functions above."""
+    return spark.createDataFrame(list(rows), SCHEMA)
 
 
 def relative_rectangle(roi_id: int, name: str, image_width: int, image_height: int, left: float, top: float, width: float, height: float) -> tuple:
@@ -83,13 +87,54 @@ def select_regions(rois: DataFrame, names: Sequence[str] | None = None, tag: str
     return out.filter(F.col("tag") == tag) if tag is not None else out
 
 
+def cover(rois: DataFrame, cell: int = CELL) -> DataFrame:
+    """rois once for each cell (cell_y, cell_x) that it may have places in; within: all of the cell's places are inside."""
+    turn = F.radians(F.col("angle"))
+    turned = F.col("shape") == "rotated"
+    half_w = F.when(turned, F.abs(F.col("width") * F.cos(turn)) / 2 + F.abs(F.col("height") * F.sin(turn)) / 2).otherwise(F.col("width") / 2)
+    half_h = F.when(turned, F.abs(F.col("width") * F.sin(turn)) / 2 + F.abs(F.col("height") * F.cos(turn)) / 2).otherwise(F.col("height") / 2)
+    mid_x, mid_y = F.col("left") + F.col("width") / 2, F.col("top") + F.col("height") / 2
+
+    def cells(mid: Column, half: Column) -> Column:
+        first, last = F.floor((mid - half - 1e-6) / cell).cast("int"), F.floor((mid + half + 1e-6) / cell).cast("int")
+        return F.explode(F.when(last >= first, F.sequence(first, last)))
+
+    out = rois.withColumn("cell_y", cells(mid_y, half_h)).withColumn("cell_x", cells(mid_x, half_w))
+    low_y, low_x = F.col("cell_y") * cell, F.col("cell_x") * cell
+    corners = [inside(low_x + dx, low_y + dy) for dy in (0, cell - 1) for dx in (0, cell - 1)]
+    # all shapes but the ring are convex: four corners inside, all places inside; a ring's hole must not reach the cell
+    near_x = F.greatest(low_x - F.col("cx"), F.col("cx") - (low_x + cell - 1), F.lit(0.0))
+    near_y = F.greatest(low_y - F.col("cy"), F.col("cy") - (low_y + cell - 1), F.lit(0.0))
+    near = near_x * near_x + near_y * near_y
+    far_x = F.greatest(F.abs(low_x - F.col("cx")), F.abs(low_x + cell - 1 - F.col("cx")))
+    far_y = F.greatest(F.abs(low_y - F.col("cy")), F.abs(low_y + cell - 1 - F.col("cy")))
+    round_ = F.col("shape").isin("circle", "annulus")
+    hole = F.when(F.col("shape") == "annulus", F.col("in_radius")).otherwise(F.lit(0.0))
+    possible = ~round_ | ((near <= F.col("radius") * F.col("radius")) & (far_x * far_x + far_y * far_y >= hole * hole))
+    within = corners[0] & corners[1] & corners[2] & corners[3] & (~round_ | (near >= hole * hole))
+    return out.filter(possible).withColumn("within", F.coalesce(within, F.lit(False)))
+
+
+def meet(px: DataFrame, rois: DataFrame, how: str, cell: int = CELL) -> DataFrame:
+    """px joined with the regions that its places lie in."""
+    keys = ["__cy", "__cx"]
+    covered = cover(rois, cell).withColumnsRenamed({"cell_y": "__cy", "cell_x": "__cx"})
+    if IMAGE in rois.columns:
+        keys = [IMAGE, *keys]
+    placed = px.withColumns({"__cy": F.floor(F.col("y") / cell).cast("int"), "__cx": F.floor(F.col("x") / cell).cast("int")})
+    equal = [placed[k] == covered[k] for k in keys]
+    met = F.col("within") | inside(placed["x"], placed["y"])
+    joined = placed.join(covered, [*equal, met], how)
+    return joined.drop(*[covered[k] for k in keys] if how == "inner" else [], placed["__cy"], placed["__cx"])
+
+
 def keep_regions(px: DataFrame, rois: DataFrame) -> DataFrame:
     """Pixels that lie in any region."""
-    return px.join(rois, inside(), "left_semi")
+    return meet(px, rois, "left_semi")
 
 
 def delete_regions(px: DataFrame, rois: DataFrame) -> DataFrame:
-    return px.join(rois, inside(), "left_anti")
+    return meet(px, rois, "left_anti")
 
 
 def copy_regions(source: DataFrame, target: DataFrame, rois: DataFrame) -> DataFrame:
@@ -97,46 +142,87 @@ def copy_regions(source: DataFrame, target: DataFrame, rois: DataFrame) -> DataF
     return delete_regions(target, rois).unionByName(keep_regions(source, rois))
 
 
+def _number(rois: DataFrame, alias: str) -> DataFrame:
+    """How many regions there are: a row, or one for each image that has its own."""
+    return rois.groupBy(*([IMAGE] if IMAGE in rois.columns else [])).agg(F.countDistinct("roi_id").alias(alias))
+
+
 def compose(px: DataFrame, rois: DataFrame, op: str = "union") -> DataFrame:
-    """Pixels in the union or in the intersection of the regions."""
+    """Pixels in the union or in the intersection of the regions (of their image's, where regions have images)."""
     if op == "union":
         return keep_regions(px, rois)
-    n = rois.select("roi_id").distinct().count()
-    members = px.select(*PLACE).join(rois, inside()).groupBy(*PLACE).agg(F.countDistinct("roi_id").alias("__n")).filter(F.col("__n") == n)
+    members = meet(px.select(*PLACE), rois, "inner").groupBy(*PLACE).agg(F.countDistinct("roi_id").alias("__n"))
+    if IMAGE in rois.columns:
+        members = members.join(_number(rois, "__all"), IMAGE).filter("__n = __all")
+    else:
+        members = members.filter(F.col("__n") == _number(rois, "n").first()["n"])
     return px.join(members.select(*PLACE), PLACE, "left_semi")
 
 
-def rectangle_relations(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, a_id, b_id, contains) of all rectangle pairs whose bounds overlap, within equal keys (an image's regions are few)."""
-    left = a.select(*keys, F.col("roi_id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in ("left", "top", "width", "height")])
-    right = b.select(*keys, F.col("roi_id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in ("left", "top", "width", "height")])
-    e = F.expr
-    overlaps = (e("a_left < b_left + b_width")) & (e("b_left < a_left + a_width")) & (e("a_top < b_top + b_height")) & (e("b_top < a_top + a_height"))
-    contains = e("a_left <= b_left and a_top <= b_top and a_left + a_width >= b_left + b_width and a_top + a_height >= b_top + b_height")
-    differ = (F.col("a_id") != F.col("b_id")) & overlaps
-    pairs = left.join(right, list(keys)).filter(differ) if keys else left.join(right, differ)
+def _over_cells(rois: DataFrame, cell: int) -> DataFrame:
+    """rois once for each cell that its bounds lie in."""
+    for at, size, name in (("top", "height", "__cy"), ("left", "width", "__cx")):
+        first, last = F.floor(F.col(at) / cell).cast("int"), F.floor((F.col(at) + F.col(size)) / cell).cast("int")
+        rois = rois.withColumn(name, F.explode(F.when(last >= first, F.sequence(first, last))))
+    return rois
+
+
+def _pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str], cell: int) -> DataFrame:
+    """Pairs of rows of a and b with overlapping bounds, within equal keys; columns are renamed to a_ and b_.
+
+    Both sides are listed under the cells of their bounds; a pair counts only in the cell of the upper left corner of what
+    the two have in common, so it comes once.
+    """
+
+    def side(rois: DataFrame, prefix: str) -> DataFrame:
+        named = _over_cells(rois, cell).select(*keys, "__cy", "__cx", F.col("roi_id").alias("__id"), *columns)
+        return named.withColumnsRenamed({c: f"{prefix}_{c}" for c in columns} | {"__id": f"{prefix}_id"})
+
+    both = side(a, "a").join(side(b, "b"), [*keys, "__cy", "__cx"])
+    here = (F.expr(f"floor(greatest(a_left, b_left) / {cell})") == F.col("__cx")) & (F.expr(f"floor(greatest(a_top, b_top) / {cell})") == F.col("__cy"))
+    overlap = F.expr("a_left <= b_left + b_width and b_left <= a_left + a_width and a_top <= b_top + b_height and b_top <= a_top + a_height")
+    return both.filter(here & overlap).drop("__cy", "__cx")
+
+
+BOUNDS = ("left", "top", "width", "height")
+
+
+def rectangle_relations(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), cell: int = 4 * CELL) -> DataFrame:
+    """(keys, a_id, b_id, contains) of all rectangle pairs whose bounds overlap, within equal keys."""
+    overlaps = F.expr("a_left < b_left + b_width and b_left < a_left + a_width and a_top < b_top + b_height and b_top < a_top + a_height")
+    contains = F.expr("a_left <= b_left and a_top <= b_top and a_left + a_width >= b_left + b_width and a_top + a_height >= b_top + b_height")
+    pairs = _pairs(a, b, keys, BOUNDS, cell).filter((F.col("a_id") != F.col("b_id")) & overlaps)
     return pairs.select(*keys, "a_id", "b_id", contains.alias("contains"))
 
 
-def region_relations(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, a_id, b_id, touches) of rectangles and circles, within equal keys: the distance from a circle's centre decides."""
-    left = a.select(*keys, F.col("roi_id").alias("a_id"), "left", "top", "width", "height")
-    right = b.select(*keys, F.col("roi_id").alias("b_id"), "cx", "cy", "radius")
-    dx = F.col("cx") - F.greatest(F.col("left"), F.least(F.col("cx"), F.col("left") + F.col("width")))
-    dy = F.col("cy") - F.greatest(F.col("top"), F.least(F.col("cy"), F.col("top") + F.col("height")))
-    return left.join(right, list(keys)).select(*keys, "a_id", "b_id", (dx * dx + dy * dy <= F.col("radius") * F.col("radius")).alias("touches"))
+def region_relations(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), cell: int = 4 * CELL) -> DataFrame:
+    """(keys, a_id, b_id, contains) of rectangles a and circles b that touch, within equal keys.
+
+    The distance from the centre to the rectangle decides; contains: the whole circle lies in the rectangle.
+    """
+    circles = b.withColumns({"left": F.col("cx") - F.col("radius"), "top": F.col("cy") - F.col("radius"), "width": 2 * F.col("radius"), "height": 2 * F.col("radius")})
+    centred = [*BOUNDS, "cx", "cy", "radius"]
+    pairs = _pairs(a.withColumns({"cx": F.lit(0.0), "cy": F.lit(0.0), "radius": F.lit(0.0)}), circles, keys, centred, cell)
+    dx = F.expr("b_cx - greatest(a_left, least(b_cx, a_left + a_width))")
+    dy = F.expr("b_cy - greatest(a_top, least(b_cy, a_top + a_height))")
+    contains = F.expr("b_cx - b_radius >= a_left and b_cx + b_radius <= a_left + a_width and b_cy - b_radius >= a_top and b_cy + b_radius <= a_top + a_height")
+    return pairs.filter(dx * dx + dy * dy <= F.col("b_radius") * F.col("b_radius")).select(*keys, "a_id", "b_id", contains.alias("contains"))
 
 
 def region_hits(objects_px: DataFrame, rois: DataFrame, key: str = "label") -> DataFrame:
     """(image_id, key, roi_id, n): how many pixels of each object lie in each region."""
-    return objects_px.join(rois, inside()).groupBy(IMAGE, key, "roi_id").agg(F.count(F.lit(1)).alias("n"))
+    return meet(objects_px.select(*PLACE, key), rois, "inner").groupBy(IMAGE, key, "roi_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def assert_mask_position(mask: DataFrame, rois: DataFrame, images: DataFrame) -> DataFrame:
-    """(image_id, passed): every region holds at least one pixel of the image's mask."""
-    hits = mask.join(rois, inside()).groupBy(IMAGE).agg(F.countDistinct("roi_id").alias("__hit"))
-    n = rois.select("roi_id").distinct().count()
-    return images.select(IMAGE).distinct().join(hits, IMAGE, "left").select(IMAGE, (F.coalesce("__hit", F.lit(0)) == n).alias("passed"))
+    """(image_id, passed): every region (of the image, where regions have images) holds at least one pixel of its mask."""
+    hits = meet(mask.select(*PLACE), rois, "inner").groupBy(IMAGE).agg(F.countDistinct("roi_id").alias("__hit"))
+    out = images.select(IMAGE).distinct().join(hits, IMAGE, "left")
+    if IMAGE in rois.columns:
+        out = out.join(_number(rois, "__all"), IMAGE, "left").withColumn("__all", F.coalesce("__all", F.lit(0)))
+    else:
+        out = out.withColumn("__all", F.lit(_number(rois, "n").first()["n"]))
+    return out.select(IMAGE, (F.coalesce("__hit", F.lit(0)) == F.col("__all")).alias("passed"))
 
 
 def check_source(px: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from florascan.operators import series as s
 from florascan.plans import fixtures as fx
 from florascan.plans.fixtures import sql
 from florascan.plans.registry import query
+from florascan.sources import tables as t
 
 PLACE = ["image_id", "y", "x"]
 M = "mask as (select image_id, y, x from px where g between 100 and 160)"
@@ -493,12 +494,55 @@ def j12(spark, d):
     return r.rectangle_relations(some, some, ["image_id"])
 
 
-@query("j12_circle_relations", sql("px", BOXES + ", ci as (select *, l + w / 2 as cx, t + h / 2 as cy, least(w, h) / 2 as rad from bx) select a.image_id, a.id as a_id, b.id as b_id, (cx - greatest(a.l, least(cx, a.l + a.w))) * (cx - greatest(a.l, least(cx, a.l + a.w))) + (cy - greatest(a.t, least(cy, a.t + a.h))) * (cy - greatest(a.t, least(cy, a.t + a.h))) <= rad * rad as touches from bx a join ci b on a.image_id = b.image_id"))
+GAP = "(cx - greatest(a.l, least(cx, a.l + a.w))) ** 2 + (cy - greatest(a.t, least(cy, a.t + a.h))) ** 2"
+
+
+@query("j12_circle_relations", sql("px", BOXES + f", ci as (select *, l + w / 2 as cx, t + h / 2 as cy, least(w, h) / 2 as rad from bx) select a.image_id, a.id as a_id, b.id as b_id, cx - rad >= a.l and cx + rad <= a.l + a.w and cy - rad >= a.t and cy + rad <= a.t + a.h as contains from bx a join ci b on a.image_id = b.image_id where {GAP} <= rad * rad"))
 def j12b(spark, d):
     some = boxes(spark, d)
     return r.region_relations(some, some, ["image_id"])
 
 
+def many_rois(spark, d):
+    """A region for each embedding, on its image: small rectangles, turned ones, circles and rings."""
+    at = t.table(spark, d, "embeddings").select(F.col("label").alias("image_id"), F.col("vec_id").cast("int").alias("roi_id"))
+    left, top = (F.col("roi_id") * 5 % 19).cast("double"), F.floor(F.col("roi_id") / 10).cast("double")
+    width, height = (F.col("roi_id") % 4 + 1).cast("double"), (F.col("roi_id") % 3 + 1).cast("double")
+    shape = F.get(F.array(*map(F.lit, ("rect", "circle", "annulus", "rotated"))), F.col("roi_id") % 4)
+    sized = at.select("*", F.lit("").alias("name"), F.lit("").alias("tag"), shape.alias("shape"), left.alias("left"), top.alias("top"), width.alias("width"), height.alias("height"))
+    round_ = F.col("shape").isin("circle", "annulus")
+    box = {c: F.when(round_, F.lit(4.0)).otherwise(F.col(c)) for c in ("width", "height")}
+    middle = {"cx": F.col("left") + F.col("width") / 2, "cy": F.col("top") + F.col("height") / 2}
+    return sized.withColumns(box).withColumns(middle | {"radius": F.lit(2.0), "in_radius": F.lit(1.5), "angle": F.when(F.col("shape") == "rotated", 30.0).otherwise(0.0)})
+
+
+MANY = f"""mr as (select label as image_id, vec_id as roi_id, vec_id % 4 as s, (vec_id * 5 % 19)::double as l, (vec_id // 10)::double as t, case when vec_id % 4 in (1, 2) then 4.0 else (vec_id % 4 + 1)::double end as w, case when vec_id % 4 in (1, 2) then 4.0 else (vec_id % 3 + 1)::double end as h from embeddings),
+mc as (select *, l + w / 2 as cx, t + h / 2 as cy from mr),
+mh as (select px.image_id, y, x, roi_id from px join mc on px.image_id = mc.image_id and case s when 0 then x >= l and x < l + w and y >= t and y < t + h when 1 then (x - cx) ** 2 + (y - cy) ** 2 <= 4 when 2 then (x - cx) ** 2 + (y - cy) ** 2 between 2.25 and 4
+  else abs(round((x - cx) * {COS} + (y - cy) * {SIN}, 9)) <= w / 2 and abs(round((y - cy) * {COS} - (x - cx) * {SIN}, 9)) <= h / 2 end)"""
+
+
+@query("j9_keep_own_regions", sql("px", MANY + " select distinct image_id, y, x from mh"))
+def j9b(spark, d):
+    return r.keep_regions(fx.px(spark, d), many_rois(spark, d)).select(*PLACE)
+
+
+@query("j10_delete_own_regions", sql("px", MANY + " select image_id, y, x from px except select image_id, y, x from mh"))
+def j10b(spark, d):
+    return r.delete_regions(fx.px(spark, d), many_rois(spark, d)).select(*PLACE)
+
+
+@query("j13_own_region_hits", sql("px", MANY + " select image_id, x as label, roi_id::int as roi_id, count(*) as n from mh group by 1, 2, 3"))
+def j13b(spark, d):
+    return r.region_hits(fx.px(spark, d).withColumn("label", F.col("x")), many_rois(spark, d))
+
+
+@query("r6_assert_own_positions", sql("px", MANY + ", h as (select image_id, count(distinct roi_id) as n from mh where x < 18 group by 1), q as (select image_id, count(*) as n from mr group by 1) select q.image_id, coalesce(h.n, 0) = q.n as passed from q left join h using (image_id)"))
+def r6b(spark, d):
+    px = fx.px(spark, d)
+    return r.assert_mask_position(px.filter("x < 18"), many_rois(spark, d), px)
+
+
 @query("j13_region_hits", sql("px", SMALL + labelled("lab", "small") + NUM + f" select lab.image_id, label, roi_id, count(*) as n from lab join nm using (image_id, root) join (values (1), (2)) as q(roi_id) on (roi_id = 1 and {IN[1]}) or (roi_id = 2 and {IN[2]}) group by 1, 2, 3"))
 def j13(spark, d):
     return r.region_hits(o.label_objects(small_mask(spark, d)), rois(spark, RECT, CIRCLE))

@@ -280,3 +280,45 @@ def test_plane_arithmetic():
                 near = (slice(max(0, y - r), y + r + 1), slice(max(0, x - r), x + r + 1))
                 own = v[near][e[near]]
                 assert total[y, x] == own.sum() and (not len(own) or (median[y, x] == np.median(own) and most[y, x] == own.max()))
+
+
+def test_regions_meet_pixels_over_cells(spark):
+    """Covers of any cell size give the pixels of the exact test, and no plan compares all with all."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        x, y = rng.uniform(-5, 45), rng.uniform(-5, 45)
+        kinds = (lambda: regions.rectangle(k, "r", x, y, rng.choice([0, rng.uniform(0, 20)]), rng.uniform(0, 20)), lambda: regions.rectangle(k, "t", x, y, rng.uniform(0, 20), rng.uniform(0, 9), angle=rng.uniform(1, 359)), lambda: regions.circle(k, "c", round(x), y, rng.uniform(0, 15)), lambda: regions.circle(k, "a", x, y, 12, in_radius=rng.uniform(0, 12)))
+        rows.append(rng.choice(kinds)())
+    px = spark.createDataFrame([(0, y, x) for y in range(40) for x in range(40)], "image_id int, y int, x int")
+    rois = regions.regions(spark, rows)
+    exact = sorted(tuple(r) for r in px.select("*", F.explode(F.array(*[F.when(regions.region_column(r), F.lit(r[0])) for r in rows])).alias("roi")).filter("roi is not null").collect())
+    for cell in (1, 3, 8, 64):
+        met = regions.meet(px, rois, "inner", cell)
+        assert sorted((r.image_id, r.y, r.x, r.roi_id) for r in met.collect()) == exact
+        assert regions.meet(px, rois, "left_anti", cell).count() == 1600 - len({e[:3] for e in exact})
+    plan = regions.keep_regions(px, rois)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert regions.keep_regions(px, rois.limit(0)).count() == 0 and regions.delete_regions(px, rois.limit(0)).count() == 1600
+
+
+def test_rectangles_meet_over_cells(spark):
+    import random
+
+    rng = random.Random(6)
+    boxes = [(k, k % 3, float(rng.randrange(-20, 60)), float(rng.randrange(60)), float(rng.randrange(1, 30)), float(rng.randrange(1, 30))) for k in range(80)]
+    df = spark.createDataFrame(boxes, "roi_id int, image_id int, left double, top double, width double, height double")
+    df = df.withColumns({"cx": F.col("left") + 3, "cy": F.col("top") + 4, "radius": F.lit(5.0)})
+    expected = set()
+    for a, i, l1, t1, w1, h1 in boxes:
+        for b, j, l2, t2, w2, h2 in boxes:
+            if i == j and a != b and l1 < l2 + w2 and l2 < l1 + w1 and t1 < t2 + h2 and t2 < t1 + h1:
+                expected.add((i, a, b, l1 <= l2 and t1 <= t2 and l1 + w1 >= l2 + w2 and t1 + h1 >= t2 + h2))
+    touching = {(i, a, b) for a, i, l1, t1, w1, h1 in boxes for b, j, l2, t2, *_ in boxes if i == j and (l2 + 3 - max(l1, min(l2 + 3, l1 + w1))) ** 2 + (t2 + 4 - max(t1, min(t2 + 4, t1 + h1))) ** 2 <= 25}
+    for cell in (2, 16, 500):
+        got = regions.rectangle_relations(df, df, ["image_id"], cell).collect()
+        assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+        circles = regions.region_relations(df, df, ["image_id"], cell).collect()
+        assert len(circles) == len(touching) and {tuple(r)[:3] for r in circles} == touching
