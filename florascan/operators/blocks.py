@@ -28,9 +28,9 @@ KEEP = "__keep"
 ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
 
 
-def _tiles(df: DataFrame, halo: int) -> tuple[DataFrame, int]:
-    """df with the block (__ty, __tx) of each copy of a row, and the side of a block."""
-    side = max(BLOCK, 4 * halo)
+def tiles_of(df: DataFrame, halo: int, multiple: int = 1) -> tuple[DataFrame, int]:
+    """df with the block (__ty, __tx) of each copy of a row, and the side of a block, a multiple of a number."""
+    side = -(-max(BLOCK, 4 * halo) // multiple) * multiple
 
     def blocks(at: str) -> Column:
         return F.explode(F.sequence(F.floor((F.col(at) - halo) / side).cast("int"), F.floor((F.col(at) + halo) / side).cast("int")))
@@ -45,7 +45,7 @@ def _numbers(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy().astype(np.float64) if column.null_count else column.to_numpy()
 
 
-class _Laid:
+class Laid:
     """The pixels of a block laid out on planes."""
 
     def __init__(self, rows: pa.Table, side: int) -> None:
@@ -74,7 +74,7 @@ def stencil(px: DataFrame, halo: int, inputs: Sequence[str], results: str, compu
     schema = T.StructType(kept + added)
 
     def run(rows: pa.Table) -> pa.Table:
-        laid = _Laid(rows, side)
+        laid = Laid(rows, side)
         exists = laid.plane(np.ones(len(laid.v), dtype=bool))
         made = compute({c: laid.plane(_numbers(rows[c])) for c in inputs}, exists)
         own = laid.own & made[KEEP][laid.v, laid.u] if KEEP in made else laid.own
@@ -83,7 +83,7 @@ def stencil(px: DataFrame, halo: int, inputs: Sequence[str], results: str, compu
             out = out.append_column(f.name, pa.array(made[f.name][laid.v[own], laid.u[own]]).cast(ARROW[f.dataType.simpleString()]))
         return out
 
-    tiles, side = _tiles(px, halo)
+    tiles, side = tiles_of(px, halo)
     return tiles.groupBy(IMAGE, "__ty", "__tx").applyInArrow(run, schema)
 
 
@@ -93,14 +93,14 @@ def mask_stencil(mask: DataFrame, px: DataFrame, halo: int, compute: Callable[[n
     schema = px.select(*PLACE).schema
 
     def run(rows: pa.Table) -> pa.Table:
-        laid = _Laid(rows, side)
+        laid = Laid(rows, side)
         inside = rows["__in"].to_numpy()
         out = compute(laid.plane(inside, inside), laid.plane(~inside, ~inside)) & laid.inner
         v, u = out.nonzero()
         image = pa.array([rows[IMAGE][0].as_py()] * len(v), rows.schema.field(IMAGE).type)
         return pa.table([image, pa.array(v + laid.top), pa.array(u + laid.left)], names=PLACE).cast(pa.schema([rows.schema.field(c) for c in PLACE]))
 
-    tiles, side = _tiles(both, halo)
+    tiles, side = tiles_of(both, halo)
     return tiles.groupBy(IMAGE, "__ty", "__tx").applyInArrow(run, schema)
 
 
@@ -109,13 +109,13 @@ def counts(px: DataFrame, halo: int, inputs: Sequence[str], results: str, comput
     schema = T.StructType([px.schema[IMAGE], *T.StructType.fromDDL(results)])
 
     def run(rows: pa.Table) -> pa.Table:
-        laid = _Laid(rows, side)
+        laid = Laid(rows, side)
         made = compute({c: laid.plane(_numbers(rows[c])) for c in inputs}, laid.plane(np.ones(len(laid.v), dtype=bool)), laid.inner)
         n = len(next(iter(made.values())))
         image = pa.array([rows[IMAGE][0].as_py()] * n, rows.schema.field(IMAGE).type)
         return pa.table([image, *[pa.array(made[f.name]).cast(ARROW[f.dataType.simpleString()]) for f in schema.fields[1:]]], names=schema.names)
 
-    tiles, side = _tiles(px.select(*PLACE, *inputs), halo)
+    tiles, side = tiles_of(px.select(*PLACE, *inputs), halo)
     return tiles.groupBy(IMAGE, "__ty", "__tx").applyInArrow(run, schema)
 
 

@@ -1,9 +1,13 @@
-"""Connected components by alternating star contractions."""
+"""Connected components: star contractions by shuffles, and one task for what is small enough."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from florascan.sources.storage import stored
 
@@ -29,3 +33,40 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, salts: int = 8)
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
     raise RuntimeError("components did not settle")
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the numbers 0 to n - 1 that each is connected with, by the pairs (a, b): hook roots, then halve paths."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return root
+        np.minimum.at(root, high, low)
+        while True:
+            further = root[root]
+            if (further == root).all():
+                break
+            root = further
+
+
+def _solve(edges: pa.Table) -> pa.Table:
+    a, b = (edges[c].combine_chunks() for c in ("a", "b"))
+    nodes = pa.concat_arrays([a, b]).unique()
+    nodes = nodes.take(pc.sort_indices(nodes))
+    root = joined(len(nodes), pc.index_in(a, nodes).to_numpy(), pc.index_in(b, nodes).to_numpy())
+    moved = (root != np.arange(len(nodes))).nonzero()[0]
+    return pa.table({"node": nodes.take(pa.array(moved)), "root": nodes.take(pa.array(root[moved]))})
+
+
+def components(edges: DataFrame, small: int = 1 << 20) -> DataFrame:
+    """(node, root) of every node of the edges (a, b) that is not itself the smallest node it reaches.
+
+    Up to ``small`` edges, a bound on one task's memory, are joined in one task; more by ``connected_components``.
+    """
+    edges = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    if edges.count() > small:
+        return connected_components(edges)
+    kind = edges.schema["a"].dataType
+    schema = T.StructType([T.StructField("node", kind), T.StructField("root", kind)])
+    return stored(edges.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_solve, schema), "roots")

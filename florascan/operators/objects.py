@@ -1,26 +1,28 @@
 """Objects of a mask: runs, scanlines, connected objects, and what is measured or kept of them.
 
-Objects are connected over runs of pixels, which are few, not over pixels. Runs are joined by union-find within bands of
-``BAND_ROWS`` rows, a task each; objects that cross from band to band are connected by shuffles over the runs at the bands'
-borders. ``label_objects`` with method="star" connects all runs by shuffles.
+Objects are connected over runs of pixels, which are few, not over pixels. Within bands of ``BAND_ROWS`` rows, a task each,
+runs that overlap are found by binary search and joined; objects that cross from band to band are connected by shuffles over
+the runs at the bands' borders. ``label_objects`` with method="star" connects all runs by shuffles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from florascan.operators.graph import connected_components
+from florascan.operators.gaps import linked_groups, object_distances
+from florascan.operators.graph import components, joined
 from florascan.operators.neighbourhood import dilate
 from florascan.operators.pixels import IMAGE
 from florascan.sources.storage import stored
 
 PLACE = [IMAGE, "y", "x"]
-BAND_ROWS = 4096
+BAND_ROWS = 1024
 
 
 def scanlines(mask: DataFrame) -> DataFrame:
@@ -102,73 +104,56 @@ def repair_full_rows(mask: DataFrame, px: DataFrame, margin: int = 4, solidity:
     return mask.select(*PLACE).join(filled, [IMAGE, "y"], "left_anti").unionByName(borrowed)
 
 
-def _key(y: Column, left: Column) -> Column:
-    return F.concat_ws(":", y.cast("string"), left.cast("string"))
-
-
 def _union_runs(reach: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def label(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["y", "left"], kind="stable").reset_index(drop=True)
-        parent = list(range(len(part)))
-
-        def find(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        ys, lefts, rights = part["y"].tolist(), part["left"].tolist(), part["right"].tolist()
-        above, start = 0, 0
-        for k, y in enumerate(ys):
-            if k == 0 or ys[k - 1] != y:
-                above, start = (start, k) if k and ys[start] == y - 1 else (k, k)
-            j = above
-            while j < start and ys[j] == y - 1:
-                if rights[j] + reach >= lefts[k] and lefts[j] - reach <= rights[k]:
-                    a, b = find(j), find(k)
-                    parent[max(a, b)] = min(a, b)
-                elif lefts[j] - reach > rights[k]:
-                    break
-                j += 1
-        roots = [find(k) for k in range(len(parent))]
-        number = {r: i + 1 for i, r in enumerate(dict.fromkeys(roots))}
-        return part.assign(label=[number[r] for r in roots], root_y=[ys[r] for r in roots], root_x=[lefts[r] for r in roots])
+        y, left, right = (part[c].to_numpy(dtype=np.int64) for c in ("y", "left", "right"))
+        if not len(part):
+            return part.assign(root_y=y, root_x=left)
+        # runs of the row above that overlap a run follow each other: the first by its end, the last by its beginning
+        low = left.min() - 1
+        span = right.max() - low + 3
+        above = (y - 1) * span - low
+        first = np.searchsorted(y * span - low + right, above + left - reach)
+        after = np.searchsorted(y * span - low + left, above + right + reach, side="right")
+        number = np.maximum(after - first, 0)
+        own = np.repeat(np.arange(len(part)), number)
+        other = np.repeat(first - np.cumsum(number) + number, number) + np.arange(number.sum())
+        root = joined(len(part), own, other)
+        return part.assign(root_y=y[root], root_x=left[root])
 
     return label
 
 
-def _banded(own: DataFrame, reach: int, fields: str, band_rows: int) -> DataFrame:
-    """Runs labelled within bands, and the labels of bands joined where runs meet over a border."""
-    band = F.floor(F.col("y") / band_rows)
-    local = stored(own.withColumn("band", band).groupBy(IMAGE, "band").applyInPandas(_union_runs(reach), f"{fields}, band long, label int, root_y int, root_x int").drop("band", "label"), "object-bands")
-    below = local.filter((F.col("y") % band_rows == 0) & (F.col("y") > 0)).select(IMAGE, "y", F.col("left").alias("l"), F.col("right").alias("r"), F.col("root_y").alias("ry"), F.col("root_x").alias("rx"))
-    above = local.filter(F.col("y") % band_rows == band_rows - 1).withColumn("y", F.col("y") + 1)
-    met = above.join(below, [IMAGE, "y"]).filter((F.col("l") <= F.col("right") + reach) & (F.col("r") >= F.col("left") - reach))
-    roots = connected_components(met.select(_node("root_y", "root_x").alias("a"), _node("ry", "rx").alias("b")).distinct())
-    named = local.withColumn("__node", _node("root_y", "root_x")).join(roots, F.col("__node") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "__node"))
-    numbers = named.select(IMAGE, "__root").distinct().withColumn("label", F.dense_rank().over(W.partitionBy(IMAGE).orderBy("__root")).cast("int"))
-    return named.join(numbers, [IMAGE, "__root"]).select(IMAGE, "y", "left", "right", "label")
-
-
 def _node(y: str, x: str) -> Column:
     return F.concat_ws("|", F.col(IMAGE).cast("string"), F.lpad(F.col(y).cast("string"), 9, "0"), F.lpad(F.col(x).cast("string"), 9, "0"))
 
 
+def _banded(own: DataFrame, reach: int, band_rows: int) -> DataFrame:
+    """Runs joined within bands, and the objects of bands where runs meet over a border."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    local = own.withColumn("band", F.floor(F.col("y") / band_rows)).groupBy(IMAGE, "band").applyInPandas(_union_runs(reach), f"{fields}, band long, root_y int, root_x int")
+    local = stored(local.drop("band"), "object-bands")
+    below = local.filter(F.pmod("y", F.lit(band_rows)) == 0).select(IMAGE, "y", F.col("left").alias("l"), F.col("right").alias("r"), F.col("root_y").alias("ry"), F.col("root_x").alias("rx"))
+    above = local.filter(F.pmod("y", F.lit(band_rows)) == band_rows - 1).withColumn("y", F.col("y") + 1)
+    met = above.join(below, [IMAGE, "y"]).filter((F.col("l") <= F.col("right") + reach) & (F.col("r") >= F.col("left") - reach))
+    roots = components(met.select(_node("root_y", "root_x").alias("a"), _node("ry", "rx").alias("b")).distinct())
+    return local.withColumn("__node", _node("root_y", "root_x")).join(roots, F.col("__node") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "__node"))
+
+
 def label_runs(mask: DataFrame, connectivity: int = 8, method: str = "union", band_rows: int = BAND_ROWS) -> DataFrame:
     """(image_id, y, left, right, label): labels count from 1 in reading order within each image."""
     own = runs(mask).drop("n")
     reach = 1 if connectivity == 8 else 0
     if method == "union":
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-        if not own.filter(F.col("y") >= band_rows).isEmpty():
-            return _banded(own, reach, fields, band_rows)
-        return own.groupBy(IMAGE).applyInPandas(_union_runs(reach), f"{fields}, label int, root_y int, root_x int").drop("root_y", "root_x")
-    down = own.select(IMAGE, (F.col("y") + 1).alias("y"), F.col("left").alias("l"), F.col("right").alias("r"))
-    met = own.join(down, [IMAGE, "y"]).filter((F.col("l") <= F.col("right") + reach) & (F.col("r") >= F.col("left") - reach))
-    node = lambda y, x: F.concat_ws("|", F.col(IMAGE).cast("string"), F.lpad(y.cast("string"), 9, "0"), F.lpad(x.cast("string"), 9, "0"))
-    roots = connected_components(met.select(node(F.col("y"), F.col("left")).alias("a"), node(F.col("y") - 1, F.col("l")).alias("b")))
-    named = own.withColumn("__node", node(F.col("y"), F.col("left"))).join(roots, F.col("__node") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "__node"))
-    return named.withColumn("label", F.dense_rank().over(W.partitionBy(IMAGE).orderBy("__root")).cast("int")).select(IMAGE, "y", "left", "right", "label")
+        named = _banded(own, reach, band_rows)
+    else:
+        down = own.select(IMAGE, (F.col("y") + 1).alias("y"), F.col("left").alias("l"), F.col("right").alias("r"), F.col("y").alias("up"))
+        met = own.join(down, [IMAGE, "y"]).filter((F.col("l") <= F.col("right") + reach) & (F.col("r") >= F.col("left") - reach))
+        roots = components(met.select(_node("y", "left").alias("a"), _node("up", "l").alias("b")))
+        named = own.withColumn("__node", _node("y", "left")).join(roots, F.col("__node") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "__node"))
+    numbers = named.select(IMAGE, "__root").distinct().withColumn("label", F.dense_rank().over(W.partitionBy(IMAGE).orderBy("__root")).cast("int"))
+    return named.join(numbers, [IMAGE, "__root"]).select(IMAGE, "y", "left", "right", "label")
 
 
 def label_objects(mask: DataFrame, connectivity: int = 8, method: str = "union", band_rows: int = BAND_ROWS) -> DataFrame:
@@ -224,20 +209,6 @@ def count_holes(mask: DataFrame, px: DataFrame, inside: Column | None = None) ->
     return px.select(IMAGE).distinct().join(found, IMAGE, "left").fillna(0, ["holes", "hole_pixels"])
 
 
-def object_distances(labels: DataFrame, tolerance: int) -> DataFrame:
-    """(image_id, a, b, distance) of object pairs a < b with pixels nearer than tolerance.
-
-    Pixels meet in grid cells as wide as the tolerance, each in its own and those after it.
-    """
-    edge = boundary(labels)
-    cy, cx = F.floor(F.col("y") / tolerance), F.floor(F.col("x") / tolerance)
-    left = edge.select(IMAGE, F.col("label").alias("a"), F.col("y").alias("ya"), F.col("x").alias("xa"), F.explode(F.array(*[F.struct((cy + dy).alias("cy"), (cx + dx).alias("cx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])).alias("c")).select(IMAGE, "a", "ya", "xa", "c.cy", "c.cx")
-    right = edge.select(IMAGE, F.col("label").alias("b"), F.col("y").alias("yb"), F.col("x").alias("xb"), cy.alias("cy"), cx.alias("cx"))
-    d2 = (F.col("ya") - F.col("yb")) * (F.col("ya") - F.col("yb")) + (F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb"))
-    near = left.join(right, [IMAGE, "cy", "cx"]).filter((F.col("a") < F.col("b")) & (d2 < tolerance * tolerance))
-    return near.groupBy(IMAGE, "a", "b").agg(F.sqrt(F.min(d2)).alias("distance"))
-
-
 def boundary(labels: DataFrame) -> DataFrame:
     """Pixels of a mask or of labelled objects that lack one of their four neighbours."""
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))])
@@ -246,13 +217,11 @@ def boundary(labels: DataFrame) -> DataFrame:
     return labels.join(full, PLACE, "left_anti")
 
 
-def reachable(objects: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
-    """(image_id, label) of the objects that links connect with a root, itself included."""
-    node = lambda c: F.concat_ws("|", F.col(IMAGE).cast("string"), F.col(c).cast("string"))
-    groups = connected_components(links.select(node("a").alias("a"), node("b").alias("b")))
-    named = objects.select(IMAGE, "label", node("label").alias("__node")).join(groups, F.col("__node") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "__node"))
-    wanted = named.join(roots.select(IMAGE, "label"), [IMAGE, "label"], "left_semi").select("__root").distinct()
-    return named.join(wanted, "__root", "left_semi").select(IMAGE, "label")
+def reachable(labels: DataFrame, tolerance: float, roots: DataFrame) -> DataFrame:
+    """(image_id, label) of the objects that chains of gaps below the tolerance connect with a root, itself included."""
+    groups = stored(linked_groups(labels, tolerance), "gap-groups")
+    wanted = groups.join(roots.select(IMAGE, "label").distinct(), [IMAGE, "label"]).select("group").distinct()
+    return groups.join(wanted, "group", "left_semi").select(IMAGE, "label")
 
 
 def keep_linked(mask: DataFrame, tolerance: int = 100, min_area: int = 0, anchor: tuple[float, float] | None = None, override: int | None = None, safe: Column | None = None, drop_below: int = 0) -> DataFrame:
@@ -261,7 +230,7 @@ def keep_linked(mask: DataFrame, tolerance: int = 100, min_area: int = 0, anchor
     Objects below drop_below pixels go first. Those above override pixels stay at any distance, if they have a pixel in the
     safe region where there is one, and chains start from them, too.
     """
-    labels = label_objects(mask)
+    labels = stored(label_objects(mask), "labels")
     objects = object_list(labels)
     if drop_below:
         objects = objects.filter(F.col("area") >= drop_below)
@@ -273,14 +242,13 @@ def keep_linked(mask: DataFrame, tolerance: int = 100, min_area: int = 0, anchor
             trusted = trusted.join(labels.filter(safe), [IMAGE, "label"], "left_semi")
         roots = roots.unionByName(trusted).distinct()
     big = objects.filter(F.col("area") >= min_area).select(IMAGE, "label").unionByName(roots).distinct()
-    pairs = object_distances(labels.join(big, [IMAGE, "label"], "left_semi"), tolerance)
-    kept = reachable(objects, pairs, roots)
+    kept = reachable(labels.join(big, [IMAGE, "label"], "left_semi"), tolerance, roots)
     return labels.join(kept, [IMAGE, "label"], "left_semi").select(*PLACE)
 
 
 def keep_biggest(mask: DataFrame, anchor: tuple[float, float] | None = None, reach: int = 1) -> DataFrame:
     """The largest object and all that overlaps its bounding box, grown by reach."""
-    labels = label_objects(mask)
+    labels = stored(label_objects(mask), "labels")
     objects = object_list(labels)
     root = objects.join(largest_object(labels, anchor), [IMAGE, "label"]).select(IMAGE, F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("w").alias("rw"), F.col("h").alias("rh"))
     touch = (F.col("x") < F.col("rx") + F.col("rw") + reach) & (F.col("x") + F.col("w") > F.col("rx") - reach) & (F.col("y") < F.col("ry") + F.col("rh") + reach) & (F.col("y") + F.col("h") > F.col("ry") - reach)
@@ -290,12 +258,11 @@ def keep_biggest(mask: DataFrame, anchor: tuple[float, float] | None = None, rea
 
 def keep_near_regions(mask: DataFrame, inside: Column, tolerance: int = 100, min_size: int = 0) -> DataFrame:
     """Objects with a pixel inside the region, and larger ones that chains of gaps below tolerance connect with these."""
-    labels = label_objects(mask)
+    labels = stored(label_objects(mask), "labels")
     roots = labels.filter(inside).select(IMAGE, "label").distinct()
     objects = object_list(labels)
     judged = objects.filter(F.col("area") >= min_size).select(IMAGE, "label").unionByName(roots).distinct()
-    pairs = object_distances(labels.join(judged, [IMAGE, "label"], "left_semi"), tolerance)
-    kept = reachable(objects, pairs, roots)
+    kept = reachable(labels.join(judged, [IMAGE, "label"], "left_semi"), tolerance, roots)
     return labels.join(kept, [IMAGE, "label"], "left_semi").select(*PLACE)
 
 
@@ -306,33 +273,27 @@ def region_classes(labels: DataFrame, region: DataFrame, min_root: int = 0, smal
     chains of gaps below small_distance lead to from a root, then unknown ones by unknown_distance from all kept so far.
     plant: the least label of the roots that gaps below root_distance join; null for the others.
     """
-    labels = stored(labels, "classed")
     touched = labels.join(region.select(*PLACE), PLACE, "left_semi").select(IMAGE, "label").distinct().withColumn("__in", F.lit(True))
     kind = F.when(F.col("__in") & (F.col("area") > min_root), "root").when(F.col("__in"), "small").otherwise("unknown")
     objects = stored(object_list(labels).join(touched, [IMAGE, "label"], "left").select(IMAGE, "label", kind.alias("kind")), "classes")
-    gaps = stored(object_distances(labels, max(small_distance, unknown_distance, root_distance)), "gaps")
-
-    def linked(part: DataFrame, below: int) -> DataFrame:
-        near = gaps.filter(F.col("distance") < below)
-        for end in "ab":
-            near = near.join(part.select(IMAGE, F.col("label").alias(end)), [IMAGE, end], "left_semi")
-        return near
 
     def kinds(*names: str) -> DataFrame:
         return objects.filter(F.col("kind").isin(*names)).select(IMAGE, "label")
 
-    first = stored(reachable(kinds("root", "small"), linked(kinds("root", "small"), small_distance), kinds("root")), "kept")
+    def pixels(part: DataFrame) -> DataFrame:
+        return labels.join(part, [IMAGE, "label"], "left_semi")
+
+    first = stored(reachable(pixels(kinds("root", "small")), small_distance, kinds("root")), "kept")
     second = first.unionByName(kinds("unknown"))
-    kept = reachable(second, linked(second, unknown_distance), first).withColumn("kept", F.lit(True))
-    node = lambda c: F.concat_ws("|", F.col(IMAGE).cast("string"), F.lpad(F.col(c).cast("string"), 10, "0"))
-    plants = connected_components(linked(kinds("root"), root_distance).select(node("a").alias("a"), node("b").alias("b"))).select(F.col("node").alias("__node"), F.split_part("root", F.lit("|"), F.lit(-1)).cast("int").alias("__plant"))
-    out = objects.withColumn("__node", node("label")).join(plants, "__node", "left").join(kept, [IMAGE, "label"], "left")
-    return out.select(IMAGE, "label", "kind", F.when(F.col("kind") == "root", F.coalesce("__plant", "label")).alias("plant"), F.coalesce("kept", F.lit(False)).alias("kept"))
+    kept = reachable(pixels(second), unknown_distance, first).withColumn("kept", F.lit(True))
+    plants = linked_groups(pixels(kinds("root")), root_distance).withColumn("plant", F.min("label").over(W.partitionBy("group"))).select(IMAGE, "label", "plant")
+    out = objects.join(plants, [IMAGE, "label"], "left").join(kept, [IMAGE, "label"], "left")
+    return out.select(IMAGE, "label", "kind", "plant", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def keep_region_classes(mask: DataFrame, px: DataFrame, inside: Column, dilation: int = 0, drop_below: int = 0, **tolerances: int) -> DataFrame:
     """Pixels of the objects that ``region_classes`` keeps; the region grows by dilation, objects below drop_below go first."""
-    labels = label_objects(mask)
+    labels = stored(label_objects(mask), "labels")
     if drop_below:
         labels = labels.join(object_list(labels).filter(F.col("area") >= drop_below), [IMAGE, "label"], "left_semi")
     region = px.filter(inside).select(*PLACE)

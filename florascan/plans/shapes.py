@@ -336,6 +336,11 @@ def j14(spark, d):
     return o.object_distances(o.label_objects(small_mask(spark, d)), 3).withColumn("distance", F.round("distance", 6))
 
 
+@query("j14_far_objects", sql("px", SMALL + OBJ.replace("from mask)", "from small)") + DIST.replace("< 9", "< 182.25") + NUM + " select ds.image_id, n1.label as a, n2.label as b, round(distance, 6) as distance from ds join nm n1 on n1.image_id = ds.image_id and n1.root = ds.a join nm n2 on n2.image_id = ds.image_id and n2.root = ds.b where n1.label < n2.label"))
+def j14b(spark, d):
+    return o.object_distances(o.label_objects(small_mask(spark, d)), 13.5).withColumn("distance", F.round("distance", 6))
+
+
 REACH = ", rc as (select image_id, root from {start} union select ds.image_id, ds.b from rc join ds on ds.image_id = rc.image_id and ds.a = rc.root {ok}) select lab.image_id, lab.y, lab.x from lab join (select distinct * from rc) using (image_id, root)"
 
 
@@ -344,6 +349,11 @@ def m9(spark, d):
     return o.keep_linked(small_mask(spark, d), 3, 2)
 
 
+@query("m9_keep_far_linked", sql("px", "small as (select image_id, y, x from px where g between 100 and 104), " + OBJ.replace("from mask)", "from small)") + DIST.replace("< 9", "< 30.25") + ", gd as (select image_id, root from ob)" + REACH.format(start="big", ok="join gd on gd.image_id = ds.image_id and gd.root = ds.b")))
+def m9c(spark, d):
+    return o.keep_linked(fx.px(spark, d).filter(F.col("g").between(100, 104)).select(*PLACE), 5.5)
+
+
 OVER = OBJ.replace("from mask)", "from small)").replace("lab as (", "la0 as (").replace(", ob as (", ", sz as (select image_id, root from la0 group by 1, 2 having count(*) >= 2), lab as (select la0.* from la0 join sz using (image_id, root)), ob as (")
 
 

@@ -322,3 +322,85 @@ def test_rectangles_meet_over_cells(spark):
         assert len(got) == len(expected) and {tuple(r) for r in got} == expected
         circles = regions.region_relations(df, df, ["image_id"], cell).collect()
         assert len(circles) == len(touching) and {tuple(r)[:3] for r in circles} == touching
+
+
+def scattered(spark, seed, share, size=60, images=2):
+    import random
+
+    rng = random.Random(seed)
+    return spark.createDataFrame([(i, y, x) for i in range(images) for y in range(size) for x in range(size) if rng.random() < share], "image_id int, y int, x int")
+
+
+def test_gaps_equal_all_pairs(spark, monkeypatch):
+    from florascan.operators import blocks, gaps
+    from florascan.sources.storage import stored
+
+    labels = stored(objects.label_objects(scattered(spark, 7, 0.04)), "test-labels")
+    points = {}
+    for r in labels.collect():
+        points.setdefault((r.image_id, r.label), []).append((r.y, r.x))
+    least = {}
+    for (i, a), mine in points.items():
+        for (j, b), theirs in points.items():
+            if i == j and a < b:
+                least[i, a, b] = min((y - v) ** 2 + (x - u) ** 2 for y, x in mine for v, u in theirs)
+    for block in (8, 256):
+        monkeypatch.setattr(blocks, "BLOCK", block)
+        for tolerance in (1, 2, 3.5, 9, 40):
+            near = {k for k, d2 in least.items() if d2 < tolerance * tolerance}
+            if tolerance != 40:
+                got = {(r.image_id, r.a, r.b): r.distance for r in gaps.object_distances(labels, tolerance).collect()}
+                assert set(got) == near and all(abs(d * d - least[k]) < 1e-6 for k, d in got.items())
+            root = {k: k for k in points}
+
+            def find(k, root=root):
+                while root[k] != k:
+                    k = root[k]
+                return k
+
+            for i, a, b in near:
+                root[find((i, b))] = find((i, a))
+            expected, groups = {}, {}
+            for k in points:
+                expected.setdefault(find(k), set()).add(k)
+            for r in gaps.linked_groups(labels, tolerance).collect():
+                groups.setdefault(r.group, set()).add((r.image_id, r.label))
+            assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values())), (block, tolerance)
+
+
+def test_least_distance_of_large_sets():
+    import numpy as np
+
+    from florascan.operators.gaps import _least_distance
+
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        a, b = rng.integers(0, 90, (700, 2)), rng.integers(0, 90, (500, 2)) + [int(rng.integers(0, 100)), int(rng.integers(0, 100))]
+        exact = int(((a[:, None] - b[None]) ** 2).sum(2).min())
+        for tolerance in (2, 5):
+            got = _least_distance(a, b, tolerance)
+            assert got == exact if exact < tolerance**2 else got >= tolerance**2
+
+
+def test_components_of_either_size(spark):
+    import random
+
+    from florascan.operators import graph
+
+    rng = random.Random(9)
+    edges = spark.createDataFrame([(f"n{rng.randrange(300):03d}", f"n{rng.randrange(300):03d}") for _ in range(260)], "a string, b string")
+    alone, spread = (sorted(map(tuple, graph.components(edges, small).collect())) for small in (1 << 20, 10))
+    assert alone and alone == spread
+    assert graph.components(edges.limit(0)).count() == 0
+
+
+def test_noisy_rows_are_labelled_fast():
+    import time
+
+    import pandas as pd
+
+    rows = 64
+    part = pd.DataFrame({"image_id": 1, "y": [y for y in range(rows) for _ in range(4000)], "left": [2 * k + y % 2 for y in range(rows) for k in range(4000)], "right": [2 * k + y % 2 for y in range(rows) for k in range(4000)], "band": 0})
+    began = time.time()
+    assert objects._union_runs(1)(part)["root_y"].max() == 0 and len(objects._union_runs(0)(part)) == len(part)
+    assert time.time() - began < 5
