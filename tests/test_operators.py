@@ -404,3 +404,26 @@ def test_noisy_rows_are_labelled_fast():
     began = time.time()
     assert objects._union_runs(1)(part)["root_y"].max() == 0 and len(objects._union_runs(0)(part)) == len(part)
     assert time.time() - began < 5
+
+
+def anchored(rows, minutes):
+    """(key, luid, series) of (key, time in minutes, luid) by the definition."""
+    out, seen = [], {}
+    for key, t, luid in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        if key not in seen or t - seen[key][0] >= minutes:
+            seen[key] = (t, luid)
+        out.append((key, luid, seen[key][1]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed, minutes, partitions", [(1, 10, 7), (2, 300, 12), (3, 2, 3), (4, 10_000, 9), (5, 1, 40)])
+def test_a_hot_key_spreads_over_partitions(spark, seed, minutes, partitions):
+    import random
+
+    rng = random.Random(seed)
+    rows = [("hot" if rng.random() < 0.6 else f"p{rng.randrange(6)}", rng.randrange(800), f"l{k:04d}") for k in range(900)]
+    rows += [(None, k, f"n{k}") for k in range(20)] + [("tie", 5, f"t{k}") for k in range(30)]
+    df = spark.createDataFrame(rows, "plant string, minute int, luid string").withColumn("at", F.timestamp_seconds(F.col("minute") * 60))
+    got = series.series_id(df, ["plant"], "at", "luid", minutes, partitions=partitions)
+    assert sorted(((r.plant, r.luid, r.series_id) for r in got.collect()), key=str) == anchored(rows, minutes)
+    assert got.columns == ["plant", "minute", "luid", "at", "series_id"]
