@@ -16,7 +16,7 @@ from florascan.streaming import incremental
 def _stream(spark, d, twice: bool = False):
     """The snapshot catalogue as a stream of files."""
     snap = stored((snap := fx.snap(spark, d)).unionByName(snap) if twice else fx.snap(spark, d), "snapshots")
-    return spark.readStream.schema(snap.schema).parquet(snap.inputFiles()[0].rsplit("/", 1)[0])
+    return incremental.read_files(spark, snap.schema, snap.inputFiles()[0].rsplit("/", 1)[0])
 
 
 @query("t1_incremental_catalogue", sql("snap", "select luid, plant from snap"))
@@ -28,9 +28,18 @@ def t1(spark, d):
 
 @query("t2_incremental_series", sql("snap", SERIES + " select luid, series_id from w"))
 def t2(spark, d):
-    out = new_path(spark, "series")
-    incremental.write_until_done(incremental.incremental_series(_stream(spark, d), ["experiment", "plant"], "date_time", "luid", 600), out, new_path(spark, "series-state"))
-    return spark.read.parquet(out).select("luid", "series_id")
+    """Files in any order: as late as the snapshots' whole span. A closing row far ahead lets the last ones leave."""
+    incremental.use_rocksdb(spark)
+    path, out = new_path(spark, "arrivals"), new_path(spark, "series")
+    snap = fx.snap(spark, d).select("experiment", "plant", "date_time", "luid")
+    snap.write.parquet(path)
+    span = snap.agg(F.min("date_time").alias("first"), F.max("date_time").alias("last")).withColumn("days", F.coalesce(F.datediff("last", "first"), F.lit(0)) + 1)
+    days = span.first()["days"]
+    closing = span.select(F.lit("").alias("experiment"), F.lit("closing").alias("plant"), F.timestamp_add("DAY", F.lit(days + 1), F.col("last")).alias("date_time"), F.lit("closing").alias("luid"))
+    closing.write.mode("append").parquet(path)
+    stream = incremental.incremental_series(incremental.read_files(spark, snap.schema, path, 4), ["experiment", "plant"], "date_time", "luid", 600, f"{days} days")
+    incremental.write_until_done(stream, out, new_path(spark, "series-state"))
+    return spark.read.schema("experiment string, plant string, luid string, series_id string").parquet(out).select("luid", "series_id")
 
 
 @query("v3_operator_chain", sql("px", "l as (select *, least(255, cast(floor(abs(round(g * 120::double / 100 - 10, 9))) as int)) as gg from px) select image_id, count(*) as area, round(avg(x), 6) as centroid_x, round(avg(y), 6) as centroid_y from l where gg between 110 and 180 group by 1"))

@@ -156,15 +156,34 @@ def test_lists_catalogues_and_sheets(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "images")).count() == 4
 
 
-def test_series_over_two_triggers(spark, tmp_path):
+def test_series_of_rows_in_any_order(spark, tmp_path):
+    """Rows of many files and two runs, shuffled within the watermark, get the series that the batch form gives."""
+    import random
+
+    incremental.use_rocksdb(spark)
+    rng = random.Random(2)
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = "plant string, t timestamp, luid string"
-    for minutes in ((0, 6), (12, 18)):
-        rows = [("p", datetime(2024, 1, 1, 0, m), f"l{m:02d}") for m in minutes]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        incremental.write_until_done(incremental.incremental_series(stream, ["plant"], "t", "luid", 10), out, state)
-    assert {r.luid: r.series_id for r in spark.read.parquet(out).collect()} == {"l00": "l00", "l06": "l00", "l12": "l12", "l18": "l12"}
+    rows = [(f"p{rng.randrange(3)}", rng.randrange(400), f"l{k:03d}") for k in range(150)]
+    arrival = sorted(rows, key=lambda r: r[1] + rng.randrange(60))  # up to an hour late
+    at = lambda m: datetime(2024, 1, 1 + m // 1440, m % 1440 // 60, m % 60)
+
+    def arrive(part):
+        spark.createDataFrame([(p, None if m is None else at(m), luid) for p, m, luid in part], schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = incremental.read_files(spark, spark.createDataFrame([], schema).schema, source, 1)
+        incremental.write_until_done(incremental.incremental_series(stream, ["plant"], "t", "luid", 10, "1 hour"), out, state)
+
+    for k in range(0, 100, 25):
+        arrive(arrival[k : k + 25])
+    run()
+    assert 0 < spark.read.parquet(out).count() < 100
+    arrive(arrival[100:])
+    arrive([("p0", None, "untimed"), ("closing", 2000, "closing")])
+    run()
+    got = sorted(((r.plant, r.luid, r.series_id) for r in spark.read.parquet(out).collect()), key=str)
+    assert got == sorted([*anchored(rows, 10), ("p0", "untimed", "untimed")], key=str)
 
 
 def test_failed_images_do_not_stop_the_job(spark, sf):
