@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import NumericType
+
+from florascan.operators.medians import LARGE, median_by
 
 # --- filters ---------------------------------------------------------------------------------------------------------
 
@@ -174,11 +177,31 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sets.select(key.alias("key"), value.alias("value"), "n")
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(name, n, n_distinct, mean, std, least, median, greatest) of numeric columns, one row each."""
-    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    long = df.select(F.expr(f"stack({len(columns)}, {pairs}) as (name, v)"))
-    return long.groupBy("name").agg(F.count("v").alias("n"), F.countDistinct("v").alias("n_distinct"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("least"), F.median("v").alias("median"), F.max("v").alias("greatest"))
+def describe(df: DataFrame, columns: Sequence[str], large: int = LARGE) -> DataFrame:
+    """(name, n, n_distinct, top, freq, mean, std, least, median, greatest), one row for each column.
+
+    top and freq, the most frequent value (the least of several) and its rows, are those of columns that are not numbers; the
+    others those of numbers. Values are counted before they are shuffled and dealt by column and value; medians are exact.
+    """
+    numeric = [c for c in columns if isinstance(df.schema[c].dataType, NumericType)]
+    texts = [c for c in columns if c not in numeric]
+
+    def long(names: Sequence[str], kind: str) -> DataFrame:
+        pairs = ", ".join(f"'{c}', cast(`{c}` as {kind})" for c in names)
+        return df.select(F.expr(f"stack({len(names)}, {pairs}) as (name, v)"))
+
+    empty = {"top": "string", "freq": "bigint", "mean": "double", "std": "double", "least": "double", "median": "double", "greatest": "double"}
+    parts = []
+    if numeric:
+        v = long(numeric, "double")
+        figures = v.groupBy("name").agg(F.count("v").alias("n"), F.countDistinct("v").alias("n_distinct"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+        parts.append(figures.join(median_by(v, ["name"], ["v"], large).withColumnRenamed("v", "median"), "name", "left"))
+    if texts:
+        values = long(texts, "string").groupBy("name", "v").agg(F.count(F.lit(1)).alias("m"))
+        own = F.col("v").isNotNull()
+        parts.append(values.groupBy("name").agg(F.coalesce(F.sum(F.when(own, F.col("m"))), F.lit(0)).alias("n"), F.count("v").alias("n_distinct"), F.min_by("v", F.when(own, F.struct(-F.col("m"), "v"))).alias("top"), F.max(F.when(own, F.col("m"))).alias("freq")))
+    full = [p.withColumns({c: F.lit(None).cast(kind) for c, kind in empty.items() if c not in p.columns}) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b), full).select("name", "n", "n_distinct", *empty)
 
 
 def annotation_stats(selection: DataFrame, annotations: DataFrame, key: str) -> DataFrame:
@@ -220,13 +243,14 @@ def fill_missing(df: DataFrame, value: str = "na") -> DataFrame:
 
 def aggregate_by(df: DataFrame, keys: Sequence[Column | str], measures: Sequence[str], how: str = "median") -> DataFrame:
     """Median or mean of the measures: by series, by day or hour (pass the truncated time as a key)."""
-    f = {"median": F.median, "mean": F.avg}[how]
-    return df.groupBy(*keys).agg(*[f(m).alias(m) for m in measures])
+    if how == "median":
+        return median_by(df, keys, measures)
+    return df.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in measures])
 
 
 def with_group_median(df: DataFrame, keys: Sequence[str], measure: str, name: str) -> DataFrame:
     """Each row with the median of its group."""
-    return df.join(df.groupBy(*keys).agg(F.median(measure).alias(name)), list(keys))
+    return df.join(median_by(df, keys, [measure]).withColumnRenamed(measure, name), list(keys))
 
 
 def observation_row(df: DataFrame, plant: str, names: Sequence[str], separator: str, empty: Sequence[str] = ()) -> DataFrame:

@@ -57,6 +57,60 @@ def s10(spark, d):
     return t.read_partial_results(spark, [folder], "*.csv").select("luid", "camera", "angle", "job_id")
 
 
+@query("s1_scan", sql("snap", "select distinct experiment, camera from snap"))
+def s1(spark, d):
+    """Files below folders, found by their extension; what the folders' names say of them."""
+    folder = new_path(spark, "scan")
+    fx.snap(spark, d).select("experiment", "camera", "luid").write.partitionBy("experiment", "camera").csv(folder)
+    found = t.scan_images(spark, folder, ["csv"])
+    return found.select(F.regexp_extract("path", "experiment=([^/]*)", 1).alias("experiment"), F.regexp_extract("path", "camera=([^/]*)", 1).alias("camera")).distinct()
+
+
+@query("s4_image_list", sql("snap", "select filepath as path from snap"))
+def s4(spark, d):
+    path = new_path(spark, "image-list")
+    lines = fx.snap(spark, d).select(F.explode(F.array(F.concat(F.lit("  "), "filepath", F.lit(" ")), F.lit(""))).alias("value"))
+    lines.write.text(path)
+    return t.read_image_list(spark, path)
+
+
+@query("s9_cached_catalogue", sql("snap", "select luid, plant from snap where camera = 'view'"))
+def s9(spark, d):
+    """Built once, then read; the second build is never asked for."""
+    path, snap = new_path(spark, "cached"), fx.snap(spark, d).select("luid", "plant", "camera")
+    t.cached_catalogue(spark, path, lambda: snap.filter("camera = 'view'"))
+    return t.cached_catalogue(spark, path, lambda: snap).select("luid", "plant")
+
+
+def _sheet(spark, df, schema):
+    path = new_path(spark, "sheet")
+    t.write_sheet(t.sheet_columns(df), path)
+    return spark.read.csv(path, header=True, schema=schema)
+
+
+@query("s12_merged_sheet", sql("snap features", "select experiment, plant, luid, null::double as measure from snap union all select null, plant::varchar, null, measure from features"))
+def s12(spark, d):
+    """The sheet of the merged partial results, written and read again."""
+    snap, features = fx.snap(spark, d).select("luid", "plant", "experiment"), fx.features(spark, d).select(F.col("plant").cast("string").alias("plant"), "measure")
+    merged = c.merge_results([features, snap])
+    return _sheet(spark, merged, "experiment string, plant string, luid string, measure double")
+
+
+@query("s15_selection_sheet", sql("snap", "select luid, filepath, job_id from snap where camera = 'click'"))
+def s15(spark, d):
+    """A selection saved and loaded again."""
+    selection = c.select_snapshots(fx.snap(spark, d), {"camera": "click"}, ["luid", "filepath", "job_id"])
+    return _sheet(spark, selection, "luid string, filepath string, job_id bigint")
+
+
+@query("s17_data_sheet", "select p_partkey as part_key, replace(p_type, ',', ' ') as part_type, p_size as part_size from part")
+def s17(spark, d):
+    """A data sheet saved, loaded and copied under another name."""
+    parts = t.table(spark, d, "part").select(F.col("p_partkey").alias("part-key"), F.concat_ws("", "p_type").alias("part-type"), F.col("p_size").cast("int").alias("part-size"))
+    first = _sheet(spark, parts, "part_key bigint, part_type string, part_size int")
+    return _sheet(spark, first, first.schema)
+
+
 @query("s11_sheet", "select p_partkey as part_key, replace(p_type, ',', ' ') as part_type, p_size as part_size from part")
 def s11(spark, d):
     return t.sheet_columns(t.table(spark, d, "part").select(F.col("p_partkey").alias("part-key"), F.col("p_type").alias("part-type"), F.col("p_size").alias("part-size")))
@@ -214,9 +268,29 @@ def a1(spark, d):
     return c.key_counts(fx.snap(spark, d).withColumn("day", F.to_date("date_time")), KEYS)
 
 
-@query("a2_describe", sql("features", " union all ".join(f"select '{n}' as name, count({e}) as n, count(distinct {e}) as n_distinct, round(avg({e}), 4) as mean, round(stddev_samp({e}), 4) as std, min({e})::double as least, median({e})::double as median, max({e})::double as greatest from {tab}" for n, e, tab in (("plant", "plant", "features"), ("measure", "measure", "features")))))
+def described(names: str, tab: str) -> list[str]:
+    return [f"select '{n}' as name, count({n}) as n, count(distinct {n}) as n_distinct, null::varchar as top, null::bigint as freq, round(avg({n}), 4) as mean, round(stddev_samp({n}), 4) as std, min({n})::double as least, median({n})::double as median, max({n})::double as greatest from {tab}" for n in names.split()]
+
+
+def counted(names: str, tab: str) -> list[str]:
+    one = "select '{n}' as name, sum(m)::bigint as n, count(*) as n_distinct, arg_min(v, (-m, v)) as top, max(m)::bigint as freq, null::double as mean, null::double as std, null::double as least, null::double as median, null::double as greatest from (select {n} as v, count(*) as m from {tab} where {n} is not null group by 1)"
+    return [one.format(n=n, tab=tab) for n in names.split()]
+
+
+def rounded(df):
+    return df.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
+
+
+@query("a2_describe", sql("features", " union all ".join(described("plant measure", "features"))))
 def a2(spark, d):
-    return c.describe(fx.features(spark, d), ["plant", "measure"]).withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
+    return rounded(c.describe(fx.features(spark, d), ["plant", "measure"]))
+
+
+@query("a2_describe_all", sql("snap", "w as (select plant, camera, angle, case when event_id % 4 > 0 then wavelength end as wavelength, event_id, job_id from snap) " + " union all ".join(described("event_id job_id", "w") + counted("plant camera angle wavelength", "w"))))
+def a2b(spark, d):
+    """Texts, nulls among them, and numbers, whose medians are selected as those of large tables are."""
+    snap = fx.snap(spark, d).withColumn("wavelength", F.when(F.col("event_id") % 4 > 0, F.col("wavelength")))
+    return rounded(c.describe(snap, ["plant", "event_id", "camera", "job_id", "angle", "wavelength"], large=100))
 
 
 @query("a3_annotation_stats", sql("snap annotations", "select coalesce(kind, 'none') as kind, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as percent from snap left join annotations using (event_id) group by 1"))
@@ -259,6 +333,13 @@ def a7(spark, d):
     return c.aggregate_by(fx.features(spark, d), ["plant", "day"], ["measure"]).withColumns({"measure": F.round("measure", 6), "day": F.col("day").cast("string")})
 
 
+@query("a7_day_of_many", sql("features", "select day::varchar as day, round(median(measure), 6) as measure from features group by 1"))
+def a7b(spark, d):
+    """Days with many rows: of the large ones the median is selected."""
+    large = c.median_by(fx.features(spark, d), ["day"], ["measure"], large=5)
+    return large.withColumns({"measure": F.round("measure", 6), "day": F.col("day").cast("string")})
+
+
 @query("a8_by_hour", sql("snap", "select plant, strftime(date_trunc('hour', date_time), '%Y-%m-%d %H') as hour, round(avg(event_id), 6) as event_id from snap group by 1, 2"))
 def a8(spark, d):
     snap = fx.snap(spark, d).withColumn("hour", F.date_format(F.date_trunc("hour", "date_time"), "yyyy-MM-dd HH"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from florascan.functions.names import option_values
 from florascan.operators import catalogue, histogram, neighbourhood, objects, pixels
@@ -14,8 +17,8 @@ from florascan.plans import fixtures as fx
 from florascan.plans.fixtures import sql
 from florascan.plans.registry import query
 
-
-MAX_COMBINATIONS = 100_000
+#: Of the grid search: tasks that the combinations are dealt to, each with every image's cumulative counts.
+GRID_BLOCKS = 64
 
 
 def analyse(mask_px: DataFrame, features: Sequence[str] = ("shape", "colour", "chlorophyll")) -> DataFrame:
@@ -32,13 +35,44 @@ def analyse(mask_px: DataFrame, features: Sequence[str] = ("shape", "colour", "c
     return out
 
 
+def captured(px: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """(image_id, schema, error, seconds): a step in Python on each image's pixels, whose failure is a row, not the job's end.
+
+    A failed image has one row with null results, the error's kind and text, and the time that it took. The step sees an
+    image as a whole, so images have to fit in a task; steps on blocks (``blocks``) need no such bound.
+    """
+    kinds = StructType.fromDDL(schema)
+    whole = StructType([px.schema[IMAGE], *kinds, *StructType.fromDDL("error string, seconds double")])
+
+    def run(pixels: pd.DataFrame) -> pd.DataFrame:
+        began, image = time.perf_counter(), pixels[IMAGE].iloc[0]
+        try:
+            out, error = step(pixels)[kinds.names].reset_index(drop=True), None
+        except Exception as failed:  # whatever a user's step throws is that image's result
+            out, error = pd.DataFrame([[None] * len(kinds)], columns=kinds.names), f"{type(failed).__name__}: {failed}"
+        out.insert(0, IMAGE, image)
+        return out.assign(error=error, seconds=time.perf_counter() - began)
+
+    return px.groupBy(IMAGE).applyInPandas(run, whole)
+
+
 def extract_features(images: DataFrame, px: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]], features: Sequence[str] = ("shape", "colour", "chlorophyll")) -> DataFrame:
-    """images with features, status (ok or failed) and error: an image without pixels left fails, the job goes on."""
+    """images with features, status (ok or failed) and error; the job goes on whatever happens to an image.
+
+    An image fails by an error that it comes with (column error: decoding, an earlier step) or without pixels left.
+    """
     for step in steps:
         px = px.transform(step)
+    known = F.col("error") if "error" in images.columns else F.lit(None).cast("string")
     out = images.join(analyse(px, features), IMAGE, "left")
-    failed = F.col("area").isNull() if "shape" in features else F.lit(False)
-    return out.withColumns({"status": F.when(failed, "failed").otherwise("ok"), "error": F.when(failed, "no pixels in mask")})
+    empty = F.when(F.col("area").isNull() if "shape" in features else F.lit(False), "no pixels in mask")
+    error = F.coalesce(known, empty)
+    return out.withColumns({"status": F.when(error.isNotNull(), "failed").otherwise("ok"), "error": error})
+
+
+def error_level(results: DataFrame) -> DataFrame:
+    """(error, n): how many images failed by which error, the most frequent first."""
+    return results.filter("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "error")
 
 
 def passing(px: DataFrame, checks: DataFrame) -> DataFrame:
@@ -54,19 +88,25 @@ def expand_grid(options: DataFrame, names: Sequence[str]) -> DataFrame:
     return out
 
 
-def grid_search(px: DataFrame, params: DataFrame, condition: Column, keys: Sequence[str]) -> DataFrame:
-    """(image_id, keys, pixels) of a threshold whose bounds are parameter columns, for every image and combination.
+def cumulative_counts(px: DataFrame, channel: str) -> DataFrame:
+    """(image_id, upto): for each image how many pixels have a value below 0, 1, ... 256."""
+    counts = histogram.value_counts(px, [channel]).groupBy(IMAGE).agg(F.map_from_entries(F.collect_list(F.struct(F.col("value").cast("int"), "n"))).alias("n"))  # 256 at most
+    step = F.sequence(F.lit(0), F.lit(255))
+    grown = F.aggregate(step, F.array(F.lit(0).cast("long")), lambda upto, v: F.array_append(upto, F.element_at(upto, -1) + F.coalesce(F.try_element_at("n", v), F.lit(0).cast("long"))))
+    return counts.select(IMAGE, grown.alias("upto"))
 
-    Distinct values are counted first, so a combination meets at most 256 rows an image, not its pixels. The combinations
-    are what a user listed; more than ``MAX_COMBINATIONS`` are refused rather than broadcast.
+
+def grid_search(px: DataFrame, params: DataFrame, low: Column, high: Column, keys: Sequence[str], channel: str = "g") -> DataFrame:
+    """(image_id, keys, pixels) of the threshold low <= channel <= high, columns of params, for every image and combination.
+
+    An image is one row of cumulative counts, so a combination takes two look-ups. Combinations stay where they are dealt to;
+    the images' rows go to all of these places. The result, images times combinations, is what was asked for.
     """
-    if params.limit(MAX_COMBINATIONS + 1).count() > MAX_COMBINATIONS:
-        raise ValueError(f"more than {MAX_COMBINATIONS} combinations")
-    counts = histogram.value_counts(px, ["g"]).select(IMAGE, F.col("value").alias("g"), "n")
-    hit = counts.join(F.broadcast(params), condition, "inner")
-    found = hit.groupBy(IMAGE, *keys).agg(F.sum("n").alias("pixels"))
-    every = px.select(IMAGE).distinct().crossJoin(F.broadcast(params.select(*keys)))  # the grid: images times combinations
-    return every.join(found, [IMAGE, *keys], "left").fillna(0, ["pixels"])
+    dealt = params.withColumn("__block", F.pmod(F.xxhash64(*keys), F.lit(GRID_BLOCKS)).cast("int"))
+    images = cumulative_counts(px, channel).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(GRID_BLOCKS - 1))))
+    first, last = F.greatest(F.ceil(low.cast("double")), F.lit(0)).cast("int"), F.least(F.floor(high.cast("double")), F.lit(255)).cast("int")
+    pixels = F.when(low.isNotNull() & high.isNotNull() & (last >= first), F.get("upto", last + 1) - F.get("upto", first))
+    return images.join(dealt, "__block").select(IMAGE, *keys, F.coalesce(pixels, F.lit(0)).alias("pixels"))
 
 
 def merge_masks(masks: Sequence[DataFrame], mode: str = "and") -> DataFrame:
@@ -112,6 +152,29 @@ def b3(spark, d):
     return out.select(IMAGE, "area", "status", "error")
 
 
+def _brightest(pixels: pd.DataFrame) -> pd.DataFrame:
+    """A step that gives up on images without a very bright pixel."""
+    bright = pixels[pixels["g"] > 228]
+    if not len(bright):
+        raise ValueError("no bright pixel")
+    return pd.DataFrame({"bright": [len(bright)], "top": [int(bright["y"].min())]})
+
+
+BRIGHT = "br as (select image_id, count(*) filter (g > 228) as bright, min(y) filter (g > 228) as top from px group by 1)"
+
+
+@query("b3_captured_errors", sql("px", BRIGHT + " select image_id, nullif(bright, 0) as bright, top, case when bright = 0 then 'ValueError: no bright pixel' end as error, true as timed from br"))
+def b3b(spark, d):
+    return captured(fx.px(spark, d), _brightest, "bright long, top int").select(IMAGE, "bright", "top", "error", (F.col("seconds") >= 0).alias("timed"))
+
+
+@query("b3_error_levels", sql("px", BRIGHT + ", m as (select image_id, count(*) as area from px where g between 215 and 255 group by 1), f as (select image_id, case when bright = 0 then 'ValueError: no bright pixel' when area is null then 'no pixels in mask' end as error from br left join m using (image_id)) select error, count(*) as n from f where error is not null group by 1"))
+def b3c(spark, d):
+    px = fx.px(spark, d)
+    images = captured(px, _brightest, "bright long, top int").select(IMAGE, "error")
+    return error_level(extract_features(images, px, [lambda p: pixels.range_mask(p, "g", 215, 255)], ("shape",)))
+
+
 @query("b4_resume", sql("px", "select image_id, count(*) as area from px where g between 100 and 160 and image_id not in (select image_id from px where image_id % 2 = 0) group by 1"))
 def b4(spark, d):
     px = fx.px(spark, d)
@@ -131,7 +194,7 @@ select image_id, lo, hi, (select count(*) from px p where p.image_id = im.image_
 def b6(spark, d):
     options = spark.createDataFrame([("0|100;25,7", "150,200")], "lo string, hi string")
     params = expand_grid(options, ["lo", "hi"])
-    return grid_search(fx.px(spark, d), params, F.col("g").between(F.col("lo").cast("int"), F.col("hi").cast("int")), ["lo", "hi"])
+    return grid_search(fx.px(spark, d), params, F.col("lo").cast("int"), F.col("hi").cast("int"), ["lo", "hi"])
 
 
 @query("b7_forced_pairs", sql("px", "select image_id, count(*) as area, 'series-1' as luid, 'batch' as source from px where g between 100 and 160 group by 1"))

@@ -26,9 +26,21 @@ def scan_images(spark: SparkSession, folder: str, types: Sequence[str] = IMAGE_T
     return files.select("path", "modificationTime", "length").filter(F.lower("path").rlike(rf"\.({'|'.join(types)})$"))
 
 
+def read_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, height, width, channels, data, error) of every file below a folder, decoded by Spark's image source.
+
+    A file that cannot be decoded is a row with an error and no data; it is not lost, and the job goes on. Files without a
+    byte have no row: Spark's readers, the one of ``scan_images`` too, do not list them.
+    """
+    image = F.col("image")
+    files = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder)
+    broken = (image["height"] <= 0) | (image["width"] <= 0) | image["data"].isNull()
+    good = {c: F.when(~broken, image[f]).alias(c) for c, f in (("height", "height"), ("width", "width"), ("channels", "nChannels"), ("data", "data"))}
+    return files.select(image["origin"].alias("path"), *good.values(), F.when(broken, "cannot be decoded").alias("error"))
+
+
 def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, y, x, b, g, r) of all images below a folder, decoded by Spark's image source."""
-    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
+    """(path, y, x, b, g, r) of all images below a folder; those that cannot be decoded have none (see read_images)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -43,8 +55,8 @@ def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
                     y, x = np.mgrid[top : top + part.shape[0], 0:width]
                     yield pd.DataFrame({"path": path, "y": y.ravel(), "x": x.ravel(), "b": part[:, :, 0].ravel(), "g": part[:, :, 1].ravel(), "r": part[:, :, 2].ravel()})
 
-    flat = images.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
-    return flat.mapInPandas(rows, "path string, y int, x int, b int, g int, r int")
+    decoded = read_images(spark, folder).filter("error is null").drop("error")
+    return decoded.mapInPandas(rows, "path string, y int, x int, b int, g int, r int")
 
 
 def pixels_from_arrays(df: DataFrame, image: Column, row: Column, values: Column, channels: Sequence[str] = ("b", "g", "r")) -> DataFrame:

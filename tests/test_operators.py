@@ -446,3 +446,72 @@ def test_a_hot_key_spreads_over_partitions(spark, seed, minutes, partitions):
     got = series.series_id(df, ["plant"], "at", "luid", minutes, partitions=partitions)
     assert sorted(((r.plant, r.luid, r.series_id) for r in got.collect()), key=str) == anchored(rows, minutes)
     assert got.columns == ["plant", "minute", "luid", "at", "series_id"]
+
+
+def test_broken_files_are_failed_rows(spark, tmp_path):
+    png(tmp_path / "good.png", [[(1, 2, 3), (4, 5, 6)]])
+    (tmp_path / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nrubbish")
+    images = tables.read_images(spark, str(tmp_path)).withColumn("image_id", F.element_at(F.split("path", "/"), -1))
+    px = tables.read_pixels(spark, str(tmp_path)).withColumn("image_id", F.element_at(F.split("path", "/"), -1))
+    out = jobs.extract_features(images.select("image_id", "error"), px, [], ("shape",))
+    got = {r.image_id: (r.status, r.error, r.area) for r in out.collect()}
+    assert got == {"good.png": ("ok", None, 2), "broken.png": ("failed", "cannot be decoded", None)}
+    assert [tuple(r) for r in jobs.error_level(out).collect()] == [("cannot be decoded", 1)]
+
+
+def test_selected_medians_are_exact(spark):
+    import random
+    import statistics
+
+    from florascan.operators import medians
+
+    rng = random.Random(10)
+    rows = [(k, rng.choice((rng.gauss(0, 1), float(rng.randrange(4)))), rng.randrange(1000)) for k in ("a", "b", None) for _ in range(rng.randrange(300, 900))]
+    rows += [("few", 1.0, 5), ("few", 2.0, None), ("none", None, 1), ("same", 7.0, 7)] + [("same", 7.0, 7)] * 500
+    df = spark.createDataFrame(rows, "k string, v double, w int")
+    expected = {}
+    for name in {r[0] for r in rows}:
+        expected[name] = tuple(statistics.median(x) if (x := [r[c] for r in rows if r[0] == name and r[c] is not None]) else None for c in (1, 2))
+    for large in (100, 10_000):
+        got = {r.k: (r.v, r.w) for r in medians.median_by(df, ["k"], ["v", "w"], large).collect()}
+        assert got == expected
+
+
+def test_grid_of_many_combinations(spark):
+    px = spark.createDataFrame([(i, 0, x, (x * 37 + i) % 256) for i in range(2) for x in range(100)], "image_id int, y int, x int, g int")
+    params = spark.range(120_000).select(F.col("id").alias("k"), (F.col("id") % 300 - 20).cast("int").alias("lo"), F.when(F.col("id") % 7 > 0, (F.col("id") % 311).cast("int")).alias("hi"))
+    out = jobs.grid_search(px, params, F.col("lo"), F.col("hi"), ["k", "lo", "hi"])
+    assert out.count() == 240_000
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.filter("k % 1009 = 0").collect():
+        assert r.pixels == (0 if r.hi is None else sum(r.lo <= (x * 37 + r.image_id) % 256 <= r.hi for x in range(100)))
+    assert jobs.grid_search(px, params.limit(0), F.col("lo"), F.col("hi"), ["k"]).count() == 0
+
+
+def test_operators_say_what_they_make():
+    for name, made in plugins.OPERATORS.items():
+        assert made.kind in ("image", "mask", "regions", "features") and made.name == name and callable(made.run)
+    assert plugins.OPERATORS["range_mask"].kind == "mask" and plugins.OPERATORS["crop"].needs == ("image_id", "y", "x")
+
+
+def test_hulls_of_random_masks(spark):
+    import math
+    import random
+
+    rng = random.Random(11)
+    points = {i: [(rng.randrange(30), rng.randrange(25)) for _ in range(3 + 9 * i)] for i in range(4)}
+    mask = spark.createDataFrame([(i, y, x) for i, own in points.items() for y, x in set(own)], "image_id int, y int, x int")
+    for r in objects.hull_features(mask).collect():
+        own = [(x, y) for y, x in set(points[r.image_id])]
+        lines = [(p, q) for p in own for q in own if p != q and all((q[0] - p[0]) * (s[1] - p[1]) - (q[1] - p[1]) * (s[0] - p[0]) >= 0 for s in own)]
+        ends = {p: max((q for a, q in lines if a == p), key=lambda q: (q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2) for p, _ in lines}
+        corners = [min(own)]
+        while (after := ends[corners[-1]]) != corners[0]:
+            corners.append(after)
+        area = abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(corners, corners[1:] + corners[:1]))) / 2
+        assert abs(r.hull_area - area) < 1e-6
+        assert max(math.dist((r.circle_x, r.circle_y), p) for p in own) <= r.circle_radius + 1e-6
+        circles = [((p[0] + q[0]) / 2, (p[1] + q[1]) / 2, math.dist(p, q) / 2) for p in own for q in own if p != q]
+        assert all(c[2] >= r.circle_radius - 1e-6 for c in circles if all(math.dist(c[:2], p) <= c[2] + 1e-9 for p in own))
+        boxes = [math.prod(max(x * math.cos(t) + y * math.sin(t) for x, y in own) - min(x * math.cos(t) + y * math.sin(t) for x, y in own) for t in (math.atan2(q[1] - p[1], q[0] - p[0]), math.atan2(q[1] - p[1], q[0] - p[0]) + math.pi / 2)) for p, q in lines]
+        assert not boxes or abs(r.rect_width * r.rect_height - min(boxes)) < 1e-4
