@@ -2,8 +2,10 @@
 
 A page is read into a tree of its block elements; inline elements add their text to the block around them. Every element
 is content or boilerplate. Unary potentials score its features (kind of element, words of its class and id, length,
-links and punctuation of its own text), pair potentials score agreement with its parent. Sum-product messages go from the
-leaves up and from the roots down, which gives every element's exact marginal; blocks of elements whose content marginal
+links and punctuation of its own text), pair potentials score agreement with its parent. Within what is marked as article (or
+as something beside it) they are firm: its lists, tables and nested elements go with the mark, however they look. Names weigh by what they name: of a container any word
+of a class or id tells, of a paragraph, a cell or an article only a name as a whole, and other attributes tell nothing but
+whether the element is shown. Sum-product messages go from the leaves up and from the roots down, which gives every element's exact marginal; blocks of elements whose content marginal
 is at least one half are kept, in page order.
 
 Weights are fitted by gradient ascent on the likelihood of labelled pages: pages that mark their article with <article>
@@ -42,9 +44,9 @@ from florascan.llm.common import hidden, table
 TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 QUOTE_OR_END = re.compile(r"[>\"']")
 VALUE_NEXT = re.compile(r"=\s*\Z")
-NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORDS = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.IGNORECASE)
+NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 #: Elements whose text is raw up to their end tag; those whose content a page does not show; elements that flow within a block; those without an end tag; those a page uses around its article;
 #: those a new one of which ends; words by which authors name what is not the article.
@@ -60,12 +62,22 @@ NOT_ARTICLE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer form header login menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
 )
 
+#: Of these any word of a name tells what they are; of all others a whole name.
+CONTAINERS = frozenset("div section ul ol nav aside header footer form table span center ins iframe details figure".split())
+#: Of these even articles within them are not the page's.
+ASIDE = frozenset("nav footer aside".split())
+#: Roles that name what is not the article.
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
+
 #: Words by which authors name the article.
 IS_ARTICLE = frozenset("article content entry post story".split())
 
 FEATURES = ("bias", "article", "around", "named_off", "heading", "paragraph", "list", "log_chars", "links", "sentence")
-#: Mean of the weights' prior; then agreement of parent and child on boilerplate and on content.
-PRIOR = (-0.5, 6.0, -6.0, -6.0, 0.3, 0.5, -0.5, 0.3, -2.0, 0.5, 3.0, 1.5)
+#: Mean of the weights' prior; then agreement of parent and child on boilerplate and on content. Marks of boilerplate outweigh
+#: any number of paragraphs below them.
+PRIOR = (-0.5, 6.0, -40.0, -40.0, 0.3, 0.5, -0.5, 0.3, -2.0, 0.5, 3.0, 1.5)
+#: Log-odds of an element's state below a marked article, and of the other state below what is marked as something beside it.
+FIRM = 7.5
 #: How firmly the prior holds each weight: agreement most, as few pages have an article's paragraphs within boilerplate.
 HOLD = (5.0,) + (1.0,) * 9 + (5.0, 5.0)
 EXTRACTED = "text string, n_chars long, n_blocks int, kept_blocks int"
@@ -74,19 +86,45 @@ EXTRACTED = "text string, n_chars long, n_blocks int, kept_blocks int"
 class Page:
     """Block elements as parallel lists (parents before children), and blocks of text with the element each belongs to."""
 
-    __slots__ = ("parent", "tag", "off", "good", "unseen", "chars", "links", "sentence", "blocks")
+    __slots__ = ("parent", "tag", "off", "good", "unseen", "chars", "links", "sentence", "blocks", "around", "inside", "aside")
 
     def __init__(self) -> None:
         self.parent, self.tag, self.off, self.good, self.unseen, self.chars, self.links, self.sentence, self.blocks = [], [], [], [], [], [], [], [], []
+        self.around, self.inside, self.aside = [], [], []
+
+    def place(self) -> None:
+        """Which elements lie around the article, which within a marked one or beside it; parents come first."""
+        for up, tag, off, good in zip(self.parent, self.tag, self.off, self.good):
+            below = up >= 0 and self.inside[up]
+            around = tag in AROUND and not (tag == "header" and below)  # an article's own header is its
+            out = up >= 0 and self.aside[up]
+            self.aside.append(out or off or tag in ASIDE)
+            self.around.append(around)
+            self.inside.append(not around and not off and (below or ((good or tag in ARTICLE) and not out)))
 
 
 @lru_cache(maxsize=4096)
-def _named(attributes: str) -> tuple[bool, bool]:
-    """Whether the names say that it is not the article; whether they say that it is."""
-    names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower()
-    words = WORDS.findall(names)
-    off = bool(HIDDEN.search(attributes)) or not NOT_ARTICLE.isdisjoint(words)
-    return off, not off and not IS_ARTICLE.isdisjoint(words)
+def _named(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the attributes say that it is not the article or not shown; whether they say that it is the article."""
+    off, whole = False, []
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).strip().lower()
+        if name == "hidden":
+            off = off or value not in ("false", "until-found")
+        elif name == "aria-hidden":
+            off = off or value == "true"
+        elif name == "style":
+            off = off or bool(NOT_SHOWN.search(value))
+        elif name == "role":
+            off = off or not ROLES.isdisjoint(value.split())
+        elif name in ("class", "id"):
+            whole += value.split()
+    good = not IS_ARTICLE.isdisjoint(whole) or any(not IS_ARTICLE.isdisjoint(WORDS.findall(w)) for w in whole)
+    says_off = not NOT_ARTICLE.isdisjoint(whole) and tag != "main"
+    if not says_off and tag in CONTAINERS and IS_ARTICLE.isdisjoint(whole):
+        says_off = any(not NOT_ARTICLE.isdisjoint(WORDS.findall(w)) for w in whole)
+    off = off or says_off
+    return off, not off and good
 
 
 @lru_cache(maxsize=64)
@@ -195,7 +233,7 @@ def read_page(source: str | None) -> Page:
             in_link = False
         if name in VOID or (attributes.endswith("/") and (unseen[stack[-1]] or name == "svg")):
             continue
-        says = (False, False) if not attributes else _named(attributes) if len(attributes) < 300 else _named.__wrapped__(attributes)
+        says = (False, False) if not attributes else _named(name, attributes) if len(attributes) < 300 else _named.__wrapped__(name, attributes)
         parent.append(stack[-1]), tags.append(name), off.append(says[0]), good.append(says[1]), unseen.append(unseen[stack[-1]] or name in UNSEEN)
         stack.append(len(tags) - 1)
         opened[name] += 1
@@ -206,50 +244,65 @@ def read_page(source: str | None) -> Page:
         page.chars[node] += len(text)
         page.links[node] += linked_chars
         page.sentence[node] |= text[-1] in ".!?"
+    page.place()
     return page
 
 
 @lru_cache(maxsize=4096)
-def _kind(tag: str, off: bool, good: bool) -> tuple[float, ...]:
+def _kind(tag: str, off: bool, marked: bool, around: bool) -> tuple[float, ...]:
     heading, listed = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), tag in ("li", "ul", "ol", "dl", "dt", "dd")
-    return (1.0, float(good or tag in ARTICLE and not off), float(tag in AROUND), float(off), float(heading), float(tag in ("p", "pre", "blockquote")), float(listed))
+    return (float(marked), float(around), float(off), float(heading), float(tag in ("p", "pre", "blockquote")), float(listed))
 
 
 def node_features(page: Page) -> list[tuple[float, ...]]:
+    """FEATURES of each element; an element without text of its own has no bias and goes with its relatives."""
     out = []
-    for tag, off, good, chars, links, sentence in zip(page.tag, page.off, page.good, page.chars, page.links, page.sentence):
+    for tag, off, good, around, inside, chars, links, sentence in zip(page.tag, page.off, page.good, page.around, page.inside, page.chars, page.links, page.sentence):
         own = (math.log1p(chars) / 5, links / chars, float(sentence)) if chars else (0.0, 0.0, 0.0)
-        out.append(_kind(tag, off, good) + own)
+        out.append((float(chars > 0), *_kind(tag, off, inside and (good or tag in ARTICLE), around), *own))
     return out
 
 
-def sum_product(parent: list[int], unary: list[float], stay_off: float, stay_on: float) -> tuple[list[float], list[float]]:
+def firm_edges(page: Page) -> list[int]:
+    """1 for elements whose parent lies within a marked article, -1 below what is marked as something beside it, else 0."""
+    return [0 if up < 0 else 1 if page.inside[up] else -1 if page.aside[up] else 0 for up in page.parent]
+
+
+def sum_product(parent: list[int], unary: list[float], stay_off: float, stay_on: float, firm: list[int] | None = None) -> tuple[list[float], list[float]]:
     """Content marginal of each node, and its message to its parent (log-odds); parents come before their children.
 
     A message is the log-odds that it adds to its receiver, so the product over children is a sum. The pair potential is
     the child's chance given its parent: it agrees with a boilerplate parent by the logistic of stay_off, with a content
-    parent by that of stay_on; a child that says nothing about itself says nothing about its parent.
+    parent by that of stay_on; a child that says nothing about itself says nothing about its parent. Below a mark (firm) the
+    mark decides the parent, so the chance is that of the mark, and the child adds nothing to its parent.
     """
     n = len(parent)
-    off, on = 1 / (1 + math.exp(-stay_off)), 1 / (1 + math.exp(-stay_on))
+    chance = {1: _pair(-FIRM, FIRM), 0: _pair(stay_off, stay_on), -1: _pair(FIRM, -FIRM)}
+    pairs = [chance[f] for f in firm] if firm else [chance[0]] * n
     exp, log = math.exp, math.log
     up, gathered = [0.0] * n, list(unary)
     for k in range(n - 1, 0, -1):
+        off, on = pairs[k]
         odds = exp(min(max(gathered[k], -60.0), 60.0))
         up[k] = log((odds * on + 1 - on) / (odds * (1 - off) + off))
         gathered[parent[k]] += up[k]
     belief = list(gathered)
     for k in range(1, n):
+        off, on = pairs[k]
         odds = exp(min(max(belief[parent[k]] - up[k], -60.0), 60.0))
         belief[k] += log((odds * on + 1 - off) / (odds * (1 - on) + off))
     return [1 / (1 + exp(-min(max(b, -60.0), 60.0))) for b in belief], up
 
 
+def _pair(stay_off: float, stay_on: float) -> tuple[float, float]:
+    return 1 / (1 + math.exp(-stay_off)), 1 / (1 + math.exp(-stay_on))
+
+
 def extract(source: str | None, weights: list[float]) -> tuple[str, int, int, int]:
     page = read_page(source)
     emit = weights[:-2]
     unary = [sum(map(float.__mul__, f, emit)) for f in node_features(page)]
-    marginal, _ = sum_product(page.parent, unary, weights[-2], weights[-1])
+    marginal, _ = sum_product(page.parent, unary, weights[-2], weights[-1], firm_edges(page))
     kept = [text for node, text, _ in page.blocks if marginal[node] >= 0.5]
     text = "\n".join(kept)
     return text, len(text), len(page.blocks), len(kept)
@@ -257,16 +310,10 @@ def extract(source: str | None, weights: list[float]) -> tuple[str, int, int, in
 
 def node_labels(page: Page) -> list[int]:
     """1 for the marked article, what it holds that is not marked otherwise, and all around it; else 0."""
-    inside, labels = [False] * len(page.tag), [0] * len(page.tag)
-    for k in range(1, len(page.tag)):
-        off = page.off[k] or page.tag[k] in AROUND
-        inside[k] = not off and (page.tag[k] in ARTICLE or inside[page.parent[k]])
-        if inside[k]:
-            labels[k] = 1
-            up = page.parent[k]
-            while up >= 0 and not labels[up]:
-                labels[up] = 1
-                up = page.parent[up]
+    labels = [int(inside) for inside in page.inside]
+    for k in range(len(labels) - 1, 0, -1):
+        if labels[k]:
+            labels[page.parent[k]] = 1
     return labels
 
 
@@ -275,10 +322,10 @@ MARKS = [FEATURES.index(f) for f in ("article", "around", "named_off")]
 
 
 def labelled_page(source: str | None) -> tuple[list[int], np.ndarray, list[int]] | None:
-    """(parents, features, labels) of a page's elements, if it marks its article."""
+    """(parents, features and kinds of edges, labels) of a page's elements, if it marks its article."""
     page = read_page(source)
     labels = node_labels(page)
-    return (page.parent, np.array(node_features(page)), labels) if any(labels) else None
+    return (page.parent, np.column_stack([np.array(node_features(page)), firm_edges(page)]), labels) if any(labels) else None
 
 
 def fit_tree(pages: list[tuple[list[int], np.ndarray, list[int]]], steps: int = 40, rate: float = 0.1, hold: tuple[float, ...] = HOLD) -> list[float]:
@@ -287,18 +334,20 @@ def fit_tree(pages: list[tuple[list[int], np.ndarray, list[int]]], steps: int =
     data = []
     for parent, x, labels in pages:
         unmarked = x.copy()
-        unmarked[:, MARKS] = 0.0
+        unmarked[:, [*MARKS, len(FEATURES)]] = 0.0
         data += [(parent, seen, np.array(labels, dtype=float)) for seen in (x, unmarked)]
     theta, first, second = prior.copy(), np.zeros_like(prior), np.zeros_like(prior)
     for step in range(1, steps + 1 if data else 1):
         grad = -np.array(hold) * (theta - prior)
         for parent, x, y in data:
             emit, off, on = theta[:-2], theta[-2], theta[-1]
-            marginal, up = sum_product(parent, (x @ emit).tolist(), off, on)
+            firm = x[:, len(FEATURES)].astype(int)
+            x, loose = x[:, : len(FEATURES)], firm[1:] == 0
+            marginal, up = sum_product(parent, (x @ emit).tolist(), off, on, firm.tolist())
             p, par = np.array(marginal), np.array(parent[1:], dtype=int)
             belief = np.log(np.clip(p, 1e-12, 1)) - np.log(np.clip(1 - p, 1e-12, 1))
             # Pair marginals: the parent without this child's message, the child without its parent's.
-            s_off, s_on = 1 / (1 + np.exp(-off)), 1 / (1 + np.exp(-on))
+            s_off, s_on = _pair(off, on)
             above = belief[par] - np.array(up[1:])
             odds = np.exp(np.clip(above, -60, 60))
             below = belief[1:] - np.log((odds * s_on + 1 - s_off) / (odds * (1 - s_on) + s_off))
@@ -306,8 +355,8 @@ def fit_tree(pages: list[tuple[list[int], np.ndarray, list[int]]], steps: int =
             joint = np.exp(joint - joint.max(0))
             joint = joint / joint.sum(0)
             grad[:-2] += (y - p) @ x / len(data)
-            grad[-2] += ((1 - y[par]) * ((1 - y[1:]) - s_off) - (joint[0] * (1 - s_off) - joint[1] * s_off)).sum() / len(data)
-            grad[-1] += (y[par] * (y[1:] - s_on) - (joint[3] * (1 - s_on) - joint[2] * s_on)).sum() / len(data)
+            grad[-2] += ((1 - y[par]) * ((1 - y[1:]) - s_off) - (joint[0] * (1 - s_off) - joint[1] * s_off))[loose].sum() / len(data)
+            grad[-1] += (y[par] * (y[1:] - s_on) - (joint[3] * (1 - s_on) - joint[2] * s_on))[loose].sum() / len(data)
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return np.round(theta, 6).tolist()
@@ -326,7 +375,7 @@ def train_tree(pages: DataFrame, page_id: str = "page_id", html: str = "html", m
     chosen = marked.join(F.broadcast(ids), "id").withColumn("tie", F.xxhash64("html"))
     rows = chosen.mapInPandas(features, "id long, tie long, parent array<int>, flat array<double>, labels array<int>")
     one = rows.groupBy("id").agg(F.min_by(F.struct("parent", "flat", "labels"), "tie").alias("p")).orderBy("id").select("p.*").collect()
-    return fit_tree([(list(r.parent), np.array(r.flat).reshape(-1, len(FEATURES)), list(r.labels)) for r in one])
+    return fit_tree([(list(r.parent), np.array(r.flat).reshape(-1, len(FEATURES) + 1), list(r.labels)) for r in one])
 
 
 def extract_content(pages: DataFrame, weights: list[float], html: str = "html") -> DataFrame:

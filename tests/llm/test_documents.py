@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import random
 import re
 import unicodedata
 import zlib
@@ -381,3 +382,55 @@ def corpus_pipeline_stored(docs):
     from florascan.llm.common import stored
 
     return stored(docs, "test-stage")
+
+
+WHOLE = ["<article>", '<article class="post overflow-hidden">', '<article aria-hidden="false">', '<article data-state="not hidden" title="The hidden garden">', '<article class="post tag-social">', '<main class="has-sidebar"><article id="comments-on-ads">', '<div class="wrap"><form id="aspnet"><article class=story>']
+BODY = (
+    '<header><h1>Head line</h1></header><p>First one is long enough.</p><p id="comment-on-policy">Second.</p><p class="share-price">Third.</p><ul><li>one</li><li>two<ul><li>nested <a href=x>link</a></li></ul></li></ul>'
+    '<ol><li><a href="/a">only a link</a></li></ol><dl><dt>term</dt><dd>meaning</dd></dl><table><tr><th>h</th><td>a cell that holds quite a long text, too.</td></tr></table>'
+    "<div><div><div>three deep</div></div></div><section><div><div><blockquote><p>quoted deep</p></blockquote></div></div></section><figure><figcaption>caption</figcaption></figure><pre>code  x</pre><p>Last.</p>"
+)
+EXPECTED = "Head line\nFirst one is long enough.\nSecond.\nThird.\none\ntwo\nnested link\nonly a link\nterm\nmeaning\nh\na cell that holds quite a long text, too.\nthree deep\nquoted deep\ncaption\ncode x\nLast."
+NOISE = [
+    '<div class="share-buttons"><p>Share this article with all your friends, please.</p></div>', "<aside><h2>Related</h2><article><p>Another story, told at length in a teaser.</p></article></aside>", '<p class="advert">Buy now, it is cheap.</p>',
+    '<section id="comments">' + "<div class=comment><p>I have read this and I do not agree with it at all.</p></div>" * 40 + "</section>", '<p hidden>Not shown.</p><div style="display: none"><p>Nor this.</p></div><div aria-hidden="true">Icons</div>', "<form><label>Mail</label><input name=m><button>Send</button></form>", "<footer><p>Filed under news.</p></footer>",
+]
+
+
+@pytest.mark.parametrize("fitted", [False, True])
+def test_articles_are_kept_whole(spark, fitted):
+    """Lists, tables, definition lists and deep blocks stay, whatever the names around them; what is marked otherwise goes."""
+    weights = dom_model.train_tree(table(spark, "/root/testdata/sf0.001", "pages")) if fitted else list(dom_model.PRIOR)
+    around = '<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice">We use cookies. Accept them.</div>{}<footer>&copy; us</footer></body></html>'
+    for start in WHOLE:
+        assert dom_model.extract(around.format(start + BODY), weights)[0] == EXPECTED, start
+    for noise in NOISE:
+        assert dom_model.extract(around.format("<article>" + BODY.replace("<dl>", noise + "<dl>") + noise + "</article>" + noise), weights)[0] == EXPECTED, noise
+
+
+def test_generated_pages_are_extracted_exactly(spark):
+    """Pages of random depth, lists, tables and boilerplate against the texts that the generator put into the article."""
+    rng = random.Random(12)
+    weights = dom_model.train_tree(table(spark, "/root/testdata/sf0.001", "pages"))
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+
+    def phrase():
+        return " ".join(rng.choices(words, k=rng.randrange(1, 30))) + rng.choice([".", "", "!"])
+
+    def content(depth, out):
+        kind = rng.choice(["p", "p", "h2", "ul", "table", "div", "section", "dl"] if depth < 6 else ["p"])
+        if kind in ("p", "h2"):
+            out.append(phrase())
+            return f"<{kind} class='{rng.choice(['x', 'ad-hoc', 'share-price', 'lead'])}'>{out[-1]}</{kind}>"
+        if kind in ("ul", "table", "dl"):
+            cells = [phrase() for _ in range(rng.randrange(1, 5))]
+            out += cells
+            one, many = {"ul": ("<li>{}</li>", "<ul>{}</ul>"), "table": ("<tr><td>{}</td></tr>", "<table>{}</table>"), "dl": ("<dd>{}</dd>", "<dl>{}</dl>")}[kind]
+            return many.format("".join(one.format(c) for c in cells))
+        return f"<{kind}>" + "".join(content(depth + 1, out) for _ in range(rng.randrange(1, 4))) + f"</{kind}>"
+
+    for _ in range(60):
+        out: list[str] = []
+        body = "".join(content(0, out) + (rng.choice(NOISE) if rng.random() < 0.2 else "") for _ in range(rng.randrange(1, 9)))
+        page = "<body>" + rng.choice(NOISE) + "<nav><a href=/>Home</a></nav><article>" + body + "</article>" + rng.choice(NOISE) + "</body>"
+        assert dom_model.extract(page, weights)[0] == "\n".join(out)
