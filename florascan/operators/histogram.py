@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from florascan.operators.pixels import IMAGE, brightness_of, chlorophyll, exposure_zone, lut_apply, stretch
+from florascan.sources.storage import stored
 
 BGR = ("b", "g", "r")
 
@@ -199,8 +200,11 @@ def clahe(px: DataFrame, channel: str, tile: int = 8, clip: float = 2.0) -> Data
 
 
 def kmeans_colours(px: DataFrame, k: int = 4, rounds: int = 5, channels: Sequence[str] = BGR) -> DataFrame:
-    """px with cluster and the cluster's colour: Lloyd rounds for each image over its distinct colours, started at evenly spaced greys."""
-    colours = px.groupBy(IMAGE, *channels).agg(F.count(F.lit(1)).alias("n"))
+    """px with cluster and the cluster's colour: Lloyd rounds for each image over its distinct colours, started at evenly spaced greys.
+
+    The colours are counted and written once, and so is each round's result, k rows an image: no plan holds the rounds before it.
+    """
+    colours = stored(px.groupBy(IMAGE, *channels).agg(F.count(F.lit(1)).alias("n")), "colours")
     start = F.array(*[F.struct(F.lit(j).alias("j"), *[F.lit(255.0 * (2 * j + 1) / (2 * k)).alias(c) for c in channels]) for j in range(k)])
     centres = colours.select(IMAGE).distinct().withColumn("centres", start)
 
@@ -213,6 +217,6 @@ def kmeans_colours(px: DataFrame, k: int = 4, rounds: int = 5, channels: Sequenc
     for _ in range(rounds):
         near = nearest(centres, colours)
         moved = near.groupBy(IMAGE, F.col("best.j").alias("j")).agg(*[F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 6).alias(c) for c in channels])
-        centres = moved.groupBy(IMAGE).agg(F.array_sort(F.collect_list(F.struct("j", *channels))).alias("centres"))  # at most k
+        centres = stored(moved.groupBy(IMAGE).agg(F.array_sort(F.collect_list(F.struct("j", *channels))).alias("centres")), "centres")  # at most k
     best = nearest(centres, px)
     return best.select(*[c for c in px.columns], F.col("best.j").alias("cluster"), *[F.floor(F.col(f"best.{c}") + 0.5).cast("int").alias(f"{c}_centre") for c in channels])

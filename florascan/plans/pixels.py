@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from florascan.operators import histogram as h
@@ -10,6 +12,7 @@ from florascan.plans import fixtures as fx
 from florascan.plans.fixtures import sql
 from florascan.plans.registry import query
 from florascan.sources import tables as t
+from florascan.sources.storage import new_path
 
 PLACE = "image_id, y, x"
 
@@ -30,6 +33,22 @@ def s16(spark, d):
     return fx.px(spark, d).select("image_id").distinct().select("image_id", t.image_path("/out/", F.col("image_id"), F.lit("mask")).alias("path"))
 
 
+def layouts(spark, d):
+    """The pixels and the mask as tables of one layout."""
+    px, name = fx.px(spark, d), "layout_" + uuid.uuid4().hex
+    stored_px = t.save_layout(px, name, new_path(spark, "layout"), 8)
+    mask = px.filter(F.col("g").between(100, 160)).select("image_id", "y", "x", (F.col("r") - F.col("b")).alias("tone"))
+    return stored_px, t.save_layout(mask, name + "_mask", new_path(spark, "layout"), 8)
+
+
+@query("s16_stored_layout", sql("px", "select image_id, y // 256 as band, y, count(*) as n, max(x) - min(x) + 1 as span, sum(g)::bigint as g, sum(r - b)::bigint as tone from px where g between 100 and 160 group by 1, 2, 3"))
+def s16_layout(spark, d):
+    """Masked rows measured over stored tables: joined by place, grouped by row, nothing shuffled."""
+    joined = t.join_layouts(*layouts(spark, d))
+    return joined.groupBy("image_id", "band", "y").agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x") + 1).alias("span"), F.sum("g").alias("g"), F.sum("tone").alias("tone"))
+
+
+
 HSV = """hsv as (select *, greatest(b, g, r) as v, greatest(b, g, r) - least(b, g, r) as span from px),
 hs as (select *, case when v = 0 then 0 else cast(floor(255 * span::double / v + 0.5) as int) end as s,
   case when span = 0 then 0.0 when v = r then 60.0 * (g - b) / span when v = g then 120.0 + 60.0 * (b - r) / span else 240.0 + 60.0 * (r - g) / span end as deg from hsv),

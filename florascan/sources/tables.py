@@ -176,6 +176,34 @@ def write_images(df: DataFrame, path: str, key: str = "image_id") -> None:
     df.repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
 
 
+#: Rows of an image that a bucket holds together: an image of any height spreads over buckets.
+LAYOUT_ROWS = 256
+LAYOUT_KEYS = ("image_id", "band")
+
+
+def save_layout(px: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """px as a table bucketed by image and band of rows and sorted by place, read back with its column band.
+
+    Windows and groups by image and band form without a shuffle, and so do joins of two tables of one layout (and one number of
+    buckets) by image, band and place in a session that lets joins use fewer keys than they compare (``use_layouts``). A filter
+    on images reaches the files' statistics, as images are sorted.
+    """
+    banded = px.withColumn("band", F.floor(F.col("y") / LAYOUT_ROWS).cast("int"))
+    writer = banded.repartition(buckets, *LAYOUT_KEYS).write.format("parquet").option("path", path).mode("overwrite")
+    writer.bucketBy(buckets, *LAYOUT_KEYS).sortBy(*LAYOUT_KEYS, "y", "x").saveAsTable(name)
+    return px.sparkSession.table(name)
+
+
+def use_layouts(spark: SparkSession, on: bool = True) -> None:
+    """Let joins of this session rely on tables that are dealt by some of the join's keys."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", str(not on).lower())
+
+
+def join_layouts(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Two tables of one layout joined by place, where they lie."""
+    return left.join(right.hint("merge"), [*LAYOUT_KEYS, "y", "x"], how)
+
+
 def image_path(folder: str, *parts: Column, extension: str = "png") -> Column:
     """Where a derived image goes: folder, then the parts joined by _."""
     return F.concat(F.lit(folder.rstrip("/") + "/"), F.concat_ws("_", *[p.cast("string") for p in parts]), F.lit("." + extension))

@@ -515,3 +515,22 @@ def test_hulls_of_random_masks(spark):
         assert all(c[2] >= r.circle_radius - 1e-6 for c in circles if all(math.dist(c[:2], p) <= c[2] + 1e-9 for p in own))
         boxes = [math.prod(max(x * math.cos(t) + y * math.sin(t) for x, y in own) - min(x * math.cos(t) + y * math.sin(t) for x, y in own) for t in (math.atan2(q[1] - p[1], q[0] - p[0]), math.atan2(q[1] - p[1], q[0] - p[0]) + math.pi / 2)) for p, q in lines]
         assert not boxes or abs(r.rect_width * r.rect_height - min(boxes)) < 1e-4
+
+
+def test_stored_layouts_join_without_a_shuffle(spark, sf):
+    """Join by place, window by row and group by row over two stored tables: no exchange in the plan."""
+    from pyspark.sql import Window as W
+
+    from florascan.plans import pixels as pixel_plans
+
+    tables.use_layouts(spark)
+    left, right = pixel_plans.layouts(spark, sf)
+    joined = tables.join_layouts(left, right)
+    wide = joined.withColumn("before", F.lag("g").over(W.partitionBy("image_id", "band", "y").orderBy("x")))
+    out = wide.groupBy("image_id", "band", "y").agg(F.count(F.lit(1)).alias("n"), F.count("before").alias("m"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    tables.use_layouts(spark, False)
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert out.agg(F.sum("n")).first()[0] == right.count()
+    pruned = left.filter("image_id = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(image_id), EqualTo(image_id,3)]" in pruned
