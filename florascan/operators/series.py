@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -141,16 +142,17 @@ def series_id(df: DataFrame, keys: Sequence[str], ts: str, luid: str, delta_minu
     local = stored(ranged.withColumn("__part", F.spark_partition_id()).mapInArrow(_provisional(columns, name, limit), schema), "series")
     done = local.select(*columns, name)
 
-    latest = F.max_by(F.struct("__key", "__anchor", name, "__open"), F.struct(*order)).alias("x")
-    edges = local.groupBy("__part").agg(latest, F.min_by("__key", F.struct(*order)).alias("first")).select("__part", "first", F.col("x.__key").alias("last"), F.col("x.__anchor").alias("anchor"), F.col(f"x.{name}").alias("luid"), F.col("x.__open").alias("open"))
-    edges = stored(edges, "series-edges")  # a row for each partition
-    crossing = edges.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    crossing = stored(crossing, "series-keys")  # a key for each border between partitions at most
-    if crossing.isEmpty():
+    latest = F.max_by(F.struct("__key", F.col("__anchor").alias("anchor"), F.col(name).alias("luid"), F.col("__open").alias("open")), F.struct(*order)).alias("last")
+    edges = local.groupBy("__part").agg(latest, F.min("__key").alias("first")).collect()  # a row for each partition
+    often = Counter(key for e in edges for key in {e["first"], e["last"]["__key"]})
+    crossing = [(key,) for key, n in often.items() if n > 1]  # a key for each border between partitions at most
+    if not crossing:
         return done.unionByName(untimed)
-    of_crossing = local.filter("__open").join(F.broadcast(crossing), F.col("__key") == F.col("key"), "left_semi")
+    spark = df.sparkSession
+    of_crossing = local.filter("__open").join(F.broadcast(spark.createDataFrame(crossing, "key string")), F.col("__key") == F.col("key"), "left_semi")
     functions = of_crossing.select("__part", "__key", "__t", "__luid").groupBy("__part").applyInArrow(_passages(limit), PASSAGE)
-    begins = edges.filter("not open").select(F.col("__part").alias("part"), F.col("last").alias("key"), F.lit(True).alias("begin"), F.array(F.col("anchor")).alias("from"), F.array("anchor").alias("anchors"), F.array("luid").alias("luids"))
+    ends = [(e["__part"], e["last"]["__key"], True, [e["last"]["anchor"]], [e["last"]["anchor"]], [e["last"]["luid"]]) for e in edges if not e["last"]["open"]]
+    begins = spark.createDataFrame(ends, PASSAGE)
     path = functions.unionByName(begins).repartition("key").sortWithinPartitions("key", "part", "begin")
     came = stored(path.mapInArrow(_carried(limit), "__part int, __came long, __came_luid string"), "series-came")
     again = of_crossing.join(F.broadcast(came), "__part")  # a row for each partition at most
