@@ -69,14 +69,14 @@ def extract(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> Data
 def _register_builtins() -> None:
     from pyspark.sql import functions as F
 
-    from florascan.operators import histogram, neighbourhood, objects, pixels, regions
+    from florascan.operators import histogram, neighbourhood, objects, pixels, regions, thinning
 
     for name, run, needs, kind in (
         ("channels", pixels.channels, "bgr", "image"), ("range_mask", pixels.range_mask, "", "mask"), ("multi_range_mask", pixels.multi_range_mask, "", "mask"), ("linear", pixels.linear, "bgr", "image"),
         ("gamma", pixels.gamma, "bgr", "image"), ("temperature_tint", pixels.temperature_tint, "bgr", "image"), ("white_balance", histogram.white_balance, "bgr", "image"), ("equalize", histogram.equalize, "bgr", "image"),
         ("channel_operation", pixels.channel_operation, "bgr", "image"), ("channel_subtraction", pixels.channel_subtraction, "bgr", "image"), ("distance_image", pixels.distance_image, "bgr", "image"), ("posterize", pixels.posterize, "bgr", "image"),
         ("adaptive_mask", neighbourhood.adaptive_mask, "yx", "mask"), ("niblack", neighbourhood.niblack, "yx", "mask"), ("sauvola", neighbourhood.sauvola, "yx", "mask"), ("convolve3", neighbourhood.convolve3, "yx", "image"),
-        ("median_filter", neighbourhood.median_filter, "yx", "image"), ("gaussian", neighbourhood.gaussian, "yx", "image"), ("label_objects", objects.label_objects, "yx", "mask"), ("shape_features", objects.shape_features, "yx", "features"),
+        ("median_filter", neighbourhood.median_filter, "yx", "image"), ("gaussian", neighbourhood.gaussian, "yx", "image"), ("label_objects", objects.label_objects, "yx", "mask"), ("skeleton", thinning.skeleton, "yx", "mask"), ("shape_features", objects.shape_features, "yx", "features"),
         ("width_stats", objects.width_stats, "yx", "features"), ("hull_features", objects.hull_features, "yx", "features"), ("crop", regions.crop, "yx", "image"), ("rotate", regions.rotate, "yx", "image"), ("augment", regions.augment, "bgryx", "image"),
     ):
         operator(name, ("image_id", *needs), kind)(run)

@@ -15,6 +15,7 @@ from florascan.operators import objects as o
 from florascan.operators import pixels as p
 from florascan.operators import regions as r
 from florascan.operators import series as s
+from florascan.operators import thinning
 from florascan.plans import fixtures as fx
 from florascan.plans.fixtures import sql
 from florascan.plans.registry import query
@@ -413,6 +414,11 @@ def e1b(spark, d):
     return ed.canny(fx.px(spark, d), "g", 60, 150)
 
 
+@query("e2_skeleton")  # SQL cannot express it; tests hold it against thinning of whole images
+def e2(spark, d):
+    return thinning.skeleton(n.close_(fx.mask(spark, d), fx.px(spark, d), size=3, shape="rectangle"))
+
+
 @query("a20_shape", sql("mask", "select image_id, count(*) as area, round(avg(x), 6) as centroid_x, round(avg(y), 6) as centroid_y, min(mask.x) as \"left\", min(mask.y) as top, max(x) - min(x) + 1 as width, max(y) - min(y) + 1 as height, round(count(*)::double / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)), 6) as extent from mask group by 1"))
 def a20(spark, d):
     return o.shape_features(fx.mask(spark, d)).withColumns({c: F.round(c, 6) for c in ("centroid_x", "centroid_y", "extent")})

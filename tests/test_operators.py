@@ -534,3 +534,39 @@ def test_stored_layouts_join_without_a_shuffle(spark, sf):
     assert out.agg(F.sum("n")).first()[0] == right.count()
     pruned = left.filter("image_id = 3")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(image_id), EqualTo(image_id,3)]" in pruned
+
+
+def thinned_by_pixels(mask):
+    """Zhang and Suen's thinning, pixel by pixel."""
+    around = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    mask, changed = set(mask), True
+    while changed:
+        changed = False
+        for last in ((2, 4, 0), (4, 6, 2)), ((0, 2, 6), (0, 4, 6)):
+            gone = set()
+            for y, x in mask:
+                p = [(y + dy, x + dx) in mask for dy, dx in around]
+                if 2 <= sum(p) <= 6 and sum(not p[k] and p[(k + 1) % 8] for k in range(8)) == 1:
+                    groups = ((0, 2, 4), (2, 4, 6)) if last == ((2, 4, 0), (4, 6, 2)) else ((0, 2, 6), (0, 4, 6))
+                    if all(not all(p[k] for k in g) for g in groups):
+                        gone.add((y, x))
+            mask -= gone
+            changed = changed or bool(gone)
+    return mask
+
+
+def test_skeletons_equal_whole_images(spark, sf, monkeypatch):
+    import random
+
+    from florascan.operators import blocks, thinning
+    from florascan.plans import QUERIES
+
+    rng = random.Random(13)
+    drawn_ = {i: {(y + dy, x + dx) for y, x in [(rng.randrange(40), rng.randrange(40)) for _ in range(14)] for dy in range(rng.randrange(1, 12)) for dx in range(rng.randrange(1, 12))} for i in range(2)}
+    mask = spark.createDataFrame([(i, y, x) for i, own in drawn_.items() for y, x in own], "image_id int, y int, x int")
+    expected = {(i, y, x) for i, own in drawn_.items() for y, x in thinned_by_pixels(own)}
+    for block, rounds in ((256, 16), (8, 1), (8, 3)):
+        monkeypatch.setattr(blocks, "BLOCK", block)
+        assert {tuple(r) for r in thinning.skeleton(mask, rounds).collect()} == expected, (block, rounds)
+    assert thinning.skeleton(mask.limit(0)).count() == 0
+    assert 0 < QUERIES["e2_skeleton"](spark, sf).count() < fx.px(spark, sf).count()
