@@ -570,3 +570,162 @@ def test_skeletons_equal_whole_images(spark, sf, monkeypatch):
         assert {tuple(r) for r in thinning.skeleton(mask, rounds).collect()} == expected, (block, rounds)
     assert thinning.skeleton(mask.limit(0)).count() == 0
     assert 0 < QUERIES["e2_skeleton"](spark, sf).count() < fx.px(spark, sf).count()
+
+
+def reconstructed(seed, limit):
+    """Grey reconstruction of one image by repeated steps over all of its pixels."""
+    level = {p: min(seed[p], limit[p]) for p in seed}
+    while True:
+        new = {(y, x): min(limit[y, x], max(level.get((y + dy, x + dx), level[y, x]) for dy in (-1, 0, 1) for dx in (-1, 0, 1))) for y, x in level}
+        if new == level:
+            return level
+        level = new
+
+
+def flooded(level, markers, four=False):
+    """Marker watershed of one image with a queue over all of its pixels: cost and steps first, then labels in their order."""
+    import heapq
+
+    near = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and not (four and dy and dx)]
+    cost, queue = {}, [((level[p], 0), p) for p in markers if p in level]
+    while queue:
+        heapq.heapify(queue)
+        c, p = heapq.heappop(queue)
+        if p in cost:
+            continue
+        cost[p] = c
+        for dy, dx in near:
+            q = (p[0] + dy, p[1] + dx)
+            if q in level and q not in cost:
+                heapq.heappush(queue, ((level[q], 0) if level[q] > c[0] else (c[0], c[1] + 1), q))
+    label = {}
+    for p in sorted(cost, key=cost.get):
+        came = [q for q in ((p[0] + dy, p[1] + dx) for dy, dx in near) if q in label and cost[p] == ((level[p], 0) if level[p] > cost[q][0] else (cost[q][0], cost[q][1] + 1))]
+        label[p] = markers[p] if p in markers else min(label[q] for q in came)
+    return label
+
+
+def winding(size):
+    """A corridor of one pixel's width that runs through all rows of a square."""
+    return {(y, x) for y in range(size) for x in range(size) if y % 2 == 0 or x == (size - 1 if y % 4 == 1 else 0)}
+
+
+def random_levels(seed, size=21):
+    import random
+
+    rng = random.Random(seed)
+    return {(y, x): rng.randrange(6) for y in range(size) for x in range(size) if rng.random() < 0.9}
+
+
+def test_reconstruction_equals_whole_images(spark, monkeypatch):
+    import random
+
+    from florascan.operators import blocks, flooding
+
+    rng = random.Random(5)
+    limits = {0: random_levels(1), 1: random_levels(2), 2: {p: 9 for p in winding(9)}}
+    seeds = {i: {p: rng.randrange(-2, 4) for p in own} for i, own in limits.items()}
+    seeds[2] = {p: 7 if p == (0, 0) else 0 for p in limits[2]}
+    rows = [(i, y, x, seeds[i][y, x], v) for i, own in limits.items() for (y, x), v in own.items()]
+    expected = {(i, y, x): v for i in limits for (y, x), v in reconstructed(seeds[i], limits[i]).items()}
+    px = spark.createDataFrame(rows, "image_id int, y int, x int, s int, m int")
+    for block in (256, 8):
+        monkeypatch.setattr(blocks, "BLOCK", block)
+        out = flooding.reconstruct(px, "s", "m")
+        assert out.columns == [*px.columns, "level"]
+        assert {(r.image_id, r.y, r.x): r.level for r in out.collect()} == expected, block
+    assert {v for (i, _, _), v in expected.items() if i == 2} == {7}
+    odd = spark.createDataFrame([(None, 0, 0, 1.5, 2.0), (None, 0, 1, 0.0, 1.0), (None, 0, 2, None, 5.0), (None, 0, 3, 4.0, float("nan")), (None, 0, 4, 0.5, 0.7)], "image_id int, y int, x int, s double, m double")
+    assert {(r.x, r.level) for r in flooding.reconstruct(odd, "s", "m").collect()} == {(0, 1.5), (1, 1.0), (4, 0.5)}
+    assert flooding.reconstruct(px.limit(0), "s", "m").count() == 0
+    with pytest.raises(ValueError):
+        flooding.reconstruct(px, "s", "m", connectivity=6)
+
+
+def test_regional_maxima_equal_whole_images(spark, sf):
+    from florascan.plans import QUERIES
+
+    rows = QUERIES["e3_regional_maxima"](spark, sf).collect()
+    assert len(rows) == fx.px(spark, sf).count()
+    for image in {r.image_id for r in rows}:
+        own = {(r.y, r.x): r for r in rows if r.image_id == image}
+        smooth = {p: r.smooth for p, r in own.items()}
+        ends = [f(p[k] for p in own) for k in (0, 1) for f in (min, max)]
+        seed = {(y, x): v - 5 if y in ends[:2] or x in ends[2:] else min(smooth.values()) for (y, x), v in smooth.items()}
+        expected = reconstructed(seed, smooth)
+        assert all(abs(own[p].background - v) < 1e-9 and abs(own[p].peak - (smooth[p] - v)) < 1e-5 for p, v in expected.items())
+
+
+def test_watersheds_equal_whole_images(spark, sf, monkeypatch):
+    import random
+
+    from florascan.operators import blocks, flooding
+    from florascan.plans import QUERIES
+
+    rng = random.Random(8)
+    levels = {0: random_levels(3), 1: random_levels(4), 2: {p: 3 for p in winding(9)}, 3: {(0, 0): 1}}
+    markers = {i: {p: rng.randrange(9) for p in rng.sample(sorted(own), 5)} for i, own in levels.items() if i < 2} | {2: {(0, 0): 4, (8, 0): -3}}
+    px = spark.createDataFrame([(i, y, x, v) for i, own in levels.items() for (y, x), v in own.items()], "image_id int, y int, x int, v int")
+    seeds = spark.createDataFrame([(i, y, x, m) for i, own in markers.items() for (y, x), m in own.items()], "image_id int, y int, x int, label int")
+    for block, four in ((256, False), (8, True)):
+        monkeypatch.setattr(blocks, "BLOCK", block)
+        expected = {(i, *p, m) for i in markers for p, m in flooded(levels[i], markers[i], four).items()}
+        got = flooding.watershed(px, "v", seeds, 4 if four else 8)
+        assert {tuple(r) for r in got.collect()} == expected, (block, four)
+    monkeypatch.setattr(blocks, "BLOCK", 256)
+    kept = {tuple(r) for r in flooding.watershed(px, "v", seeds, lines=True).collect()}
+    whole = {(i, y, x): m for i in markers for (y, x), m in flooded(levels[i], markers[i]).items()}
+    assert kept == {(i, y, x, m) for (i, y, x), m in whole.items() if all(whole.get((i, y + dy, x + dx), m) >= m for dy in (-1, 0, 1) for dx in (-1, 0, 1))}
+    # repeated places, markers outside, null levels and labels, no markers, no pixels
+    odd = spark.createDataFrame([(1, 0, 0, 5), (1, 0, 0, 2), (1, 0, 1, None), (1, 0, 2, 1), (None, 0, 0, 1)], "image_id int, y int, x int, v int")
+    at = spark.createDataFrame([(1, 0, 0, 7), (1, 0, 0, 6), (1, 9, 9, 1), (1, 0, 2, None), (None, 0, 0, 2)], "image_id int, y int, x int, label int")
+    assert {tuple(r) for r in flooding.watershed(odd, "v", at).collect()} == {(1, 0, 0, 6), (None, 0, 0, 2)}
+    assert flooding.watershed(px, "v", seeds.limit(0)).count() == 0 == flooding.watershed(px.limit(0), "v", seeds).count()
+    pixels, got = fx.px(spark, sf).collect(), {}
+    for r in QUERIES["e4_watershed"](spark, sf).collect():
+        got.setdefault(r.image_id, {})[r.y, r.x] = r.label
+    dark = {(r.image_id, r.y, r.x): r.label for r in objects.label_objects(fx.px(spark, sf).filter("g < 70"), 4).collect()}
+    assert got
+    for image in {r.image_id for r in pixels}:
+        level = {(r.y, r.x): r.g for r in pixels if r.image_id == image}
+        assert got.get(image, {}) == flooded(level, {(y, x): m for (i, y, x), m in dark.items() if i == image})
+
+
+def test_perspective_of_known_quadrilaterals(spark):
+    from florascan.operators import perspective
+
+    px = spark.createDataFrame([(1, y, x, 10 * y + x, y, x) for y in range(10) for x in range(10)], "image_id int, y int, x int, b int, g int, r int")
+    names = [f"{c}_{at}" for c in perspective.CORNERS for at in ("y", "x")]
+
+    def quad(*places):
+        return spark.createDataFrame([(1, *[v for p in places for v in p])], "image_id int, " + ", ".join(f"{n} int" for n in names))
+
+    whole = quad((0, 0), (0, 9), (9, 9), (9, 0))
+    for method in ("linear", "nearest"):
+        assert sorted(perspective.fix_perspective(px, whole, 10, 10, method=method).collect()) == sorted(px.collect())
+    # corners of any quadrilateral land on the corners; a turned one turns the image
+    slanted = ((1, 2), (0, 8), (9, 7), (7, 0))
+    out = {(r.y, r.x): (r.g, r.r) for r in perspective.fix_perspective(px, quad(*slanted), 5, 4).collect()}
+    assert len(out) == 20 and [out[c] for c in ((0, 0), (0, 4), (3, 4), (3, 0))] == list(slanted)
+    turned = {(r.y, r.x): r.b for r in perspective.fix_perspective(px, quad((0, 9), (9, 9), (9, 0), (0, 0)), 10, 10).collect()}
+    assert all(turned[y, x] == 10 * x + 9 - y for y in range(10) for x in range(10))
+    # outside is 0, a line has no projection, images without corners are left out
+    outside = {(r.y, r.x): r.b for r in perspective.fix_perspective(px, quad((-5, -5), (-5, 9), (9, 9), (9, -5)), 15, 15).collect()}
+    assert outside[0, 0] == 0 and outside[14, 14] == 99 and len(outside) == 225
+    assert perspective.fix_perspective(px, quad((0, 0), (3, 3), (6, 6), (9, 9)), 5, 5).count() == 0
+    assert perspective.fix_perspective(px, whole.limit(0), 5, 5).count() == 0
+    assert perspective.fix_perspective(px, whole, 1, 1).collect()[0].b == 0
+    with pytest.raises(ValueError):
+        perspective.fix_perspective(px, whole, 5, 5, method="cubic")
+
+
+def test_dots_become_corners(spark):
+    from florascan.operators import perspective
+
+    own = [(cy + dy, cx + dx) for cy, cx in ((3, 4), (5, 30), (26, 33), (28, 3), (15, 15)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)] + [(0, 0), (0, 38)]
+    mask = spark.createDataFrame([(1, y, x) for y, x in own], "image_id int, y int, x int")
+    px = spark.createDataFrame([(i, y, x) for i in (1, 2) for y in range(30) for x in range(40)], "image_id int, y int, x int")
+    found = perspective.dots(mask, 4, 100)
+    assert {(r.cy, r.cx) for r in found.collect()} == {(3, 4), (5, 30), (26, 33), (28, 3), (15, 15)}
+    assert [tuple(r) for r in perspective.corners(found, px).collect()] == [(1, 3, 4, 5, 30, 26, 33, 28, 3)]
+    assert perspective.corners(perspective.dots(mask.limit(0)), px).count() == 0
