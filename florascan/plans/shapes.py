@@ -434,7 +434,7 @@ def e4(spark, d):
 
 
 _NEAR = {"top_left": ("cy", "cx"), "top_right": ("cy", "(w - cx)"), "bottom_right": ("(h - cy)", "(w - cx)"), "bottom_left": ("(h - cy)", "cx")}
-DOTS = labelled() + """, dt as (select image_id, root, cast(floor(avg(y)) as bigint) as cy, cast(floor(avg(x)) as bigint) as cx from lab group by 1, 2 having count(*) between 2 and 3000),
+DOTS = "dm as (select image_id, y, x from px where g between 120 and 124), " + labelled(of="dm") + """, dt as (select image_id, root, cast(floor(avg(y)) as bigint) as cy, cast(floor(avg(x)) as bigint) as cx from lab group by 1, 2 having count(*) between 2 and 3000),
 sz as (select image_id, max(y) + 1 as h, max(x) + 1 as w from px group by 1),
 qd as (select image_id, """ + ", ".join(f"first({c} order by {y} * {y} + {x} * {x}, cy, cx) as {k}_{c[1]}" for k, (y, x) in _NEAR.items() for c in ("cy", "cx")) + " from dt join sz using (image_id) group by 1)"
 WARP = DOTS + """, q1 as (select *, (top_right_x - bottom_right_x)::double as dx1, (bottom_left_x - bottom_right_x)::double as dx2, (top_right_y - bottom_right_y)::double as dy1, (bottom_left_y - bottom_right_y)::double as dy2,
@@ -446,22 +446,27 @@ q6 as (select *, g * s + h * t + 1 as w from q5), q7 as (select image_id, v, u,
 q8 as (select image_id, v, u, case when abs(sx) < 1e9 and abs(sy) < 1e9 then sx end as sx, case when abs(sx) < 1e9 and abs(sy) < 1e9 then sy end as sy from q7)"""
 
 
-@query("e5_corners", sql("mask", DOTS + " select * from qd"))
+def marked_corners(px):
+    """The outermost dots of one tone of green."""
+    return perspective.corners(perspective.dots(px.filter("g between 120 and 124").select(*PLACE), 2), px)
+
+
+@query("e5_corners", sql("px", DOTS + " select * from qd"))
 def e5(spark, d):
-    return perspective.corners(perspective.dots(fx.mask(spark, d), 2), fx.px(spark, d))
+    return marked_corners(fx.px(spark, d))
 
 
-@query("e5_fix_perspective", sql("mask", WARP + """, q9 as (select image_id, v, u, floor(sy) + i as y, floor(sx) + j as x, (case i when 1 then sy - floor(sy) else 1 - (sy - floor(sy)) end) * (case j when 1 then sx - floor(sx) else 1 - (sx - floor(sx)) end) as w from q8, (values (0), (1)) a(i), (values (0), (1)) b(j))
+@query("e5_fix_perspective", sql("px", WARP + """, q9 as (select image_id, v, u, floor(sy) + i as y, floor(sx) + j as x, (case i when 1 then sy - floor(sy) else 1 - (sy - floor(sy)) end) * (case j when 1 then sx - floor(sx) else 1 - (sx - floor(sx)) end) as w from q8, (values (0), (1)) a(i), (values (0), (1)) b(j))
 select q9.image_id, v::int as y, u::int as x, """ + ", ".join(f"cast(floor(round(sum(coalesce(w * px.{c}, 0)), 6) + 0.5) as int) as {c}" for c in "bgr") + " from q9 left join px on px.image_id = q9.image_id and px.y = q9.y and px.x = q9.x group by 1, 2, 3"))
 def e5b(spark, d):
     px = fx.px(spark, d)
-    return perspective.fix_perspective(px, perspective.corners(perspective.dots(fx.mask(spark, d), 2), px), 16, 12)
+    return perspective.fix_perspective(px, marked_corners(px), 16, 12)
 
 
-@query("e5_fix_perspective_nearest", sql("mask", WARP + """ select q8.image_id, v::int as y, u::int as x, """ + ", ".join(f"coalesce(px.{c}, 0)::int as {c}" for c in "bgr") + " from q8 left join px on px.image_id = q8.image_id and px.y = floor(sy + 0.5) and px.x = floor(sx + 0.5)"))
+@query("e5_fix_perspective_nearest", sql("px", WARP + """ select q8.image_id, v::int as y, u::int as x, """ + ", ".join(f"coalesce(px.{c}, 0)::int as {c}" for c in "bgr") + " from q8 left join px on px.image_id = q8.image_id and px.y = floor(sy + 0.5) and px.x = floor(sx + 0.5)"))
 def e5c(spark, d):
     px = fx.px(spark, d)
-    return perspective.fix_perspective(px, perspective.corners(perspective.dots(fx.mask(spark, d), 2), px), 16, 12, method="nearest")
+    return perspective.fix_perspective(px, marked_corners(px), 16, 12, method="nearest")
 
 
 @query("a20_shape", sql("mask", "select image_id, count(*) as area, round(avg(x), 6) as centroid_x, round(avg(y), 6) as centroid_y, min(mask.x) as \"left\", min(mask.y) as top, max(x) - min(x) + 1 as width, max(y) - min(y) + 1 as height, round(count(*)::double / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)), 6) as extent from mask group by 1"))
