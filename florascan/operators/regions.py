@@ -195,18 +195,29 @@ def rectangle_relations(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), ce
     return pairs.select(*keys, "a_id", "b_id", contains.alias("contains"))
 
 
-def region_relations(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), cell: int = 4 * CELL) -> DataFrame:
-    """(keys, a_id, b_id, contains) of rectangles a and circles b that touch, within equal keys.
+def _touches_contains() -> list[Column]:
+    """Whether a rectangle a touches a circle b, by the distance from the centre to it, and whether the whole circle lies in it."""
+    dx = F.expr("b_cx - greatest(a_left, least(b_cx, a_left + a_width))")
+    dy = F.expr("b_cy - greatest(a_top, least(b_cy, a_top + a_height))")
+    contains = F.expr("b_cx - b_radius >= a_left and b_cx + b_radius <= a_left + a_width and b_cy - b_radius >= a_top and b_cy + b_radius <= a_top + a_height")
+    return [(dx * dx + dy * dy <= F.col("b_radius") * F.col("b_radius")).alias("touches"), contains.alias("contains")]
 
-    The distance from the centre to the rectangle decides; contains: the whole circle lies in the rectangle.
-    """
+
+def region_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, a_id, b_id, touches, contains) of every rectangle a and circle b, within equal keys, those apart, too."""
+    left = a.select(*keys, F.col("roi_id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in BOUNDS])
+    right = b.select(*keys, F.col("roi_id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in ("cx", "cy", "radius")])
+    pairs = left.join(right, list(keys)) if keys else left.crossJoin(right)
+    return pairs.select(*keys, "a_id", "b_id", *_touches_contains())
+
+
+def region_relations(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), cell: int = 4 * CELL) -> DataFrame:
+    """(keys, a_id, b_id, contains) of the pairs of region_pairs that touch, found over cells."""
     circles = b.withColumns({"left": F.col("cx") - F.col("radius"), "top": F.col("cy") - F.col("radius"), "width": 2 * F.col("radius"), "height": 2 * F.col("radius")})
     centred = [*BOUNDS, "cx", "cy", "radius"]
     pairs = _pairs(a.withColumns({"cx": F.lit(0.0), "cy": F.lit(0.0), "radius": F.lit(0.0)}), circles, keys, centred, cell)
-    dx = F.expr("b_cx - greatest(a_left, least(b_cx, a_left + a_width))")
-    dy = F.expr("b_cy - greatest(a_top, least(b_cy, a_top + a_height))")
-    contains = F.expr("b_cx - b_radius >= a_left and b_cx + b_radius <= a_left + a_width and b_cy - b_radius >= a_top and b_cy + b_radius <= a_top + a_height")
-    return pairs.filter(dx * dx + dy * dy <= F.col("b_radius") * F.col("b_radius")).select(*keys, "a_id", "b_id", contains.alias("contains"))
+    touches, contains = _touches_contains()
+    return pairs.filter(touches).select(*keys, "a_id", "b_id", contains)
 
 
 def region_hits(objects_px: DataFrame, rois: DataFrame, key: str = "label") -> DataFrame:

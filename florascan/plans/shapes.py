@@ -560,13 +560,10 @@ def j12(spark, d):
     return r.rectangle_relations(some, some, ["image_id"])
 
 
-GAP = "(cx - greatest(a.l, least(cx, a.l + a.w))) ** 2 + (cy - greatest(a.t, least(cy, a.t + a.h))) ** 2"
-
-
-@query("j12_circle_relations", sql("px", BOXES + f", ci as (select *, l + w / 2 as cx, t + h / 2 as cy, least(w, h) / 2 as rad from bx) select a.image_id, a.id as a_id, b.id as b_id, cx - rad >= a.l and cx + rad <= a.l + a.w and cy - rad >= a.t and cy + rad <= a.t + a.h as contains from bx a join ci b on a.image_id = b.image_id where {GAP} <= rad * rad"))
+@query("j12_circle_relations", sql("px", BOXES + ", ci as (select *, l + w / 2 as cx, t + h / 2 as cy, least(w, h) / 2 as rad from bx) select a.image_id, a.id as a_id, b.id as b_id, (cx - greatest(a.l, least(cx, a.l + a.w))) * (cx - greatest(a.l, least(cx, a.l + a.w))) + (cy - greatest(a.t, least(cy, a.t + a.h))) * (cy - greatest(a.t, least(cy, a.t + a.h))) <= rad * rad as touches, cx - rad >= a.l and cx + rad <= a.l + a.w and cy - rad >= a.t and cy + rad <= a.t + a.h as contains from bx a join ci b on a.image_id = b.image_id"))
 def j12b(spark, d):
     some = boxes(spark, d)
-    return r.region_relations(some, some, ["image_id"])
+    return r.region_pairs(some, some, ["image_id"])
 
 
 def many_rois(spark, d):

@@ -343,6 +343,39 @@ def test_rectangles_meet_over_cells(spark):
         assert len(circles) == len(touching) and {tuple(r)[:3] for r in circles} == touching
 
 
+def test_circle_relations_hold_every_pair(spark):
+    """Rectangles and circles apart are rows, too; those that touch are the ones found over cells."""
+    import random
+
+    rng = random.Random(7)
+    rows = [(k, k % 3 if k % 10 else None, float(rng.randrange(-20, 60)), float(rng.randrange(60)), float(rng.randrange(1, 30)), float(rng.randrange(1, 30)), float(rng.randrange(7))) for k in range(60)]
+    df = spark.createDataFrame(rows, "roi_id int, image_id int, left double, top double, width double, height double, radius double")
+    df = df.withColumns({"cx": F.col("left") + 3, "cy": F.col("top") + 4})
+    expected = {}
+    for a, i, l, t, w, h, _ in rows:
+        for b, j, x, y, _, _, rad in rows:
+            cx, cy = x + 3, y + 4
+            touches = (cx - max(l, min(cx, l + w))) ** 2 + (cy - max(t, min(cy, t + h))) ** 2 <= rad * rad
+            expected[i, j, a, b] = touches, cx - rad >= l and cx + rad <= l + w and cy - rad >= t and cy + rad <= t + h
+    of_images = {(i, a, b, *v) for (i, j, a, b), v in expected.items() if i is not None and i == j}
+    got = [tuple(r) for r in regions.region_pairs(df, df, ["image_id"]).collect()]
+    assert len(got) == len(of_images) and set(got) == of_images and {v[3:] for v in of_images} == {(False, False), (True, False), (True, True)}
+    anywhere = [tuple(r) for r in regions.region_pairs(df, df).collect()]
+    assert len(anywhere) == 3600 and set(anywhere) == {(a, b, *v) for (_, _, a, b), v in expected.items()}
+    touching = regions.region_relations(df, df, ["image_id"]).collect()
+    assert len(touching) == len({tuple(r) for r in touching}) and {tuple(r) for r in touching} == {(i, a, b, c) for i, a, b, t, c in of_images if t}
+
+
+def test_circle_relations_query_has_every_pair(spark, sf):
+    """Each pair of an image's regions is a row, touching or not."""
+    from florascan.plans import QUERIES, shapes
+
+    each = [r["count"] for r in shapes.boxes(spark, sf).groupBy("image_id").count().collect()]
+    rows = QUERIES["j12_circle_relations"](spark, sf).collect()
+    assert len(rows) == len({(r.image_id, r.a_id, r.b_id) for r in rows}) == sum(n * n for n in each)
+    assert set(rows[0].asDict()) == {"image_id", "a_id", "b_id", "touches", "contains"}
+
+
 def scattered(spark, seed, share, size=60, images=2):
     import random
 
